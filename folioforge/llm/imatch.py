@@ -4,7 +4,7 @@ The lexicon holds the terms (lower-case words) whose document frequency, as a
 part of all documents, lies in a band: too common terms say nothing, too rare
 ones are noise.  A document's signature under a lexicon subset is the hash of
 its sorted distinct terms in that subset.  Subsets keep a term with
-probabilities from 1/2 down to 1/256, so that some of them survive small
+probabilities from 1/4 down to 1/1024, so that some of them survive small
 edits of long texts and large edits of short ones.
 """
 
@@ -25,13 +25,14 @@ from .textnum import U64, splitmix, word_hashes
 #: A document has its number of distinct terms in all frequencies together, so the
 #: lexicon has at most 2000 times the mean number of distinct terms, whatever the corpus.
 BAND = (1 / 2000, 1 / 5)
-SUBSETS = 32
-EMPTY = "0" * 8
+SUBSETS = 64
+DIGITS = 6
+EMPTY = "0" * DIGITS
 LOWEST = -(2**63)
 HELD = 400_000
 
 _SEEDS = splitmix(np.arange(1, SUBSETS + 1, dtype=U64))
-_KEEP = np.array([(1 << 64) >> (1 + k * 8 // SUBSETS) for k in range(SUBSETS)], dtype=U64)
+_KEEP = np.array([int(2.0 ** (62 - 8 * k / (SUBSETS - 1))) for k in range(SUBSETS)], dtype=U64)
 
 
 def document_frequency(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -74,17 +75,17 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = BAND, text_col: str = "
 
 
 def fingerprint(terms: np.ndarray, lexicon: np.ndarray, text: str) -> str:
-    """Signatures of one text, eight hexadecimal digits for each subset; zeros where a subset has no term."""
+    """Signatures of one text, DIGITS hexadecimal digits for each subset; zeros where a subset has no term."""
     u = np.unique(terms)
     if len(lexicon) and len(u):
         at = np.minimum(np.searchsorted(lexicon, u), len(lexicon) - 1)
         banded = u[lexicon[at] == u]
         u = banded if len(banded) else u
     if not len(u):
-        return hashlib.blake2b(text.encode(), digest_size=4).hexdigest() * SUBSETS
+        return hashlib.blake2b(text.encode(), digest_size=DIGITS // 2).hexdigest() * SUBSETS
     inside = splitmix(u[:, None] ^ _SEEDS) < _KEEP
     hit = inside.any(axis=0)
-    return "".join([hashlib.blake2b(u[inside[:, k]].tobytes(), digest_size=4).hexdigest() if hit[k] else EMPTY for k in range(SUBSETS)])
+    return "".join([hashlib.blake2b(u[inside[:, k]].tobytes(), digest_size=DIGITS // 2).hexdigest() if hit[k] else EMPTY for k in range(SUBSETS)])
 
 
 def likeness(a: str, b: str) -> float:
@@ -92,8 +93,8 @@ def likeness(a: str, b: str) -> float:
     if a == b:
         return 1.0
     same = filled = 0
-    for k in range(0, len(a), 8):
-        x, y = a[k : k + 8], b[k : k + 8]
+    for k in range(0, len(a), DIGITS):
+        x, y = a[k : k + DIGITS], b[k : k + DIGITS]
         if x != EMPTY or y != EMPTY:
             filled += 1
             same += x == y

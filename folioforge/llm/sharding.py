@@ -11,7 +11,7 @@ splitters give, and numbered within it.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,27 +45,31 @@ def key_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return keys.withColumn("tie", F.coalesce(F.xxhash64(id_col), F.lit(0)) if id_type not in ("bigint", "int") else F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)))
 
 
-def _below(keys: DataFrame, probes: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """Bytes, rows and the largest size of each interval between sorted probes (key, tie), by exact counting."""
+def _below(keys: DataFrame, probes: list[tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """Bytes, rows, largest size, least and greatest key of each interval between sorted probes (key, tie), by exact counting."""
     key = np.array([k for k, _ in probes], np.int64)
     tie = np.array([t for _, t in probes], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(probes) + 1
         size, rows, most = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        least, greatest = np.full(n, HIGHEST), np.full(n, LOWEST)
         for batch in batches:
             k, t, s = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
             at = interval(key, tie, k, t)
             np.add.at(size, at, s)
             rows += np.bincount(at, minlength=n)
             np.maximum.at(most, at, s)
+            np.minimum.at(least, at, k)
+            np.maximum.at(greatest, at, k)
         full = np.flatnonzero(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(size[full]), pa.array(rows[full]), pa.array(most[full])], ["at", "size", "rows", "most"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (full, size[full], rows[full], most[full], least[full], greatest[full])], ["at", "size", "rows", "most", "least", "greatest"])
 
-    counted = map_arrow(keys.select("key", "tie", "size"), run, "at long, size long, rows long, most long")
-    out = [(0, 0, 0)] * (len(probes) + 1)
-    for r in counted.groupBy("at").agg(F.sum("size"), F.sum("rows"), F.max("most")).collect():  # a row for each probe at most
-        out[r[0]] = (r[1], r[2], r[3])
+    counted = map_arrow(keys.select("key", "tie", "size"), run, "at long, size long, rows long, most long, least long, greatest long")
+    out = [(0, 0, 0, HIGHEST, LOWEST)] * (len(probes) + 1)
+    summed = counted.groupBy("at").agg(F.sum("size"), F.sum("rows"), F.max("most"), F.min("least"), F.max("greatest"))
+    for r in summed.collect():  # a row for each probe at most
+        out[r[0]] = tuple(r[1:])
     return out
 
 
@@ -80,68 +84,67 @@ def interval(key: np.ndarray, tie: np.ndarray, k: np.ndarray, t: np.ndarray) ->
 
 
 class _Counts:
-    """Cumulative bytes and rows at the boundaries probed so far."""
+    """Cumulative bytes and rows at the boundaries probed so far, and the keys found between them."""
 
     def __init__(self, keys: DataFrame):
         self.keys = keys
-        (size, rows, most), = _below(keys, [])
-        self.bytes, self.rows, self.most = size, rows, most
-        self.at: list[tuple[int, int]] = [(LOWEST, LOWEST), (HIGHEST + 1, LOWEST)]
-        self.cum: list[tuple[int, int]] = [(0, 0), (size, rows)]
-
-    def probe(self, probes: list[tuple[int, int]]) -> None:
-        probes = sorted(set(probes) - set(self.at))
-        if not probes:
-            return
-        whole = sorted(set(probes) | set(self.at[1:-1]))
-        total, cum = [0, 0], []
-        for size, rows, _ in _below(self.keys, whole)[:-1]:
-            total = [total[0] + size, total[1] + rows]
-            cum.append((total[0], total[1]))
-        self.at = [self.at[0], *whole, self.at[-1]]
-        self.cum = [(0, 0), *cum, (self.bytes, self.rows)]
-
-    def around(self, wanted: float) -> tuple[int, int]:
-        """Numbers of the last boundary with at most ``wanted`` bytes below it and of the first with more."""
-        j = bisect_right([c[0] for c in self.cum], wanted)
-        return max(0, j - 1), min(j, len(self.cum) - 1)
-
-
-def splitters(keys: DataFrame, parts: int, tolerance: float, probes: int = PROBES, rounds: int = 40) -> list[tuple[int, int]]:
+        self.at: list[tuple[int, int]] = []
+        self._read([])
+        self.bytes, self.most = self.inside[0][0], self.inside[0][2]
+
+    def _read(self, probes: list[tuple[int, int]]) -> None:
+        self.inside = _below(self.keys, probes)
+        self.at = [(LOWEST, LOWEST), *probes, (HIGHEST + 1, LOWEST)]
+        self.cum = [0, *np.cumsum([x[0] for x in self.inside]).tolist()]
+
+    def probe(self, probes: set[tuple[int, int]]) -> None:
+        """Counts below new boundaries; of the old ones those stay that still bound something asked for."""
+        self._read(sorted(probes | set(self.at[1:-1])))
+
+    def around(self, wanted: float) -> int:
+        """Number of the interval that holds the byte ``wanted``."""
+        return min(max(0, bisect_right(self.cum, wanted) - 1), len(self.inside) - 1)
+
+
+def splitters(keys: DataFrame, parts: int, tolerance: float, fine: float = 0.001, probes: int = PROBES) -> list[tuple[int, int]]:
     """parts - 1 boundaries (key, tie) that deal the bytes of ``keys`` evenly.
 
-    First boundaries between keys (groups of equal texts) are refined until
-    one lies within tolerance or the two neighbouring keys are reached; a
-    quantile inside a group whose edges both lie outside the tolerance is then
-    refined over the ids of that group.
+    Boundaries between keys (groups of equal texts) are refined until one lies
+    within ``fine`` of a part or a single group is left around the quantile.  A
+    quantile that lies inside a group, both of whose edges are further than
+    ``tolerance`` of a part and half of the largest document, is then refined
+    over the ids of that group.
     """
     c = _Counts(keys)
+    near = fine * c.bytes / max(parts, 1)
     allowed = max(tolerance * c.bytes / max(parts, 1), c.most / 2)
     wanted = [c.bytes * k / parts for k in range(1, parts)]
-    for level in ("key", "tie"):
-        for _ in range(rounds):
-            ask: set[tuple[int, int]] = set()
-            for w in wanted:
-                a, b = c.around(w)
-                if min(abs(c.cum[a][0] - w), abs(c.cum[b][0] - w)) <= allowed or c.cum[b][1] - c.cum[a][1] <= 1:
-                    continue
-                (k0, t0), (k1, t1) = c.at[a], c.at[b]
-                per = max(2, probes * 8 // max(8, parts))
-                if level == "key":
-                    low, high = (k0, k1)
-                    ask |= {(low + (high - low) * j // per, LOWEST) for j in range(1, per)} | {(low + 1, LOWEST)}
-                else:
-                    low, high = t0, t1 if k1 == k0 else HIGHEST + 1
-                    ask |= {(k0, low + (high - low) * j // per) for j in range(1, per)}
-            ask = {(k, t) for k, t in ask if LOWEST <= k <= HIGHEST and LOWEST <= t <= HIGHEST}
-            before = len(c.at)
-            c.probe(list(ask))
-            if len(c.at) == before:
-                break
+    per = max(4, probes * 8 // max(8, parts))
+    while True:
+        ask: set[tuple[int, int]] = set()
+        for w in wanted:
+            j = c.around(w)
+            off = min(abs(c.cum[j] - w), abs(c.cum[j + 1] - w))
+            _, rows, _, least, greatest = c.inside[j]
+            if off <= near or rows <= 1:
+                continue
+            (k0, t0), (k1, t1) = c.at[j], c.at[j + 1]
+            if least < greatest:
+                step = max(1, (greatest - least) // per)
+                ask |= {(k, LOWEST) for k in range(least + step, greatest, step)} | {(least, LOWEST), (greatest, LOWEST), (min(least + 1, HIGHEST), LOWEST)}
+            elif off > allowed:
+                low, high = (t0 if k0 == least else LOWEST), (t1 if k1 == least else HIGHEST)
+                step = max(1, (high - low) // per)
+                ask |= {(least, t) for t in range(low + step, high, step)} | ({(least, high)} if high < HIGHEST else set())
+            else:
+                ask |= {(least, LOWEST), (min(least + 1, HIGHEST), LOWEST)}
+        if ask <= set(c.at):
+            break
+        c.probe(ask)
     out = []
     for w in wanted:
-        a, b = c.around(w)
-        out.append(c.at[a] if w - c.cum[a][0] <= c.cum[b][0] - w else c.at[b])
+        j = c.around(w)
+        out.append(c.at[j] if w - c.cum[j] <= c.cum[j + 1] - w else c.at[j + 1])
     return sorted(out)
 
 
@@ -177,8 +180,8 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
 
     dealt = map_arrow(keys, run, f"`{id_col}` {id_type}, key long, size long, text_crc32 long, tie long, `{part}` long, shard long")
     count = [0] * (len(edge) + 1)
-    for j, (_, rows, _) in enumerate(_below(keys, [(k, t) for k, t, _ in edge])):
-        count[j] = rows
+    for j, found in enumerate(_below(keys, [(k, t) for k, t, _ in edge])):
+        count[j] = found[1]
     first, seen = [], {}
     for j, n in enumerate(count):
         s = int(shard_of[j])
@@ -197,6 +200,6 @@ def _fine_edges(keys: DataFrame, cut: list[tuple[int, int]], per: int, shards: i
     """Edges (key, tie, shard that begins or goes on there): those of shards, and ``per`` parts inside each."""
     out = {(k, t): bisect_right(cut, (k, t)) for k, t in cut}
     if per > 1:
-        for k, t in splitters(keys, per * shards, 0.5):
+        for k, t in splitters(keys, per * shards, 0.5, 0.25):
             out.setdefault((k, t), bisect_right(cut, (k, t)))
     return [(k, t, s) for (k, t), s in sorted(out.items()) if k <= HIGHEST]
