@@ -168,9 +168,20 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             texts = strings(batch, text_col)
             got = []
             for t, count in zip(texts, ngram_counts(texts)):
-                has = count.any() and any(map(str.isalpha, t)) 
+                has = count.any() and any(map(str.isalpha, t))
                 got.append(model.predict(count) if has else (UNDETERMINED, 0.0, True))
             lang, score, doubt = zip(*got) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(doubt, pa.bool_())], [*kept, "lang_pred", "score", "ambiguous"])
 
     return map_arrow(docs.select(*[f"`{c}`" for c in kept]), run, schema)
+
+
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` without texts that are undetermined or ambiguous between languages.
+
+    Where nothing was learnt, only texts without a letter go.
+    """
+    if not model.languages:
+        return docs.where(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    told = identify(docs, model, text_col)
+    return told.where((F.col("lang_pred") != UNDETERMINED) & ~F.col("ambiguous")).drop("lang_pred", "score", "ambiguous")

@@ -19,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, parallelism, strings, written
+from .common import free_name, map_arrow, parallelism, strings, written
 from .components import connected_components
 from .textnum import U64, chunks, splitmix, word_hashes
 
@@ -297,3 +297,15 @@ def _block_links(shared, threshold: float):
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in zip(*out)], ["u", "v"])
 
     return run
+
+
+def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each class of :func:`near_duplicates`; rows with a null id stay.
+
+    Of several rows with the id that is kept, the one whose text hashes lowest stays.
+    """
+    kept = near_duplicates(docs, threshold, id_col, text_col).where(F.col("kept") & F.col(id_col).isNotNull()).select(id_col).distinct()
+    number = free_name(docs, "number")
+    one = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
+    whole = docs.join(kept, id_col, "left_semi").withColumn(number, F.row_number().over(one)).where(F.col(number) == 1).drop(number)
+    return whole.select(*[f"`{c}`" for c in docs.columns]).union(docs.where(F.col(id_col).isNull()))
