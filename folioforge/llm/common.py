@@ -16,7 +16,8 @@ ARROW_BATCH_ROWS = 2000
 
 
 def tune(spark: SparkSession) -> None:
-    """Bounds Arrow batches by rows and bytes; leaves everything else to the session."""
+    """Bounds Arrow batches by rows and bytes, and lets shuffle files go with the query that wrote them."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,6 +107,41 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[edge], end[np.append(edge[1:], len(end)) - 1]
 
 
+def _runs(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first window, windows) of runs of consecutive windows."""
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order]
+    edge = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1))) if len(at) else order
+    return doc[edge], at[edge], np.diff(np.append(edge, len(at)))
+
+
+#: Bytes of records that are sorted together, at least; a shard key is never divided.
+SORT_BYTES = 3 << 19
+
+
+def _whole_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole shard keys, from rows sorted by shard key, of about SORT_BYTES each."""
+    held: list[pa.RecordBatch] = []
+    size, last = 0, None
+    for batch in batches:
+        key = batch.column(0).to_numpy()
+        if not len(key):
+            continue
+        edge = np.flatnonzero(np.append(last is not None and key[0] != last, key[1:] != key[:-1]))
+        last = key[-1]
+        length = np.append(0, np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(4)), 0).to_numpy(zero_copy_only=False)))
+        begin = 0
+        for k in edge.tolist():
+            if size + length[k] - length[begin] >= SORT_BYTES:
+                held.append(batch.slice(begin, k - begin))
+                yield pa.Table.from_batches(held)
+                held, size, begin = [], 0, k
+        held.append(batch.slice(begin))
+        size += int(length[-1] - length[begin])
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 _FOUND = "kind int, h long, c long, id long, p long, n long"
 
 
@@ -208,11 +244,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     wide_doc.append(np.full(n, i))
                     wide_at.append(p + k)
                     wide_raw += [t[q : q + LENGTH] for q in range(p, p + n)]
-            again_doc = again_at = np.zeros(0, np.int64)
+            again_doc = again_at = again_n = np.zeros(0, np.int64)
             if key:
                 h, d, q = np.concatenate(key), np.concatenate(wide_doc), np.concatenate(wide_at)
                 first = _earliest(h, d, q)
-                again_doc, again_at = d[~first], q[~first]
+                again_doc, again_at, again_n = _runs(d[~first], q[~first])
                 shard += h[first].view(np.int64).tolist()
                 doc += d[first].tolist()
                 at += q[first].tolist()
@@ -220,41 +256,32 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 raw += [wide_raw[k] for k in np.flatnonzero(first).tolist()]
             size, more = len(doc), len(again_doc)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shard + again_doc.tolist(), pa.int64()), pa.array(doc + again_doc.tolist(), pa.int64()), pa.array(at + again_at.tolist(), pa.int64()), pa.array(windows + [1] * more, pa.int64()), pa.array(raw + [None] * more, pa.binary())],
+                [pa.array(shard + again_doc.tolist(), pa.int64()), pa.array(doc + again_doc.tolist(), pa.int64()), pa.array(at + again_at.tolist(), pa.int64()), pa.array(windows + again_n.tolist(), pa.int64()), pa.array(raw + [None] * more, pa.binary())],
                 ["shard", "id", "p", "n", "raw"],
             ) if size + more else _nothing
 
     _nothing = pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4 + [pa.array([], pa.binary())], ["shard", "id", "p", "n", "raw"])
     records = map_arrow(plain.join(per_doc, "id").select("id", "text", "cut"), cut, "shard long, id long, p long, n long, raw binary")
-    records = records.repartition(parallelism(docs.sparkSession), "shard")
+    records = records.repartition(parallelism(docs.sparkSession), "shard").sortWithinPartitions("shard")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        doc, p, n = (t.column(c).to_numpy() for c in ("id", "p", "n"))
-        raw = t.column("raw")
-        known = raw.is_null().to_numpy()
-        if known.any():
-            yield _batch(1, 0, 0, doc[known], p[known], n[known])
-        order = np.lexsort((p, doc))
-        order = order[~known[order]]
-        if not len(order):
-            return
-        doc, p, n = doc[order], p[order], n[order]
-        again = repeated_windows(raw.take(pa.array(order)).to_pylist(), n.tolist(), LENGTH)
-        owner = np.repeat(np.arange(len(n)), n)
-        place = ragged(p, n)
-        hit = np.flatnonzero(again)
-        if not len(hit):
-            return
-        edge = np.flatnonzero(np.append(True, (np.diff(hit) != 1) | (owner[hit[1:]] != owner[hit[:-1]])))
-        size = np.diff(np.append(edge, len(hit)))
-        at = hit[edge]
-        yield _batch(1, 0, 0, doc[owner[at]], place[at], size)
-
-    late = map_arrow(records.select("shard", "id", "p", "n", "raw"), sort, _FOUND)
+        for t in _whole_shards(batches):
+            raw = t.column("raw")
+            known = raw.is_null().to_numpy()
+            doc, p, n = (t.column(c).to_numpy() for c in ("id", "p", "n"))
+            if known.any():
+                yield _batch(1, 0, 0, doc[known], p[known], n[known])
+            order = np.lexsort((p, doc))
+            order = order[~known[order]]
+            if not len(order):
+                continue
+            doc, p, n = doc[order], p[order], n[order]
+            again = repeated_windows(raw.take(pa.array(order)).to_pylist(), n.tolist(), LENGTH)
+            hit = np.flatnonzero(again)
+            if len(hit):
+                yield _batch(1, 0, 0, *_runs(np.repeat(doc, n)[hit], ragged(p, n)[hit]))
+
+    late = written(map_arrow(records.select("shard", "id", "p", "n", "raw"), sort, _FOUND), "sorted-spans")
     spans = judged.where("kind = 1").select("id", "p", "n").union(late.select("id", "p", "n"))
     return spans.groupBy("id").agg(F.collect_list(F.struct(F.col("p").alias("s"), (F.col("p") + F.col("n") + (LENGTH - 1)).alias("e"))).alias("spans"))
 
