@@ -33,7 +33,7 @@ DF_BITS, DF_CHUNKS = 18, 16
 #: share is small so that the common part of a large group of near copies keeps its weight.
 IDF_SHARE = 0.5
 #: Documents of a bucket that meet in one task when members of several classes are left.
-BLOCK = 96
+BLOCK = 192
 
 _DRAWS = 1 << 16
 _rng = np.random.default_rng(5)
@@ -256,28 +256,67 @@ def _blocks(member: DataFrame, part: DataFrame) -> DataFrame:
     return met.select("node", "part", "block", "bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
 
 
+def common_weights(a: list[np.ndarray], b: list[np.ndarray], weight: np.ndarray, columns: int = 1 << 13) -> np.ndarray:
+    """Weight in common of each profile of ``a`` and each of ``b``.
+
+    Profiles become rows of a matrix over the elements (shingle, how many of
+    it came before) that occur on both sides; the product of the two matrices
+    is taken ``columns`` elements at a time.
+    """
+    parts = []
+    for side in (a, b):
+        e = np.concatenate([_numbered(p) for p in side]) if side else np.zeros(0, U64)
+        parts.append((e, np.repeat(np.arange(len(side)), [len(p) for p in side])))
+    shared = np.intersect1d(parts[0][0], parts[1][0])
+    out = np.zeros((len(a), len(b)), np.float32)
+    if not len(shared):
+        return out
+    root = np.sqrt(weight[(shared >> U64(32)).astype(np.uint32) >> np.uint32(32 - DF_BITS)])
+    at = []
+    for e, row in parts:
+        k = np.minimum(np.searchsorted(shared, e), len(shared) - 1)
+        hit = shared[k] == e
+        order = np.argsort(k[hit], kind="stable")
+        at.append((k[hit][order], row[hit][order]))
+    for begin in range(0, len(shared), columns):
+        end = min(begin + columns, len(shared))
+        m = []
+        for (k, row), n in zip(at, (len(a), len(b))):
+            x, y = np.searchsorted(k, (begin, end))
+            dense = np.zeros((n, end - begin), np.float32)
+            dense[row[x:y], k[x:y] - begin] = root[k[x:y]]
+            m.append(dense)
+        out += m[0] @ m[1].T
+    return out
+
+
 def _block_links(shared, threshold: float):
-    """Links between members of different classes in each (bucket, lo, hi), which come sorted."""
+    """Links between members of different classes in each (bucket, lo, hi), which come sorted; one for each pair of classes."""
 
     def links(key, rows) -> list[tuple]:
         weight = shared.value[0]
         _, lo, hi = key
-        root: dict = {}
-
-        def find(x):
-            while root.setdefault(x, x) != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        out = []
-        rows = [(n, p, b, np.frombuffer(raw, np.uint32)) for n, p, b, raw in rows]
-        first = rows if lo == hi else [r for r in rows if r[2] == lo]
-        for i, (n, p, _, x) in enumerate(first):
-            for k, q, _, y in rows[i + 1 :] if lo == hi else [r for r in rows if r[2] == hi]:
-                if find(p) != find(q) and similarity(x, y, weight, threshold) >= threshold:
-                    root[find(p)] = find(q)
-                    out.append((n, k))
+        a = [r for r in rows if r[2] == lo]
+        b = a if lo == hi else [r for r in rows if r[2] == hi]
+        if not a or not b:
+            return []
+        shift = np.uint32(32 - DF_BITS)
+        profile = [[np.frombuffer(r[3], np.uint32) for r in side] for side in (a, b)]
+        total = [np.array([weight[p >> shift].sum(dtype=np.float64) for p in side]) for side in profile]
+        common = common_weights(*profile, weight)
+        part = [np.array([r[1] for r in side]) for side in (a, b)]
+        near = common >= threshold * (total[0][:, None] + total[1] - common) - 1e-3
+        near &= part[0][:, None] != part[1]
+        i, j = np.nonzero(near)
+        if not len(i):
+            return []
+        _, one = np.unique(np.stack((np.minimum(part[0][i], part[1][j]), np.maximum(part[0][i], part[1][j]))), axis=1, return_inverse=True)
+        done, out = set(), []
+        for x, y, pair in zip(i.tolist(), j.tolist(), one.tolist()):
+            # single precision proposes, the exact similarity decides
+            if pair not in done and similarity(profile[0][x], profile[1][y], weight, threshold) >= threshold:
+                done.add(pair)
+                out.append((a[x][0], b[y][0]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -237,3 +237,15 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
         assert out[k + j].n_links == 0 and out[k + j].component_id == k + j and out[k + j].kept
     assert out[None].n_links == 0 and out[None].component_id is None and not out[None].kept
     assert embeddings.link_embeddings(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_common_weights_are_exact():
+    rng = np.random.default_rng(9)
+    weight = rng.uniform(1, 1.5, 1 << minhash.DF_BITS).astype(np.float32)
+    pool = rng.integers(0, 2**32, 60).astype(np.uint32)
+    side = [[np.sort(rng.choice(pool, rng.integers(0, 40))) for _ in range(7)] for _ in range(2)]
+    got = minhash.common_weights(*side, weight, columns=16)
+    for i, a in enumerate(side[0]):
+        for j, b in enumerate(side[1]):
+            both = sum(min((a == u).sum(), (b == u).sum()) * weight[u >> np.uint32(32 - minhash.DF_BITS)] for u in pool[np.unique(pool, return_index=True)[1]])
+            assert abs(got[i, j] - both) < 1e-3
