@@ -201,7 +201,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     bucket = member.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot != top").drop("top")
     member = written(member.join(bucket, "bucket"), "bucket-members")
 
-    wanted = member.select("node").distinct()
+    # a merge join at every size: candidates are a part of all documents, not a small table
+    wanted = member.select("node").distinct().hint("merge")
     profile_rows = docs.select(F.col(id_col).alias("node"), text.alias("text")).join(wanted, "node", "left_semi")
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
