@@ -18,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, map_arrow, strings, written
+from .common import free_name, map_arrow, parallelism, strings, written
 from .textnum import _BASE_INVERSE, U64, Prefix, chunks, codepoints, splitmix
 
 #: Shorter lines (without white space at either end) are never removed.
@@ -93,6 +93,58 @@ def _lines(text: str, min_chars: int) -> list[tuple[int, str]]:
     return [(k, x) for k, line in enumerate(text.split("\n")) if len(x := line.strip()) >= min_chars]
 
 
+def _joined_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (line, an earlier line within one edit) from variants sorted by key, place and position.
+
+    Lines with one key and place differ in one character there.  A whole line
+    (place -1) and a variant of its key differ by one insertion.  Each line
+    is paired with the earliest such line, so the pairs of a key are as many
+    as its lines.
+    """
+
+    def pairs(key, place, h, i, no) -> Iterator[pa.RecordBatch]:
+        n = len(key)
+        new_key = np.append(True, key[1:] != key[:-1])
+        new_place = new_key | np.append(True, place[1:] != place[:-1])
+        group = np.cumsum(new_key) - 1
+        first = np.flatnonzero(new_key)
+        # order of position among all rows here
+        rank = np.empty(n, np.int64)
+        rank[np.lexsort((h, no, i))] = np.arange(n)
+        a = [np.flatnonzero(~new_place & (place >= 0))]
+        b = [np.flatnonzero(new_place)[np.cumsum(new_place) - 1][a[0]]]
+        whole = place[first] < 0
+        row = np.flatnonzero(place >= 0)
+        at = first[group[row]]
+        ok = whole[group[row]] & (rank[at] < rank[row])
+        a.append(row[ok])
+        b.append(at[ok])
+        least = np.full(len(first), n)
+        np.minimum.at(least, group[row], rank[row])
+        by_rank = np.argsort(rank)
+        g = np.flatnonzero(whole & (least < n))
+        g = g[least[g] < rank[first[g]]]
+        a.append(first[g])
+        b.append(by_rank[least[g]])
+        x, y = np.concatenate(a), np.concatenate(b)
+        keep = h[x] != h[y]
+        yield pa.RecordBatch.from_arrays([pa.array(h[x[keep]]), pa.array(h[y[keep]])], ["h", "other"])
+
+    rest = None
+    for batch in batches:
+        columns = [batch.column(c).to_numpy() for c in range(5)]
+        if rest is not None:
+            columns = [np.concatenate(x) for x in zip(rest, columns)]
+        if not len(columns[0]):
+            continue
+        k = int(np.searchsorted(columns[0], columns[0][-1]))
+        if k:
+            yield from pairs(*(c[:k] for c in columns))
+        rest = [c[k:] for c in columns]
+    if rest is not None:
+        yield from pairs(*rest)
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with repeated lines removed from ``text_col``; adds n_lines and n_removed.
 
@@ -126,9 +178,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = found.groupBy("h").agg(F.min(F.struct("id", "no")).alias("first"), F.any_value("halves").alias("halves"))
     first = written(first, "first-lines")
     half = first.select("h", F.explode(F.array_distinct("halves")).alias("half"))
-    shared = half.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a != b").select("half")
-    suspect = half.join(shared, "half").select("h").distinct()
-    where = suspect.join(first, "h").select("h", F.col("first.id").alias("id"), F.col("first.no").alias("no"))
+    own = Window.partitionBy("half")
+    suspect = half.withColumns({"a": F.min("h").over(own), "b": F.max("h").over(own)}).where("a != b").select("h").distinct()
+    where = written(suspect.join(first, "h").select("h", F.col("first.id").alias("id"), F.col("first.no").alias("no")), "suspect-places")
     per_doc = where.groupBy("id").agg(F.collect_set("no").alias("nos"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +196,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             h, _ = line_keys(line)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(owner, pa.int64()), pa.array(number, pa.int32()), pa.array(line, pa.string())], ["h", "id", "no", "line"])
 
-    texts = docs.select(pos.alias("id"), F.col(text_col).alias("text")).join(per_doc, "id").select("id", "text", "nos")
+    texts = docs.select(pos.alias("id"), F.col(text_col).alias("text")).join(per_doc.hint("merge"), "id").select("id", "text", "nos")
     # of rows with one id and different texts, the lines that are firsts are found by their hash
     suspects = written(map_arrow(texts, cut, "h long, id long, no int, line string").join(where, ["h", "id", "no"]).dropDuplicates(["h"]), "suspect-lines")
 
@@ -156,17 +208,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([pa.array(key[k : k + (1 << 16)].view(np.int64)), pa.array(place[k : k + (1 << 16)], pa.int32()), *(batch.column(c).take(o) for c in (0, 1, 2))], ["key", "place", "h", "id", "no"])
 
     v = map_arrow(suspects.select("h", "id", "no", "line"), neighbourhood, "key long, place int, h long, id long, no int")
-    who = F.struct("id", "no", "h")
-    same = v.groupBy("key", "place").agg(F.min(who).alias("least"), F.max(who).alias("most"), F.count("*").alias("n"))
-    # earliest at one place; earliest variant anywhere and the whole line for insertions and deletions
-    variant = same.groupBy("key").agg(F.min(F.when(F.col("place") >= 0, F.col("least"))).alias("cut"), F.min(F.when(F.col("place") < 0, F.col("least"))).alias("whole"))
-    pair = (
-        v.join(same.where((F.col("n") > 1) & (F.col("place") >= 0)).select("key", "place", F.col("least").alias("other")), ["key", "place"])
-        .union(v.where("place >= 0").join(variant.where("whole is not null").select("key", F.col("whole").alias("other")), "key").select("key", "place", "h", "id", "no", "other"))
-        .union(v.where("place < 0").join(variant.where("cut is not null").select("key", F.col("cut").alias("other")), "key").select("key", "place", "h", "id", "no", "other"))
-    )
-    pair = pair.where((F.col("other.id") < F.col("id")) | ((F.col("other.id") == F.col("id")) & (F.col("other.no") < F.col("no"))))
-    pair = pair.select("h", F.col("other.h").alias("other")).distinct()
+    v = v.repartition(parallelism(docs.sparkSession), "key").sortWithinPartitions("key", "place", "id", "no", "h")
+    pair = map_arrow(v, _joined_variants, "h long, other long").distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,16 +217,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_()))], ["h"])
 
     both = pair.join(suspects.select("h", "line"), "h").join(suspects.select(F.col("h").alias("other"), F.col("line").alias("other_line")), "other")
-    near = map_arrow(both.select("h", "line", "other_line"), verify, "h long").distinct().withColumn("near", F.lit(True))
+    near = written(map_arrow(both.select("h", "line", "other_line"), verify, "h long").distinct(), "near-lines").withColumn("near", F.lit(True))
 
     marked = found.select("id", "no", "h").join(first.select("h", "first").join(near, "h", "left"), "h")
     gone = marked.where(F.col("near").isNotNull() | (F.col("first.id") != F.col("id")) | (F.col("first.no") != F.col("no")))
-    gone = gone.groupBy("id").agg(F.collect_set(F.struct("no", "h")).alias("gone"))
+    gone = written(gone.groupBy("id").agg(F.collect_set(F.struct("no", "h")).alias("gone")), "removed-lines")
 
     extra = free_name(docs, "gone")
     key = free_name(docs, "key")
     names = docs.columns
-    joined = docs.withColumn(key, pos).join(gone.toDF(key, extra), key, "left").drop(key)
+    joined = docs.withColumn(key, pos).join(gone.toDF(key, extra).hint("merge"), key, "left").drop(key)
     at = names.index(text_col)
     schema = joined.drop(extra).schema.add("n_lines", "long").add("n_removed", "long")
 
