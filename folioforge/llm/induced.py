@@ -1,11 +1,14 @@
-"""External induced suffix sorting with numpy.
+"""External induced suffix sorting with common prefixes, with numpy.
 
 Suffixes are classed as S (smaller than the next suffix) or L.  Leftmost S
 suffixes are sorted by their substrings first, named, and where names repeat
 the string of names is sorted in turn, each round over names twice as long.
-Then all other suffixes are induced: a priority queue hands out suffix tuples
-in order, and each puts its predecessor into the queue.  As a predecessor's
-rank is its first symbol and then the order of insertion, the queue is one
+Then all other suffixes are induced: a priority queue hands out tuples
+(suffix, length of the prefix in common with the one handed out before) in
+order, and each puts its predecessor into the queue.  Predecessors with one
+first symbol have one symbol more in common than the least common prefix of
+what was handed out between those that put them in.  As a predecessor's rank
+is its first symbol and then the order of insertion, the queue is one
 first-in-first-out run per symbol; a whole run is taken at a time, and runs
 beyond ``memory`` bytes are kept in a temporary file.
 """
@@ -20,20 +23,18 @@ from .textnum import Prefix
 
 
 class RunQueue:
-    """First-in-first-out runs of suffixes, one per symbol, on disk beyond a bound of memory."""
+    """First-in-first-out runs of (suffix, common prefix), one per symbol, on disk beyond a bound of memory."""
 
     def __init__(self, symbols: int, memory: int):
         self.runs: list[list] = [[] for _ in range(symbols)]
         self.memory, self.held, self.spilled, self.file = memory, 0, 0, None
 
-    def push(self, symbol: np.ndarray, suffix: np.ndarray) -> None:
-        """Adds suffixes, in order, to the runs of their symbols."""
-        order = np.argsort(symbol, kind="stable")
-        symbol, suffix = symbol[order], suffix[order]
+    def push(self, symbol: np.ndarray, suffix: np.ndarray, common: np.ndarray) -> None:
+        """Adds tuples, sorted by symbol and in order within each, to the runs."""
         edge = np.flatnonzero(np.append(True, symbol[1:] != symbol[:-1]))
         for s, a, b in zip(symbol[edge].tolist(), edge.tolist(), [*edge[1:].tolist(), len(symbol)]):
-            self.runs[s].append(suffix[a:b])
-        self.held += suffix.nbytes
+            self.runs[s].append((suffix[a:b], common[a:b]))
+        self.held += suffix.nbytes + common.nbytes
         if self.held > self.memory:
             self._spill()
 
@@ -43,27 +44,30 @@ class RunQueue:
         self.file.seek(0, 2)
         for run in self.runs:
             for k, part in enumerate(run):
-                if isinstance(part, np.ndarray):
-                    run[k] = (self.file.tell(), len(part))
-                    self.file.write(part.tobytes())
-                    self.spilled += part.nbytes
+                if isinstance(part[0], np.ndarray):
+                    run[k] = (self.file.tell(), len(part[0]))
+                    self.file.write(part[0].tobytes())
+                    self.file.write(part[1].tobytes())
+                    self.spilled += part[0].nbytes + part[1].nbytes
         self.held = 0
 
-    def take(self, symbol: int) -> np.ndarray | None:
+    def take(self, symbol: int) -> tuple[np.ndarray, np.ndarray] | None:
         """All of a symbol's run, or None if it is empty."""
         run = self.runs[symbol]
         if not run:
             return None
         self.runs[symbol] = []
-        out = []
+        suffix, common = [], []
         for part in run:
-            if isinstance(part, tuple):
-                self.file.seek(part[0])
-                part = np.frombuffer(self.file.read(8 * part[1]), np.int64)
+            if not isinstance(part[0], np.ndarray):
+                at, n = part
+                self.file.seek(at)
+                part = np.frombuffer(self.file.read(8 * n), np.int64), np.frombuffer(self.file.read(2 * n), np.int16)
             else:
-                self.held -= part.nbytes
-            out.append(part)
-        return np.concatenate(out)
+                self.held -= part[0].nbytes + part[1].nbytes
+            suffix.append(part[0])
+            common.append(part[1])
+        return np.concatenate(suffix), np.concatenate(common)
 
     def close(self) -> None:
         if self.file is not None:
@@ -80,39 +84,104 @@ def _types(t: np.ndarray) -> np.ndarray:
     return up[np.minimum.accumulate(at[::-1])[::-1]] > 0
 
 
-def _induce(t: np.ndarray, small: np.ndarray, seeds: np.ndarray, symbols: int, memory: int) -> np.ndarray:
-    """All suffixes in order, from leftmost S suffixes in order."""
+def common_prefixes(t: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+    """Symbols that suffixes a[k] and b[k] have in common, up to ``depth``, by comparing them."""
+    out = np.zeros(len(a), np.int16)
+    live = np.arange(len(a))
+    for j in range(depth):
+        live = live[np.maximum(a[live], b[live]) + j < len(t)]
+        live = live[t[a[live] + j] == t[b[live] + j]]
+        if not len(live):
+            break
+        out[live] = j + 1
+    return out
+
+
+def _range_minima(x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """min(x[begin:end]) of each range, none of them empty."""
+    size = end - begin
+    level = np.frexp(size.astype(np.float64))[1] - 1
+    out = np.empty(len(begin), x.dtype)
+    table, step = x, 1
+    for k in range(int(level.max(initial=-1)) + 1):
+        at = np.flatnonzero(level == k)
+        if len(at):
+            out[at] = np.minimum(table[begin[at]], table[end[at] - step])
+        table = np.minimum(table[:-step], table[step:]) if len(table) > step else table
+        step *= 2
+    return out
+
+
+class _Inducer:
+    """One pass: what is handed out, in order, puts predecessors of one type into the queue."""
+
+    def __init__(self, t: np.ndarray, small: np.ndarray, symbols: int, depth: int, memory: int, to_small: bool):
+        self.t, self.small, self.depth, self.to_small = t, small, depth, to_small
+        self.queue = RunQueue(symbols, memory)
+        self.since = np.full(symbols, -1, np.int32)  # least common prefix since the last push to a symbol; -1: none yet
+
+    def hand_on(self, suffix: np.ndarray, common: np.ndarray) -> None:
+        before = suffix - 1
+        at = np.flatnonzero(suffix > 0)
+        at = at[self.small[before[at]] == self.to_small]
+        seen = self.since >= 0
+        if not len(at):
+            self.since[seen] = np.minimum(self.since[seen], common.min())
+            return
+        symbol = self.t[before[at]]
+        order = np.argsort(symbol, kind="stable")
+        at, symbol = at[order], symbol[order]
+        first = np.append(True, symbol[1:] != symbol[:-1])
+        value = np.empty(len(at), np.int32)
+        head = np.flatnonzero(first)
+        old = self.since[symbol[head]]
+        value[head] = np.where(old < 0, -1, np.minimum(old, np.minimum.accumulate(common)[at[head]]))
+        rest = np.flatnonzero(~first)
+        value[rest] = _range_minima(common, at[rest - 1] + 1, at[rest] + 1)
+        self.queue.push(symbol, before[at], np.minimum(value + 1, self.depth).astype(np.int16))
+        self.since[seen] = np.minimum(self.since[seen], common.min())
+        last = np.append(head[1:], len(at)) - 1
+        tail = np.append(np.minimum.accumulate(common[::-1])[::-1], self.depth)
+        self.since[symbol[last]] = tail[at[last] + 1]
+
+
+def _induce(t: np.ndarray, small: np.ndarray, seeds: np.ndarray, common: np.ndarray, symbols: int, depth: int, memory: int) -> tuple[np.ndarray, np.ndarray]:
+    """All suffixes but the last one in order, each with its prefix in common with the one before, from leftmost S suffixes in order."""
     start = np.searchsorted(t[seeds], np.arange(symbols + 1))
-    large: list[list[np.ndarray]] = [[] for _ in range(symbols)]
-    queue = RunQueue(symbols, memory)
-
-    def hand_on(suffixes: np.ndarray, to_small: bool) -> None:
-        before = suffixes[suffixes > 0] - 1
-        before = before[small[before] == to_small]
-        if len(before):
-            queue.push(t[before], before)
-
+    large: list[list] = [[] for _ in range(symbols)]
+    up = _Inducer(t, small, symbols, depth, memory, False)
     for c in range(symbols):
-        while (got := queue.take(c)) is not None:
+        while (got := up.queue.take(c)) is not None:
             large[c].append(got)
-            hand_on(got, False)
+            up.hand_on(*got)
         if start[c] < start[c + 1]:
-            hand_on(seeds[start[c] : start[c + 1]], False)
-    out: list[np.ndarray] = []
+            part, prefix = seeds[start[c] : start[c + 1]], common[start[c] : start[c + 1]].copy()
+            prefix[0] = common_prefixes(t, large[c][-1][0][-1:], part[:1], depth)[0] if large[c] else 0
+            up.hand_on(part, prefix)
+    up.queue.close()
+    down = _Inducer(t, small, symbols, depth, memory, True)
+    out: list[tuple[np.ndarray, np.ndarray]] = []
     for c in range(symbols - 1, -1, -1):
-        while (got := queue.take(c)) is not None:
+        last = None
+        while (got := down.queue.take(c)) is not None:
             out.append(got)
-            hand_on(got, True)
+            last = got[0][-1:]
+            down.hand_on(*got)
         if large[c]:
-            down = np.concatenate(large[c])[::-1]
-            out.append(down)
-            hand_on(down, True)
-    queue.close()
-    return np.concatenate(out)[::-1] if out else np.zeros(0, np.int64)
+            part, prefix = (np.concatenate(x)[::-1] for x in zip(*large[c]))
+            # towards smaller suffixes, each is compared with the one above it
+            prefix = np.append(common_prefixes(t, last, part[:1], depth) if last is not None else np.zeros(1, np.int16), prefix[:-1])
+            out.append((part, prefix))
+            down.hand_on(part, prefix)
+    down.queue.close()
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int16)
+    order, prefix = (np.concatenate(x)[::-1] for x in zip(*out))
+    return order, np.append(np.zeros(1, np.int16), prefix[:-1])
 
 
-def suffix_order(t: np.ndarray, symbols: int, depth: int, memory: int = 64 << 20) -> np.ndarray:
-    """Suffixes of ``t`` ordered by at least their first ``depth`` symbols.
+def suffix_order(t: np.ndarray, symbols: int, depth: int, memory: int = 64 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of ``t`` ordered by at least their first ``depth`` symbols, and common prefixes of neighbours up to ``depth``.
 
     ``t`` ends with a symbol 0 that occurs nowhere else; suffixes that agree
     on ``depth`` symbols may come in any order, but come together.
@@ -124,7 +193,7 @@ def suffix_order(t: np.ndarray, symbols: int, depth: int, memory: int = 64 << 20
     seeds = np.flatnonzero(mark)
     if len(seeds) > 1:
         by_symbol = seeds[np.argsort(t[seeds], kind="stable")]
-        order = _induce(t, small, by_symbol, symbols, memory)
+        order, _ = _induce(t, small, by_symbol, np.zeros(len(seeds), np.int16), symbols, depth, memory)
         order = np.append(len(t) - 1, order[order != len(t) - 1])
         order = order[mark[order]]
         after = np.zeros(len(t), np.int64)
@@ -142,8 +211,9 @@ def suffix_order(t: np.ndarray, symbols: int, depth: int, memory: int = 64 << 20
             rank = np.unique((rank << 32) | follow, return_inverse=True)[1]
             reach *= 2
         seeds = seeds[np.argsort(rank, kind="stable")]
-    order = _induce(t, small, seeds, symbols, memory)
-    return np.append(len(t) - 1, order[order != len(t) - 1])
+    common = np.append(np.zeros(1, np.int16), common_prefixes(t, seeds[:-1], seeds[1:], depth))[: len(seeds)]
+    order, prefix = _induce(t, small, seeds, common, symbols, depth, memory)
+    return np.append(len(t) - 1, order), np.append(np.zeros(1, np.int16), prefix)
 
 
 def repeated_windows(records: list[bytes], starts: list[int], length: int, memory: int = 64 << 20) -> np.ndarray:
@@ -164,17 +234,11 @@ def repeated_windows(records: list[bytes], starts: list[int], length: int, memor
     wanted = np.zeros(len(t), bool)
     every = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
     wanted[every] = True
-    order = suffix_order(t, 258, length, memory)
-    order = order[wanted[order]]
+    order, prefix = suffix_order(t, 258, length, memory)
+    at = np.flatnonzero(wanted[order])
+    order = order[at]
     same = np.zeros(len(order), bool)
-    for k in range(1, len(order), step := 20_000):  # common prefixes of neighbours, as far as length
-        a, b = order[k - 1 : k - 1 + step], order[k : k + step]
-        live = np.arange(len(b))
-        for j in range(length):
-            live = live[t[a[live] + j] == t[b[live] + j]]
-            if not len(live):
-                break
-        same[k + live] = True
+    same[1:] = _range_minima(prefix, at[:-1] + 1, at[1:] + 1) >= length
     group = np.cumsum(~same) - 1
     first = np.full(group[-1] + 1, len(t))
     np.minimum.at(first, group, order)

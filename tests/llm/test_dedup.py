@@ -24,7 +24,11 @@ def test_suffix_order(memory):
     for _ in range(60):
         a = rng.choice([1, 2, 3, 9])
         t = np.array([rng.randrange(1, a + 1) for _ in range(rng.randrange(1, 70))] + [0], np.uint16)
-        assert suffix_order(t, a + 1, 200, memory).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+        order, common = suffix_order(t, a + 1, 200, memory)
+        assert order.tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+        for k in range(1, len(t)):
+            x, y = t[order[k - 1] :].tolist(), t[order[k] :].tolist()
+            assert common[k] == next(j for j in range(len(t)) if x[j : j + 1] != y[j : j + 1])
 
 
 def test_repeated_windows():
