@@ -51,7 +51,7 @@ def variants(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(line number, place of the deletion or -1 for the whole line, key) of all deletion variants.
 
     Deleting any character of a run of equal ones leaves the same variant; it
-    is emitted once, with the place of the last of them.
+    is emitted with every place of the run, as another line can differ at any.
     """
     out = []
     inverse = U64(_BASE_INVERSE)
@@ -63,8 +63,6 @@ def variants(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         owner = np.repeat(np.arange(len(size)), size)
         s, e = off[:-1][owner], off[1:][owner]
         at = np.arange(len(cp))
-        last = np.append(cp[1:] != cp[:-1], True) | (at + 1 == e)
-        at, owner, s, e = at[last], owner[last], s[last], e[last]
         raw = (p._sum[at] - p._sum[s] + (p._sum[e] - p._sum[at + 1]) * inverse) * p._inverse[s]
         whole = (p._sum[off[1:]] - p._sum[off[:-1]]) * p._inverse[off[:-1]]
         raw = np.concatenate((raw, whole))
