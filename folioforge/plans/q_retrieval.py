@@ -153,6 +153,22 @@ def g7_route(spark, sf):
     return derived(spark, sf, REQUESTS, "documents").select("doc_id", R.route(category, action, F.col("doc_id") % 10 / 10.0).alias("decision"))
 
 
+#: The same requests with whole texts.
+WHOLE_REQUESTS = REQUESTS.replace("substring(text, 1, 60)", "text")
+
+
+@query(f"with q as ({WHOLE_REQUESTS}) select doc_id, {CATEGORY} as category, {ACTION} as action from q")
+def g8_j8_safety_whole(spark, sf):
+    category, action = R.safety(F.col("text"))
+    return derived(spark, sf, WHOLE_REQUESTS, "documents").select("doc_id", category.alias("category"), action.alias("action"))
+
+
+@query(f"with q as ({WHOLE_REQUESTS}) select doc_id, case when {CATEGORY} is not null then {ACTION} when doc_id % 10 >= 3 then 'allow' else 'fallback' end as decision from q")
+def g7_route_whole(spark, sf):
+    category, action = R.safety(F.col("text"))
+    return derived(spark, sf, WHOLE_REQUESTS, "documents").select("doc_id", R.route(category, action, F.col("doc_id") % 10 / 10.0).alias("decision"))
+
+
 _stop = "(" + ", ".join(f"'{w}'" for w in R.STOP_WORDS) + ")"
 
 

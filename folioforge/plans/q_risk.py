@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import risk as R
-from .registry import query, table
+from .registry import derived, query, table
 
 
 def docs(spark, sf):
@@ -42,6 +42,15 @@ def g34_injection(spark, sf):
     return bad(spark, sf).select("doc_id", R.injection(F.col("text")).alias("kind"))
 
 
+#: The same with whole texts.
+WHOLE_BAD = BAD.replace("substring(text, 1, 40)", "text")
+
+
+@query(f"with b as (select doc_id, {WHOLE_BAD} as text from documents) select doc_id, case when {_any('text', R.COMMAND_INJECTION)} then 'command' when {_any('text', R.SQL_INJECTION, '(?i)')} then 'sql' end as kind from b")
+def g34_injection_whole(spark, sf):
+    return derived(spark, sf, f"select doc_id, {WHOLE_BAD} as text from documents", "documents").select("doc_id", R.injection(F.col("text")).alias("kind"))
+
+
 _type = "case " + " ".join("when " + " or ".join(f"contains(lower(html), '{w}')" for w in ws) + f" then '{n}'" for n, ws in R.CONTENT_TYPES) + " else 'unknown' end"
 
 
