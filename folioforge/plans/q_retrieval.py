@@ -75,6 +75,13 @@ def g3_direct_hit(spark, sf):
     return direct.unionByName(m.where("id % 100 = 3 and id <> 7").select("id", "score"))
 
 
+@query(f"{WITH} select id, case when id = 7 then 1.0 else round({_score_sql()}, 8) end as score from memory")
+def g3_direct_hit_whole(spark, sf):
+    """The direct hit with all other scored rows."""
+    m = scored(spark, sf)
+    return m.where("id = 7").select("id", F.lit(1.0).alias("score")).unionByName(m.where("id <> 7").select("id", "score"))
+
+
 @query("select item_id, list_filter(string_split_regex(regexp_replace(lower(text), '[^\\w\\s　぀-ゟ゠-ヿ一-龯]', ' ', 'g'), '[\\s　]+'), lambda t: length(t) > 1) as tokens from benchmark")
 def g2_query_tokens(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", R.query_tokens(F.col("text")).alias("tokens"))

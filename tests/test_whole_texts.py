@@ -15,3 +15,9 @@ def test_detectors_read_past_the_prefix(spark, tmp_path):
     assert run("g8_j8_safety_whole") == {34: ("destructive", "require_human"), 69: ("destructive", "require_human"), 104: (None, None)}
     assert run("g7_route_whole") == {34: ("require_human",), 69: ("require_human",), 104: ("allow",)}
     assert run("g34_injection_whole") == {34: (None,), 69: ("command",), 104: (None,)}
+
+
+def test_direct_hit_stands_with_all_scored_rows(spark, tmp_path):
+    sf = documents(spark, tmp_path, [(k, "the license") for k in range(1, 21)])
+    got = {r.id: r.score for r in registry.QUERIES["g3_direct_hit_whole"](spark, sf).collect()}
+    assert set(got) == set(range(1, 21)) and got[7] == 1.0 and all(0 < got[k] < 1 for k in got if k != 7)
