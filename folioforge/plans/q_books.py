@@ -1,11 +1,13 @@
 """Queries over books derived from documents."""
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import books as B
 from .q_text import PART, clean_sql, level_sql, ruby_sql, rx, strip_sql, title_sql, EMPH, NOTE, SPLIT
-from .registry import derived, query, table
+from .registry import ORACLE, derived, query, table
 
 BOOKS = (
     "select doc_id, concat('Title ', source, chr(10), case when doc_id % 3 = 0 then chr(10) else '' end, case when doc_id % 2 = 0 then concat('まえがき', chr(10), 'first & \"line\"', chr(10), chr(10)) else '' end, "
@@ -21,12 +23,12 @@ PARA = f""", r as (select doc_id, idx, unnest(body_lines) as line, unnest(genera
 ESC = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 
 
-def chapters(spark, sf):
-    return B.plain_chapters(B.lines(derived(spark, sf, BOOKS, "documents")))
+def chapters(spark, sf, sql=BOOKS):
+    return B.plain_chapters(B.lines(derived(spark, sf, sql, "documents")))
 
 
-def html_chapters(spark, sf):
-    return B.with_html(chapters(spark, sf))
+def html_chapters(spark, sf, sql=BOOKS):
+    return B.with_html(chapters(spark, sf, sql))
 
 
 def books(spark, sf):
@@ -34,38 +36,38 @@ def books(spark, sf):
 
 
 @query(f"{W} select doc_id, pos, line from l")
-def s1_lines(spark, sf):
-    return B.lines(derived(spark, sf, BOOKS, "documents"))
+def s1_lines(spark, sf, sql=BOOKS):
+    return B.lines(derived(spark, sf, sql, "documents"))
 
 
 @query(f"{W} select doc_id, idx, chapter_id, title, body_lines from ch")
-def s7_w1_w2_chapters(spark, sf):
-    return chapters(spark, sf)
+def s7_w1_w2_chapters(spark, sf, sql=BOOKS):
+    return chapters(spark, sf, sql)
 
 
 @query(f"{W}{PARA} select * from pa")
-def w8_paragraphs(spark, sf):
-    return B.paragraphs(chapters(spark, sf))
+def w8_paragraphs(spark, sf, sql=BOOKS):
+    return B.paragraphs(chapters(spark, sf, sql))
 
 
 @query(f"{W} select doc_id, chapter_id, lag(chapter_id) over w as prev_id, lead(chapter_id) over w as next_id from ch window w as (partition by doc_id order by idx)")
-def w3_neighbours(spark, sf):
-    return B.neighbours(chapters(spark, sf)).select("doc_id", "chapter_id", "prev_id", "next_id")
+def w3_neighbours(spark, sf, sql=BOOKS):
+    return B.neighbours(chapters(spark, sf, sql)).select("doc_id", "chapter_id", "prev_id", "next_id")
 
 
 @query(f"{W}, t as (select doc_id, idx, chapter_id, {strip_sql('title')} as t from ch), p as (select *, {PART} as part from t) select doc_id, arg_min(chapter_id, idx) filter (part = 'frontmatter') as front, coalesce(arg_min(chapter_id, idx) filter (part = 'bodymatter'), arg_min(chapter_id, idx)) as body, arg_min(chapter_id, idx) filter (part = 'backmatter') as back from p group by 1")
-def w5_landmarks(spark, sf):
-    return B.landmarks(chapters(spark, sf))
+def w5_landmarks(spark, sf, sql=BOOKS):
+    return B.landmarks(chapters(spark, sf, sql))
 
 
 @query(f"""{W} select doc_id, string_agg(concat('      <li><a href="Text/', chapter_id, '.xhtml">', {ESC.format('title')}, '</a></li>'), chr(10) order by idx) as toc from ch group by 1""")
-def k3_nav(spark, sf):
-    return B.nav(chapters(spark, sf))
+def k3_nav(spark, sf, sql=BOOKS):
+    return B.nav(chapters(spark, sf, sql))
 
 
 @query(f"{W}, p as (select doc_id, idx, chapter_id, unnest([title, concat('h', idx)]) as label, unnest([1, 2]) as level from ch) select doc_id, cast(row_number() over (partition by doc_id order by idx, level) as int) as play_order, chapter_id, label, level from p")
-def w4_k4_play_order(spark, sf):
-    html = chapters(spark, sf).withColumn("html", F.concat(F.lit("<h2 id='a'>h"), F.col("idx").cast("string"), F.lit("</h2>")))
+def w4_k4_play_order(spark, sf, sql=BOOKS):
+    html = chapters(spark, sf, sql).withColumn("html", F.concat(F.lit("<h2 id='a'>h"), F.col("idx").cast("string"), F.lit("</h2>")))
     return B.play_order(html)
 
 
@@ -75,24 +77,24 @@ OPF = f"""{W}, m as (select doc_id, string_agg(concat('    <item id="', chapter_
 
 
 @query(f"{OPF} select * from o")
-def k2_f37_opf(spark, sf):
-    return B.opf(books(spark, sf), chapters(spark, sf))
+def k2_f37_opf(spark, sf, sql=BOOKS):
+    return B.opf(books(spark, sf), chapters(spark, sf, sql))
 
 
 @query(f"{OPF} select doc_id, replace(regexp_replace(regexp_replace(opf, '<dc:title>[^<]*</dc:title>', '<dc:title>New</dc:title>'), '<dc:language>[^<]*</dc:language>', '<dc:language>en</dc:language>'), 'x<dc:none', '') as opf from o")
-def k8_edit_metadata(spark, sf):
-    return B.opf(books(spark, sf), chapters(spark, sf)).select("doc_id", B.edit_metadata(F.col("opf"), "New", None, "en").alias("opf"))
+def k8_edit_metadata(spark, sf, sql=BOOKS):
+    return B.opf(books(spark, sf), chapters(spark, sf, sql)).select("doc_id", B.edit_metadata(F.col("opf"), "New", None, "en").alias("opf"))
 
 
 @query(f"{W}, n as (select doc_id, count(*) as n from ch group by 1) select doc_id, 4 + n as members, true as has_mimetype, true as has_container, n + 1 as n_text, cast(0 as bigint) as missing_alt, true as ok from n")
-def a29_check_package(spark, sf):
-    members = B.entries(books(spark, sf), html_chapters(spark, sf))
+def a29_check_package(spark, sf, sql=BOOKS):
+    members = B.entries(books(spark, sf), html_chapters(spark, sf, sql))
     return B.check_package(members).join(members.groupBy("doc_id").agg(F.count("*").alias("members")), "doc_id")
 
 
 @query(f"{W} select doc_id, cast(unnest(range(0, 4)) as int) as ord, unnest(['mimetype', 'META-INF/container.xml', 'OEBPS/content.opf', 'OEBPS/nav.xhtml']) as path, unnest([true, false, false, false]) as stored from (select distinct doc_id from ch) union all select doc_id, idx + 3, concat('OEBPS/Text/', chapter_id, '.xhtml'), false from ch")
-def k1_entries(spark, sf):
-    return B.entries(books(spark, sf), html_chapters(spark, sf)).drop("content")
+def k1_entries(spark, sf, sql=BOOKS):
+    return B.entries(books(spark, sf), html_chapters(spark, sf, sql)).drop("content")
 
 
 
@@ -102,23 +104,30 @@ HTML_SQL = f"""{W}{PARA}, bo as (select doc_id, idx, string_agg(html, concat(chr
 
 
 @query(f"{HTML_SQL} select doc_id, chapter_id, html from hx")
-def s7_chapter_html(spark, sf):
-    return html_chapters(spark, sf).select("doc_id", "chapter_id", "html")
+def s7_chapter_html(spark, sf, sql=BOOKS):
+    return html_chapters(spark, sf, sql).select("doc_id", "chapter_id", "html")
 
 
 @query(f"{HTML_SQL} select doc_id, count(*) as chapters, cast(floor(sum(strlen(html)) / 1024.0) as bigint) as kb, count(*) filter (strlen(html) > 512000) as large from hx group by 1")
-def a28_book_info(spark, sf):
-    return B.book_info(html_chapters(spark, sf))
+def a28_book_info(spark, sf, sql=BOOKS):
+    return B.book_info(html_chapters(spark, sf, sql))
 
 
 @query(f"{W} select doc_id, idx, concat(lpad(cast(idx as string), 3, '0'), '_', regexp_replace(title, '[^a-zA-Z0-9\\-_]', '_', 'g'), '.epub') as file_name from ch")
-def k7_split_books(spark, sf):
-    return B.split_books(chapters(spark, sf)).select("doc_id", "idx", "file_name")
+def k7_split_books(spark, sf, sql=BOOKS):
+    return B.split_books(chapters(spark, sf, sql)).select("doc_id", "idx", "file_name")
 
 
 @query()
-def k5_k15_single_html(spark, sf):
-    return B.single_html(html_chapters(spark, sf))
+def k5_k15_single_html(spark, sf, sql=BOOKS):
+    return B.single_html(html_chapters(spark, sf, sql))
+
+
+#: The same books with whole texts.
+WHOLE_BOOKS = BOOKS.replace("substring(text, 1, 200)", "text")
+for _f in (s1_lines, s7_w1_w2_chapters, w8_paragraphs, w3_neighbours, w5_landmarks, k3_nav, w4_k4_play_order, k2_f37_opf, k8_edit_metadata, a29_check_package, k1_entries, s7_chapter_html, a28_book_info, k7_split_books, k5_k15_single_html):
+    _sql = ORACLE.get(_f.__name__)
+    query(_sql and _sql.replace(BOOKS, WHOLE_BOOKS), f"{_f.__name__}_whole")(partial(_f, sql=WHOLE_BOOKS))
 
 
 ANN = (

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from .. import sources as S
 from ..functions import markup as M
 from ..operators import books as B
-from .q_books import books, html_chapters
+from .q_books import BOOKS, WHOLE_BOOKS, books, html_chapters
 from .q_text import HTML
 from .registry import derived, query, table
 
@@ -49,14 +49,19 @@ def s11_unreadable_packages(spark, sf):
     return S.epub_chapters(bad).where("error is null").select("doc_id", "idx")
 
 
-def some_packages(spark, sf):
-    return S.pack_epub(B.entries(books(spark, sf), html_chapters(spark, sf)))
+def some_packages(spark, sf, sql=BOOKS):
+    return S.pack_epub(B.entries(books(spark, sf), html_chapters(spark, sf, sql)))
 
 
 @query()
-def k1_s11_epub_round_trip(spark, sf):
+def k1_s11_epub_round_trip(spark, sf, sql=BOOKS):
     """Books are packed, and their chapters read back."""
-    return S.epub_chapters(some_packages(spark, sf)).select("doc_id", "idx", "chapter_id", "title")
+    return S.epub_chapters(some_packages(spark, sf, sql)).select("doc_id", "idx", "chapter_id", "title")
+
+
+@query()
+def k1_s11_epub_round_trip_whole(spark, sf):
+    return k1_s11_epub_round_trip(spark, sf, WHOLE_BOOKS)
 
 
 @query()

@@ -21,3 +21,13 @@ def test_direct_hit_stands_with_all_scored_rows(spark, tmp_path):
     sf = documents(spark, tmp_path, [(k, "the license") for k in range(1, 21)])
     got = {r.id: r.score for r in registry.QUERIES["g3_direct_hit_whole"](spark, sf).collect()}
     assert set(got) == set(range(1, 21)) and got[7] == 1.0 and all(0 < got[k] < 1 for k in got if k != 7)
+
+
+def test_books_and_pages_hold_all_of_a_text(spark, tmp_path):
+    text = "\n".join(f"line {k} of a long text" for k in range(200))
+    sf = documents(spark, tmp_path, [(1, text)])
+    run = lambda name: registry.QUERIES[name](spark, sf).collect()
+    assert {r.line for r in run("s1_lines_whole")} >= set(text.split("\n"))
+    assert {x for r in run("s7_w1_w2_chapters_whole") for x in r.body_lines} >= set(text.split("\n"))
+    assert any("line 199 of a long text" in r.html for r in run("w8_paragraphs_whole"))
+    assert {r.page for r in run("a30_line_tolerance_whole")} == set(range(30))
