@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -28,9 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one set here where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir.
+
+    Where that is unset, a folder of this machine is set for a session that
+    runs on this machine alone; on a cluster it is an error.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = "/tmp/checkpoints/folioforge"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -44,6 +51,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The greatest long stands for a null id, which comes last.
+NULL_ID = 2**63 - 1
+
+
+def integer_id(df: DataFrame, id_col: str) -> str:
+    """The type of an integer id column; others are refused."""
+    kind = df.schema[id_col].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} is {kind}; this operator orders documents by an integer id")
+    return kind
+
+
+def document_key(df: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
+    """(id, tie): the integer id with nulls last, and a hash of the text that tells rows of one id apart unless they are equal."""
+    integer_id(df, id_col)
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tie")
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     tune(df.sparkSession)
     return df.mapInArrow(f, schema)

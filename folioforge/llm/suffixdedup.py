@@ -3,11 +3,12 @@
 Two windows of LENGTH bytes are equal only if they hold the same anchor: the
 least hash among the K-byte strings in them.  So every window is given to its
 anchor, and the windows of one anchor occurrence, which are consecutive, form
-a context.  Contexts of equal bytes need no sorting: all but the earliest are
-repeats.  Only contexts that share their anchor but not all their bytes are
-cut out of the texts and sorted: each shard's suffixes are put in order by
-external induced sorting (:mod:`.induced`), and windows that share LENGTH
-bytes with an earlier one are repeats.
+a context.  Anchors only say which contexts may share windows: contexts whose
+anchor occurs once are done with, all others are cut out of the texts and
+dealt to shards by anchor.  A shard puts the suffixes of its records in order
+by external induced sorting (:mod:`.induced`), whose common prefixes tell
+which windows occurred earlier.  Records that are equal byte for byte are one
+record with its earliest place, in the task that cuts them and in the shard.
 """
 
 from __future__ import annotations
@@ -17,20 +18,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, map_arrow, parallelism, strings, written
-from .induced import repeated_windows
-from .textnum import U64, Prefix, ragged, splitmix
+from .common import document_key, free_name, map_arrow, parallelism, strings, written
+from .induced import Shard
+from .textnum import U64, HashIndex, Prefix, ragged, splitmix
 
 LENGTH, K = 100, 20
 SPAN = LENGTH - K + 1
 SEGMENT = 1 << 20
-NULL_ID = 2**63 - 1
-#: An anchor with more different contexts than this is sharded by window instead.
+#: Contexts of an anchor beyond which its windows are dealt one by one, so that no shard holds a hot anchor; results are the same.
 HOT_CONTEXTS = 2048
+#: Bytes a shard's sort holds in memory of each of its arrays and of its queue; what is larger is on disk.
+SORT_MEMORY = 128 << 20
+#: Contexts seen twice that a task remembers, to combine equal ones before the exchange.
+REMEMBERED = 100_000
 _LOW = U64(127)
 
 
@@ -107,205 +110,245 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[edge], end[np.append(edge[1:], len(end)) - 1]
 
 
-def _runs(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, first window, windows) of runs of consecutive windows."""
-    order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order]
-    edge = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1))) if len(at) else order
-    return doc[edge], at[edge], np.diff(np.append(edge, len(at)))
+_FOUND = "kind int, h long, c long, id long, tie long, p long, n long"
+_NAMES = [x.split()[0] for x in _FOUND.split(", ")]
+#: Kinds of rows: a context to be compared, a repeat, a context of a hot anchor.
+PLAIN, REPEAT, HOT = 0, 1, 2
 
 
-#: Bytes of records that are sorted together, at least; a shard key is never divided.
-SORT_BYTES = 3 << 19
-
-
-def _whole_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of whole shard keys, from rows sorted by shard key, of about SORT_BYTES each."""
-    held: list[pa.RecordBatch] = []
-    size, last = 0, None
-    for batch in batches:
-        key = batch.column(0).to_numpy()
-        if not len(key):
-            continue
-        edge = np.flatnonzero(np.append(last is not None and key[0] != last, key[1:] != key[:-1]))
-        last = key[-1]
-        length = np.append(0, np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(4)), 0).to_numpy(zero_copy_only=False)))
-        begin = 0
-        for k in edge.tolist():
-            if size + length[k] - length[begin] >= SORT_BYTES:
-                held.append(batch.slice(begin, k - begin))
-                yield pa.Table.from_batches(held)
-                held, size, begin = [], 0, k
-        held.append(batch.slice(begin))
-        size += int(length[-1] - length[begin])
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-_FOUND = "kind int, h long, c long, id long, p long, n long"
-
-
-def _batch(kind, h, c, doc, p, n) -> pa.RecordBatch:
+def _batch(kind, h, c, doc, tie, p, n) -> pa.RecordBatch:
     size = len(p)
-    columns = [pa.array(np.full(size, kind), pa.int32()), *(pa.array(np.broadcast_to(x, size).astype(np.uint64).view(np.int64) if getattr(x, "dtype", None) == U64 else np.broadcast_to(x, size).astype(np.int64)) for x in (h, c, doc, p, n))]
-    return pa.RecordBatch.from_arrays(columns, ["kind", "h", "c", "id", "p", "n"])
-
-
-def _earliest(key: np.ndarray, doc: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """True for the earliest row of each key."""
-    order = np.lexsort((p, doc, key))
-    first = np.zeros(len(key), bool)
-    first[order[np.append(True, key[order[1:]] != key[order[:-1]])]] = True
-    return first
 
+    def column(x) -> pa.Array:
+        x = np.broadcast_to(x, size)
+        return pa.array(x.view(np.int64) if x.dtype == U64 else x.astype(np.int64))
+
+    return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(kind, size).astype(np.int32)), *map(column, (h, c, doc, tie, p, n))], _NAMES)
+
+
+def _changed(*columns: np.ndarray) -> np.ndarray:
+    """True where any column differs from the row before; the first row counts as different."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for x in columns:
+        out[1:] |= x[1:] != x[:-1]
+    return out
+
+
+class _Combiner:
+    """Contexts of one task: of those equal byte for byte, all but the earliest so far are repeats at once."""
+
+    def __init__(self):
+        self.index, self.raw, self.place = HashIndex(), [], []
+
+    def split(self, texts: list[bytes], text, doc, tie, p, n, h, c) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the rows to be dealt on, and of the repeats."""
+        key = splitmix(h) ^ c
+        order = np.lexsort((p, tie, doc, key))
+        new = _changed(key[order])
+        first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        fresh = np.ones(len(key), bool)
+        again = np.zeros(len(key), bool)
+        for k, f in zip(order[~new].tolist(), first[~new].tolist()):
+            at, size = int(p[k]), int(n[k]) + LENGTH - 1
+            if texts[text[k]][at : at + size] == texts[text[f]][p[f] : p[f] + size]:
+                fresh[k] = False
+                # the same place of an equal row is no repeat
+                again[k] = (doc[k], tie[k], p[k]) != (doc[f], tie[f], p[f])
+        heads = np.unique(first[~new]) if not new.all() else np.zeros(0, np.int64)
+        known = self.index.find(key)
+        for k in np.flatnonzero(fresh & (known >= 0)).tolist():
+            j, at = int(known[k]), int(p[k])
+            if self.raw[j] == texts[text[k]][at : at + int(n[k]) + LENGTH - 1]:
+                place = (int(doc[k]), int(tie[k]), at)
+                if place > self.place[j]:
+                    fresh[k], again[k] = False, True
+                elif place == self.place[j]:
+                    fresh[k] = False
+                else:
+                    self.place[j] = place
+        heads = heads[known[heads] < 0]
+        _, one = np.unique(key[heads], return_index=True)
+        heads = heads[one][: max(0, REMEMBERED - len(self.raw))]
+        if len(heads):
+            self.index.add(key[heads], np.arange(len(self.raw), len(self.raw) + len(heads)))
+            for k in heads.tolist():
+                self.raw.append(texts[text[k]][p[k] : p[k] + n[k] + LENGTH - 1])
+                self.place.append((int(doc[k]), int(tie[k]), int(p[k])))
+        return np.flatnonzero(fresh), np.flatnonzero(again)
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of contexts sorted by anchor: those whose anchor occurs again, HOT from HOT_CONTEXTS of one anchor on, and known repeats.
+
+    An anchor's rows are held until there are HOT_CONTEXTS of them, which then
+    go out as HOT like all that follow.
+    """
+    held: list[np.ndarray] | None = None  # rows of the anchor at hand; None: none yet
+    sent = False  # whether it is hot already
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, spans: array of (s, e)) of the bytes to remove from each document that has any.
+    def out(rows, kind):
+        return _batch(kind, *rows)
 
-    ``id`` is the integer id, the greatest long for a null one.
+    for batch in batches:
+        kind, *rows = (batch.column(k).to_numpy() for k in range(7))
+        told = kind == REPEAT
+        if told.any():
+            yield out([x[told] for x in rows], REPEAT)
+            rows = [x[~told] for x in rows]
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows)]
+        h, c, doc, tie, p, n = rows
+        if not len(h):
+            continue
+        # equal rows of one document (given twice) are one
+        keep = _changed(h, c, doc, tie, p)
+        rows = [x[keep] for x in rows]
+        h = rows[0]
+        edge = np.append(np.flatnonzero(_changed(h)), len(h))
+        size = np.diff(edge)
+        hot = size > HOT_CONTEXTS
+        hot[0] |= sent
+        several = (size > 1) & ~hot
+        several[-1] = False
+        for chosen, k in ((several, PLAIN), (hot, HOT)):
+            mask = np.repeat(chosen, size)
+            if sent and k == HOT:
+                mask[0] = False  # the last row sent of the anchor, held to compare with
+            if mask.any():
+                yield out([x[mask] for x in rows], k)
+        sent = bool(hot[-1])
+        held = [x[-1:] if sent else x[edge[-2] :] for x in rows]
+    if held is not None and not sent and len(held[0]) > 1:
+        yield out(held, PLAIN)
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory: int = SORT_MEMORY) -> DataFrame:
+    """(id, tie, spans: array of (s, e)) of the bytes to remove from each document that has any.
+
+    (id, tie) is :func:`.common.document_key`; of equal rows these are the
+    spans of the first one.
     """
-    pos = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id")
-    plain = docs.select(pos, F.col(text_col).alias("text"))
+    spark = docs.sparkSession
+    plain = docs.select(*document_key(docs, id_col, text_col), F.col(text_col).alias("text"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        combiner = _Combiner()
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, ties = (batch.column(k).to_numpy() for k in (0, 1))
             texts = [t.encode() for t in strings(batch, "text")]
             for pieces in _pieces(texts):
                 for text, p, n, h, c in contexts(texts, pieces):
-                    doc = ids[text]
-                    first = _earliest(splitmix(h) ^ c, doc, p)
-                    yield _batch(0, h[first], c[first], doc[first], p[first], n[first])
-                    if not first.all():
-                        again = ~first
-                        yield _batch(1, splitmix(doc[again].astype(U64)), 0, doc[again], p[again], n[again])
-
-    found = map_arrow(plain, find, _FOUND).repartition(parallelism(docs.sparkSession), "h").sortWithinPartitions("h", "c", "id", "p")
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: tuple | None = None  # (h, c) of the last context
-        waiting = None  # the first context of its anchor, of which it is not known whether others differ
-        for batch in batches:
-            kind, h, c, doc, p, n = (batch.column(k).to_numpy() for k in range(6))
-            told = kind == 1
-            if told.any():
-                yield _batch(1, 0, 0, doc[told], p[told], n[told])
-                h, c, doc, p, n = (x[~told] for x in (h, c, doc, p, n))
-            if not len(h):
-                continue
-            last_h = np.append(before[0] if before else ~h[0], h[:-1])
-            last_c = np.append(before[1] if before else 0, c[:-1])
-            new_anchor = h != last_h
-            new = new_anchor | (c != last_c)
-            before = (h[-1], c[-1])
-            if not new.all():
-                yield _batch(1, 0, 0, doc[~new], p[~new], n[~new])
-            row = np.flatnonzero(new)
-            if not len(row):
-                continue
-            alone = new_anchor[row]
-            if waiting is not None and not alone[0]:
-                yield _batch(2, *(np.array([x]) for x in waiting))
-            waiting = None
-            disputed = ~alone
-            disputed[:-1] |= ~alone[1:]
-            if alone[-1]:
-                r = row[-1]
-                waiting = (h[r], c[r], doc[r], p[r], n[r])
-            d = row[disputed]
-            if len(d):
-                yield _batch(2, h[d], c[d], doc[d], p[d], n[d])
-
-    judged = written(map_arrow(found, judge, _FOUND), "contexts")
-    disputed = judged.where("kind = 2").select("h", "id", "p", "n")
-    hot = disputed.groupBy("h").count().where(F.col("count") > HOT_CONTEXTS).select("h", F.lit(True).alias("hot"))
-    per_doc = disputed.join(hot, "h", "left").groupBy("id").agg(F.collect_list(F.struct("p", "n", "h", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("cut"))
+                    doc, tie = ids[text], ties[text]
+                    fresh, again = combiner.split(texts, text, doc, tie, p, n, h, c)
+                    yield _batch(PLAIN, h[fresh], c[fresh], doc[fresh], tie[fresh], p[fresh], n[fresh])
+                    if len(again):
+                        yield _batch(REPEAT, splitmix(doc[again].astype(U64)), 0, doc[again], tie[again], p[again], n[again])
+
+    found = map_arrow(plain, find, _FOUND).repartition(parallelism(spark), "h").sortWithinPartitions("h", "c", "id", "tie", "p")
+    judged = written(map_arrow(found, _candidates, _FOUND), "contexts")
+    candidates = judged.where(F.col("kind") != REPEAT)
+    per_doc = candidates.groupBy("id", "tie").agg(F.collect_list(F.struct("p", "n", "h", "c", (F.col("kind") == HOT).alias("hot"))).alias("cut"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["h", "c", "id", "tie", "p", "n", "raw"]
         for batch in batches:
-            shard, doc, at, windows, raw = [], [], [], [], []
-            key, wide_doc, wide_at, wide_raw = [], [], [], []
-            for i, t, list_ in zip(batch.column(0).to_pylist(), strings(batch, "text"), batch.column(2).to_pylist()):
+            out: list[tuple] = []
+            seen: dict[bytes, tuple] = {}
+            for i, tie, t, list_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strings(batch, "text"), batch.column(3).to_pylist()):
                 t = t.encode()
-                for x in list_:
+                for x in sorted(list_, key=lambda x: x["p"]):
                     p, n = x["p"], x["n"]
-                    if p + n + LENGTH - 1 > len(t):
-                        continue  # of another row of this id
+                    raw = t[p : p + n + LENGTH - 1]
                     if not x["hot"]:
-                        shard.append(x["h"])
-                        doc.append(i)
-                        at.append(p)
-                        windows.append(n)
-                        raw.append(t[p : p + n + LENGTH - 1])
+                        out.append((x["h"], x["c"], i, tie, p, n, raw))
                         continue
-                    b = np.frombuffer(t[p : p + n + LENGTH - 1], np.uint8)
-                    k = np.arange(n)
-                    key.append(Prefix(b).slices(k, k + LENGTH))
-                    wide_doc.append(np.full(n, i))
-                    wide_at.append(p + k)
-                    wide_raw += [t[q : q + LENGTH] for q in range(p, p + n)]
-            again_doc = again_at = again_n = np.zeros(0, np.int64)
-            if key:
-                h, d, q = np.concatenate(key), np.concatenate(wide_doc), np.concatenate(wide_at)
-                first = _earliest(h, d, q)
-                again_doc, again_at, again_n = _runs(d[~first], q[~first])
-                shard += h[first].view(np.int64).tolist()
-                doc += d[first].tolist()
-                at += q[first].tolist()
-                windows += [1] * int(first.sum())
-                raw += [wide_raw[k] for k in np.flatnonzero(first).tolist()]
-            size, more = len(doc), len(again_doc)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shard + again_doc.tolist(), pa.int64()), pa.array(doc + again_doc.tolist(), pa.int64()), pa.array(at + again_at.tolist(), pa.int64()), pa.array(windows + again_n.tolist(), pa.int64()), pa.array(raw + [None] * more, pa.binary())],
-                ["shard", "id", "p", "n", "raw"],
-            ) if size + more else _nothing
-
-    _nothing = pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4 + [pa.array([], pa.binary())], ["shard", "id", "p", "n", "raw"])
-    records = map_arrow(plain.join(per_doc, "id").select("id", "text", "cut"), cut, "shard long, id long, p long, n long, raw binary")
-    records = records.repartition(parallelism(docs.sparkSession), "shard").sortWithinPartitions("shard")
+                    # a repeated window of this batch that is not its earliest goes on without its bytes
+                    hash_ = Prefix(np.frombuffer(raw, np.uint8)).slices(np.arange(n), np.arange(n) + LENGTH).view(np.int64).tolist()
+                    for q in range(n):
+                        w, place = raw[q : q + LENGTH], (i, tie, p + q)
+                        before = seen.setdefault(w, place)
+                        if place > before:
+                            out.append((hash_[q], 0, i, tie, p + q, 1, None))
+                        else:
+                            seen[w] = place
+                            out.append((hash_[q], 0, i, tie, p + q, 1, w))
+                if len(out) > 50_000:
+                    yield _records(out, names)
+                    out, seen = [], {}
+            if out:
+                yield _records(out, names)
+
+    texts = plain.join(per_doc.hint("merge"), ["id", "tie"]).select("id", "tie", "text", "cut")
+    records = map_arrow(texts, cut, "h long, c long, id long, tie long, p long, n long, raw binary")
+    records = records.repartition(parallelism(spark), "h").sortWithinPartitions("h", "c", "id", "tie", "p")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole_shards(batches):
-            raw = t.column("raw")
-            known = raw.is_null().to_numpy()
-            doc, p, n = (t.column(c).to_numpy() for c in ("id", "p", "n"))
-            if known.any():
-                yield _batch(1, 0, 0, doc[known], p[known], n[known])
-            order = np.lexsort((p, doc))
-            order = order[~known[order]]
-            if not len(order):
-                continue
-            doc, p, n = doc[order], p[order], n[order]
-            again = repeated_windows(raw.take(pa.array(order)).to_pylist(), n.tolist(), LENGTH)
-            hit = np.flatnonzero(again)
-            if len(hit):
-                yield _batch(1, 0, 0, *_runs(np.repeat(doc, n)[hit], ragged(p, n)[hit]))
-
-    late = written(map_arrow(records.select("shard", "id", "p", "n", "raw"), sort, _FOUND), "sorted-spans")
-    spans = judged.where("kind = 1").select("id", "p", "n").union(late.select("id", "p", "n"))
-    return spans.groupBy("id").agg(F.collect_list(F.struct(F.col("p").alias("s"), (F.col("p") + F.col("n") + (LENGTH - 1)).alias("e"))).alias("spans"))
-
-
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+        shard, rows = Shard(LENGTH, memory), []
+        last_key, last_place, head = None, None, None
+        for batch in batches:
+            h, c, doc, tie, p, n = (batch.column(k).to_numpy() for k in range(6))
+            raws = batch.column(6).to_pylist()
+            fresh, again = np.zeros(len(h), bool), np.zeros(len(h), bool)
+            for k, (key, place, raw) in enumerate(zip(zip(h.tolist(), c.tolist()), zip(doc.tolist(), tie.tolist(), p.tolist()), raws)):
+                if raw is None:
+                    again[k] = True
+                elif key != last_key:
+                    fresh[k] = True
+                    last_key, last_place, head = key, place, raw
+                elif place != last_place:  # else an equal row, given twice
+                    last_place = place
+                    fresh[k] = raw != head
+                    again[k] = not fresh[k]
+            if again.any():
+                yield _batch(REPEAT, 0, 0, doc[again], tie[again], p[again], n[again])
+            shard.add([raws[k] for k in np.flatnonzero(fresh).tolist()], n[fresh])
+            rows.append([x[fresh] for x in (doc, tie, p)])
+        if not rows:
+            return
+        doc, tie, p = (np.concatenate(x) for x in zip(*rows))
+        rank = np.empty(len(doc), np.int64)
+        rank[np.lexsort((p, tie, doc))] = np.arange(len(doc))
+        for record, at in shard.repeats(rank):
+            order = np.lexsort((at, record))
+            record, at = record[order], at[order]
+            edge = np.flatnonzero(_changed(record, at - np.arange(len(at))))
+            r = record[edge]
+            yield _batch(REPEAT, 0, 0, doc[r], tie[r], p[r] + at[edge], np.diff(np.append(edge, len(at))))
+
+    late = written(map_arrow(records, sort, _FOUND), "sorted-spans")
+    spans = judged.where(F.col("kind") == REPEAT).select("id", "tie", "p", "n").union(late.select("id", "tie", "p", "n"))
+    return spans.groupBy("id", "tie").agg(F.collect_list(F.struct(F.col("p").alias("s"), (F.col("p") + F.col("n") + (LENGTH - 1)).alias("e"))).alias("spans"))
+
+
+def _records(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows))
+    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns[:6]), pa.array(columns[6], pa.binary())], names)
+
+
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, memory: int = SORT_MEMORY) -> DataFrame:
     """``docs`` without the bytes of texts that are part of a LENGTH-byte string which also starts earlier.
 
-    Earlier means in a document with a smaller integer id (null ids last), or
-    further left in the same text; strings never cross documents, overlaps
-    count, and all is judged on the input.  Adds n_bytes, n_removed, n_spans
-    and kept_sha256 (in place of columns of those names); ``text_col`` becomes
-    what is left, without a character of which only a part is left, or is
-    dropped with ``keep_text=False``.  Null texts count as empty and stay
-    null.  Of rows with one id and different texts only strings at the same
-    places can be told apart, so ids are expected to be unique; equal rows are
-    treated alike.
+    Earlier means in a document with a smaller integer id (null ids last),
+    of one id in the row whose text has the smaller 64-bit hash, of equal rows
+    in one of them, or further left in the same text; strings never cross
+    documents, overlaps count, and all is judged on the input.  So of equal
+    rows one is judged by what is before it, and the others keep only texts
+    shorter than LENGTH.  Adds n_bytes, n_removed, n_spans and kept_sha256 (in
+    place of columns of those names); ``text_col`` becomes what is left,
+    without a character of which only a part is left, or is dropped with
+    ``keep_text=False``.  Null texts count as empty and stay null; an empty
+    table stays empty; ids that are no integers are refused.
     """
     added = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
     docs = docs.drop(*[c for c in docs.columns if c.lower() in added])
-    spans = repeated_spans(docs, id_col, text_col)
-    key, extra = free_name(docs, "key"), free_name(docs, "spans")
+    spans = repeated_spans(docs, id_col, text_col, memory)
     names = docs.columns
+    key, tie, extra, number = (free_name(docs, x) for x in ("key", "tie", "spans", "number"))
     at = names.index(text_col)
-    joined = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).join(spans.toDF(key, extra), key, "left").drop(key)
+    id_, tie_ = document_key(docs, id_col, text_col)
+    joined = docs.withColumns({key: id_, tie: tie_}).join(spans.toDF(key, tie, extra).hint("merge"), [key, tie], "left")
+    joined = joined.withColumn(number, F.row_number().over(Window.partitionBy(key, tie).orderBy(tie)))
     schema = docs.schema
     for name, kind in zip(added, ("long", "long", "long", "string")):
         schema = schema.add(name, kind)
@@ -314,12 +357,13 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for batch in batches:
             raw = batch.column(at).to_pylist()
             text, rows = [], []
-            for t, found in zip(raw, batch.column(len(names)).to_pylist()):
+            for t, found, copy in zip(raw, batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()):
                 b = (t or "").encode()
                 s = e = np.zeros(0, np.int64)
-                if found:
+                if copy > 1 and len(b) >= LENGTH:
+                    s, e = np.array([0]), np.array([len(b)])
+                elif copy == 1 and found:
                     s, e = merged(np.array([x["s"] for x in found]), np.array([x["e"] for x in found]))
-                    s, e = s[s < len(b)], np.minimum(e[s < len(b)], len(b))
                 cut = np.append(0, e).tolist(), np.append(s, len(b)).tolist()
                 kept = b"".join([b[x:y] for x, y in zip(*cut)])
                 text.append(None if t is None else kept.decode("utf-8", "ignore") if len(s) else t)
@@ -329,5 +373,5 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             more = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array(m, pa.int64()) for m in more[:3]), pa.array(more[3], pa.string())], [*names, *added])
 
-    out = map_arrow(joined.select(*[f"`{c}`" for c in names], extra), rebuild, schema)
+    out = map_arrow(joined.select(*[f"`{c}`" for c in names], extra, number), rebuild, schema)
     return out if keep_text else out.drop(text_col)

@@ -6,8 +6,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from folioforge.llm import embeddings, linededup, minhash, suffixdedup
+from folioforge.llm import embeddings, induced, linededup, minhash, suffixdedup
 from folioforge.llm.components import connected_components
 from folioforge.llm.induced import repeated_windows, suffix_order
 
@@ -18,17 +19,43 @@ def words(rng, n):
     return [rng.choice("alpha beta gamma delta eps zeta eta theta iota kappa la mu nu xi omi pi rho sig tau".split()) + str(rng.randrange(60)) for _ in range(n)]
 
 
-@pytest.mark.parametrize("memory", [64, 1 << 20])
-def test_suffix_order(memory):
-    rng = random.Random(memory)
+@pytest.mark.parametrize("memory,one_symbol,depth", [(64, 512, 200), (64, 2, 200), (64, 8, 5), (1 << 20, 512, 200), (1 << 20, 2, 3)])
+def test_suffix_order(monkeypatch, memory, one_symbol, depth):
+    monkeypatch.setattr(induced, "ONE_SYMBOL", one_symbol)
+    rng = random.Random(memory + one_symbol)
     for _ in range(60):
-        a = rng.choice([1, 2, 3, 9])
-        t = np.array([rng.randrange(1, a + 1) for _ in range(rng.randrange(1, 70))] + [0], np.uint16)
-        order, common = suffix_order(t, a + 1, 200, memory)
-        assert order.tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+        a = rng.choice([1, 2, 3, 9, 40])
+        body = [rng.randrange(1, a + 1) for _ in range(rng.randrange(1, 70))]
+        t = np.array((body[: len(body) // 4 + 1] * 5 if rng.random() < 0.3 else body) + [0], np.uint16)
+        order, common = suffix_order(t, a + 1, depth, induced.Scratch(memory))
+        assert sorted(order.tolist()) == list(range(len(t)))
+        start = [t[i : i + depth].tolist() for i in order]
+        assert start == sorted(start)
         for k in range(1, len(t)):
             x, y = t[order[k - 1] :].tolist(), t[order[k] :].tolist()
-            assert common[k] == next(j for j in range(len(t)) if x[j : j + 1] != y[j : j + 1])
+            assert common[k] == min(depth, next(j for j in range(len(t)) if x[j : j + 1] != y[j : j + 1]))
+
+
+def test_a_shard_far_larger_than_memory_is_sorted_on_disk():
+    rng = random.Random(12)
+    shared = " ".join(words(rng, 300)).encode()
+    records = [" ".join(words(rng, 60)).encode() + shared[k : k + 150] for k in range(1200)]
+    windows = [len(r) - 99 for r in records]
+    seen, want = set(), []
+    for r in records:
+        for w in (r[i : i + 100] for i in range(len(r) - 99)):
+            want.append(w in seen)
+            seen.add(w)
+    memory = 1 << 14
+    shard = induced.Shard(100, memory)
+    for k in range(0, len(records), 100):
+        shard.add(records[k : k + 100], np.array(windows[k : k + 100]))
+    begin = np.cumsum(windows) - windows
+    got = np.zeros(len(want), bool)
+    for record, at in shard.repeats(np.arange(len(records))):
+        got[begin[record] + at] = True
+    assert got.tolist() == want and sum(want) > 1000
+    assert shard.size > 30 * memory and shard.scratch.spilled > 100 * memory and shard.scratch.levels > 2
 
 
 def test_repeated_windows():
@@ -45,9 +72,21 @@ def test_repeated_windows():
         assert repeated_windows(records, n, size).tolist() == want
 
 
+def in_order(rows):
+    """Rows as the operators order them: by id, null last; of one id by the hash of the text."""
+    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, text_hash(r[1] or "")))
+
+
+def text_hash(t):
+    """Spark's xxhash64 of a string."""
+    import xxhash
+
+    return int.from_bytes(xxhash.xxh64(t.encode(), seed=42).digest(), "big", signed=True)
+
+
 def brute_substrings(rows):
-    seen, out = set(), {}
-    for i, t in rows:
+    seen, out = set(), []
+    for i, t in in_order(rows):
         b = (t or "").encode()
         gone = np.zeros(len(b), bool)
         for k in range(len(b) - 99):
@@ -56,8 +95,13 @@ def brute_substrings(rows):
                 gone[k : k + 100] = True
             seen.add(w)
         spans = int((np.diff(np.append(False, gone).astype(int)) == 1).sum())
-        out[i] = (len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())
-    return out
+        out.append((str(i), len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
+    return sorted(out)
+
+
+def substring_results(frame, **more):
+    out = suffixdedup.dedup_substrings(frame, keep_text=False, **more).collect()
+    return sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out)
 
 
 def substring_rows(rng):
@@ -73,15 +117,35 @@ def substring_rows(rng):
 
 def test_substrings_equal_brute_force(spark):
     rows = substring_rows(random.Random(8))
-    out = suffixdedup.dedup_substrings(spark.createDataFrame(rows, DOC).repartition(3), keep_text=False).collect()
-    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out} == brute_substrings(rows)
+    assert substring_results(spark.createDataFrame(rows, DOC).repartition(3)) == brute_substrings(rows)
 
 
 def test_substrings_of_hot_anchors(spark, monkeypatch):
     monkeypatch.setattr(suffixdedup, "HOT_CONTEXTS", 1)
     rows = substring_rows(random.Random(9))
-    out = suffixdedup.dedup_substrings(spark.createDataFrame(rows, DOC).repartition(3), keep_text=False).collect()
-    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out} == brute_substrings(rows)
+    assert substring_results(spark.createDataFrame(rows, DOC).repartition(3)) == brute_substrings(rows)
+
+
+def test_substrings_of_repeated_rows_and_null_ids(spark):
+    rng = random.Random(10)
+    a, b, c = (" ".join(words(rng, 70)) for _ in range(3))
+    rows = [(1, a), (1, a), (1, a), (1, b + a[:150]), (2, b), (None, a), (None, a), (None, c), (None, c + b[:120]), (3, "short"), (3, "short"), (None, None), (None, None), (4, a[50:] + "é" * 60)]
+    got = substring_results(spark.createDataFrame(rows, DOC).repartition(4))
+    assert got == brute_substrings(rows)
+    # int ids, and a sort that has to go to disk
+    rows += substring_rows(rng)
+    frame = spark.createDataFrame(rows, DOC).withColumn("doc_id", F.col("doc_id").cast("int"))
+    assert substring_results(frame.repartition(3), memory=1 << 10) == brute_substrings(rows)
+    with pytest.raises(TypeError):
+        suffixdedup.dedup_substrings(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_substrings_of_texts_longer_than_a_segment(spark, monkeypatch):
+    monkeypatch.setattr(suffixdedup, "SEGMENT", 500)
+    rng = random.Random(14)
+    t = " ".join(words(rng, 900))
+    rows = [(1, t), (2, t[3000:] + t), (3, "x" * 3000), (4, None)]
+    assert substring_results(spark.createDataFrame(rows, DOC)) == brute_substrings(rows)
 
 
 def test_substrings_in_segments(spark):
