@@ -1,6 +1,6 @@
 """Line deduplication within one edit, by a deletion-neighbourhood join.
 
-The deletion neighbourhood of a line is the line and the line without any one
+Equal lines meet by their hash.  The deletion neighbourhood of a line is the line and the line without any one
 of its characters.  Two lines are within one edit (substitution, insertion or
 deletion) exactly if one is a deletion variant of the other, or both leave the
 same variant when the character at the same place is deleted.  Variants are
@@ -21,12 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, map_arrow, parallelism, strings, written
+from .common import document_key, free_name, map_arrow, parallelism, release, strings, written
 from .textnum import _BASE_INVERSE, U64, Prefix, chunks, codepoints, splitmix
 
-#: Shorter lines (without white space at either end) are never removed.
-MIN_CHARS = 16
-NULL_ID = 2**63 - 1
+#: Lines shorter than this are compared exactly, as one edit would make another word of them.
+EDIT_FROM = 16
 
 
 def line_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -87,8 +86,9 @@ def within_one_edit(a: str, b: str) -> bool:
     return a[k + 1 :] == b[k:] if len(a) > len(b) else a[k:] == b[k + 1 :]
 
 
-def _lines(text: str, min_chars: int) -> list[tuple[int, str]]:
-    return [(k, x) for k, line in enumerate(text.split("\n")) if len(x := line.strip()) >= min_chars]
+def _lines(text: str) -> list[tuple[int, str]]:
+    """Number and stripped text of each line that is not blank."""
+    return [(k, x) for k, line in enumerate(text.split("\n")) if (x := line.strip())]
 
 
 def _joined_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +100,7 @@ def _joined_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     as its lines.
     """
 
-    def pairs(key, place, h, i, no) -> Iterator[pa.RecordBatch]:
+    def pairs(key, place, h, i, tie, no) -> pa.RecordBatch:
         n = len(key)
         new_key = np.append(True, key[1:] != key[:-1])
         new_place = new_key | np.append(True, place[1:] != place[:-1])
@@ -108,7 +108,7 @@ def _joined_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         first = np.flatnonzero(new_key)
         # order of position among all rows here
         rank = np.empty(n, np.int64)
-        rank[np.lexsort((h, no, i))] = np.arange(n)
+        rank[np.lexsort((h, no, tie, i))] = np.arange(n)
         a = [np.flatnonzero(~new_place & (place >= 0))]
         b = [np.flatnonzero(new_place)[np.cumsum(new_place) - 1][a[0]]]
         whole = place[first] < 0
@@ -126,87 +126,97 @@ def _joined_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         b.append(by_rank[least[g]])
         x, y = np.concatenate(a), np.concatenate(b)
         keep = h[x] != h[y]
-        yield pa.RecordBatch.from_arrays([pa.array(h[x[keep]]), pa.array(h[y[keep]])], ["h", "other"])
+        return pa.RecordBatch.from_arrays([pa.array(h[x[keep]]), pa.array(h[y[keep]])], ["h", "other"])
 
     rest = None
     for batch in batches:
-        columns = [batch.column(c).to_numpy() for c in range(5)]
+        columns = [batch.column(c).to_numpy() for c in range(6)]
         if rest is not None:
             columns = [np.concatenate(x) for x in zip(rest, columns)]
         if not len(columns[0]):
             continue
         k = int(np.searchsorted(columns[0], columns[0][-1]))
         if k:
-            yield from pairs(*(c[:k] for c in columns))
+            yield pairs(*(c[:k] for c in columns))
         rest = [c[k:] for c in columns]
     if rest is not None:
-        yield from pairs(*rest)
+        yield pairs(*rest)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edit_from: int = EDIT_FROM) -> DataFrame:
     """``docs`` with repeated lines removed from ``text_col``; adds n_lines and n_removed.
 
     Lines are split at line feeds and compared without white space at their
-    ends.  A line is removed if a line within one edit of it comes earlier:
-    with a smaller integer id (null ids last), or higher up in the same
-    document.  All lines are judged on the input.  Lines shorter than
-    ``min_chars`` stay.  Rows of one id count as one document at the same
-    places, so repeated rows are treated alike.  Null texts stay null with 0
-    lines; other columns are kept (n_lines and n_removed replace columns of
-    those names, in any case).
+    ends; blank lines stay.  A line is removed if an equal line, or, for lines
+    of at least ``edit_from`` characters, one within one edit of it comes
+    earlier: in a document with a smaller integer id (null ids last), of one
+    id in the row whose text has the smaller 64-bit hash, of equal rows in one
+    of them, or higher up in the same document.  So of equal rows one is
+    judged by what is before it, and the others keep only blank lines.  All
+    lines are judged on the input.  Null texts stay null with 0 lines; an
+    empty table stays empty; other columns are kept (n_lines and n_removed
+    replace columns of those names, in any case); ids that are no integers
+    are refused.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_removed")])
-    pos = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
+    spark = docs.sparkSession
+    plain = docs.select(*document_key(docs, id_col, text_col), F.col(text_col).alias("text"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, number, line = [], [], []
             for k, t in enumerate(strings(batch, "text")):
-                for n, x in _lines(t, min_chars):
+                for n, x in _lines(t):
                     row.append(k)
                     number.append(n)
                     line.append(x)
             h, halves = line_keys(line)
+            at = pa.array(row, pa.int64())
+            short = np.fromiter((len(x) < edit_from for x in line), bool, len(line))
+            halves = [None if s else x for s, x in zip(short.tolist(), halves.view(np.int64))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), pa.array(h.view(np.int64)), pa.array(list(halves.view(np.int64)), pa.list_(pa.int64()))],
-                ["id", "no", "h", "halves"],
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(number, pa.int32()), pa.array(h.view(np.int64)), pa.array(halves, pa.list_(pa.int64()))],
+                ["id", "tie", "no", "h", "halves"],
             )
 
-    found = written(map_arrow(docs.select(pos.alias("id"), F.col(text_col).alias("text")), find, "id long, no int, h long, halves array<long>"), "lines")
-    first = found.groupBy("h").agg(F.min(F.struct("id", "no")).alias("first"), F.any_value("halves").alias("halves"))
+    found = written(map_arrow(plain, find, "id long, tie long, no int, h long, halves array<long>"), "lines")
+    first = found.groupBy("h").agg(F.min(F.struct("id", "tie", "no")).alias("first"), F.any_value("halves").alias("halves"))
     first = written(first, "first-lines")
     half = first.select("h", F.explode(F.array_distinct("halves")).alias("half"))
-    own = Window.partitionBy("half")
-    suspect = half.withColumns({"a": F.min("h").over(own), "b": F.max("h").over(own)}).where("a != b").select("h").distinct()
-    where = written(suspect.join(first, "h").select("h", F.col("first.id").alias("id"), F.col("first.no").alias("no")), "suspect-places")
-    per_doc = where.groupBy("id").agg(F.collect_set("no").alias("nos"))
+    # least and greatest are combined before their exchange, and a half that many lines have is no more rows in the join than they are
+    shared = half.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a != b").select("half")
+    suspect = half.join(shared, "half").select("h").distinct()
+    place = [F.col(f"first.{c}").alias(c) for c in ("id", "tie", "no")]
+    where = written(suspect.join(first, "h").select("h", *place), "suspect-places")
+    per_doc = where.groupBy("id", "tie").agg(F.collect_set("no").alias("nos"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             line, owner, number = [], [], []
-            for i, t, nos in zip(batch.column(0).to_pylist(), strings(batch, "text"), batch.column(2).to_pylist()):
+            for k, (t, nos) in enumerate(zip(strings(batch, "text"), batch.column(3).to_pylist())):
                 wanted = set(nos)
-                for n, x in _lines(t, min_chars):
+                for n, x in _lines(t):
                     if n in wanted:
                         line.append(x)
-                        owner.append(i)
+                        owner.append(k)
                         number.append(n)
             h, _ = line_keys(line)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(owner, pa.int64()), pa.array(number, pa.int32()), pa.array(line, pa.string())], ["h", "id", "no", "line"])
+            at = pa.array(owner, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(number, pa.int32()), pa.array(line, pa.string())], ["h", "id", "tie", "no", "line"])
 
-    texts = docs.select(pos.alias("id"), F.col(text_col).alias("text")).join(per_doc.hint("merge"), "id").select("id", "text", "nos")
-    # of rows with one id and different texts, the lines that are firsts are found by their hash
-    suspects = written(map_arrow(texts, cut, "h long, id long, no int, line string").join(where, ["h", "id", "no"]).dropDuplicates(["h"]), "suspect-lines")
+    texts = plain.join(per_doc.hint("merge"), ["id", "tie"]).select("id", "tie", "text", "nos")
+    # equal rows give a line more than once
+    suspects = written(map_arrow(texts, cut, "h long, id long, tie long, no int, line string").dropDuplicates(["h"]), "suspect-lines")
 
     def neighbourhood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner, place, key = variants(strings(batch, "line"))
             for k in range(0, len(owner), 1 << 16):
                 o = pa.array(owner[k : k + (1 << 16)])
-                yield pa.RecordBatch.from_arrays([pa.array(key[k : k + (1 << 16)].view(np.int64)), pa.array(place[k : k + (1 << 16)], pa.int32()), *(batch.column(c).take(o) for c in (0, 1, 2))], ["key", "place", "h", "id", "no"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[k : k + (1 << 16)].view(np.int64)), pa.array(place[k : k + (1 << 16)], pa.int32()), *(batch.column(c).take(o) for c in range(4))], ["key", "place", "h", "id", "tie", "no"])
 
-    v = map_arrow(suspects.select("h", "id", "no", "line"), neighbourhood, "key long, place int, h long, id long, no int")
-    v = v.repartition(parallelism(docs.sparkSession), "key").sortWithinPartitions("key", "place", "id", "no", "h")
+    v = map_arrow(suspects.select("h", "id", "tie", "no", "line"), neighbourhood, "key long, place int, h long, id long, tie long, no int")
+    v = v.repartition(parallelism(spark), "key").sortWithinPartitions("key", "place", "id", "tie", "no", "h")
     pair = map_arrow(v, _joined_variants, "h long, other long").distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,42 +225,36 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_()))], ["h"])
 
     both = pair.join(suspects.select("h", "line"), "h").join(suspects.select(F.col("h").alias("other"), F.col("line").alias("other_line")), "other")
-    near = written(map_arrow(both.select("h", "line", "other_line"), verify, "h long").distinct(), "near-lines").withColumn("near", F.lit(True))
+    near = written(map_arrow(both.select("h", "line", "other_line"), verify, "h long").distinct(), "near-lines")
+    release(where, suspects)
 
-    marked = found.select("id", "no", "h").join(first.select("h", "first").join(near, "h", "left"), "h")
-    gone = marked.where(F.col("near").isNotNull() | (F.col("first.id") != F.col("id")) | (F.col("first.no") != F.col("no")))
-    gone = written(gone.groupBy("id").agg(F.collect_set(F.struct("no", "h")).alias("gone")), "removed-lines")
+    marked = found.select("id", "tie", "no", "h").join(first.select("h", "first").join(near.withColumn("near", F.lit(True)), "h", "left"), "h")
+    gone = marked.where(F.col("near").isNotNull() | (F.col("first.id") != F.col("id")) | (F.col("first.tie") != F.col("tie")) | (F.col("first.no") != F.col("no")))
+    gone = written(gone.groupBy("id", "tie").agg(F.collect_set("no").alias("gone")), "removed-lines")
+    release(found, first, near)
 
-    extra = free_name(docs, "gone")
-    key = free_name(docs, "key")
+    key, tie, extra, number = (free_name(docs, x) for x in ("key", "tie", "gone", "number"))
     names = docs.columns
-    joined = docs.withColumn(key, pos).join(gone.toDF(key, extra).hint("merge"), key, "left").drop(key)
+    id_, tie_ = document_key(docs, id_col, text_col)
+    joined = docs.withColumns({key: id_, tie: tie_}).join(gone.toDF(key, tie, extra).hint("merge"), [key, tie], "left")
+    joined = joined.withColumn(number, F.row_number().over(Window.partitionBy(key, tie).orderBy(tie)))
     at = names.index(text_col)
-    schema = joined.drop(extra).schema.add("n_lines", "long").add("n_removed", "long")
+    schema = docs.schema.add("n_lines", "long").add("n_removed", "long")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = batch.column(at).to_pylist()
-            lists = batch.column(len(names))
-            drop = [None if x is None else {(d["no"], d["h"]) for d in x} for x in lists.to_pylist()]
             text, lines, removed = [], [], []
-            for t, d in zip(raw, drop):
+            for t, drop, copy in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()):
                 parts = t.split("\n") if t else []
                 lines.append(len(parts))
-                if d:
-                    held = _lines(t or "", min_chars)
-                    h = line_keys([x for _, x in held])[0].view(np.int64).tolist()
-                    out = {n for (n, _), y in zip(held, h) if (n, y) in d}
-                    t = "\n".join([x for k, x in enumerate(parts) if k not in out])
-                    removed.append(len(out))
-                else:
-                    removed.append(0)
-                text.append(t)
+                out = {k for k, _ in _lines(t or "")} if copy > 1 else set(drop or ())
+                removed.append(len(out))
+                text.append("\n".join([x for k, x in enumerate(parts) if k not in out]) if out else t)
             columns = list(batch.columns[: len(names)])
             columns[at] = pa.array(text, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], [*names, "n_lines", "n_removed"])
 
-    return map_arrow(joined.select(*[f"`{c}`" for c in names], extra), rebuild, schema)
+    return map_arrow(joined.select(*[f"`{c}`" for c in names], extra, number), rebuild, schema)
 
 
 def digest(docs: DataFrame, text_col: str = "text") -> DataFrame:

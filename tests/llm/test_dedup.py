@@ -181,6 +181,26 @@ def test_within_one_edit():
     assert linededup.within_one_edit("", "a") and not linededup.within_one_edit("abc", "bac") and not linededup.within_one_edit("abc", "a")
 
 
+def brute_lines(rows):
+    before, want = [], []
+    for i, t in in_order(rows):
+        kept, removed = [], 0
+        for line in (t or "").split("\n"):
+            x = line.strip()
+            near = any(x == y or min(len(x), len(y)) >= linededup.EDIT_FROM and linededup.within_one_edit(x, y) for y in before)
+            if x and near:
+                removed += 1
+            else:
+                kept.append(line)
+            before.append(x)
+        want.append((str(i), None if t is None else "\n".join(kept), len(t.split("\n")) if t else 0, removed))
+    return sorted(want, key=str)
+
+
+def line_results(frame):
+    return sorted(((str(r.doc_id), r.text, r.n_lines, r.n_removed) for r in linededup.dedup_lines(frame).collect()), key=str)
+
+
 def test_lines_equal_brute_force(spark):
     rng = random.Random(6)
     base = [" ".join(words(rng, 4)) for _ in range(25)] + ["a" * 20, "ab" * 12]
@@ -190,24 +210,20 @@ def test_lines_equal_brute_force(spark):
         for _ in range(rng.randrange(6)):
             x = rng.choice(base)
             k = rng.randrange(len(x))
-            lines.append(rng.choice([x, x[:k] + x[k + 1 :], x[:k] + "Z" + x[k + 1 :], x[:k] + "Q" + x[k:], " " + x, "short"]))
+            lines.append(rng.choice([x, x[:k] + x[k + 1 :], x[:k] + "Z" + x[k + 1 :], x[:k] + "Q" + x[k:], " " + x, "short", "shirt", "", "  "]))
         rows.append((i, "\n".join(lines)))
-    rows += [(40, None), (None, base[0])]
-    ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
-    before, want = [], {}
-    for i, t in ordered:
-        kept = []
-        for line in (t or "").split("\n"):
-            x = line.strip()
-            if len(x) < linededup.MIN_CHARS:
-                kept.append(line)
-                continue
-            if not any(linededup.within_one_edit(x, y) for y in before):
-                kept.append(line)
-            before.append(x)
-        want[i] = None if t is None else "\n".join(kept)
-    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, DOC).repartition(3)).collect()}
-    assert got == want
+    rows += [(40, None), (None, base[0]), (41, "é\n\n" + "long " * 40_000 + "\né")]
+    assert line_results(spark.createDataFrame(rows, DOC).repartition(3)) == brute_lines(rows)
+
+
+def test_lines_of_repeated_rows_and_null_ids(spark):
+    rng = random.Random(16)
+    a, b, c = ("\n".join(" ".join(words(rng, 4)) for _ in range(4)) for _ in range(3))
+    rows = [(1, a), (1, a), (1, b + "\n" + a[:30]), (2, b), (None, a), (None, c), (None, c), (None, None), (None, None), (3, "x\nx\ny"), (3, "x\nx\ny"), (4, "")]
+    assert line_results(spark.createDataFrame(rows, DOC).repartition(4)) == brute_lines(rows)
+    assert line_results(spark.createDataFrame(rows, DOC).withColumn("doc_id", F.col("doc_id").cast("int"))) == brute_lines(rows)
+    with pytest.raises(TypeError):
+        linededup.dedup_lines(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
 def test_substitutions_beside_equal_characters(spark):
