@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -25,6 +25,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     if not seen[0]:
         return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     while True:
+        e0 = e
         # large star: neighbours above u go to the least neighbour of u
         both = e.union(e.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -33,6 +34,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         e = e.join(least, "u").select("v", "m").where("v != m").union(least).toDF("u", "v").distinct()
         e = written(e, "edges")
+        release(e0)
         now = _state(e)
         if now == seen:
             break

@@ -9,8 +9,12 @@ weighted Jaccard similarity.  At similarity 0.8 a pair shares one of the 10
 bands with probability 0.999.
 
 Document frequencies are counted over all documents in a table of fixed size
-(2**18 counters, shared by the shingles that hash to them); the noise this
-adds is the same part of the documents at every size.
+(2**20 counters, shared by the shingles that hash to them).  A counter holds
+about (distinct shingles of a mean document) / 2**20 of all documents on top
+of the frequency of its most frequent shingle, whatever the corpus, so a
+shingle more frequent than that has its own weight, and the weights of rarer
+ones are alike.  Texts are shingled once; frequencies, signatures and
+verification read that table.
 """
 
 from __future__ import annotations
@@ -19,21 +23,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, map_arrow, parallelism, strings, written
+from .common import free_name, map_arrow, parallelism, release, strings, written
 from .components import connected_components
 from .textnum import U64, chunks, splitmix, word_hashes
 
 WORDS, BANDS, ROWS = 5, 10, 3
 SAMPLES = BANDS * ROWS
-DF_BITS, DF_CHUNKS = 18, 16
-#: A shingle's weight runs from 1 (in every document) to 1 + IDF_SHARE (in hardly any).  The
-#: share is small so that the common part of a large group of near copies keeps its weight.
-IDF_SHARE = 0.5
+DF_BITS, DF_CHUNKS = 20, 64
 #: Documents of a bucket that meet in one task when members of several classes are left.
-BLOCK = 192
+BLOCK = 512
 
 _DRAWS = 1 << 16
 _rng = np.random.default_rng(5)
@@ -42,7 +43,6 @@ _LOG_C = np.log(_rng.gamma(2.0, 1.0, _DRAWS)).astype(np.float32)
 _BETA = _rng.random(_DRAWS).astype(np.float32)
 _INVERSE_R = (1 / _R).astype(np.float32)
 _PICK = splitmix(np.arange(1, SAMPLES + 1, dtype=U64)) | U64(1)
-_LOG_TF = np.log(np.maximum(np.arange(1 << 16), 1)).astype(np.float32)
 
 
 def shingles(texts: list[str], n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -75,21 +75,28 @@ def profiles(texts: list[str]) -> Iterator[np.ndarray]:
             yield np.sort(u[s:e])
 
 
-def weight_table(docs: DataFrame, text_col: str) -> np.ndarray:
-    """The smoothed IDF weight of every counter, from counts over all documents."""
+def _profile(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint32)
+
+
+def idf(df: np.ndarray, n: int) -> np.ndarray:
+    """Smoothed inverse document frequency: 1 for a shingle that every document has."""
+    return (1 + np.log((1 + n) / (1 + np.minimum(df, n)))).astype(np.float32)
+
+
+def weight_table(shingled: DataFrame) -> np.ndarray:
+    """The IDF of every counter, from counts over all documents (column ``profile``)."""
     size = 1 << DF_BITS
     step = size // DF_CHUNKS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(size, np.int64), 0
         for batch in batches:
-            texts = strings(batch, text_col)
-            n += len(texts)
-            for p in profiles(texts):
-                if len(p):
-                    total += np.bincount(np.unique(p >> np.uint32(32 - DF_BITS)), minlength=size) if len(p) > 50_000 else 0
-                    if len(p) <= 50_000:
-                        total[np.unique(p >> np.uint32(32 - DF_BITS))] += 1
+            raws = batch.column(0).to_pylist()
+            n += len(raws)
+            for raw in raws:
+                c = _profile(raw) >> np.uint32(32 - DF_BITS)
+                total[c[np.append(True, c[1:] != c[:-1])] if len(c) else c] += 1
         if n:
             rows = [total[k : k + step].tobytes() for k in range(0, size, step)]
             yield pa.RecordBatch.from_arrays([pa.array([*range(DF_CHUNKS), -1]), pa.array([*rows, np.array([n]).tobytes()], pa.binary())], ["part", "counts"])
@@ -100,15 +107,14 @@ def weight_table(docs: DataFrame, text_col: str) -> np.ndarray:
             total = total + np.frombuffer(raw, np.int64)
         return pa.table({"part": t.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
-    counted = map_arrow(docs.select(text_col), run, "part long, counts binary")
+    counted = map_arrow(shingled.select("profile"), run, "part long, counts binary")
     counted = counted.withColumn("salt", F.spark_partition_id() % 1024)
     part = {}
     first = counted.groupBy("part", "salt").applyInArrow(add, "part long, counts binary")
     for k, raw in first.groupBy("part").applyInArrow(add, "part long, counts binary").collect():  # DF_CHUNKS + 1 rows
         part[k] = np.frombuffer(raw, np.int64)
     n = int(part.pop(-1, np.array([1]))[0])
-    df = np.concatenate([part.get(k, np.zeros(step, np.int64)) for k in range(DF_CHUNKS)])
-    return (1 + IDF_SHARE * np.log1p(n / np.maximum(df, 1)) / np.log1p(n)).astype(np.float32)
+    return idf(np.concatenate([part.get(k, np.zeros(step, np.int64)) for k in range(DF_CHUNKS)]), n)
 
 
 def band_keys(profile: list[np.ndarray], log_weight: np.ndarray) -> list[list[int]]:
@@ -121,7 +127,7 @@ def band_keys(profile: list[np.ndarray], log_weight: np.ndarray) -> list[list[in
     size = np.array([len(x) for x in one])
     u = np.concatenate(one)
     tf = np.concatenate(times)
-    log_s = _LOG_TF[np.minimum(tf, len(_LOG_TF) - 1)] + log_weight[u >> np.uint32(32 - DF_BITS)]
+    log_s = np.log(tf).astype(np.float32) + log_weight[u >> np.uint32(32 - DF_BITS)]
     begin = np.cumsum(size) - size
     wide = splitmix(u.astype(U64))
     drawn = np.zeros((len(full), SAMPLES), U64)
@@ -168,72 +174,84 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     """Classes of documents linked by a weighted Jaccard similarity of at least ``threshold``.
 
     Returns one row per input row: (id_col, class_id: the least id of its
-    class, kept: id = class_id).  Equal texts (null as empty) are one class;
-    so are, by transitivity, all that links join.  Texts without words link
-    only with equal ones.  Rows whose id is null get a null class and are
-    kept.  Rows of one id with different texts share a class.
-
-    No pair is made of copies.  Members of a bucket are first compared with
-    its least member; only where that leaves several classes in a bucket are
-    members of different classes compared, in blocks, so every candidate pair
-    is either compared or already in one class.
+    class, null if no row of the class has one; kept).  Equal texts (null as
+    empty) are one class; so are, by transitivity, all that links join.  Texts
+    without words link only with equal ones.  The row with the least id is
+    kept, null ids last and of one id the text of the smaller hash; equal rows
+    that both are it are both marked.  An empty table stays empty; other
+    columns are not read.
+
+    No pair is made of copies: a node is a distinct text, known by its 64-bit
+    hash.  Members of a bucket are first compared with its least member; only
+    where that leaves several classes in a bucket are members of different
+    classes compared, in blocks, so every candidate pair is either compared or
+    already in one class.
     """
+    out = _classified(docs, threshold, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), F.col("first.id").alias("class_id"), _is_first().alias("kept"))
+
+
+def _is_first() -> Column:
+    return F.col("id").eqNullSafe(F.col("first.id")) & (F.col("node") == F.col("first.node"))
+
+
+def _classified(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """(id, node: hash of the text, first: (none, id, node) of the row that its class keeps), a row per row of ``docs``."""
     spark = docs.sparkSession
-    weight = weight_table(docs, text_col)
-    shared = spark.sparkContext.broadcast((weight, np.log(weight)))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("node"), text.alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
 
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([p.tobytes() for p in profiles(strings(batch, "text"))], pa.binary())], ["id", "node", "profile"])
+
+    shingled = written(map_arrow(rows, shingle, f"id {id_type}, node long, profile binary"), "shingles")
+    weight = weight_table(shingled)
+    shared = spark.sparkContext.broadcast((weight, np.log(weight)))  # 2**DF_BITS counters
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log_weight = shared.value[1]
         for batch in batches:
-            texts = strings(batch, "text")
+            profile = [_profile(raw) for raw in batch.column(2).to_pylist()]
             keys: list[list[int]] = []
-            for a, b in chunks(texts):
-                keys += band_keys(list(profiles(texts[a:b])), log_weight)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(keys, pa.list_(pa.int64()))], ["id", "h1", "h2", "bands"])
-
-    signed = written(map_arrow(rows, sign, f"id {id_type}, h1 long, h2 long, bands array<long>"), "signatures")
-    known = signed.where("id is not null")
-    classes = written(known.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.any_value("bands").alias("bands")), "text-classes")
+            for a, b in chunks(profile):
+                keys += band_keys(profile[a:b], log_weight)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], ["id", "node", "bands"])
+
+    signed = map_arrow(shingled, sign, f"id {id_type}, node long, bands array<long>")
+    # min over (is null, id) puts null ids last
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first")
+    classes = written(signed.groupBy("node").agg(first, F.any_value("bands").alias("bands")), "text-classes")
     member = classes.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
     bucket = member.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot != top").drop("top")
     member = written(member.join(bucket, "bucket"), "bucket-members")
 
-    # a merge join at every size: candidates are a part of all documents, not a small table
-    wanted = member.select("node").distinct().hint("merge")
-    profile_rows = docs.select(F.col(id_col).alias("node"), text.alias("text")).join(wanted, "node", "left_semi")
-
-    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p.tobytes() for p in profiles(strings(batch, "text"))], pa.binary())], ["node", "profile"])
-
-    # a node that several rows have is one text, as the least id of its class
-    shingled = written(map_arrow(profile_rows, profile, f"node {id_type}, profile binary").groupBy("node").agg(F.any_value("profile").alias("profile")), "profiles")
+    # one row of each text; a merge join at every size, as candidates are a part of all documents
+    wanted = classes.select("node", "first.id").join(member.select("node").distinct(), "node", "left_semi").hint("merge")
+    same = (shingled["node"] == wanted["node"]) & shingled["id"].eqNullSafe(wanted["id"])
+    profile = written(shingled.join(wanted, same, "left_semi").groupBy("node").agg(F.any_value("profile").alias("profile")), "profiles")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = shared.value[0]
         for batch in batches:
-            same = [similarity(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32), weight, threshold) >= threshold for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            same = [similarity(_profile(a), _profile(b), weight, threshold) >= threshold for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["u", "v"]).filter(pa.array(same, pa.bool_()))
 
     pairs = member.select("node", "pivot").where("node != pivot").distinct()
-    pairs = pairs.join(shingled, "node").join(shingled.toDF("pivot", "profile_"), "pivot").select("node", "pivot", "profile", "profile_")
-    near = written(map_arrow(pairs, compare, f"u {id_type}, v {id_type}"), "near-pairs")
+    pairs = pairs.join(profile, "node").join(profile.toDF("pivot", "profile_"), "pivot").select("node", "pivot", "profile", "profile_")
+    near = written(map_arrow(pairs, compare, "u long, v long"), "near-pairs")
     part = written(connected_components(near), "near-classes")
     left = _blocks(member, part)
-    rest = left.join(shingled, "node").repartition(parallelism(spark), "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    more = written(map_arrow(rest.select("node", "part", "block", "bucket", "lo", "hi", "profile"), _block_links(shared, threshold), f"u {id_type}, v {id_type}"), "more-pairs")
-    if more.isEmpty():
-        final = part
-    else:
-        final = connected_components(near.union(more))
-    of_class = classes.select("h1", "h2", "node").join(final.toDF("node", "component"), "node", "left")
-    of_class = of_class.select("h1", "h2", F.coalesce("component", "node").alias("class_id"))
-    out = signed.select("id", "h1", "h2").join(of_class, ["h1", "h2"], "left")
-    own = F.when(F.col("id").isNotNull(), F.col("class_id"))
-    return out.select(F.col("id").alias(id_col), own.alias("class_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"))
+    rest = left.join(profile, "node").repartition(parallelism(spark), "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    more = written(map_arrow(rest.select("node", "part", "block", "bucket", "lo", "hi", "profile"), _block_links(shared, threshold), "u long, v long"), "more-pairs")
+    final = part if more.isEmpty() else written(connected_components(near.union(more)), "near-classes")
+    release(member, profile, near, more)
+    joined = classes.select("node", "first").join(final.toDF("node", "component"), "node", "left")
+    joined = joined.select("node", "first", F.coalesce("component", "node").alias("component"))
+    least = joined.groupBy("component").agg(F.min("first").alias("first"))
+    of_class = joined.select("node", "component").join(least, "component").select("node", "first")
+    return shingled.select("id", "node").join(of_class, "node")
 
 
 def _blocks(member: DataFrame, part: DataFrame) -> DataFrame:
@@ -340,12 +358,12 @@ def _block_links(shared, threshold: float):
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each class of :func:`near_duplicates`; rows with a null id stay.
-
-    Of several rows with the id that is kept, the one whose text hashes lowest stays.
-    """
-    kept = near_duplicates(docs, threshold, id_col, text_col).where(F.col("kept") & F.col(id_col).isNotNull()).select(id_col).distinct()
-    number = free_name(docs, "number")
-    one = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    whole = docs.join(kept, id_col, "left_semi").withColumn(number, F.row_number().over(one)).where(F.col(number) == 1).drop(number)
-    return whole.select(*[f"`{c}`" for c in docs.columns]).union(docs.where(F.col(id_col).isNull()))
+    """``docs`` with one row of each class of :func:`near_duplicates`, with all its columns; of equal rows one stays."""
+    first = _classified(docs, threshold, id_col, text_col).where(_is_first()).select("id", "node").distinct()
+    number, key, node = (free_name(docs, x) for x in ("number", "key", "node"))
+    rows = docs.withColumn(node, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    kept = first.toDF(key, node).hint("merge")
+    whole = rows.join(kept, (rows[node] == kept[node]) & rows[id_col].eqNullSafe(kept[key]), "left_semi")
+    one = Window.partitionBy(node, id_col).orderBy(node)
+    whole = whole.withColumn(number, F.row_number().over(one)).where(F.col(number) == 1)
+    return whole.select(*[f"`{c}`" for c in docs.columns])
