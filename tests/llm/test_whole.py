@@ -21,16 +21,28 @@ def docs(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
 
 
-def test_token_counts(spark, docs):
+@pytest.mark.parametrize("frequent", [tokens.FREQUENT, 40, 0])
+def test_token_counts(spark, docs, frequent):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     rows = [(r.doc_id, r.text) for r in docs.collect()] + ODD
-    got = tokens.token_counts(spark.createDataFrame(rows, DOC), P.path("byte_bpe_50k.json")).collect()
+    got = tokens.token_counts(spark.createDataFrame(rows, DOC), P.path("byte_bpe_50k.json"), frequent=frequent).collect()
     want = sorted((str(i), len((x or "").encode()), n := len(t.encode(x or "", add_special_tokens=False).ids), n > 512) for i, x in rows)
     assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in got) == want
 
 
+def test_each_distinct_pre_token_is_counted_once(spark):
+    rows = [(1, "a word, a word"), (2, " word a"), (3, None), (4, "a<|endoftext|>b")]
+    got = {r.piece: (r.frequency, r.tokens) for r in tokens.pre_token_table(spark.createDataFrame(rows, DOC), P.path("byte_bpe_50k.json")).collect()}
+    assert got == {"a": (2, 1), " word": (3, 1), ",": (1, 1), " a": (2, 1), "b": (1, 1)}
+
+
+def test_files_that_split_otherwise_are_refused():
+    with pytest.raises(ValueError):
+        tokens.LibraryPieces(P.path("word_bpe_49k.json"), False, 10)
+
+
 def test_bpe_digests(spark):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     got = bpe.encode_decode(spark.createDataFrame(ODD, DOC), path, with_ids=True).collect()
