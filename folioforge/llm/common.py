@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of one Arrow batch handed to Python, so that long texts do not pile up.
 ARROW_BATCH_BYTES = 16 << 20
@@ -79,6 +80,14 @@ def document_key(df: DataFrame, id_col: str, text_col: str) -> tuple[Column, Col
     return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tie")
 
 
+def with_fields(df: DataFrame, *fields: tuple[str, str]) -> StructType:
+    """The schema of ``df`` with (name, type) fields added; that of ``df`` itself stays as it is."""
+    schema = StructType(list(df.schema.fields))
+    for name, kind in fields:
+        schema = schema.add(name, kind)
+    return schema
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     tune(df.sparkSession)
     return df.mapInArrow(f, schema)

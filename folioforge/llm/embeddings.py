@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, parallelism, written
+from .common import integer_id, map_arrow, parallelism, release, written
 from .components import connected_components
 from .textnum import U64, splitmix
 
@@ -98,25 +98,29 @@ def link_embeddings(df: DataFrame, threshold: float = 0.98, id_col: str = "vec_i
     holds a null or non-finite number, link with nothing (a null id is its
     own, null component and not kept).  Vectors of different length never
     link.  Equal vectors are one class with a count, so copies are linked
-    without a pair being made; other columns are not read.
+    without a pair being made; repeated rows are copies of each other.  An
+    empty table stays empty; ids that are no integers are refused; other
+    columns are not read.
     """
+    id_type = integer_id(df, id_col)
     v = F.col(vector_col)
     usable = (
         F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & v.isNotNull() & (F.size(v) > 0)
         & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
     )
     rows = df.select(
-        F.col(id_col).alias("id"), v.alias("vector"), F.coalesce(usable, F.lit(False)).alias("usable"),
+        F.col(id_col).cast("long").alias("id"), v.alias("vector"), F.coalesce(usable, F.lit(False)).alias("usable"),
         F.xxhash64(label_col, F.size(v)).alias("space"), F.xxhash64(label_col, v).alias("h1"), F.xxhash64(v, F.lit(1), label_col).alias("h2"),
     )
     classes = written(_classes(rows.where("usable")), "vector-classes")
     member = classes.select("node", F.posexplode("codes").alias("t", "code"), "space").select("node", "t", F.xxhash64("space", "t", "code").alias("bucket"))
     size = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    member = member.join(size, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    member = member.withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
-    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    member = member.select("node", "t", "bucket", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    full = member.join(classes.select("node", "m", "unit", "codes"), "node")
+    member = written(member.join(size, "bucket"), "vector-buckets")
+    blocks = member.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
+    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = blocks.select("node", "t", "bucket", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    full = blocks.join(classes.select("node", "m", "unit", "codes"), "node")
     full = full.repartition(parallelism(df.sparkSession), "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,6 +153,7 @@ def link_embeddings(df: DataFrame, threshold: float = 0.98, id_col: str = "vec_i
             yield from groups(rest)
 
     found = written(map_arrow(full, run, "node long, links long, root long"), "vector-links")
+    release(member)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     part = connected_components(found.select("node", "root"), "node", "root").withColumnRenamed("id", "node")
     of_class = classes.select("node", "m").join(links, "node", "left").join(part, "node", "left")
@@ -156,6 +161,6 @@ def link_embeddings(df: DataFrame, threshold: float = 0.98, id_col: str = "vec_i
     joined = rows.select("id", F.when(F.col("usable"), F.col("h1")).alias("h1"), "h2").join(keyed, ["h1", "h2"], "left")
     component = F.coalesce("component", "node", "id")
     return joined.select(
-        F.col("id").alias(id_col), (F.coalesce(F.col("m") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))).alias("n_links"),
-        component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"),
+        F.col("id").cast(id_type).alias(id_col), (F.coalesce(F.col("m") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))).alias("n_links"),
+        component.cast(id_type).alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"),
     )

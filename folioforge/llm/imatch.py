@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, parallelism, strings
+from .common import integer_id, map_arrow, parallelism, release, strings, with_fields, written
+from .sharding import interval
 from .textnum import U64, splitmix, word_hashes
 
 #: The band of document frequency: 1/2000 to 1/5 of the documents, that is an IDF of 1.6 to 7.6.
@@ -28,8 +29,12 @@ BAND = (1 / 2000, 1 / 5)
 SUBSETS = 64
 DIGITS = 6
 EMPTY = "0" * DIGITS
-LOWEST = -(2**63)
+LOWEST, HIGHEST = -(2**63), 2**63 - 1
+#: Rows per range, in expectation, from which the ranges of ids are chosen.
+SAMPLE = 100
 HELD = 400_000
+#: Terms of a lexicon, which every worker holds: beyond it the band has to be narrower.
+LEXICON_TERMS = 1 << 23
 
 _SEEDS = splitmix(np.arange(1, SUBSETS + 1, dtype=U64))
 _KEEP = np.array([int(2.0 ** (62 - 8 * k / (SUBSETS - 1))) for k in range(SUBSETS)], dtype=U64)
@@ -70,8 +75,12 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = BAND, text_col: str = "
     """Sorted hashes of the terms inside the band; its size is bounded as said at BAND."""
     n = docs.count()
     low, high = max(2.0, band[0] * n), band[1] * n
-    chosen = document_frequency(docs, text_col).where((F.col("df") >= low) & (F.col("df") <= high)).select("term")
-    return np.sort(chosen.toPandas()["term"].to_numpy(np.int64).view(U64))
+    chosen = written(document_frequency(docs, text_col).where((F.col("df") >= low) & (F.col("df") <= high)).select("term"), "lexicon")
+    if (size := chosen.count()) > LEXICON_TERMS:
+        raise ValueError(f"{size} terms lie in the band {band}: give a narrower one")
+    terms = np.sort(chosen.toPandas()["term"].to_numpy(np.int64).view(U64))
+    release(chosen)
+    return terms
 
 
 def fingerprint(terms: np.ndarray, lexicon: np.ndarray, text: str) -> str:
@@ -116,7 +125,7 @@ def fingerprints(docs: DataFrame, words: np.ndarray, text_col: str = "text") ->
             texts = strings(batch, text_col)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_prints(texts, shared.value), pa.string())], [*kept, "fingerprint"])
 
-    return map_arrow(plain, run, plain.schema.add("fingerprint", "string"))
+    return map_arrow(plain, run, with_fields(plain, ("fingerprint", "string")))
 
 
 def _prints(texts: list[str], words: np.ndarray) -> list[str]:
@@ -132,36 +141,59 @@ def fingerprints_with_edits(docs: DataFrame, words: np.ndarray, id_col: str = "d
     after the last comes the first.  Null ids come last; rows of one id are
     ordered by a hash of the text.  Returns (id_col, n_chars, edited_sha256,
     fingerprint, edited_fingerprint, near_edited, near_next), one row per
-    input row; a null text is empty.  A single document is its own next.
+    input row; a null text is empty.  A single document is its own next; an
+    empty table gives no rows; ids that are no integers are refused; other
+    columns are not read.
 
-    Rows are dealt once to ranges of the id; each range also gets the rows of
-    the first id of the range after it, so no order over all rows is needed.
+    Rows are dealt once to ranges of (id, hash); each range also gets the
+    first row of the range after it, so no order over all rows is needed.
     """
     spark = docs.sparkSession
-    id_type = docs.schema[id_col].dataType.simpleString()
-    plain = docs.select(F.col(id_col), F.col(text_col), F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("_key"))
-    parts = parallelism(spark)
-    bounds = plain.agg(F.percentile_approx("_key", [k / parts for k in range(1, parts)] or [0.5], 10 * parts + 1000)).first()[0]
-    if not bounds:
+    id_type = integer_id(docs, id_col)
+    # descending ids are ascending complements
+    key = F.bitwise_not(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)))
+    plain = docs.select(F.col(id_col), F.col(text_col), key.alias("_key"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_tie"))
+    rows = plain.count()
+    if not rows:
         return spark.createDataFrame([], _EDIT_SCHEMA.format(id_col, id_type))
-    bounds = sorted(set(bounds))
-    at = F.lit(0)
-    for b in bounds:  # as many terms as partitions
-        at = at + (F.col("_key") < b).cast("int")
-    first = {r[0]: r[1] for r in plain.groupBy(at.alias("p")).agg(F.max("_key")).collect()}  # a row per range
+    parts = parallelism(spark)
+    # the sample only balances the ranges; about SAMPLE rows a range come to the driver
+    chosen = F.pmod(F.xxhash64("_key", "_tie"), F.lit(1 << 40)) < int(min(1.0, SAMPLE * parts / rows) * (1 << 40))
+    sample = sorted((r[0], r[1]) for r in plain.where(chosen).select("_key", "_tie").distinct().collect())
+    bounds = sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
+    bound_key, bound_tie = (np.array([b[k] for b in bounds], np.int64) for k in (0, 1))
+
+    def part_of(batch: pa.RecordBatch, at: int) -> np.ndarray:
+        return interval(bound_key, bound_tie, batch.column(at).to_numpy(), batch.column(at + 1).to_numpy())
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, tuple] = {}
+        for batch in batches:
+            k, t, p = batch.column(0).to_numpy(), batch.column(1).to_numpy(), part_of(batch, 0)
+            order = np.lexsort((t, k, p))
+            for j in order[np.append(True, p[order][1:] != p[order][:-1])].tolist() if len(order) else []:
+                found[int(p[j])] = min(found.get(int(p[j]), (HIGHEST, HIGHEST)), (int(k[j]), int(t[j])))
+        if found:
+            columns = list(found), [x[0] for x in found.values()], [x[1] for x in found.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["p", "k", "t"])
+
+    firsts = map_arrow(plain.select("_key", "_tie"), least, "p long, k long, t long").groupBy("p").agg(F.min(F.struct("k", "t")).alias("m"))
+    first = {r[0]: (r[1].k, r[1].t) for r in firsts.collect()}  # a row per range
     order = sorted(first)
-    ahead = {first[order[(j + 1) % len(order)]]: p for j, p in enumerate(order)}
-    key_before = F.create_map(*[F.lit(x) for k, p in ahead.items() for x in (k, p)])
-    dealt = plain.select("*", F.explode(F.array_compact(F.array(
-        F.struct(at.alias("part"), F.lit(False).alias("ahead")),
-        F.when(F.col("_key").isin(list(ahead)), F.struct(F.try_element_at(key_before, F.col("_key")).alias("part"), F.lit(True).alias("ahead"))),
-    ))).alias("_to"))
-    dealt = (
-        dealt.select(id_col, text_col, "_key", F.col("_to.part").alias("_part"), F.col("_to.ahead").alias("_ahead"), F.xxhash64(text_col).alias("_tie"))
-        .repartitionById(len(bounds) + 1, F.col("_part"))
-        .sortWithinPartitions(F.col("_ahead"), F.col("_key").desc(), F.col("_tie"))
-        .select(id_col, text_col, "_ahead")
-    )
+    before = {first[order[(j + 1) % len(order)]]: p for j, p in enumerate(order)}
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = set()  # first rows that this task has sent ahead: equal rows need not follow
+        for batch in batches:
+            part = part_of(batch, 2)
+            ahead = [(j, place) for j, place in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())) if place in before]
+            ahead = [(j, before[place]) for j, place in ahead if not (place in sent or sent.add(place))]
+            take = pa.array([*range(batch.num_rows), *(j for j, _ in ahead)], pa.int64())
+            more = pa.array(np.append(part, [p for _, p in ahead]).astype(np.int32)), pa.array([False] * batch.num_rows + [True] * len(ahead))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(4)), *more], [id_col, text_col, "_key", "_tie", "_part", "_ahead"])
+
+    dealt = map_arrow(plain, deal, f"`{id_col}` {id_type}, `{text_col}` string, _key long, _tie long, _part int, _ahead boolean")
+    dealt = dealt.repartitionById(len(bounds) + 1, F.col("_part")).sortWithinPartitions("_ahead", "_key", "_tie").select(id_col, text_col, "_ahead")
     shared = spark.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, strings
+from .common import free_name, map_arrow, strings, with_fields
 from .textnum import LETTER, U64, char_classes, chunks, codepoints, splitmix
 
 DIM_BITS = 13
@@ -26,9 +26,11 @@ DIM = 1 << DIM_BITS
 UNDETERMINED = "und"
 #: Rows per language, in expectation, from which classifiers are learnt.
 SAMPLE_PER_LANGUAGE = 2000
-#: n-grams that count as independent evidence at most.
+#: n-grams that count as independent evidence at most: a longer text gives no higher score than its n-grams agree on.
 EVIDENCE = 40.0
 AMBIGUOUS_MARGIN = 0.2
+#: Weight of a bit whose classifier does no better than guessing.
+LEAST_RELIABLE = 0.05
 _A, _B, _C = (U64(int(x)) for x in splitmix(np.arange(1, 4, dtype=U64)) | U64(1))
 
 
@@ -81,6 +83,7 @@ class Model:
     code: np.ndarray  # languages x bits
     weights: np.ndarray  # DIM x bits
     reliability: np.ndarray  # bits
+    evidence: float = EVIDENCE
 
     def predict(self, count: np.ndarray) -> tuple[str, float, bool]:
         """(language, score, ambiguous) of one vector of counts."""
@@ -89,7 +92,7 @@ class Model:
             return UNDETERMINED, 0.0, True
         if len(self.languages) == 1:
             return self.languages[0], 1.0, False
-        f = (count @ self.weights) * (min(n, EVIDENCE) / n)
+        f = (count @ self.weights) * (min(n, self.evidence) / n)
         loss = (np.logaddexp(0, -self.code * f) * self.reliability).sum(axis=1)
         p = np.exp(loss.min() - loss)
         p /= p.sum()
@@ -102,11 +105,14 @@ def held_out_rule(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(False))
 
 
-def train(docs: DataFrame, held_out: Column, text_col: str = "text", lang_col: str = "lang", sample_per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
+def train(docs: DataFrame, held_out: Column, text_col: str = "text", lang_col: str = "lang", sample_per_language: int = SAMPLE_PER_LANGUAGE, evidence: float = EVIDENCE) -> Model:
     """Learns from rows with a language that are not held out.
 
     About ``sample_per_language`` rows of each language, chosen by a hash of
-    the text, are read whole; the driver gets one vector per language.
+    the text, are read whole, twice: for the n-grams of each language, every
+    one counting once, and for the part of the rows that each bit's classifier
+    gets right.  The driver gets a vector per language and a row per bit.
+    ``evidence`` is the number of n-grams that count as independent at most.
     """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out)
     counts = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}  # one row per language
@@ -123,7 +129,7 @@ def train(docs: DataFrame, held_out: Column, text_col: str = "text", lang_col: s
         total = np.zeros((len(languages), DIM))
         for batch in batches:
             for lang, count in zip(batch.column(0).to_pylist(), ngram_counts(strings(batch, text_col))):
-                total[number[lang]] += count / max(1, count.sum()) * min(count.sum(), 4000)
+                total[number[lang]] += count
         for lang, k in number.items():
             if total[k].any():
                 yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([total[k].tobytes()], pa.binary())], ["k", "sums"])
@@ -134,14 +140,26 @@ def train(docs: DataFrame, held_out: Column, text_col: str = "text", lang_col: s
         total[k] = np.frombuffer(raw)
     p = (total + 0.5) / (total.sum(axis=1, keepdims=True) + 0.5 * DIM)
     code = codewords(len(languages))
-    weights, reliability = np.zeros((DIM, code.shape[1])), np.zeros(code.shape[1])
+    weights = np.zeros((DIM, code.shape[1]))
     for b in range(code.shape[1]):
         yes, no = code[:, b] > 0, code[:, b] < 0
         weights[:, b] = np.log(p[yes].mean(axis=0)) - np.log(p[no].mean(axis=0))
-        # the gap between the nearest languages on either side, in nats of an n-gram
-        margin = p @ weights[:, b]
-        reliability[b] = max(0.05, margin[yes].min() - margin[no].max())
-    return Model(languages, code, weights, reliability / reliability.mean() if len(reliability) else reliability)
+
+    def record(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        right, rows = np.zeros(code.shape[1], np.int64), 0
+        for batch in batches:
+            for lang, count in zip(batch.column(0).to_pylist(), ngram_counts(strings(batch, text_col))):
+                if count.any():
+                    right += np.sign(count @ weights) == code[number[lang]]
+                    rows += 1
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(right))), pa.array(right), pa.array(np.full(len(right), rows))], ["bit", "right", "rows"])
+
+    judged = map_arrow(labelled.where(chosen).select(lang_col, text_col), record, "bit long, right long, rows long")
+    reliability = np.full(code.shape[1], LEAST_RELIABLE)
+    for bit, right, rows in judged.groupBy("bit").agg(F.sum("right"), F.sum("rows")).collect():  # a row per bit
+        reliability[bit] = max(LEAST_RELIABLE, 2 * right / rows - 1)  # 0 for guessing, 1 for no error
+    return Model(languages, code, weights, reliability / reliability.mean() if len(reliability) else reliability, evidence)
 
 
 def _add(t: pa.Table) -> pa.Table:
@@ -154,13 +172,17 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     Only the text is looked at.  A null text, or one without a letter, is
     ``und`` with score 0 and ambiguous; so is every text when no language was
-    learnt.  Repeated rows repeat; ties go to the first language by name.
+    learnt.  Repeated rows repeat; ties go to the first language by name; an
+    empty table stays empty.
     """
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "ambiguous")]
+    return _predicted(docs.select(*[f"`{c}`" for c in kept]), model, text_col, ("lang_pred", "score", "ambiguous"))
+
+
+def _predicted(docs: DataFrame, model: Model, text_col: str, names: tuple[str, str, str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages and bits bound its size
-    schema = docs.select(*[f"`{c}`" for c in kept]).schema
-    for name, kind in (("lang_pred", "string"), ("score", "double"), ("ambiguous", "boolean")):
-        schema = schema.add(name, kind)
+    columns = [*docs.columns, *names]
+    schema = with_fields(docs, *zip(names, ("string", "double", "boolean")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -171,17 +193,18 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                 has = count.any() and any(map(str.isalpha, t))
                 got.append(model.predict(count) if has else (UNDETERMINED, 0.0, True))
             lang, score, doubt = zip(*got) if got else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(doubt, pa.bool_())], [*kept, "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(doubt, pa.bool_())], columns)
 
-    return map_arrow(docs.select(*[f"`{c}`" for c in kept]), run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` without texts that are undetermined or ambiguous between languages.
+    """``docs``, with all its columns, without texts that are undetermined or ambiguous between languages.
 
     Where nothing was learnt, only texts without a letter go.
     """
     if not model.languages:
         return docs.where(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
-    told = identify(docs, model, text_col)
-    return told.where((F.col("lang_pred") != UNDETERMINED) & ~F.col("ambiguous")).drop("lang_pred", "score", "ambiguous")
+    lang, score, doubt = (free_name(docs, x) for x in ("lang_pred", "score", "ambiguous"))
+    told = _predicted(docs, model, text_col, (lang, score, doubt))
+    return told.where((F.col(lang) != UNDETERMINED) & ~F.col(doubt)).drop(lang, score, doubt)

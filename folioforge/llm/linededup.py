@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import document_key, free_name, map_arrow, parallelism, release, strings, written
+from .common import document_key, free_name, map_arrow, parallelism, release, strings, with_fields, written
 from .textnum import _BASE_INVERSE, U64, Prefix, chunks, codepoints, splitmix
 
 #: Lines shorter than this are compared exactly, as one edit would make another word of them.
@@ -239,7 +239,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = docs.withColumns({key: id_, tie: tie_}).join(gone.toDF(key, tie, extra).hint("merge"), [key, tie], "left")
     joined = joined.withColumn(number, F.row_number().over(Window.partitionBy(key, tie).orderBy(tie)))
     at = names.index(text_col)
-    schema = docs.schema.add("n_lines", "long").add("n_removed", "long")
+    schema = with_fields(docs, ("n_lines", "long"), ("n_removed", "long"))
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

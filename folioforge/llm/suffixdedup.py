@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import document_key, free_name, map_arrow, parallelism, strings, written
+from .common import document_key, free_name, map_arrow, parallelism, strings, with_fields, written
 from .induced import Shard
 from .textnum import U64, HashIndex, Prefix, ragged, splitmix
 
@@ -349,9 +349,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     id_, tie_ = document_key(docs, id_col, text_col)
     joined = docs.withColumns({key: id_, tie: tie_}).join(spans.toDF(key, tie, extra).hint("merge"), [key, tie], "left")
     joined = joined.withColumn(number, F.row_number().over(Window.partitionBy(key, tie).orderBy(tie)))
-    schema = docs.schema
-    for name, kind in zip(added, ("long", "long", "long", "string")):
-        schema = schema.add(name, kind)
+    schema = with_fields(docs, *zip(added, ("long", "long", "long", "string")))
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
