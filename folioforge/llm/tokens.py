@@ -167,8 +167,16 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     table = written(pre_token_table(docs, path, text_col), "pre-tokens")
-    plain = F.length("piece") <= FREQUENT_CHARS
-    top = table.where(plain).orderBy(F.desc("frequency"), "piece").limit(frequent).select("piece", "tokens").collect()  # FREQUENT rows of FREQUENT_CHARS characters at most
+    short = table.where(F.length("piece") <= FREQUENT_CHARS)
+    # a row per power of 1.2: the least frequency that at most FREQUENT pre-tokens have
+    step = F.floor(F.log(1.2, F.col("frequency")))
+    least, held = float("inf"), 0
+    for r in sorted(short.groupBy(step).agg(F.min("frequency"), F.count("*")).collect(), key=lambda r: -r[1]):
+        held += r[2]
+        if held > frequent:
+            break
+        least = r[1]
+    top = short.where(F.col("frequency") >= least).select("piece", "tokens").collect()  # FREQUENT rows of FREQUENT_CHARS characters at most
     known = docs.sparkSession.sparkContext.broadcast(([r[0] for r in top], [r[1] for r in top]))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
