@@ -5,15 +5,19 @@ least hash among the K-byte strings in them.  So every window is given to its
 anchor, and the windows of one anchor occurrence, which are consecutive, form
 a context.  Anchors only say which contexts may share windows: contexts whose
 anchor occurs once are done with, all others are cut out of the texts and
-dealt to shards by anchor.  A shard puts the suffixes of its records in order
-by external induced sorting (:mod:`.induced`), whose common prefixes tell
-which windows occurred earlier.  Records that are equal byte for byte are one
+dealt to shards by anchor.  Records that are equal byte for byte are one
 record with its earliest place, in the task that cuts them and in the shard.
+What then shares its anchor, and HALF bytes on one side of it, with another
+record (without which no window can be shared) is sorted: a shard puts the
+suffixes of these records in order by external induced sorting
+(:mod:`.induced`), whose common prefixes tell which windows occurred earlier.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +31,7 @@ from .textnum import U64, HashIndex, Prefix, ragged, splitmix
 
 LENGTH, K = 100, 20
 SPAN = LENGTH - K + 1
+HALF = (LENGTH - K) // 2
 SEGMENT = 1 << 20
 #: Contexts of an anchor beyond which its windows are dealt one by one, so that no shard holds a hot anchor; results are the same.
 HOT_CONTEXTS = 2048
@@ -60,7 +65,7 @@ def _anchor_of(gram: np.ndarray) -> np.ndarray:
 def contexts(texts: list[bytes], pieces: list[tuple[int, int]]):
     """Contexts of pieces (text, from) of at most SEGMENT windows.
 
-    Yields arrays (piece, first window in its text, windows, anchor hash, context hash).
+    Yields arrays (piece, first window in its text, windows, place of the anchor from there, anchor hash, context hash).
     """
     parts = [texts[k][s : s + SEGMENT + LENGTH - 1] for k, s in pieces]
     b = np.frombuffer(b"".join(parts), np.uint8)
@@ -84,7 +89,7 @@ def contexts(texts: list[bytes], pieces: list[tuple[int, int]]):
     whole = splitmix(prefix.slices(first, first + n + LENGTH - 1) ^ splitmix((a - first).astype(U64)))
     start = np.array([s for _, s in pieces], np.int64)
     text = np.array([k for k, _ in pieces], np.int64)
-    yield text[owner], first - begin[owner] + start[owner], n, gram[a], whole
+    yield text[owner], first - begin[owner] + start[owner], n, a - first, gram[a], whole
 
 
 def _pieces(texts: list[bytes]) -> Iterator[list[tuple[int, int]]]:
@@ -110,20 +115,21 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[edge], end[np.append(edge[1:], len(end)) - 1]
 
 
-_FOUND = "kind int, h long, c long, id long, tie long, p long, n long"
+_FOUND = "kind int, h long, id long, tie long, p long, n long, place long"
 _NAMES = [x.split()[0] for x in _FOUND.split(", ")]
+_RECORDS = "h long, c long, id long, tie long, p long, n long, place long, raw binary"
 #: Kinds of rows: a context to be compared, a repeat, a context of a hot anchor.
 PLAIN, REPEAT, HOT = 0, 1, 2
 
 
-def _batch(kind, h, c, doc, tie, p, n) -> pa.RecordBatch:
+def _batch(kind, h, doc, tie, p, n, place) -> pa.RecordBatch:
     size = len(p)
 
     def column(x) -> pa.Array:
         x = np.broadcast_to(x, size)
         return pa.array(x.view(np.int64) if x.dtype == U64 else x.astype(np.int64))
 
-    return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(kind, size).astype(np.int32)), *map(column, (h, c, doc, tie, p, n))], _NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(kind, size).astype(np.int32)), *map(column, (h, doc, tie, p, n, place))], _NAMES)
 
 
 def _changed(*columns: np.ndarray) -> np.ndarray:
@@ -191,18 +197,18 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _batch(kind, *rows)
 
     for batch in batches:
-        kind, *rows = (batch.column(k).to_numpy() for k in range(7))
+        kind, *rows = (batch.column(k).to_numpy() for k in range(len(_NAMES)))
         told = kind == REPEAT
         if told.any():
             yield out([x[told] for x in rows], REPEAT)
             rows = [x[~told] for x in rows]
         if held is not None:
             rows = [np.concatenate(x) for x in zip(held, rows)]
-        h, c, doc, tie, p, n = rows
+        h, doc, tie, p = rows[:4]
         if not len(h):
             continue
         # equal rows of one document (given twice) are one
-        keep = _changed(h, c, doc, tie, p)
+        keep = _changed(h, doc, tie, p)
         rows = [x[keep] for x in rows]
         h = rows[0]
         edge = np.append(np.flatnonzero(_changed(h)), len(h))
@@ -238,20 +244,19 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             ids, ties = (batch.column(k).to_numpy() for k in (0, 1))
             texts = [t.encode() for t in strings(batch, "text")]
             for pieces in _pieces(texts):
-                for text, p, n, h, c in contexts(texts, pieces):
+                for text, p, n, place, h, c in contexts(texts, pieces):
                     doc, tie = ids[text], ties[text]
                     fresh, again = combiner.split(texts, text, doc, tie, p, n, h, c)
-                    yield _batch(PLAIN, h[fresh], c[fresh], doc[fresh], tie[fresh], p[fresh], n[fresh])
+                    yield _batch(PLAIN, h[fresh], doc[fresh], tie[fresh], p[fresh], n[fresh], place[fresh])
                     if len(again):
-                        yield _batch(REPEAT, splitmix(doc[again].astype(U64)), 0, doc[again], tie[again], p[again], n[again])
+                        yield _batch(REPEAT, splitmix(doc[again].astype(U64)), doc[again], tie[again], p[again], n[again], np.zeros(1, np.int64))
 
-    found = map_arrow(plain, find, _FOUND).repartition(parallelism(spark), "h").sortWithinPartitions("h", "c", "id", "tie", "p")
+    found = map_arrow(plain, find, _FOUND).repartition(parallelism(spark), "h").sortWithinPartitions("h", "id", "tie", "p")
     judged = written(map_arrow(found, _candidates, _FOUND), "contexts")
     candidates = judged.where(F.col("kind") != REPEAT)
-    per_doc = candidates.groupBy("id", "tie").agg(F.collect_list(F.struct("p", "n", "h", "c", (F.col("kind") == HOT).alias("hot"))).alias("cut"))
+    per_doc = candidates.groupBy("id", "tie").agg(F.collect_list(F.struct("p", "n", "h", "place", (F.col("kind") == HOT).alias("hot"))).alias("cut"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "c", "id", "tie", "p", "n", "raw"]
         for batch in batches:
             out: list[tuple] = []
             seen: dict[bytes, tuple] = {}
@@ -261,7 +266,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     p, n = x["p"], x["n"]
                     raw = t[p : p + n + LENGTH - 1]
                     if not x["hot"]:
-                        out.append((x["h"], x["c"], i, tie, p, n, raw))
+                        out.append((x["h"], zlib.crc32(raw), i, tie, p, n, x["place"], raw))
                         continue
                     # a repeated window of this batch that is not its earliest goes on without its bytes
                     hash_ = Prefix(np.frombuffer(raw, np.uint8)).slices(np.arange(n), np.arange(n) + LENGTH).view(np.int64).tolist()
@@ -269,44 +274,56 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         w, place = raw[q : q + LENGTH], (i, tie, p + q)
                         before = seen.setdefault(w, place)
                         if place > before:
-                            out.append((hash_[q], 0, i, tie, p + q, 1, None))
+                            out.append((hash_[q], 0, i, tie, p + q, 1, -1, None))
                         else:
                             seen[w] = place
-                            out.append((hash_[q], 0, i, tie, p + q, 1, w))
+                            out.append((hash_[q], 0, i, tie, p + q, 1, -1, w))
                 if len(out) > 50_000:
-                    yield _records(out, names)
+                    yield _records(out)
                     out, seen = [], {}
             if out:
-                yield _records(out, names)
+                yield _records(out)
 
     texts = plain.join(per_doc.hint("merge"), ["id", "tie"]).select("id", "tie", "text", "cut")
-    records = map_arrow(texts, cut, "h long, c long, id long, tie long, p long, n long, raw binary")
+    records = map_arrow(texts, cut, _RECORDS)
     records = records.repartition(parallelism(spark), "h").sortWithinPartitions("h", "c", "id", "tie", "p")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, rows = Shard(LENGTH, memory), []
-        last_key, last_place, head = None, None, None
+        key, last, head = None, None, None  # (anchor, check sum) and place of the last record, and the bytes of the first of its kind
+        group: list[tuple] = []  # different records of the anchor at hand
+
+        def close() -> None:
+            mine = _sharing(group)
+            if mine:
+                shard.add([r[4] for r in mine], np.array([r[3] for r in mine]))
+                rows.extend(r[:3] for r in mine)
+            group.clear()
+
         for batch in batches:
-            h, c, doc, tie, p, n = (batch.column(k).to_numpy() for k in range(6))
-            raws = batch.column(6).to_pylist()
-            fresh, again = np.zeros(len(h), bool), np.zeros(len(h), bool)
-            for k, (key, place, raw) in enumerate(zip(zip(h.tolist(), c.tolist()), zip(doc.tolist(), tie.tolist(), p.tolist()), raws)):
+            columns = [batch.column(k).to_pylist() for k in range(8)]
+            again: list[tuple] = []
+            for h, c, doc, tie, p, n, place, raw in zip(*columns):
                 if raw is None:
-                    again[k] = True
-                elif key != last_key:
-                    fresh[k] = True
-                    last_key, last_place, head = key, place, raw
-                elif place != last_place:  # else an equal row, given twice
-                    last_place = place
-                    fresh[k] = raw != head
-                    again[k] = not fresh[k]
-            if again.any():
-                yield _batch(REPEAT, 0, 0, doc[again], tie[again], p[again], n[again])
-            shard.add([raws[k] for k in np.flatnonzero(fresh).tolist()], n[fresh])
-            rows.append([x[fresh] for x in (doc, tie, p)])
+                    again.append((doc, tie, p, n))
+                    continue
+                if key is None or h != key[0]:
+                    close()
+                if (h, c) != key:
+                    key, last, head = (h, c), (doc, tie, p), raw
+                    group.append((doc, tie, p, n, raw, place))
+                elif (doc, tie, p) != last:  # else an equal row, given twice
+                    last = (doc, tie, p)
+                    if raw == head:
+                        again.append((doc, tie, p, n))
+                    else:
+                        group.append((doc, tie, p, n, raw, place))
+            if again:
+                yield _batch(REPEAT, np.zeros(1, np.int64), *(np.array(x) for x in zip(*again)), np.zeros(1, np.int64))
+        close()
         if not rows:
             return
-        doc, tie, p = (np.concatenate(x) for x in zip(*rows))
+        doc, tie, p = (np.array(x) for x in zip(*rows))
         rank = np.empty(len(doc), np.int64)
         rank[np.lexsort((p, tie, doc))] = np.arange(len(doc))
         for record, at in shard.repeats(rank):
@@ -314,16 +331,32 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             record, at = record[order], at[order]
             edge = np.flatnonzero(_changed(record, at - np.arange(len(at))))
             r = record[edge]
-            yield _batch(REPEAT, 0, 0, doc[r], tie[r], p[r] + at[edge], np.diff(np.append(edge, len(at))))
+            yield _batch(REPEAT, np.zeros(1, np.int64), doc[r], tie[r], p[r] + at[edge], np.diff(np.append(edge, len(at))), np.zeros(1, np.int64))
 
     late = written(map_arrow(records, sort, _FOUND), "sorted-spans")
     spans = judged.where(F.col("kind") == REPEAT).select("id", "tie", "p", "n").union(late.select("id", "tie", "p", "n"))
     return spans.groupBy("id", "tie").agg(F.collect_list(F.struct(F.col("p").alias("s"), (F.col("p") + F.col("n") + (LENGTH - 1)).alias("e"))).alias("spans"))
 
 
-def _records(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+def _sharing(group: list[tuple]) -> list[tuple]:
+    """Of different records of one anchor (the last two fields are bytes and place of the anchor), those that may share a window with another.
+
+    A window they share has HALF bytes at least on one side of the anchor.  A
+    record of one window (place -1) shares none.
+    """
+    if len(group) < 2:
+        return []
+    sides = []
+    for *_, raw, place in group:
+        after = raw[place + K : place + K + HALF]
+        sides.append((raw[place - HALF : place] if place >= HALF else None, after if place >= 0 and len(after) == HALF else None))
+    left, right = (Counter(x) for x in zip(*sides))
+    return [g for g, (a, b) in zip(group, sides) if a is not None and left[a] > 1 or b is not None and right[b] > 1]
+
+
+def _records(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows))
-    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns[:6]), pa.array(columns[6], pa.binary())], names)
+    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns[:-1]), pa.array(columns[-1], pa.binary())], [x.split()[0] for x in _RECORDS.split(", ")])
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, memory: int = SORT_MEMORY) -> DataFrame:

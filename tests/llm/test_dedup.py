@@ -158,7 +158,7 @@ def test_substrings_in_segments(spark):
     def windows():
         got = {}
         for pieces in suffixdedup._pieces(texts):
-            for text, p, n, h, c in suffixdedup.contexts(texts, pieces):
+            for text, p, n, place, h, c in suffixdedup.contexts(texts, pieces):
                 for k, a, m in zip(text.tolist(), p.tolist(), n.tolist()):
                     got.update({(k, a + j): None for j in range(m)})
         return sorted(got)
