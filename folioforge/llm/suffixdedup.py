@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,6 +119,7 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _FOUND = "kind int, h long, id long, tie long, p long, n long, place long"
 _NAMES = [x.split()[0] for x in _FOUND.split(", ")]
 _RECORDS = "h long, c long, id long, tie long, p long, n long, place long, raw binary"
+_RECORD_NAMES = [x.split()[0] for x in _RECORDS.split(", ")]
 #: Kinds of rows: a context to be compared, a repeat, a context of a hot anchor.
 PLAIN, REPEAT, HOT = 0, 1, 2
 
@@ -150,18 +152,23 @@ class _Combiner:
     def split(self, texts: list[bytes], text, doc, tie, p, n, h, c) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the rows to be dealt on, and of the repeats."""
         key = splitmix(h) ^ c
-        order = np.lexsort((p, tie, doc, key))
+        fresh, again = np.ones(len(key), bool), np.zeros(len(key), bool)
+        by = np.argsort(key, kind="stable")
+        new = _changed(key[by])
+        several = np.zeros(len(key), bool)
+        several[by] = ~new
+        several[by[:-1]] |= ~new[1:]
+        rows = np.flatnonzero(several)
+        order = rows[np.lexsort((p[rows], tie[rows], doc[rows], key[rows]))]
         new = _changed(key[order])
         first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        fresh = np.ones(len(key), bool)
-        again = np.zeros(len(key), bool)
         for k, f in zip(order[~new].tolist(), first[~new].tolist()):
             at, size = int(p[k]), int(n[k]) + LENGTH - 1
             if texts[text[k]][at : at + size] == texts[text[f]][p[f] : p[f] + size]:
                 fresh[k] = False
                 # the same place of an equal row is no repeat
                 again[k] = (doc[k], tie[k], p[k]) != (doc[f], tie[f], p[f])
-        heads = np.unique(first[~new]) if not new.all() else np.zeros(0, np.int64)
+        heads = np.unique(first)
         known = self.index.find(key)
         for k in np.flatnonzero(fresh & (known >= 0)).tolist():
             j, at = int(known[k]), int(p[k])
@@ -258,26 +265,33 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
+            texts = [t.encode() for t in strings(batch, "text")]
+            lists = batch.column(3)
+            of = lists.flatten()
+            owner = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+            p, n, h, place = (of.field(k).to_numpy() for k in ("p", "n", "h", "place"))
+            hot = of.field("hot").to_numpy(zero_copy_only=False)
+            ids, ties = (batch.column(k).to_numpy()[owner] for k in (0, 1))
+            plain_rows = np.flatnonzero(~hot)
+            for k in range(0, len(plain_rows), 20_000):
+                at = plain_rows[k : k + 20_000]
+                raw = [texts[o][a:b] for o, a, b in zip(owner[at].tolist(), p[at].tolist(), (p[at] + n[at] + LENGTH - 1).tolist())]
+                check = np.fromiter(map(zlib.crc32, raw), np.int64, len(raw))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (h[at], check, ids[at], ties[at], p[at], n[at], place[at])), pa.array(raw, pa.binary())], _RECORD_NAMES)
+            # windows of hot anchors: of those equal in a batch, all but the earliest go on without their bytes
             seen: dict[bytes, tuple] = {}
-            for i, tie, t, list_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strings(batch, "text"), batch.column(3).to_pylist()):
-                t = t.encode()
-                for x in sorted(list_, key=lambda x: x["p"]):
-                    p, n = x["p"], x["n"]
-                    raw = t[p : p + n + LENGTH - 1]
-                    if not x["hot"]:
-                        out.append((x["h"], zlib.crc32(raw), i, tie, p, n, x["place"], raw))
-                        continue
-                    # a repeated window of this batch that is not its earliest goes on without its bytes
-                    hash_ = Prefix(np.frombuffer(raw, np.uint8)).slices(np.arange(n), np.arange(n) + LENGTH).view(np.int64).tolist()
-                    for q in range(n):
-                        w, place = raw[q : q + LENGTH], (i, tie, p + q)
-                        before = seen.setdefault(w, place)
-                        if place > before:
-                            out.append((hash_[q], 0, i, tie, p + q, 1, -1, None))
-                        else:
-                            seen[w] = place
-                            out.append((hash_[q], 0, i, tie, p + q, 1, -1, w))
+            out: list[tuple] = []
+            rows = np.flatnonzero(hot)
+            for k in rows[np.lexsort((p[rows], owner[rows]))].tolist():
+                i, tie, a, size = int(ids[k]), int(ties[k]), int(p[k]), int(n[k])
+                raw = texts[owner[k]][a : a + size + LENGTH - 1]
+                hash_ = Prefix(np.frombuffer(raw, np.uint8)).slices(np.arange(size), np.arange(size) + LENGTH).view(np.int64).tolist()
+                for q in range(size):
+                    w, where = raw[q : q + LENGTH], (i, tie, a + q)
+                    first = where <= seen.setdefault(w, where)
+                    if first:
+                        seen[w] = where
+                    out.append((hash_[q], 0, i, tie, a + q, 1, -1, w if first else None))
                 if len(out) > 50_000:
                     yield _records(out)
                     out, seen = [], {}
@@ -290,40 +304,48 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, rows = Shard(LENGTH, memory), []
-        key, last, head = None, None, None  # (anchor, check sum) and place of the last record, and the bytes of the first of its kind
-        group: list[tuple] = []  # different records of the anchor at hand
-
-        def close() -> None:
-            mine = _sharing(group)
-            if mine:
-                shard.add([r[4] for r in mine], np.array([r[3] for r in mine]))
-                rows.extend(r[:3] for r in mine)
-            group.clear()
 
+        def anchors(t: pa.Table) -> pa.RecordBatch:
+            """Adds what has to be sorted to the shard, from all records of some anchors; returns the repeats told by equal bytes."""
+            raw = t.column("raw").combine_chunks()
+            h, c, doc, tie, p, n = (t.column(k).to_numpy() for k in range(6))
+            bare = raw.is_null().to_numpy(zero_copy_only=False)
+            place = _changed(h, c, doc, tie, p)  # False for what an equal row, given twice, repeats
+            real = np.flatnonzero(~bare & place)
+            new = _changed(h[real], c[real])
+            head = real[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(real) else real
+            equal = pa.compute.equal(raw.take(pa.array(real)), raw.take(pa.array(head))).to_numpy(zero_copy_only=False)
+            again = np.append(np.flatnonzero(bare), real[equal & ~new])
+            fresh = real[new | ~equal]
+            edge = np.append(np.flatnonzero(_changed(h[fresh])), len(fresh))
+            several = np.flatnonzero(np.diff(edge) > 1)
+            at = fresh[ragged(edge[several], np.diff(edge)[several])]
+            raws, places, chosen, a = raw.take(pa.array(at)).to_pylist(), t.column("place").to_numpy()[at].tolist(), [], 0
+            for size in np.diff(edge)[several].tolist():
+                chosen += [a + k for k in _sharing(raws[a : a + size], places[a : a + size])]
+                a += size
+            if chosen:
+                mine = at[chosen]
+                shard.add([raws[k] for k in chosen], n[mine])
+                rows.append((doc[mine], tie[mine], p[mine]))
+            return _batch(REPEAT, np.zeros(1, np.int64), doc[again], tie[again], p[again], n[again], np.zeros(1, np.int64))
+
+        rest: pa.Table | None = None
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(8)]
-            again: list[tuple] = []
-            for h, c, doc, tie, p, n, place, raw in zip(*columns):
-                if raw is None:
-                    again.append((doc, tie, p, n))
-                    continue
-                if key is None or h != key[0]:
-                    close()
-                if (h, c) != key:
-                    key, last, head = (h, c), (doc, tie, p), raw
-                    group.append((doc, tie, p, n, raw, place))
-                elif (doc, tie, p) != last:  # else an equal row, given twice
-                    last = (doc, tie, p)
-                    if raw == head:
-                        again.append((doc, tie, p, n))
-                    else:
-                        group.append((doc, tie, p, n, raw, place))
-            if again:
-                yield _batch(REPEAT, np.zeros(1, np.int64), *(np.array(x) for x in zip(*again)), np.zeros(1, np.int64))
-        close()
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([rest, t]) if rest is not None else t
+            h = t.column("h").to_numpy()
+            if not len(h):
+                continue
+            k = int(np.flatnonzero(_changed(h))[-1])
+            if k:
+                yield anchors(t.slice(0, k))
+            rest = t.slice(k)
+        if rest is not None:
+            yield anchors(rest)
         if not rows:
             return
-        doc, tie, p = (np.array(x) for x in zip(*rows))
+        doc, tie, p = (np.concatenate(x) for x in zip(*rows))
         rank = np.empty(len(doc), np.int64)
         rank[np.lexsort((p, tie, doc))] = np.arange(len(doc))
         for record, at in shard.repeats(rank):
@@ -338,25 +360,21 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return spans.groupBy("id", "tie").agg(F.collect_list(F.struct(F.col("p").alias("s"), (F.col("p") + F.col("n") + (LENGTH - 1)).alias("e"))).alias("spans"))
 
 
-def _sharing(group: list[tuple]) -> list[tuple]:
-    """Of different records of one anchor (the last two fields are bytes and place of the anchor), those that may share a window with another.
+def _sharing(raws: list[bytes], places: list[int]) -> list[int]:
+    """Numbers of those different records of one anchor, at the given places in them, that may share a window with another.
 
     A window they share has HALF bytes at least on one side of the anchor.  A
     record of one window (place -1) shares none.
     """
-    if len(group) < 2:
-        return []
-    sides = []
-    for *_, raw, place in group:
-        after = raw[place + K : place + K + HALF]
-        sides.append((raw[place - HALF : place] if place >= HALF else None, after if place >= 0 and len(after) == HALF else None))
-    left, right = (Counter(x) for x in zip(*sides))
-    return [g for g, (a, b) in zip(group, sides) if a is not None and left[a] > 1 or b is not None and right[b] > 1]
+    left = [raw[p - HALF : p] if p >= HALF else None for raw, p in zip(raws, places)]
+    right = [raw[p + K : p + K + HALF] if 0 <= p <= len(raw) - K - HALF else None for raw, p in zip(raws, places)]
+    as_left, as_right = Counter(left), Counter(right)
+    return [k for k, (a, b) in enumerate(zip(left, right)) if a is not None and as_left[a] > 1 or b is not None and as_right[b] > 1]
 
 
 def _records(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows))
-    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns[:-1]), pa.array(columns[-1], pa.binary())], [x.split()[0] for x in _RECORDS.split(", ")])
+    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns[:-1]), pa.array(columns[-1], pa.binary())], _RECORD_NAMES)
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, memory: int = SORT_MEMORY) -> DataFrame:
