@@ -141,6 +141,59 @@ def play_order(chapters: DataFrame, html: str = "html") -> DataFrame:
     return rows.select("doc_id", n.alias("play_order"), "chapter_id", "p.label", "p.level")
 
 
+def chapter_types(chapters: DataFrame) -> DataFrame:
+    """Adds ``part``: the part of the book that the title tells, chapter by chapter."""
+    return chapters.withColumn("part", X.chapter_part(F.coalesce("title", F.lit(""))))
+
+
+def ncx(books: DataFrame, chapters: DataFrame) -> DataFrame:
+    """(doc_id, ncx): the older table of contents, one point per chapter in reading order."""
+    n = F.col("idx").cast("string")
+    point = F.concat(F.lit('<navPoint id="n'), n, F.lit('" playOrder="'), n, F.lit('"><navLabel><text>'), X.escape_html(F.col("title")), F.lit('</text></navLabel><content src="Text/'), "chapter_id", F.lit('.xhtml"/></navPoint>'))
+    points = chapters.groupBy("doc_id").agg(F.array_join(_by_pos(point, "idx"), "").alias("points"))
+    head = F.concat(F.lit('<ncx version="2005-1"><head><meta name="dtb:uid" content="urn:uuid:'), "uid", F.lit('"/></head><docTitle><text>'), X.escape_html(F.coalesce("title", F.lit(""))), F.lit("</text></docTitle><navMap>"))
+    return books.join(points, "doc_id").select("doc_id", F.concat(head, "points", F.lit("</navMap></ncx>")).alias("ncx"))
+
+
+def layout_css(css: Column, line_height: str, font_size: str, margin_block: str, margin_inline: str, chars_hint: int = 0) -> Column:
+    """Layout settings in front of a style sheet; with ``chars_hint`` the type is sized for about so many signs a line."""
+    rules = [
+        f":root {{ --line-height: {line_height}; --font-size: {font_size}; --margin-block: {margin_block}; --margin-inline: {margin_inline}; }}",
+        f"html {{ line-height: {line_height}; font-size: {font_size}; }}",
+        f"body {{ padding: {margin_block} {margin_inline}; }}",
+    ]
+    if chars_hint > 0:
+        rules.append(f"body {{ font-size: calc(100vh / ({chars_hint} * 1.8)); }}")
+    return F.concat(F.lit("\n".join(rules) + "\n"), css)
+
+
+def get_or_create_uid(books: DataFrame, known: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``books`` with the uid that ``known`` (key, uid) has for them, or a new fixed one; ``created`` tells which."""
+    from ..sources import fixed_uid
+
+    joined = books.drop("uid").join(known.select(key, F.col("uid").alias("_known")), key, "left")
+    return joined.withColumns({"uid": F.coalesce("_known", fixed_uid(F.col(key))), "created": F.col("_known").isNull()}).drop("_known")
+
+
+#: The two tables of contents in the manifest of a package.
+TABLES = '    <item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>\n    <item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/>\n'
+#: Landmarks by column of :func:`landmarks`: type and label.
+LANDMARKS = (("front", "frontmatter", "Front matter"), ("body", "bodymatter", "Start of content"), ("back", "backmatter", "Back matter"))
+
+
+def landmark_items(chapters: DataFrame) -> DataFrame:
+    """(doc_id, landmarks): the items of the landmarks list; parts that a book lacks have none."""
+    item = lambda c, kind, name: F.coalesce(F.concat(F.lit(f'      <li><a epub:type="{kind}" href="Text/'), c, F.lit(f'.xhtml">{name}</a></li>\n')), F.lit(""))
+    return landmarks(chapters).select("doc_id", F.concat(*[item(*x) for x in LANDMARKS]).alias("landmarks"))
+
+
+def nav_page(chapters: DataFrame) -> DataFrame:
+    """(doc_id, page): the navigation document with contents and landmarks."""
+    head = '<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><head><title>nav</title></head><body>\n  <nav epub:type="toc"><ol>\n'
+    both = nav(chapters).join(landmark_items(chapters), "doc_id")
+    return both.select("doc_id", F.concat(F.lit(head), "toc", F.lit('\n  </ol></nav>\n  <nav epub:type="landmarks" hidden=""><ol>\n'), "landmarks", F.lit("  </ol></nav>\n</body></html>")).alias("page"))
+
+
 def opf(books: DataFrame, chapters: DataFrame, images: DataFrame | None = None) -> DataFrame:
     """(doc_id, opf): metadata, manifest and spine; visual access modes only with images."""
     item = F.concat(F.lit('    <item id="'), "chapter_id", F.lit('" href="Text/'), "chapter_id", F.lit('.xhtml" media-type="application/xhtml+xml"/>'))
@@ -154,8 +207,8 @@ def opf(books: DataFrame, chapters: DataFrame, images: DataFrame | None = None)
     mode = F.when(F.coalesce("n_images", F.lit(0)) > 0, '\n    <meta property="schema:accessMode">visual</meta>').otherwise("")
     x = lambda c: X.escape_html(F.coalesce(F.col(c), F.lit("")))
     return df.select("doc_id", F.concat(
-        F.lit('<package version="3.0" unique-identifier="uid">\n  <metadata>\n    <dc:identifier id="uid">urn:uuid:'), "uid", F.lit("</dc:identifier>\n    <dc:title>"), x("title"), F.lit("</dc:title>\n    <dc:creator>"), x("author"),
-        F.lit('</dc:creator>\n    <dc:language>ja</dc:language>\n    <meta property="schema:accessMode">textual</meta>'), mode, F.lit("\n  </metadata>\n  <manifest>\n"), "manifest", F.lit("\n  </manifest>\n  <spine>\n"), "spine", F.lit("\n  </spine>\n</package>"),
+        F.lit('<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="uid">\n  <metadata xmlns:dc="http://purl.org/dc/elements/1.1/">\n    <dc:identifier id="uid">urn:uuid:'), "uid", F.lit("</dc:identifier>\n    <dc:title>"), x("title"), F.lit("</dc:title>\n    <dc:creator>"), x("author"),
+        F.lit('</dc:creator>\n    <dc:language>ja</dc:language>\n    <meta property="schema:accessMode">textual</meta>'), mode, F.lit("\n  </metadata>\n  <manifest>\n" + TABLES), "manifest", F.lit('\n  </manifest>\n  <spine toc="ncx">\n'), "spine", F.lit("\n  </spine>\n</package>"),
     ).alias("opf"))
 
 
@@ -173,13 +226,14 @@ def edit_metadata(opf_text: Column, title: str | None = None, creator: str | Non
 
 def entries(books: DataFrame, chapters: DataFrame) -> DataFrame:
     """(doc_id, ord, path, stored, content): members of a package in their fixed order, the media type first and stored."""
-    container = '<container version="1.0"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'
+    container = '<container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'
     member = lambda n, path, stored, content: F.struct(F.lit(n).alias("ord"), F.lit(path).alias("path"), F.lit(stored).alias("stored"), F.lit(content).alias("content"))
     fixed = books.select("doc_id", F.inline(F.array(member(0, "mimetype", True, "application/epub+zip"), member(1, "META-INF/container.xml", False, container))))
     package = opf(books, chapters).select("doc_id", F.lit(2).alias("ord"), F.lit("OEBPS/content.opf").alias("path"), F.lit(False).alias("stored"), F.col("opf").alias("content"))
-    toc = nav(chapters).select("doc_id", F.lit(3).alias("ord"), F.lit("OEBPS/nav.xhtml").alias("path"), F.lit(False).alias("stored"), F.col("toc").alias("content"))
-    text = chapters.select("doc_id", (F.col("idx") + 3).alias("ord"), F.concat(F.lit("OEBPS/Text/"), "chapter_id", F.lit(".xhtml")).alias("path"), F.lit(False).alias("stored"), F.col("html").alias("content"))
-    return fixed.union(package).union(toc).union(text)
+    one = lambda df, n, path, content: df.select("doc_id", F.lit(n).alias("ord"), F.lit(path).alias("path"), F.lit(False).alias("stored"), F.col(content).alias("content"))
+    toc, older = one(nav_page(chapters), 3, "OEBPS/nav.xhtml", "page"), one(ncx(books, chapters), 4, "OEBPS/toc.ncx", "ncx")
+    text = chapters.select("doc_id", (F.col("idx") + 4).alias("ord"), F.concat(F.lit("OEBPS/Text/"), "chapter_id", F.lit(".xhtml")).alias("path"), F.lit(False).alias("stored"), F.col("html").alias("content"))
+    return fixed.union(package).union(toc).union(older).union(text)
 
 
 def split_books(chapters: DataFrame) -> DataFrame:

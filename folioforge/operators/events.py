@@ -45,10 +45,15 @@ def p95(values: str) -> Column:
     return F.coalesce(F.expr(f"percentile_disc(0.95) within group (order by {values})"), F.lit(0.0))
 
 
-def floor_index_percentile(values: str, p: float) -> Column:
-    """The value at index floor(n * p) of the sorted values; 0 where there are none."""
-    sorted_ = F.array_sort(F.collect_list(values))
-    return F.coalesce(F.get(sorted_, F.floor(F.size(sorted_) * F.lit(p)).cast("int")), F.lit(0.0))
+def floor_index_percentiles(df: DataFrame, key: str, values: str, of: dict[str, float]) -> DataFrame:
+    """(key, names of ``of``): the value at index floor(n * p) of the sorted values, from counts of each value.
+
+    Counts are combined before their exchange, so a task sees distinct values, not rows.
+    """
+    counts = df.where(F.col(values).isNotNull()).groupBy(key, values).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(key)
+    counts = counts.withColumns({"_upto": F.sum("_c").over(w.orderBy(values)), "_n": F.sum("_c").over(w)})
+    return counts.groupBy(key).agg(*[F.min(F.when(F.col("_upto") > F.floor(F.col("_n") * p), F.col(values))).alias(name) for name, p in of.items()])
 
 
 def floor_rank_percentile(df: DataFrame, keys: list[str], values: str, p: float, name: str) -> DataFrame:
@@ -107,16 +112,17 @@ def period_start(now: Column, period: str, from_now: bool = False) -> Column:
 
 def latency_metrics(df: DataFrame, key: str, value: str) -> DataFrame:
     """Mean, 95th and 99th percentile by floor index, 0 where there are none."""
-    return df.groupBy(key).agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("avg_ms"), floor_index_percentile(value, 0.95).alias("p95_ms"), floor_index_percentile(value, 0.99).alias("p99_ms"))
+    ranks = floor_index_percentiles(df, key, value, {"p95_ms": 0.95, "p99_ms": 0.99})
+    mean = df.groupBy(key).agg(F.avg(value).alias("avg_ms"))
+    return mean.join(ranks, key, "left").select(key, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("avg_ms", "p95_ms", "p99_ms")])
 
 
 def benchmark_stats(df: DataFrame, key: str, value: str) -> DataFrame:
     """Mean, population deviation, extremes, floor-index percentiles and operations a second."""
-    return df.groupBy(key).agg(
-        F.count("*").alias("n"), F.avg(value).alias("avg_ms"), F.stddev_pop(value).alias("stddev_ms"), F.min(value).alias("min_ms"), F.max(value).alias("max_ms"),
-        floor_index_percentile(value, 0.5).alias("p50_ms"), floor_index_percentile(value, 0.95).alias("p95_ms"), floor_index_percentile(value, 0.99).alias("p99_ms"),
-        rate(F.lit(1000.0), F.avg(value)).alias("ops_per_s"),
-    )
+    of = {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}
+    moments = df.groupBy(key).agg(F.count("*").alias("n"), F.avg(value).alias("avg_ms"), F.stddev_pop(value).alias("stddev_ms"), F.min(value).alias("min_ms"), F.max(value).alias("max_ms"))
+    joined = moments.join(floor_index_percentiles(df, key, value, of), key, "left")
+    return joined.select(*moments.columns, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in of], rate(F.lit(1000.0), F.col("avg_ms")).alias("ops_per_s"))
 
 
 def baseline_diff(now: DataFrame, base: DataFrame, key: str, value: str, tolerance: float = 5.0) -> DataFrame:

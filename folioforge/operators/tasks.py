@@ -6,7 +6,7 @@ duration_ms, completed_at, error.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .events import rate
@@ -22,28 +22,30 @@ FIXES = (
 NO_FIX = "Review error details and add specific handling"
 
 
-def running_average(value: str, order: str) -> Column:
-    """The average kept record by record, where a null leaves the sum as it is but still counts.
+def running_averages(df: DataFrame, key: str, order: str, values: tuple[str, ...]) -> DataFrame:
+    """(key, values): averages kept record by record, where a null leaves the average as it is but still counts.
 
-    Its result depends on the order, so it is a fold over the records sorted by ``order``.
+    A value that came as the i-th record enters with weight 1/i, and each later
+    value, as the j-th record, multiplies it by (j - 1)/j.  So the result is a
+    sum over the records, with the product as a running sum of logarithms.
     """
-    seen = F.array_sort(F.collect_list(F.struct(order, F.col(value).cast("double").alias("v"))))
-    start = F.struct(F.lit(0.0).alias("mean"), F.lit(0).alias("n"))
-
-    def step(acc: Column, x: Column) -> Column:
-        n = acc["n"] + 1
-        return F.struct(F.when(x["v"].isNull(), acc["mean"]).otherwise((acc["mean"] * acc["n"] + x["v"]) / n).alias("mean"), n.alias("n"))
-
-    return F.aggregate(seen, start, step, lambda acc: acc["mean"])
+    w = Window.partitionBy(key).orderBy(order)
+    rows = df.select(key, F.row_number().over(w).alias("_i"), *[F.col(v).cast("double").alias(v) for v in values], order)
+    i = F.col("_i")
+    fades = {f"_{v}": F.sum(F.when(F.col(v).isNotNull() & (i > 1), F.log((i - 1) / i)).otherwise(F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, 0)) for v in values}
+    rows = rows.withColumns(fades)
+    mean = lambda v: F.coalesce(F.exp(F.min(f"_{v}")) * F.sum(F.col(v) / i * F.exp(-F.col(f"_{v}"))), F.lit(0.0))  # noqa: E731  the last running sum is the least
+    return rows.groupBy(key).agg(*[mean(v).alias(v) for v in values])
 
 
 def agent_stats(df: DataFrame, order: str = "id") -> DataFrame:
     done, n = F.count_if(F.col("status") == "completed"), F.count("*")
-    return df.groupBy("agent").agg(
+    counts = df.groupBy("agent").agg(
         n.alias("total"), done.alias("successful"), F.count_if(F.col("status") == "failed").alias("failed"), rate(done, n).alias("success_rate"),
-        running_average("quality", order).alias("avg_quality"), running_average("duration_ms", order).alias("avg_duration_ms"),
         F.coalesce(F.avg("quality"), F.lit(0.0)).alias("true_avg_quality"),
     )
+    averages = running_averages(df, "agent", order, ("quality", "duration_ms")).toDF("agent", "avg_quality", "avg_duration_ms")
+    return counts.join(averages, "agent").select("agent", "total", "successful", "failed", "success_rate", "avg_quality", "avg_duration_ms", "true_avg_quality")
 
 
 def health(total: Column, quality: Column, success: Column, q=(90.0, 75.0, 60.0), s=(0.9, 0.75, 0.5)) -> Column:

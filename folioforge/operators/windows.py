@@ -65,65 +65,76 @@ def phases_complete(df: DataFrame, key: str, done: Column, mode: str) -> DataFra
     return df.groupBy(key).agg((F.bool_and(done) if mode == "all" else F.bool_or(done)).alias("complete"))
 
 
-def overlaps(df: DataFrame, key: str, start: str, end: str, order: str) -> DataFrame:
-    """Pairs of intervals of one key that overlap, each pair once."""
-    a, b = df.alias("a"), df.alias("b")
-    meet = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col(f"a.{start}") < F.col(f"b.{end}")) & (F.col(f"b.{start}") < F.col(f"a.{end}")) & (F.col(f"a.{order}") < F.col(f"b.{order}"))
-    return a.join(b, meet).select(F.col(f"a.{key}").alias(key), F.col(f"a.{order}").alias("first"), F.col(f"b.{order}").alias("second"))
+def overlaps(df: DataFrame, key: str, start: str, end: str, order: str, width: int = 86_400_000_000) -> DataFrame:
+    """Pairs of intervals of one key that overlap, each pair once.
 
-
-def circuit_states(df: DataFrame, key: str, time: str, ok: str, failures: int = 5, cooldown_s: float = 60.0, probes: int = 2) -> DataFrame:
+    Time is cut into stretches of ``width``; intervals meet in the stretches
+    they touch, and a pair is taken in the stretch where the later one begins.
+    """
+    slot = F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.greatest(F.col(start), F.col(end)) / width))).alias("_slot")
+    rows = df.select(key, start, end, order, slot)
+    a, b = rows.alias("a"), rows.alias("b")
+    c = lambda side, name: F.col(f"{side}.{name}")
+    meet = (c("a", key) == c("b", key)) & (c("a", "_slot") == c("b", "_slot")) & (c("a", start) < c("b", end)) & (c("b", start) < c("a", end)) & (c("a", order) < c("b", order))
+    own = c("a", "_slot") == F.floor(F.greatest(c("a", start), c("b", start)) / width)
+    return a.join(b, meet & own).select(c("a", key).alias(key), c("a", order).alias("first"), c("b", order).alias("second"))
+
+
+class _Breaker:
+    """The state of one key's circuit breaker."""
+
+    def __init__(self, failures: int, cooldown_s: float, probes: int):
+        self.failures, self.cooldown_s, self.probes = failures, cooldown_s, probes
+        self.state, self.bad, self.good, self.since = "closed", 0, 0, None
+        self.calls = self.rejected = self.opened = 0
+
+    def call(self, t, fine: bool) -> None:
+        self.calls += 1
+        if self.state == "open":
+            if (t - self.since).total_seconds() < self.cooldown_s:
+                self.rejected += 1
+                return
+            self.state, self.good = "half_open", 0
+        if not fine:
+            self.bad += 1
+            if self.state == "half_open" or self.bad >= self.failures:
+                self.state, self.since, self.bad, self.opened = "open", t, 0, self.opened + 1
+            return
+        self.bad = 0
+        if self.state == "half_open":
+            self.good += 1
+            if self.good >= self.probes:
+                self.state = "closed"
+
+
+def circuit_states(df: DataFrame, key: str, time: str, ok: str, failures: int = 5, cooldown_s: float = 60.0, probes: int = 2, order: tuple[str, ...] = ()) -> DataFrame:
     """Replays a circuit breaker per key: (key, calls, rejected, opened, state).
 
     Closed opens after ``failures`` failures in a row; after the cooldown a
     call half-opens it; ``probes`` successes close it, a failure opens it
-    again.  Calls while it is open are rejected.  State moves row by row, so
-    this is a grouped fold; rows of a key come in Arrow batches, and only the
-    state is kept between them.
+    again.  Calls while it is open are rejected.  Calls come by time and then
+    by ``order``.  State moves call by call, so this is a fold over sorted
+    Arrow batches; only the state of the key at hand is kept between them.
     """
     schema = f"{key} {df.schema[key].dataType.simpleString()}, calls long, rejected long, opened long, state string"
-
-    def replay(group, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, bad, good, since = "closed", 0, 0, None
-        calls = rejected = opened = 0
-        for frame in frames:
-            for t, fine in zip(frame[time], frame[ok]):
-                calls += 1
-                if state == "open":
-                    if (t - since).total_seconds() < cooldown_s:
-                        rejected += 1
-                        continue
-                    state, good = "half_open", 0
-                if fine:
-                    bad = 0
-                    if state == "half_open":
-                        good += 1
-                        if good >= probes:
-                            state = "closed"
-                else:
-                    bad += 1
-                    if state == "half_open" or bad >= failures:
-                        state, since, bad, opened = "open", t, 0, opened + 1
-        yield pd.DataFrame([[group[0], calls, rejected, opened, state]], columns=[key, "calls", "rejected", "opened", "state"])
+    names = [key, "calls", "rejected", "opened", "state"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by key and time."""
-        held, last = [], None
+        last, breaker = None, None
         for frame in batches:
-            edge = [0, *(i for i in range(1, len(frame)) if frame[key].iat[i] != frame[key].iat[i - 1]), len(frame)]
-            for a, b in zip(edge[:-1], edge[1:]):
-                part = frame.iloc[a:b]
-                if not len(part):
-                    continue
-                if last is not None and part[key].iat[0] != last:
-                    yield from replay((last,), iter(held))
-                    held = []
-                last = part[key].iat[0]
-                held.append(part)
-        if held:
-            yield from replay((last,), iter(held))
-
-    return df.select(key, time, ok).repartition(key).sortWithinPartitions(key, time).mapInPandas(run, schema)
+            out = []
+            for k, t, fine in zip(frame[key], frame[time], frame[ok]):
+                if breaker is None or k != last:
+                    if breaker is not None:
+                        out.append((last, breaker.calls, breaker.rejected, breaker.opened, breaker.state))
+                    last, breaker = k, _Breaker(failures, cooldown_s, probes)
+                breaker.call(t, fine)
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if breaker is not None:
+            yield pd.DataFrame([(last, breaker.calls, breaker.rejected, breaker.opened, breaker.state)], columns=names)
+
+    return df.select(key, time, ok, *order).repartition(key).sortWithinPartitions(key, time, *order).mapInPandas(run, schema)
 
 
 def greedy_segments(df: DataFrame, key: str, order: str, size: str, budget: float) -> DataFrame:

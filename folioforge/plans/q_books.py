@@ -1,7 +1,5 @@
 """Queries over books derived from documents."""
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -11,7 +9,7 @@ from .registry import ORACLE, derived, query, table
 
 BOOKS = (
     "select doc_id, concat('Title ', source, chr(10), case when doc_id % 3 = 0 then chr(10) else '' end, case when doc_id % 2 = 0 then concat('まえがき', chr(10), 'first & \"line\"', chr(10), chr(10)) else '' end, "
-    "'第1章 ', lang, chr(10), substring(text, 1, 200), chr(10), chr(10), 'second <b>', chr(10), case when doc_id % 5 = 0 then concat('Chapter 2', chr(10)) else '' end, 'Chapter 3', chr(10), 'end of ', lang, chr(10), 'あとがき', chr(10), 'bye') as text from documents"
+    "'第1章 ', lang, chr(10), text, chr(10), chr(10), 'second <b>', chr(10), case when doc_id % 5 = 0 then concat('Chapter 2', chr(10)) else '' end, 'Chapter 3', chr(10), 'end of ', lang, chr(10), 'あとがき', chr(10), 'bye') as text from documents"
 )
 W = f"""with b as ({BOOKS}), l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) as pos from b),
   f as (select *, pos > 0 and regexp_matches({strip_sql('line')}, '{X.HEADING}') as is_head from l), s as (select *, sum(cast(is_head as int)) over (partition by doc_id order by pos) as sec from f),
@@ -72,8 +70,8 @@ def w4_k4_play_order(spark, sf, sql=BOOKS):
 
 
 OPF = f"""{W}, m as (select doc_id, string_agg(concat('    <item id="', chapter_id, '" href="Text/', chapter_id, '.xhtml" media-type="application/xhtml+xml"/>'), chr(10) order by idx) as manifest, string_agg(concat('    <itemref idref="', chapter_id, '"/>'), chr(10) order by idx) as spine from ch group by 1),
-  o as (select d.doc_id, concat('<package version="3.0" unique-identifier="uid">', chr(10), '  <metadata>', chr(10), '    <dc:identifier id="uid">urn:uuid:u', d.doc_id, '</dc:identifier>', chr(10), '    <dc:title>Title ', source, '</dc:title>', chr(10), '    <dc:creator>', lang, '</dc:creator>', chr(10), '    <dc:language>ja</dc:language>', chr(10),
-  '    <meta property="schema:accessMode">textual</meta>', chr(10), '  </metadata>', chr(10), '  <manifest>', chr(10), manifest, chr(10), '  </manifest>', chr(10), '  <spine>', chr(10), spine, chr(10), '  </spine>', chr(10), '</package>') as opf from documents d join m on d.doc_id = m.doc_id)"""
+  o as (select d.doc_id, concat('<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="uid">', chr(10), '  <metadata xmlns:dc="http://purl.org/dc/elements/1.1/">', chr(10), '    <dc:identifier id="uid">urn:uuid:u', d.doc_id, '</dc:identifier>', chr(10), '    <dc:title>Title ', source, '</dc:title>', chr(10), '    <dc:creator>', lang, '</dc:creator>', chr(10), '    <dc:language>ja</dc:language>', chr(10),
+  '    <meta property="schema:accessMode">textual</meta>', chr(10), '  </metadata>', chr(10), '  <manifest>', chr(10), '    <item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>', chr(10), '    <item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/>', chr(10), manifest, chr(10), '  </manifest>', chr(10), '  <spine toc="ncx">', chr(10), spine, chr(10), '  </spine>', chr(10), '</package>') as opf from documents d join m on d.doc_id = m.doc_id)"""
 
 
 @query(f"{OPF} select * from o")
@@ -86,13 +84,13 @@ def k8_edit_metadata(spark, sf, sql=BOOKS):
     return B.opf(books(spark, sf), chapters(spark, sf, sql)).select("doc_id", B.edit_metadata(F.col("opf"), "New", None, "en").alias("opf"))
 
 
-@query(f"{W}, n as (select doc_id, count(*) as n from ch group by 1) select doc_id, 4 + n as members, true as has_mimetype, true as has_container, n + 1 as n_text, cast(0 as bigint) as missing_alt, true as ok from n")
+@query(f"{W}, n as (select doc_id, count(*) as n from ch group by 1) select doc_id, 5 + n as members, true as has_mimetype, true as has_container, n + 1 as n_text, cast(0 as bigint) as missing_alt, true as ok from n")
 def a29_check_package(spark, sf, sql=BOOKS):
     members = B.entries(books(spark, sf), html_chapters(spark, sf, sql))
     return B.check_package(members).join(members.groupBy("doc_id").agg(F.count("*").alias("members")), "doc_id")
 
 
-@query(f"{W} select doc_id, cast(unnest(range(0, 4)) as int) as ord, unnest(['mimetype', 'META-INF/container.xml', 'OEBPS/content.opf', 'OEBPS/nav.xhtml']) as path, unnest([true, false, false, false]) as stored from (select distinct doc_id from ch) union all select doc_id, idx + 3, concat('OEBPS/Text/', chapter_id, '.xhtml'), false from ch")
+@query(f"{W} select doc_id, cast(unnest(range(0, 5)) as int) as ord, unnest(['mimetype', 'META-INF/container.xml', 'OEBPS/content.opf', 'OEBPS/nav.xhtml', 'OEBPS/toc.ncx']) as path, unnest([true, false, false, false, false]) as stored from (select distinct doc_id from ch) union all select doc_id, idx + 4, concat('OEBPS/Text/', chapter_id, '.xhtml'), false from ch")
 def k1_entries(spark, sf, sql=BOOKS):
     return B.entries(books(spark, sf), html_chapters(spark, sf, sql)).drop("content")
 
@@ -118,18 +116,28 @@ def k7_split_books(spark, sf, sql=BOOKS):
     return B.split_books(chapters(spark, sf, sql)).select("doc_id", "idx", "file_name")
 
 
+@query(f"""{W}, t as (select doc_id, chapter_id, idx, {strip_sql('title')} as t from ch) select doc_id, chapter_id, idx, {PART} as part from (select *, t as t from t)""")
+def j12_chapter_types(spark, sf, sql=BOOKS):
+    return B.chapter_types(chapters(spark, sf, sql)).select("doc_id", "chapter_id", "idx", "part")
+
+
+@query(f"""{W}, n as (select doc_id, count(*) as points, string_agg(concat('<navPoint id="n', cast(idx as string), '" playOrder="', cast(idx as string), '"><navLabel><text>', {ESC.format('title')}, '</text></navLabel><content src="Text/', chapter_id, '.xhtml"/></navPoint>'), '' order by idx) as body from ch group by 1)
+  select doc_id, concat('<ncx version="2005-1"><head><meta name="dtb:uid" content="urn:uuid:u', doc_id, '"/></head><docTitle><text>Title ', source, '</text></docTitle><navMap>', body, '</navMap></ncx>') as ncx from n join (select doc_id, source from documents) using (doc_id)""")
+def k4_ncx(spark, sf, sql=BOOKS):
+    return B.ncx(books(spark, sf), chapters(spark, sf, sql))
+
+
+@query(f"""{W}, t as (select doc_id, idx, chapter_id, {strip_sql('title')} as t from ch), p as (select *, {PART} as part from t), lm as (select doc_id, arg_min(chapter_id, idx) filter (part = 'frontmatter') as front, coalesce(arg_min(chapter_id, idx) filter (part = 'bodymatter'), arg_min(chapter_id, idx)) as body, arg_min(chapter_id, idx) filter (part = 'backmatter') as back from p group by 1)
+  select doc_id, concat({", ".join(f"""coalesce(concat('      <li><a epub:type="{t}" href="Text/', {c}, '.xhtml">{n}</a></li>', chr(10)), '')""" for c, t, n in B.LANDMARKS)}) as landmarks from lm""")
+def k3_landmarks(spark, sf, sql=BOOKS):
+    return B.landmark_items(chapters(spark, sf, sql))
+
+
 @query()
 def k5_k15_single_html(spark, sf, sql=BOOKS):
     return B.single_html(html_chapters(spark, sf, sql))
 
 
-#: The same books with whole texts.
-WHOLE_BOOKS = BOOKS.replace("substring(text, 1, 200)", "text")
-for _f in (s1_lines, s7_w1_w2_chapters, w8_paragraphs, w3_neighbours, w5_landmarks, k3_nav, w4_k4_play_order, k2_f37_opf, k8_edit_metadata, a29_check_package, k1_entries, s7_chapter_html, a28_book_info, k7_split_books, k5_k15_single_html):
-    _sql = ORACLE.get(_f.__name__)
-    query(_sql and _sql.replace(BOOKS, WHOLE_BOOKS), f"{_f.__name__}_whole")(partial(_f, sql=WHOLE_BOOKS))
-
-
 ANN = (
     "select doc_id, concat('題', source, chr(10), case when doc_id % 2 = 0 then '' else concat('著者', lang) end, chr(10), '-----------', chr(10), '説明', chr(10), '-----------', chr(10), '［＃３字下げ］一［＃「一」は大見出し］', chr(10), '私《わたくし》は、', chr(10), lang, chr(10), chr(10), '※外字　次', chr(10), '［＃改頁］', chr(10), '二［＃「二」は中見出し］', chr(10), '終わり', chr(10), case when doc_id % 3 = 0 then '底本：x' else '' end, chr(10), case when doc_id % 3 = 0 then '入力：y' else '' end) as text from documents"
 )

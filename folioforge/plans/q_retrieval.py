@@ -67,17 +67,9 @@ def a20_namespace_counts(spark, sf):
     return memory(spark, sf).groupBy("namespace").agg(F.count("*").alias("entries"))
 
 
-@query(f"{WITH} select id, case when id = 7 then 1.0 else round({_score_sql()}, 8) end as score from memory where id = 7 or (id % 100 = 3)")
-def g3_direct_hit(spark, sf):
-    """An exact id is found without scoring, and stands with the scored rows."""
-    m = scored(spark, sf)
-    direct = m.where("id = 7").select("id", F.lit(1.0).alias("score"))
-    return direct.unionByName(m.where("id % 100 = 3 and id <> 7").select("id", "score"))
-
-
 @query(f"{WITH} select id, case when id = 7 then 1.0 else round({_score_sql()}, 8) end as score from memory")
-def g3_direct_hit_whole(spark, sf):
-    """The direct hit with all other scored rows."""
+def g3_direct_hit(spark, sf):
+    """An exact id is found without scoring, and stands with all other scored rows."""
     m = scored(spark, sf)
     return m.where("id = 7").select("id", F.lit(1.0).alias("score")).unionByName(m.where("id <> 7").select("id", "score"))
 
@@ -143,7 +135,7 @@ def j7_match_tools(spark, sf):
 
 _rule = lambda w, p: "(" + " or ".join(f"contains(lower(text), '{x}')" for x in w) + f" or regexp_matches(text, '(?i){'|'.join(p)}'))"
 _rules = sorted(R.SAFETY, key=lambda r: r[3] != "deny")
-REQUESTS = "select doc_id, concat(substring(text, 1, 60), case doc_id % 7 when 0 then ' please DELETE all rows' when 1 then ' bypass the captcha and drop table x' when 2 then ' cancel subscription' when 3 then ' grant admin role' else '' end) as text from documents"
+REQUESTS = "select doc_id, concat(text, case doc_id % 7 when 0 then ' please DELETE all rows' when 1 then ' bypass the captcha and drop table x' when 2 then ' cancel subscription' when 3 then ' grant admin role' else '' end) as text from documents"
 CATEGORY = "case " + " ".join(f"when {_rule(w, p)} then '{n}'" for n, w, p, _ in _rules) + " end"
 ACTION = "case " + " ".join(f"when {_rule(w, p)} then '{a}'" for _, w, p, a in _rules) + " end"
 
@@ -160,22 +152,6 @@ def g7_route(spark, sf):
     return derived(spark, sf, REQUESTS, "documents").select("doc_id", R.route(category, action, F.col("doc_id") % 10 / 10.0).alias("decision"))
 
 
-#: The same requests with whole texts.
-WHOLE_REQUESTS = REQUESTS.replace("substring(text, 1, 60)", "text")
-
-
-@query(f"with q as ({WHOLE_REQUESTS}) select doc_id, {CATEGORY} as category, {ACTION} as action from q")
-def g8_j8_safety_whole(spark, sf):
-    category, action = R.safety(F.col("text"))
-    return derived(spark, sf, WHOLE_REQUESTS, "documents").select("doc_id", category.alias("category"), action.alias("action"))
-
-
-@query(f"with q as ({WHOLE_REQUESTS}) select doc_id, case when {CATEGORY} is not null then {ACTION} when doc_id % 10 >= 3 then 'allow' else 'fallback' end as decision from q")
-def g7_route_whole(spark, sf):
-    category, action = R.safety(F.col("text"))
-    return derived(spark, sf, WHOLE_REQUESTS, "documents").select("doc_id", R.route(category, action, F.col("doc_id") % 10 / 10.0).alias("decision"))
-
-
 _stop = "(" + ", ".join(f"'{w}'" for w in R.STOP_WORDS) + ")"
 
 

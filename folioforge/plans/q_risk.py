@@ -25,13 +25,13 @@ def g22_redact(spark, sf):
     return docs(spark, sf).select("doc_id", R.redact(F.col("text")).alias("value"))
 
 
-BAD = "concat(substring(text, 1, 40), case doc_id % 5 when 0 then '; rm -rf /' when 1 then ' UNION select 1' when 2 then ' $(id)' when 3 then ' --' else '' end)"
+BAD = "concat(text, case doc_id % 5 when 0 then '; rm -rf /' when 1 then ' UNION select 1' when 2 then ' $(id)' when 3 then ' --' else '' end)"
 
 
 def bad(spark, sf):
     k = F.col("doc_id") % 5
     tail = F.when(k == 0, "; rm -rf /").when(k == 1, " UNION select 1").when(k == 2, " $(id)").when(k == 3, " --").otherwise("")
-    return docs(spark, sf).select("doc_id", F.concat(F.substring("text", 1, 40), tail).alias("text"))
+    return docs(spark, sf).select("doc_id", F.concat("text", tail).alias("text"))
 
 
 _any = lambda x, ps, f="": "(" + " or ".join(f"regexp_matches({x}, '{f}{_q(p)}')" for p in ps) + ")"
@@ -42,15 +42,6 @@ def g34_injection(spark, sf):
     return bad(spark, sf).select("doc_id", R.injection(F.col("text")).alias("kind"))
 
 
-#: The same with whole texts.
-WHOLE_BAD = BAD.replace("substring(text, 1, 40)", "text")
-
-
-@query(f"with b as (select doc_id, {WHOLE_BAD} as text from documents) select doc_id, case when {_any('text', R.COMMAND_INJECTION)} then 'command' when {_any('text', R.SQL_INJECTION, '(?i)')} then 'sql' end as kind from b")
-def g34_injection_whole(spark, sf):
-    return derived(spark, sf, f"select doc_id, {WHOLE_BAD} as text from documents", "documents").select("doc_id", R.injection(F.col("text")).alias("kind"))
-
-
 _type = "case " + " ".join("when " + " or ".join(f"contains(lower(html), '{w}')" for w in ws) + f" then '{n}'" for n, ws in R.CONTENT_TYPES) + " else 'unknown' end"
 
 

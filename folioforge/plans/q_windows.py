@@ -1,6 +1,5 @@
 """Queries of ordered-sequence operators."""
 
-from functools import partial
 
 from pyspark.sql import functions as F
 
@@ -69,7 +68,7 @@ def j11_overlaps(spark, sf):
 
 @query()
 def w20_circuit_replay(spark, sf):
-    return W.circuit_states(ev(spark, sf).withColumn("ok", F.col("event_type") != "error"), "user_id", "ts", "ok", 2, 86_400.0, 2)
+    return W.circuit_states(ev(spark, sf).withColumn("ok", F.col("event_type") != "error"), "user_id", "ts", "ok", 2, 86_400.0, 2, ("event_id",))
 
 
 @query()
@@ -77,44 +76,38 @@ def w23_greedy_segments(spark, sf):
     return W.greedy_segments(table(spark, sf, "conversations").withColumn("mora", F.length("text")), "conv_id", "turn", "mora", 180.0)
 
 
-def words(spark, sf, most=120):
+def words(spark, sf):
     """Word boxes from the words of documents: five lines of eight words a page, in two columns."""
     ws = F.split("text", "[ \n]+")
-    w = table(spark, sf, "documents").select("doc_id", F.posexplode(F.slice(ws, 1, most) if most else ws).alias("k", "w"))
+    w = table(spark, sf, "documents").select("doc_id", F.posexplode(ws).alias("k", "w"))
     row, col = F.floor((F.col("k") % 40) / 8), (F.col("k") % 40) % 8
     top = row * 14 + F.col("doc_id") % 3 + F.when(F.col("k") % 40 >= 24, 30).otherwise(0)
     return w.select("doc_id", F.floor(F.col("k") / 40).cast("int").alias("page"), F.col("w").alias("text"), (col * 60 + F.when(col >= 4, 100).otherwise(0)).cast("double").alias("x0"), top.cast("double").alias("top"), (top + 10).cast("double").alias("bottom"), F.lit(700.0).alias("page_w"), F.lit(110.0).alias("page_h"))
 
 
-WORDS_SQL = """with n as (select doc_id, string_split_regex(text, '[ \n]+')[1:120] as ws from documents), e as (select doc_id, unnest(ws) as w, unnest(generate_series(0, len(ws) - 1)) as k from n),
+WORDS_SQL = """with n as (select doc_id, string_split_regex(text, '[ \n]+') as ws from documents), e as (select doc_id, unnest(ws) as w, unnest(generate_series(0, len(ws) - 1)) as k from n),
   words as (select doc_id, cast(floor(k / 40) as int) as page, w as text, (k % 40) % 8 * 60.0 + case when (k % 40) % 8 >= 4 then 100 else 0 end as x0, floor((k % 40) / 8) * 14.0 + doc_id % 3 + case when k % 40 >= 24 then 30 else 0 end as top, 700.0 as page_w, 110.0 as page_h from e)"""
 
 
 @query(f"{WORDS_SQL} select doc_id, page, count(*) as words from words where top > page_h * 0.07 and top < page_h * 0.93 group by 1, 2")
-def p9_body_band(spark, sf, most=120):
-    return W.body_band(words(spark, sf, most)).groupBy("doc_id", "page").agg(F.count("*").alias("words"))
+def p9_body_band(spark, sf):
+    return W.body_band(words(spark, sf)).groupBy("doc_id", "page").agg(F.count("*").alias("words"))
 
 
 @query(f"{WORDS_SQL}, x as (select distinct doc_id, page, round(x0) as x from words), c as (select doc_id, page, x, x - lag(x) over (partition by doc_id, page order by x) as g from x), k as (select doc_id, page, count(*) filter (g > 70) + 1 as columns from c group by 1, 2) select * from k")
-def w9_columns(spark, sf, most=120):
-    return W.columns_by_gap(words(spark, sf, most)).groupBy("doc_id", "page").agg((F.max("column") + 1).alias("columns").cast("long").alias("columns"))
+def w9_columns(spark, sf):
+    return W.columns_by_gap(words(spark, sf)).groupBy("doc_id", "page").agg((F.max("column") + 1).alias("columns").cast("long").alias("columns"))
 
 
 @query(f"{WORDS_SQL}, h as (select doc_id, page, median(10.0) as height from words group by 1, 2) select doc_id, page, greatest(0.6 * height, 4.0) as tolerance from h")
-def a30_line_tolerance(spark, sf, most=120):
-    h = words(spark, sf, most).groupBy("doc_id", "page").agg(F.median(F.col("bottom") - F.col("top")).alias("height"))
+def a30_line_tolerance(spark, sf):
+    h = words(spark, sf).groupBy("doc_id", "page").agg(F.median(F.col("bottom") - F.col("top")).alias("height"))
     return h.select("doc_id", "page", F.greatest(F.col("height") * 0.6, F.lit(4.0)).alias("tolerance"))
 
 
 @query()
-def w10_w11_pdf_paragraphs(spark, sf, most=120):
-    return W.paragraphs_by_gap(W.reading_lines(words(spark, sf, most)))
-
-
-#: The same pages with all words.
-for _f in (p9_body_band, w9_columns, a30_line_tolerance, w10_w11_pdf_paragraphs):
-    _sql = ORACLE.get(_f.__name__)
-    query(_sql and _sql.replace("[1:120]", ""), f"{_f.__name__}_whole")(partial(_f, most=None))
+def w10_w11_pdf_paragraphs(spark, sf):
+    return W.paragraphs_by_gap(W.reading_lines(words(spark, sf)))
 
 
 @query("select p_partkey, p_size >= 20 and p_partkey % 60 >= 20 as kept from part")

@@ -13,7 +13,23 @@ def japanese_part(text: str, sample: int = 2000) -> float:
     return sum(any(a <= c <= b for a, b in RANGES) for c in head) / len(head) if head else 0.0
 
 
+def told(raw: bytes) -> str | None:
+    """The encoding that the bytes themselves tell: a byte order mark, no byte above 127, or valid UTF-8 with some."""
+    if raw.startswith((b"\xff\xfe", b"\xfe\xff")):
+        return "utf-16"
+    if b"\x1b$" in raw or b"\0" in raw:
+        return None
+    try:
+        raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+    return "utf-8-sig"
+
+
 def detect(raw: bytes) -> str:
+    """What the bytes tell, else the first candidate with most Japanese characters."""
+    if (name := told(raw)) is not None:
+        return name
     best, part = "utf-8", -1.0
     for name in CANDIDATES:
         try:

@@ -1 +1,38 @@
-"""See the README for what this subpackage holds."""
+"""Sinks of streams: appended records, and logs that are flushed in batches and rotated."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+
+def append_json(stream: DataFrame, path: str, checkpoint: str, every: str | None = "30 seconds") -> StreamingQuery:
+    """Appends each record of a stream as a line of JSON, exactly once; with ``every`` None, what is there now."""
+    writer = stream.writeStream.format("json").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def rotate(spark, path: str, limit: int = 1 << 20) -> bool:
+    """Moves a log beyond ``limit`` bytes to ``path``.old, in place of what was there; False if it is smaller."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where) or fs.getContentSummary(where).getLength() <= limit:
+        return False
+    old = spark._jvm.org.apache.hadoop.fs.Path(path + ".old")
+    fs.delete(old, True)
+    return bool(fs.rename(where, old))
+
+
+def buffered_log(stream: DataFrame, path: str, checkpoint: str, every: str | None = "30 seconds", limit: int = 1 << 20) -> StreamingQuery:
+    """Flushes a stream to a log of JSON lines once per trigger, and rotates the log beyond ``limit`` bytes.
+
+    A batch that is run again after a failure replaces its own part of the
+    log, so records are not written twice.
+    """
+
+    def flush(batch: DataFrame, number: int) -> None:
+        rotate(batch.sparkSession, path, limit)
+        batch.write.mode("overwrite").json(f"{path}/batch={number}")
+
+    writer = stream.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

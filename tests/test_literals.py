@@ -163,3 +163,53 @@ def test_queries_do_not_depend_on_the_number_of_partitions(spark):
             got.append(sorted(map(str, registry.QUERIES[name](spark, "/root/testdata/sf0.001").collect())))
         spark.conf.set("spark.sql.shuffle.partitions", before)
         assert got[0] == got[1]
+
+
+def test_bytes_tell_their_encoding():
+    assert encoding.decode(b"plain words only, and even more") == ("plain words only, and even more", "utf-8-sig")
+    assert encoding.decode("a".encode("utf-16"))[1] == "utf-16"
+
+
+def test_markdown_images():
+    assert markdown.blocks('see ![a "b"](pics/x.png)')[0].content == '<p>see <img src="images/x.png" alt="a &quot;b&quot;"/></p>'
+    with pytest.raises(ValueError):
+        markdown.blocks("![a](http://x/y.png)")
+
+
+def test_inline_marks_are_read_once():
+    assert markdown.inline("**a *b* c** `**x**` http://a.b/c_d_e.") == '<strong>a <em>b</em> c</strong> <code>**x**</code> <a href="http://a.b/c_d_e">http://a.b/c_d_e</a>.'
+
+
+def test_files_go_to_the_parser_of_their_suffix_and_into_packages(spark):
+    files = [(1, "a.md", b"# A\ntext"), (2, "b.txt", "題\n第1章 始\n本文".encode()), (3, "c.HTM", b"<body><h1>C</h1><p>x</p></body>"), (4, "d.epub", make_epub()), (5, "e.xyz", b"?")]
+    rows = spark.createDataFrame(files, "doc_id long, path string, content binary")
+    got = S.file_chapters(rows).collect()
+    assert {r.doc_id for r in got if r.error} == {5}
+    assert {(r.doc_id, r.title) for r in got if not r.error} >= {(1, "A"), (3, "C"), (4, "B"), (4, "A")}
+    packed = S.convert(rows)
+    assert sorted(r.doc_id for r in packed.collect()) == [1, 2, 3, 4]
+    assert {r.title for r in S.epub_chapters(packed.where("doc_id = 1")).collect()} == {"A"}
+
+
+def test_overlaps_in_any_stretch(spark):
+    rows = [("k", 0, 5, 1), ("k", 4, 30, 2), ("k", 29, 40, 3), ("j", 0, 99, 4), ("k", 12, 12, 5), ("k", 5, 12, 6)]
+    df = spark.createDataFrame(rows, "key string, s long, e long, n int")
+    want = {(a[3], b[3]) for a in rows for b in rows if a[0] == b[0] and a[3] < b[3] and a[1] < b[2] and b[1] < a[2]}
+    for width in (1, 7, 1000):
+        got = [(r.first, r.second) for r in W.overlaps(df, "key", "s", "e", "n", width).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_stream_sinks(spark, tmp_path):
+    from folioforge import streaming
+
+    source = str(tmp_path / "in")
+    spark.range(50).selectExpr("id", "repeat('x', 100) as text").write.json(source)
+    stream = spark.readStream.schema("id long, text string").json(source)
+    streaming.append_json(stream, str(tmp_path / "out"), str(tmp_path / "c1"), None).awaitTermination()
+    assert spark.read.json(str(tmp_path / "out")).count() == 50
+    log = str(tmp_path / "log")
+    streaming.buffered_log(stream, log, str(tmp_path / "c2"), None, 1000).awaitTermination()
+    assert spark.read.json(log).count() == 50
+    assert not streaming.rotate(spark, log, 1 << 30) and streaming.rotate(spark, log, 1000)
+    assert spark.read.json(log + ".old").count() == 50
