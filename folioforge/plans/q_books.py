@@ -128,7 +128,7 @@ def k4_ncx(spark, sf, sql=BOOKS):
 
 
 @query(f"""{W}, t as (select doc_id, idx, chapter_id, {strip_sql('title')} as t from ch), p as (select *, {PART} as part from t), lm as (select doc_id, arg_min(chapter_id, idx) filter (part = 'frontmatter') as front, coalesce(arg_min(chapter_id, idx) filter (part = 'bodymatter'), arg_min(chapter_id, idx)) as body, arg_min(chapter_id, idx) filter (part = 'backmatter') as back from p group by 1)
-  select doc_id, concat({", ".join(f"""coalesce(concat('      <li><a epub:type="{t}" href="Text/', {c}, '.xhtml">{n}</a></li>', chr(10)), '')""" for c, t, n in B.LANDMARKS)}) as landmarks from lm""")
+  select doc_id, concat({", ".join(f"""case when {c} is null then '' else concat('      <li><a epub:type="{t}" href="Text/', {c}, '.xhtml">{n}</a></li>', chr(10)) end""" for c, t, n in B.LANDMARKS)}) as landmarks from lm""")
 def k3_landmarks(spark, sf, sql=BOOKS):
     return B.landmark_items(chapters(spark, sf, sql))
 
