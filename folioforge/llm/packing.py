@@ -2,8 +2,9 @@
 
 Documents keep the order of their rows in a partition.  Their ids form one
 stream; windows are consecutive stretches of it.  Cuts are allowed at
-document ends, at sentence ends inside a document, and, only in a sentence
-longer than a window, every ``window // 64`` ids.  With f(j) the
+document ends, at sentence ends inside a document, and, only in a stretch of
+more than LONGEST_SENTENCE ids without a sentence end (lists, code, junk),
+every ``window // 64`` ids.  With f(j) the
 least cost of the stream up to cut j at position p(j),
 
     f(j) = penalty(j) + min over i, p(j) - p(i) <= W, of f(i) + (W - (p(j) - p(i)))
@@ -30,6 +31,8 @@ from .tokens import library
 
 #: Ids after which the stream so far is packed, all but its last windows.
 SPAN = 1 << 20
+#: Ids without a sentence end beyond which a stretch is no sentence and may be cut inside.
+LONGEST_SENTENCE = 512
 SENTENCE_PENALTY, HARD_PENALTY = 2.0, 12.0
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -85,7 +88,7 @@ class Packer:
         step = max(1, self.window // 64)
         base = np.union1d(np.append(at, 0), ends)
         gap = np.diff(base)
-        wide = np.flatnonzero(gap > self.window)
+        wide = np.flatnonzero(gap > min(LONGEST_SENTENCE, self.window))
         extra = [np.arange(a + step, b, step) for a, b in zip(base[wide].tolist(), base[wide + 1].tolist())]
         position = np.union1d(base, np.concatenate(extra)) if extra else base
         penalty = np.full(len(position), HARD_PENALTY)
