@@ -25,6 +25,10 @@ READ_ONLY = ("ls", "cat", "head", "tail", "grep", "find", "echo", "pwd", "which"
 #: Price of a million tokens read and written, milliseconds before the first token, tokens a second.
 TIERS = {"small": (0.25, 1.25, 200, 200), "medium": (3.0, 15.0, 500, 100), "large": (15.0, 75.0, 2000, 50)}
 WRITTEN_SHARE = 0.3
+#: The format of a ledger: its headings, its checklist and an item of it.
+LEDGER_HEAD = r"## (\d{4}-\d{2}-\d{2}) Mistake: (.+)"
+LEDGER_LIST = r"(?s)\*\*Prevention[^*]*\*\*:\s*(.*?)(?=\*\*|---|\n##|$)"
+LEDGER_ITEM = r"- \[[ x]\]\s*(.+)"
 
 
 def _any(parts) -> Column:
@@ -123,16 +127,13 @@ def ledger_entries(notes: DataFrame, text: str = "text") -> DataFrame:
     Missing fields are empty; the checklist is what stands between its heading
     and the next bold field, rule, heading or end.
     """
-    sections = F.split(F.col(text), r"(?=## \d{4}-\d{2}-\d{2} Mistake:)")
-    s = notes.select("doc_id", F.explode(sections).alias("s"))
-    head = r"## (\d{4}-\d{2}-\d{2}) Mistake: (.+)"
-    s = s.where(F.col("s").rlike(head))
+    s = notes.select("doc_id", F.explode(F.split(F.col(text), f"(?={LEDGER_HEAD})")).alias("s")).where(F.col("s").rlike(LEDGER_HEAD))
     field = lambda name: F.regexp_extract("s", rf"\*\*{name}\*\*:\s*(.+)", 1)
-    name = F.regexp_extract("s", head, 2)
-    listed = F.regexp_extract("s", r"(?s)\*\*Prevention[^*]*\*\*:\s*(.*?)(?=\*\*|---|\n##|$)", 1)
-    items = F.transform(F.regexp_extract_all(listed, F.lit(r"- \[[ x]\]\s*(.+)"), F.lit(1)), lambda x: F.rtrim(x))
+    name = F.regexp_extract("s", LEDGER_HEAD, 2)
+    listed = F.regexp_extract("s", LEDGER_LIST, 1)
+    items = F.transform(F.regexp_extract_all(listed, F.lit(LEDGER_ITEM), F.lit(1)), lambda x: F.rtrim(x))
     return s.select(
-        "doc_id", F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-").alias("id"), F.regexp_extract("s", head, 1).alias("date"), name.alias("name"),
+        "doc_id", F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-").alias("id"), F.regexp_extract("s", LEDGER_HEAD, 1).alias("date"), name.alias("name"),
         field("Symptom").alias("symptom"), field("Root cause").alias("root_cause"), field(r"Where it happened[^*]*").alias("location"), field("Fix").alias("fix"), items.alias("prevention"),
     )
 
