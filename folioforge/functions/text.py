@@ -61,11 +61,11 @@ def heading_level(c: Column) -> Column:
     out = F.lit("")
     for level, size in (("h3", "小"), ("h2", "中"), ("h1", "大")):
         out = F.when(c.rlike(f".+?［＃「.+?」は{size}見出し］"), level).otherwise(out)
-    return out
+    return F.when(F.contains(c, F.lit("見出し］")), out).otherwise("")
 
 
-def heading_title(c: Column) -> Column:
-    level = heading_level(c)
+def heading_title(c: Column, level: Column | None = None) -> Column:
+    level = heading_level(c) if level is None else level
     raw = F.when(level == "h1", _heading(c, "大")).when(level == "h2", _heading(c, "中")).otherwise(_heading(c, "小"))
     return ruby(strip(clean_marks(strip(raw))))
 
@@ -83,10 +83,14 @@ def emphasis(c: Column) -> Column:
     return F.regexp_replace(c, "［＃「([^」]+)」に傍点］", "<em>$1</em>")
 
 
-def annotated_line(c: Column) -> Column:
-    """A line as HTML: headings give their title, other lines all rewrites in order."""
+def annotated_line(c: Column, level: Column | None = None) -> Column:
+    """A line as HTML: headings give their title, other lines all rewrites in order.
+
+    ``level`` is :func:`heading_level` of the line where that is a column already.
+    """
+    level = heading_level(c) if level is None else level
     body = F.regexp_replace(emphasis(inline_note(split_note(c))), f"［＃{DIGITS}字下げ］", "")
-    return F.when(heading_level(c) != "", heading_title(c)).otherwise(ruby(clean_marks(body)))
+    return F.when(level != "", heading_title(c, level)).otherwise(ruby(clean_marks(body)))
 
 
 def escape_html(c: Column, quotes: bool = True) -> Column:

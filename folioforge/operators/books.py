@@ -76,9 +76,11 @@ def annotated_meta(lined: DataFrame) -> DataFrame:
 def annotated_blocks(lined: DataFrame, meta: DataFrame) -> DataFrame:
     """(doc_id, pos, kind, content): headings, and paragraphs of consecutive lines joined by breaks."""
     body = lined.join(meta.select("doc_id", "body_from", "body_to"), "doc_id").where((F.col("pos") >= F.col("body_from")) & (F.col("pos") < F.col("body_to")))
-    raw = F.regexp_replace("line", "[\\s　]+$", "")
-    kind = F.when(raw == "", "blank").when(X.heading_level(raw) != "", X.heading_level(raw)).otherwise("p")
-    rows = body.select("doc_id", "pos", kind.alias("kind"), X.strip(X.annotated_line(raw)).alias("content")).where((F.col("kind") == "blank") | (F.col("content") != ""))
+    raw, level = F.col("raw"), F.col("level")
+    body = body.select("doc_id", "pos", F.regexp_replace("line", "[\\s　]+$", "").alias("raw"))
+    body = body.select("*", X.heading_level(raw).alias("level"))
+    kind = F.when(raw == "", "blank").when(level != "", level).otherwise("p")
+    rows = body.select("doc_id", "pos", kind.alias("kind"), X.strip(X.annotated_line(raw, level)).alias("content")).where((F.col("kind") == "blank") | (F.col("content") != ""))
     w = Window.partitionBy("doc_id").orderBy("pos")
     new = (F.col("kind") != "p") | (F.coalesce(F.lag("kind").over(w), F.lit("")) != "p")
     rows = rows.withColumn("block", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("kind <> 'blank'")
