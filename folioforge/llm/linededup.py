@@ -1,19 +1,24 @@
-"""Line deduplication within one edit, by a deletion-neighbourhood join.
-
-Equal lines meet by their hash.  The deletion neighbourhood of a line is the line and the line without any one
-of its characters.  Two lines are within one edit (substitution, insertion or
-deletion) exactly if one is a deletion variant of the other, or both leave the
-same variant when the character at the same place is deleted.  Variants are
-emitted as hashed keys, equal keys are joined, and what is joined is verified
-by its edit distance.
-
-Lines within one edit have lengths that differ by one at most and share their
-first or their last half; only lines that share such a half with another line
-emit variants.  No pair is lost by that, and most lines emit nothing.
+"""Line deduplication within a bound of edits, by a deletion-neighbourhood join.
+
+Equal lines meet by their hash.  The deletion neighbourhood of a line is the
+line and what is left of it without up to ``edits`` of its characters.  Two
+lines are within one edit (substitution, insertion or deletion) exactly if one
+is a deletion variant of the other, or both leave the same variant when the
+character at the same place is deleted.  Variants are emitted as hashed keys,
+equal keys are joined, and what is joined is verified by its edit distance.
+For bounds over one, places are counted in what is left: two lines that leave
+the same variant are within the bound exactly if the places deleted from either
+(one as often as the line that has it more often) are no more than the bound.
+
+Of lines within the bound, the shorter one cut into ``edits + 1`` parts has a
+part that no edit touches (for one edit, its first or its last half); only
+lines that share such a part with another line emit variants.  No pair is lost
+by that, and most lines emit nothing.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,22 +33,37 @@ from .textnum import _BASE_INVERSE, U64, Prefix, chunks, codepoints, splitmix
 EDIT_FROM = 16
 
 
-def line_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each line, and its four half keys (two lengths, first and last half)."""
-    h, halves = np.zeros(len(lines), U64), np.zeros((len(lines), 4), U64)
+def shared_parts(edits: int) -> list[tuple[int, int, int]]:
+    """(characters more than the shorter line, part, shift of the part) that lines within ``edits`` can share.
+
+    What comes before a part shifts it by the insertions less the deletions
+    there, and what comes after makes up for the rest of the lengths' difference.
+    """
+    out = []
+    for more in range(edits + 1):
+        for part in range(edits + 1):
+            for shift in range(-edits, edits + 1):
+                before = shift == 0 if part == 0 else shift == more if part == edits else abs(shift) + abs(more - shift) <= edits
+                if before:
+                    out.append((more, part, shift))
+    return out
+
+
+def line_keys(lines: list[str], edits: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each line, and a key for each of the parts it can share with a line within ``edits``."""
+    kinds = shared_parts(edits)
+    h, parts = np.zeros(len(lines), U64), np.zeros((len(lines), len(kinds)), U64)
     for x, y in chunks(lines):
         cp, off = codepoints(lines[x:y])
         if not len(cp):
             continue
         prefix, s, e = Prefix(cp), off[:-1], off[1:]
         h[x:y] = prefix.slices(s, e)
-        for k in (0, 1):
-            t = np.maximum(e - s - k, 0)
-            half = t // 2
-            tag = splitmix(t.astype(U64) * U64(2))
-            halves[x:y, 2 * k] = splitmix(prefix.slices(s, s + half) ^ tag)
-            halves[x:y, 2 * k + 1] = splitmix(prefix.slices(e - (t - half), e) + tag)
-    return h, halves
+        for k, (more, part, shift) in enumerate(kinds):
+            t = np.maximum(e - s - more, 0)
+            begin, end = (np.clip(s + t * n // (edits + 1) + shift, s, e) for n in (part, part + 1))
+            parts[x:y, k] = splitmix(prefix.slices(begin, end) ^ splitmix((t * (edits + 1) + part).astype(U64)))
+    return h, parts
 
 
 def variants(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,6 +93,45 @@ def variants(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
+def bounded_variants(lines: list[str], edits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(line number, keys, sides) of all variants of up to ``edits`` deletions, a set of deletions from one character on at a time.
+
+    Variants of i and of j deletions pair if they have i + j - edits places in
+    common, and a key is what is left with these places, i and j.  Side 0 has
+    i > j deletions, side 1 has j, and where i = j all are side 2.
+    """
+    shapes = [(i, j, max(0, i + j - edits)) for i in range(1, edits + 1) for j in range(i + 1)]
+    inverse = U64(_BASE_INVERSE)
+    for number, line in enumerate(lines):
+        cp, _ = codepoints([line])
+        n, total = len(cp), Prefix(cp)._sum
+        for d in range(min(edits, n) + 1):
+            for first in range(n - d + 1) if d else (-1,):
+                rest = list(itertools.combinations(range(first + 1, n), d - 1)) if d else [()]
+                gone = np.array(rest, np.int64).reshape(len(rest), max(d - 1, 0))
+                if d:
+                    gone = np.column_stack((np.full(len(rest), first), gone))
+                raw, begin, scale = np.zeros(len(rest), U64), np.zeros(len(rest), np.int64), np.ones(1, U64)
+                for c in range(d):
+                    raw += (total[gone[:, c]] - total[begin]) * scale
+                    begin, scale = gone[:, c] + 1, scale * inverse
+                raw += (total[n] - total[begin]) * scale
+                left = splitmix(raw ^ splitmix(np.array([n - d], U64)))
+                places = (gone - np.arange(d)).astype(U64)
+                keys, sides = [], []
+                for i, j, common in shapes:
+                    if d not in (i, j):
+                        continue
+                    for chosen in itertools.combinations(range(d), common):
+                        key = splitmix(left + U64(i * (edits + 1) + j))
+                        for c in chosen:
+                            key = splitmix(key ^ splitmix(places[:, c]))
+                        keys.append(key)
+                        sides.append(np.full(len(key), 2 if i == j else int(d == j), np.int32))
+                if keys:
+                    yield number, np.concatenate(keys), np.concatenate(sides)
+
+
 def within_one_edit(a: str, b: str) -> bool:
     if a == b:
         return True
@@ -86,6 +145,19 @@ def within_one_edit(a: str, b: str) -> bool:
     return a[k + 1 :] == b[k:] if len(a) > len(b) else a[k:] == b[k + 1 :]
 
 
+def within_edits(a: str, b: str, edits: int) -> bool:
+    if edits < 2:
+        return within_one_edit(a, b) if edits else a == b
+    if abs(len(a) - len(b)) > edits:
+        return False
+    k = 0
+    while k < min(len(a), len(b)) and a[k] == b[k]:
+        k += 1
+    if k == max(len(a), len(b)):
+        return True
+    return any(within_edits(a[x:], b[y:], edits - 1) for x, y in ((k + 1, k + 1), (k + 1, k), (k, k + 1)))
+
+
 def _lines(text: str) -> list[tuple[int, str]]:
     """Number and stripped text of each line that is not blank."""
     return [(k, x) for k, line in enumerate(text.split("\n")) if (x := line.strip())]
@@ -143,13 +215,14 @@ def _joined_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pairs(*rest)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edit_from: int = EDIT_FROM) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edit_from: int = EDIT_FROM, edits: int = 1) -> DataFrame:
     """``docs`` with repeated lines removed from ``text_col``; adds n_lines and n_removed.
 
     Lines are split at line feeds and compared without white space at their
     ends; blank lines stay.  A line is removed if an equal line, or, for lines
-    of at least ``edit_from`` characters, one within one edit of it comes
-    earlier: in a document with a smaller integer id (null ids last), of one
+    of at least ``edit_from`` characters, one within ``edits`` edits of it
+    comes earlier (rows grow with a line's length to the power of ``edits``,
+    so bounds over 1 are for short lines; 0 compares exactly): in a document with a smaller integer id (null ids last), of one
     id in the row whose text has the smaller 64-bit hash, of equal rows in one
     of them, or higher up in the same document.  So of equal rows one is
     judged by what is before it, and the others keep only blank lines.  All
@@ -158,6 +231,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     replace columns of those names, in any case); ids that are no integers
     are refused.
     """
+    if edits < 0:
+        raise ValueError("edits is negative")
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_removed")])
     spark = docs.sparkSession
     plain = docs.select(*document_key(docs, id_col, text_col), F.col(text_col).alias("text"))
@@ -170,22 +245,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     row.append(k)
                     number.append(n)
                     line.append(x)
-            h, halves = line_keys(line)
+            h, parts = line_keys(line, edits)
             at = pa.array(row, pa.int64())
-            short = np.fromiter((len(x) < edit_from for x in line), bool, len(line))
-            halves = [None if s else x for s, x in zip(short.tolist(), halves.view(np.int64))]
+            short = np.fromiter((not edits or len(x) < edit_from for x in line), bool, len(line))
+            parts = [None if s else x for s, x in zip(short.tolist(), parts.view(np.int64))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(number, pa.int32()), pa.array(h.view(np.int64)), pa.array(halves, pa.list_(pa.int64()))],
-                ["id", "tie", "no", "h", "halves"],
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(number, pa.int32()), pa.array(h.view(np.int64)), pa.array(parts, pa.list_(pa.int64()))],
+                ["id", "tie", "no", "h", "parts"],
             )
 
-    found = written(map_arrow(plain, find, "id long, tie long, no int, h long, halves array<long>"), "lines")
-    first = found.groupBy("h").agg(F.min(F.struct("id", "tie", "no")).alias("first"), F.any_value("halves").alias("halves"))
+    found = written(map_arrow(plain, find, "id long, tie long, no int, h long, parts array<long>"), "lines")
+    first = found.groupBy("h").agg(F.min(F.struct("id", "tie", "no")).alias("first"), F.any_value("parts").alias("parts"))
     first = written(first, "first-lines")
-    half = first.select("h", F.explode(F.array_distinct("halves")).alias("half"))
-    # least and greatest are combined before their exchange, and a half that many lines have is no more rows in the join than they are
-    shared = half.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a != b").select("half")
-    suspect = half.join(shared, "half").select("h").distinct()
+    part = first.select("h", F.explode(F.array_distinct("parts")).alias("part"))
+    # least and greatest are combined before their exchange, and a part that many lines have is no more rows in the join than they are
+    shared = part.groupBy("part").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a != b").select("part")
+    suspect = part.join(shared, "part").select("h").distinct()
     place = [F.col(f"first.{c}").alias(c) for c in ("id", "tie", "no")]
     where = written(suspect.join(first, "h").select("h", *place), "suspect-places")
     per_doc = where.groupBy("id", "tie").agg(F.collect_set("no").alias("nos"))
@@ -215,13 +290,34 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 o = pa.array(owner[k : k + (1 << 16)])
                 yield pa.RecordBatch.from_arrays([pa.array(key[k : k + (1 << 16)].view(np.int64)), pa.array(place[k : k + (1 << 16)], pa.int32()), *(batch.column(c).take(o) for c in range(4))], ["key", "place", "h", "id", "tie", "no"])
 
-    v = map_arrow(suspects.select("h", "id", "tie", "no", "line"), neighbourhood, "key long, place int, h long, id long, tie long, no int")
-    v = v.repartition(parallelism(spark), "key").sortWithinPartitions("key", "place", "id", "tie", "no", "h")
-    pair = map_arrow(v, _joined_variants, "h long, other long").distinct()
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, rows = [], 0
+            for number, key, side in itertools.chain(bounded_variants(strings(batch, "line"), edits), [(0, None, None)]):
+                if rows and (key is None or rows + len(key) > 1 << 16):
+                    owner, keys, sides = (np.concatenate(x) for x in zip(*held))
+                    o = pa.array(owner)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sides), *(batch.column(c).take(o) for c in range(4))], ["key", "side", "h", "id", "tie", "no"])
+                    held, rows = [], 0
+                if key is not None:
+                    held.append((np.full(len(key), number), key, side))
+                    rows += len(key)
+
+    line_at = suspects.select("h", "id", "tie", "no", "line")
+    if edits < 2:
+        v = map_arrow(line_at, neighbourhood, "key long, place int, h long, id long, tie long, no int")
+        v = v.repartition(parallelism(spark), "key").sortWithinPartitions("key", "place", "id", "tie", "no", "h")
+        pair = map_arrow(v, _joined_variants, "h long, other long").distinct()
+    else:
+        v = map_arrow(line_at, bounded, "key long, side int, h long, id long, tie long, no int").withColumn("at", F.struct("id", "tie", "no", "h"))
+        # all of a key on one side pair with all on the other, so the earliest one there is enough
+        earliest = v.groupBy("key", "side").agg(F.min("at").alias("other"))
+        earliest = earliest.withColumn("side", F.when(F.col("side") < 2, 1 - F.col("side")).otherwise(2))
+        pair = v.join(earliest, ["key", "side"]).where("other < at").select("h", F.col("other.h").alias("other")).distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [within_one_edit(a, b) for a, b in zip(strings(batch, "line"), strings(batch, "other_line"))]
+            ok = [within_edits(a, b, edits) for a, b in zip(strings(batch, "line"), strings(batch, "other_line"))]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_()))], ["h"])
 
     both = pair.join(suspects.select("h", "line"), "h").join(suspects.select(F.col("h").alias("other"), F.col("line").alias("other_line")), "other")
@@ -262,4 +358,4 @@ def digest(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumn("kept_sha256", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).drop(text_col)
 
 
-__all__ = ["dedup_lines", "digest", "line_keys", "variants", "within_one_edit"]
+__all__ = ["dedup_lines", "digest", "line_keys", "variants", "within_edits", "within_one_edit"]

@@ -183,6 +183,74 @@ def test_within_one_edit():
     assert linededup.within_one_edit("", "a") and not linededup.within_one_edit("abc", "bac") and not linededup.within_one_edit("abc", "a")
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def test_within_edits():
+    rng = random.Random(12)
+    for _ in range(3000):
+        a, b = ("".join(rng.choice("ab") for _ in range(rng.randrange(8))) for _ in range(2))
+        for k in range(4):
+            assert linededup.within_edits(a, b, k) == (edit_distance(a, b) <= k), (a, b, k)
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_lines_within_the_bound_share_a_part_and_a_key(edits):
+    rng = random.Random(edits)
+    for _ in range(60):
+        a = "".join(rng.choice("abc") for _ in range(rng.randrange(4, 14)))
+        b = a
+        for _ in range(edits):
+            k = rng.randrange(len(b) + 1)
+            b = rng.choice([b[:k] + b[k + 1 :], b[:k] + rng.choice("abc") + b[k + 1 :], b[:k] + rng.choice("abc") + b[k:]])
+        c = "".join(rng.choice("abc") for _ in range(len(a)))
+        for other in (b, c):
+            if a == other:
+                continue
+            _, parts = linededup.line_keys([a, other], edits)
+            near = edit_distance(a, other) <= edits
+            assert not near or set(parts[0].tolist()) & set(parts[1].tolist())
+            if edits > 1:
+                keys = [set(), set()]
+                for n, key, side in linededup.bounded_variants([a, other], edits):
+                    keys[n] |= set(zip(key.tolist(), side.tolist()))
+                paired = any((k, 1 - s if s < 2 else 2) in keys[1] for k, s in keys[0])
+                assert paired == near, (a, other)
+
+
+@pytest.mark.parametrize("edits", [0, 1, 2])
+def test_lines_within_a_bound_equal_brute_force(spark, edits):
+    rng = random.Random(30 + edits)
+    base = ["".join(rng.choice("abcd ") for _ in range(rng.randrange(16, 24))).strip() + "z" for _ in range(12)]
+    rows = []
+    for i in range(30):
+        lines = []
+        for _ in range(rng.randrange(4)):
+            x = rng.choice(base)
+            for _ in range(rng.randrange(4)):
+                k = rng.randrange(len(x))
+                x = rng.choice([x[:k] + x[k + 1 :], x[:k] + rng.choice("abc") + x[k + 1 :], x[:k] + rng.choice("abc") + x[k:]])
+            lines.append(x)
+        rows.append((i, "\n".join(lines)))
+    want, before = [], []
+    for i, t in rows:
+        kept = []
+        for x in t.split("\n"):
+            y = x.strip()
+            if not y or not any(y == z or min(len(y), len(z)) >= 8 and edit_distance(y, z) <= edits for z in before):
+                kept.append(x)
+            before.append(y)
+        want.append((i, "\n".join(kept)))
+    got = linededup.dedup_lines(spark.createDataFrame(rows, DOC).repartition(3), edit_from=8, edits=edits)
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == want
+
+
 def brute_lines(rows):
     before, want = [], []
     for i, t in in_order(rows):
