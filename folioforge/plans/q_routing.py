@@ -85,13 +85,15 @@ def g57_ledger(spark, sf):
     return R.ledger_entries(derived(spark, sf, LEDGER, "documents"))
 
 
-@query("select event_id, case when value >= 50 then [{'type': 'number', 'confidence': 0.9}] else cast([] as struct(type string, confidence double)[]) end as found, case when event_id % 2 = 0 then 2 else 1 end as sure from events")
+@query("select event_id, case when value >= 50 then 'number' else '' end as found, case when value >= 50 then cast(0.9 as double) end as confidence, case when event_id % 2 = 0 then 2 else 1 end as sure from events")
 def p15_entity_filters(spark, sf):
     e = lambda kind, c: F.struct(F.lit(kind).alias("type"), c.alias("confidence"))
     entities = F.array(e("number", F.when(F.col("value") >= 50, 0.9).otherwise(0.4)), e("path", F.lit(0.7)), e("url", F.when(F.col("event_id") % 2 == 0, 0.6).otherwise(0.1)))
     found = R.filter_entities(F.col("entities"), "number", 0.5)
     sure = F.size(F.filter(R.filter_entities(F.col("entities"), least=0.5), lambda x: x["type"] != "number"))
-    return table(spark, sf, "events").select("event_id", "value", entities.alias("entities")).select("event_id", found.alias("found"), sure.alias("sure"))
+    return table(spark, sf, "events").select("event_id", "value", entities.alias("entities")).select("event_id", found.alias("found"), sure.alias("sure")).select(
+        "event_id", F.array_join(F.col("found.type"), ",").alias("found"), F.array_max(F.col("found.confidence")).alias("confidence"), "sure"
+    )
 
 
 @query("select doc_id, case when doc_id % 3 = 0 then concat('known-', doc_id) else concat_ws('-', h[1:8], h[9:12], h[13:16], h[17:20], h[21:32]) end as uid, doc_id % 3 <> 0 as created from (select doc_id, sha256(cast(doc_id as string)) as h from documents)")
