@@ -20,6 +20,8 @@ HEADING = (
     "^(?:第[0-9０-９一二三四五六七八九十百千万]+[章節話部編巻]|[一二三四五六七八九十百千]+[、。\\s\u3000]|Chapter[\\s\u3000]*[0-9]+|CHAPTER[\\s\u3000]*[0-9]+"
     "|プロローグ|エピローグ|序章|終章|あとがき|まえがき|はじめに|おわりに)"
 )
+#: The same for headings of composed pages.
+PAGE_HEADING = "^(?:第[0-9０-９一二三四五六七八九十百千万]+[章節話部編巻]|Chapter[\\s\u3000]*[0-9]+|CHAPTER[\\s\u3000]*[0-9]+|プロローグ|エピローグ|序章|終章|はじめに|おわりに|あとがき|まえがき)"
 #: Titles by place in a book.
 FRONT = ("まえがき", "前書き", "はじめに", "序文", "序章", "プロローグ", "凡例", "謝辞", "献辞", "扉", "preface", "introduction", "prologue", "foreword")
 BACK = ("あとがき", "後書き", "おわりに", "終章", "エピローグ", "付録", "参考文献", "索引", "用語集", "年表", "著者紹介", "afterword", "epilogue", "appendix", "glossary", "bibliography")
