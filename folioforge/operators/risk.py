@@ -89,6 +89,10 @@ def skippable_layers(risk: Column, simple: Column, flags: dict[str, Column]) ->
     return F.array_compact(F.array(F.when(low & ~flags["deviation"], 6), F.when(low & simple, 7), F.when(flags["reuse"], 3), F.when(flags["skill"], 6)))
 
 
+#: From which confidence the models of the cascade decide, and how sure a leaf of the tree is.
+BAYES_LEAST, TREE_LEAST, TREE_SURE = 70, 60, 70
+
+
 def bayes_train(df: DataFrame, label: str, features: str) -> DataFrame:
     """(label, n, sums) per class: counts and sums of each feature, in one aggregation."""
     long = df.select(label, F.posexplode(features).alias("i", "x"))
@@ -132,6 +136,10 @@ def information_gain(df: DataFrame, label: str, features: str, labels: tuple[str
     return agg.where((nl > 0) & (nr > 0)).select("i", gain.alias("gain"))
 
 
+#: Gains are compared to so many places, so that ties do not hang on the last bits of a logarithm.
+GAIN_PLACES = 9
+
+
 def grow_tree(df: DataFrame, label: str, features: str, depth: int = 5, least: int = 5, labels: tuple[str, ...] = RISKS) -> list[tuple[int, int | None, str]]:
     """An ID3 tree as (node, feature or None, majority label); children of node k are 2k + 1 (<= 0.5) and 2k + 2.
 
@@ -148,7 +156,7 @@ def grow_tree(df: DataFrame, label: str, features: str, depth: int = 5, least: i
         full = [r.node for r in stats if sum(r[n] for n in labels) >= least and sum(r[n] > 0 for n in labels) > 1]
         if level < depth and full:
             long = rows.where(F.col("node").isin(full)).select("node", label, F.posexplode(features).alias("i", "x"))
-            for r in _gains(long, label, labels).collect():
+            for r in _gains(long, label, labels).withColumn("gain", F.round("gain", GAIN_PLACES)).collect():
                 if r.gain > 0 and (r.node not in splits or (r.gain, -r.i) > (splits[r.node][0], -splits[r.node][1])):
                     splits[r.node] = (r.gain, r.i)
         for r in sorted(stats):
@@ -171,9 +179,48 @@ def _gains(long: DataFrame, label: str, labels: tuple[str, ...]) -> DataFrame:
     return agg.where((nl > 0) & (nr > 0)).select("node", "i", gain.alias("gain"))
 
 
+def tree_leaf(features: Column, tree: list[tuple[int, int | None, str]]) -> Column:
+    """The node of :func:`grow_tree` where a row ends: the node array is walked inside Catalyst, one step a level."""
+    nodes = {n: i for n, i, _ in tree if i is not None}
+    last = max((n for n, _, _ in tree), default=0)
+    split = F.array(*[F.lit(nodes.get(n)).cast("int") for n in range(last + 1)])
+    depth = (last + 1).bit_length()
+
+    def step(node: Column, _: Column) -> Column:
+        feature = F.get(split, node)
+        return F.when(feature.isNull(), node).otherwise(2 * node + F.when(F.coalesce(F.get(features, feature), F.lit(0.0)) > 0.5, 2).otherwise(1))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), step)
+
+
+def tree_predict(df: DataFrame, tree: list[tuple[int, int | None, str]], features: str) -> DataFrame:
+    """Adds tree_risk and tree_confidence: the label of the row's leaf, TREE_SURE; without a tree medium, 0."""
+    if not tree:
+        return df.withColumns({"tree_risk": F.lit("medium"), "tree_confidence": F.lit(0)})
+    names = {n: label for n, _, label in tree}
+    labels = F.array(*[F.lit(names.get(n)) for n in range(max(names) + 1)])
+    return df.withColumns({"tree_risk": F.get(labels, tree_leaf(F.col(features), tree)), "tree_confidence": F.lit(TREE_SURE)})
+
+
+def cascade_predict(df: DataFrame, bayes: list[tuple[str, int, list[float]]], tree: list[tuple[int, int | None, str]], rule: Column, features: str) -> DataFrame:
+    """Adds risk, confidence and method of the first model that is sure enough: Bayes, then the tree, then the rule (confidence 0).
+
+    Without a trained Bayes model the rule decides, whatever the tree says.
+    """
+    rule_only = {"risk": rule, "confidence": F.lit(0).cast("long"), "method": F.lit("rule")}
+    if not bayes:
+        return df.withColumns(rule_only)
+    out = tree_predict(bayes_predict(df.withColumn("_rule", rule), bayes, features), tree, features)
+    sure = [F.col("confidence") >= BAYES_LEAST, F.col("tree_confidence") >= TREE_LEAST]
+    risk = cascade((F.col("risk"), F.col("confidence")), (F.col("tree_risk"), F.col("tree_confidence")), F.col("_rule"))
+    confidence = F.when(sure[0], F.col("confidence")).when(sure[1], F.col("tree_confidence")).otherwise(0).cast("long")
+    method = F.when(sure[0], "bayes").when(sure[1], "tree").otherwise("rule")
+    return out.withColumns({"risk": risk, "confidence": confidence, "method": method}).drop("_rule", "tree_risk", "tree_confidence")
+
+
 def cascade(bayes: tuple[Column, Column], tree: tuple[Column, Column], rule: Column) -> Column:
-    """Bayes from 70 % on, else the tree from 60 % on, else the rule."""
-    return F.when(bayes[1] >= 70, bayes[0]).when(tree[1] >= 60, tree[0]).otherwise(rule)
+    """Bayes from BAYES_LEAST on, else the tree from TREE_LEAST on, else the rule."""
+    return F.when(bayes[1] >= BAYES_LEAST, bayes[0]).when(tree[1] >= TREE_LEAST, tree[0]).otherwise(rule)
 
 
 def canary_bucket(run_id: Column, name: Column) -> Column:

@@ -130,16 +130,61 @@ def a25_information_gain(spark, sf):
     return R.information_gain(training(spark, sf), "risk", "f").withColumn("gain", F.round("gain", 8))
 
 
-@query()
+def _tree_sql(depth: int = 5, least: int = 5) -> str:
+    """CTEs of a tree grown level by level: r0 .. the rows of each level, b0 .. its splits, and tree."""
+    gain = f"round({_ent([f'({a}+{b})' for a, b in zip(_L, _R)])} - (l0+l1+l2) / (l0+l1+l2+r0+r1+r2) * ({_ent(_L)}) - (r0+r1+r2) / (l0+l1+l2+r0+r1+r2) * ({_ent(_R)}), {R.GAIN_PLACES})"
+    count = ", ".join(f"count(*) filter (risk = '{n}') as c{k}" for k, n in enumerate(R.RISKS))
+    out = [f"t as ({TRAIN}), r0 as (select vec_id, risk, f, 0 as node from t)"]
+    for d in range(depth + 1):
+        out.append(f"s{d} as (select node, {count} from r{d} group by 1)")
+        if d < depth:
+            grown = f"select node from s{d} where c0 + c1 + c2 >= {least} and cast(c0 > 0 as int) + cast(c1 > 0 as int) + cast(c2 > 0 as int) > 1"
+            out.append(f"l{d} as (select node, risk, unnest(f) as x, unnest(generate_series(0, 21)) as i from r{d} where node in ({grown}))")
+            out.append(f"g{d} as (select node, i, {gain} as gain from (select node, i, {_side} from l{d} group by 1, 2) where l0+l1+l2 > 0 and r0+r1+r2 > 0)")
+            out.append(f"b{d} as (select node, min(i) as i from g{d} a where gain > 0 and gain = (select max(gain) from g{d} b where b.node = a.node) group by 1)")
+            out.append(f"r{d + 1} as (select vec_id, risk, f, node * 2 + case when f[i + 1] > 0.5 then 2 else 1 end as node from r{d} join b{d} using (node))")
+    most = "case when c0 >= c1 and c0 >= c2 then 'low' when c1 >= c2 then 'medium' else 'high' end"
+    levels = [f"select s{d}.node, {'b' + str(d) + '.i' if d < depth else 'null'} as feature, {most} as label from s{d}" + (f" left join b{d} using (node)" if d < depth else "") for d in range(depth + 1)]
+    return ", ".join([*out, "tree as (" + " union all ".join(levels) + ")"])
+
+
+@query(f"with {_tree_sql()} select cast(node as int) as node, cast(feature as int) as feature, label from tree")
 def a26_id3_tree(spark, sf):
     tree = R.grow_tree(training(spark, sf), "risk", "f")
     return spark.createDataFrame(tree, "node int, feature int, label string")
 
 
-@query("select doc_id, case when doc_id % 100 >= 70 then 'low' when doc_id % 90 >= 60 then 'high' else 'medium' end as risk from documents")
+_leaf = "with " + _tree_sql() + ", leaf as (select vec_id, max(node) as node from (" + " union all ".join(f"select vec_id, node from r{d}" for d in range(6)) + ") group by 1)"
+
+
+@query(f"{_leaf} select vec_id, label as tree_risk, 70 as tree_confidence from leaf join tree using (node)")
+def g31_tree_predict(spark, sf):
+    t = training(spark, sf)
+    return R.tree_predict(t.select("vec_id", "f"), R.grow_tree(t, "risk", "f"), "f").drop("f")
+
+
+def _rule(t):
+    """The rule beside the models: by how many features are set."""
+    n = F.aggregate("f", F.lit(0.0), lambda a, x: a + x)
+    return F.when(n >= 14, "high").when(n >= 10, "medium").otherwise("low")
+
+
+@query(f"""{_leaf}, l as (select risk, unnest(f) as x, unnest(generate_series(0, 21)) as i from t), s as (select risk, i, sum(x) as s, count(*) as n from l group by 1, 2), c as (select risk, max(n) as n from s group by 1), n as (select sum(n) as total from c),
+  e as (select vec_id, unnest(f) as x, unnest(generate_series(0, 21)) as i from t),
+  p as (select vec_id, s.risk, ln((any_value(s.n) + 1) / (any_value(total) + 3)) + sum(case when x > 0.5 then ln((s.s + 1) / (s.n + 2)) else ln(1 - (s.s + 1) / (s.n + 2)) end) as lp from e join s using (i), n group by 1, 2),
+  b as (select vec_id, max(lp) as best from p group by 1), bayes as (select vec_id, min(case risk when 'low' then 0 when 'medium' then 1 else 2 end) filter (lp >= best - 1e-9) as k, least(100, floor(100 / sum(exp(lp - best)) + 0.5)) as confidence from p join b using (vec_id) group by 1),
+  u as (select vec_id, list_sum(f) as n from t)
+  select vec_id, case when confidence >= 70 then case k when 0 then 'low' when 1 then 'medium' else 'high' end when vec_id % 5 < 3 then label when n >= 14 then 'high' when n >= 10 then 'medium' else 'low' end as risk,
+    cast(case when confidence >= 70 then confidence when vec_id % 5 < 3 then 70 else 0 end as bigint) as confidence, case when confidence >= 70 then 'bayes' when vec_id % 5 < 3 then 'tree' else 'rule' end as method
+  from bayes join leaf using (vec_id) join tree using (node) join u using (vec_id)""")
 def g31_cascade(spark, sf):
-    d = F.col("doc_id")
-    return docs(spark, sf).select("doc_id", R.cascade((F.lit("low"), d % 100), (F.lit("high"), d % 90), F.lit("medium")).alias("risk"))
+    """All three models score the rows; two fifths of them have no tree yet, so that the rule is asked too."""
+    t = training(spark, sf)
+    rows, tree = R.bayes_train(t, "risk", "f").collect(), R.grow_tree(t, "risk", "f")  # one row per class, and one per node
+    model = {r.risk: (r.n, r.sums) for r in rows}
+    bayes = [(k, *model[k]) for k in R.RISKS if k in model]
+    both = [R.cascade_predict(t.where(keep), bayes, own, _rule(t), "f") for keep, own in (("vec_id % 5 < 3", tree), ("vec_id % 5 >= 3", []))]
+    return both[0].unionByName(both[1]).select("vec_id", "risk", "confidence", "method")
 
 
 @query("with l as (select doc_id, toxic, row_number() over (order by doc_id desc) as k from labels) select count(*) as n, round(avg(toxic), 6) as block_rate from l where k <= 100")
