@@ -32,6 +32,11 @@ HALF_WIDTH = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 TAGS_OR_TEXT = "<[^>]+>|[^<]+|<"
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)``, with the value computed once however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, "^[\\s\u3000]+|[\\s\u3000]+$", "")
 

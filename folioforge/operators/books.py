@@ -97,22 +97,32 @@ def paragraphs(chapters: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "idx", "para").agg(F.concat(F.lit("<p>"), F.array_join(_by_pos(X.escape_html(F.col("line"))), "<br/>"), F.lit("</p>")).alias("html"))
 
 
-def chapter_html(title: Column, body: Column) -> Column:
-    """A chapter's XHTML document."""
+def page_html(title: Column, body: Column) -> Column:
+    """A chapter's XHTML document around a body that holds its heading."""
     links = "\n".join(f'  <link rel="stylesheet" href="{s}"/>' for s in STYLES)
     head = (
         '<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE html>\n<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops" xml:lang="ja" lang="ja">\n'
         '<head>\n  <meta charset="UTF-8"/>\n  <title>'
     )
     t = X.escape_html(title)
-    return F.concat(F.lit(head), t, F.lit(f'</title>\n{links}\n</head>\n<body epub:type="bodymatter">\n  <section epub:type="chapter" class="chapter-break">\n    <h1>'), t, F.lit("</h1>\n    "), body, F.lit("\n  </section>\n</body>\n</html>"))
+    return F.concat(F.lit(head), t, F.lit(f'</title>\n{links}\n</head>\n<body epub:type="bodymatter">\n  <section epub:type="chapter" class="chapter-break">\n    '), body, F.lit("\n  </section>\n</body>\n</html>"))
 
 
-def with_html(chapters: DataFrame) -> DataFrame:
-    """Chapters with ``html``; one without text has an empty body."""
+def chapter_html(title: Column, body: Column) -> Column:
+    """A chapter's XHTML document, with its title for heading."""
+    return page_html(title, F.concat(F.lit("<h1>"), X.escape_html(title), F.lit("</h1>\n    "), body))
+
+
+def with_body(chapters: DataFrame) -> DataFrame:
+    """(doc_id, idx, chapter_id, title, body): chapters with their paragraphs; one without text has an empty body."""
     paras = paragraphs(chapters).groupBy("doc_id", "idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para", "html"))), lambda x: x["html"]), "\n    ").alias("body"))
     both = chapters.join(paras, ["doc_id", "idx"], "left")
-    return both.select("doc_id", "idx", "chapter_id", "title", chapter_html(F.col("title"), F.coalesce("body", F.lit(""))).alias("html"))
+    return both.select("doc_id", "idx", "chapter_id", "title", F.coalesce("body", F.lit("")).alias("body"))
+
+
+def with_html(chapters: DataFrame) -> DataFrame:
+    """Chapters with ``html``, their pages."""
+    return with_body(chapters).select("doc_id", "idx", "chapter_id", "title", chapter_html(F.col("title"), F.col("body")).alias("html"))
 
 
 def neighbours(chapters: DataFrame) -> DataFrame:
@@ -134,13 +144,17 @@ def nav(chapters: DataFrame) -> DataFrame:
     return chapters.groupBy("doc_id").agg(F.array_join(_by_pos(item, "idx"), "\n").alias("toc"))
 
 
-def play_order(chapters: DataFrame, html: str = "html") -> DataFrame:
-    """(doc_id, play_order, chapter_id, label, level): chapters and the second headings in them, counted per book."""
+def _points(chapters: DataFrame, html: str) -> DataFrame:
     heads = X.second_headings(F.col(html))
     points = F.concat(F.array(F.struct(F.lit(1).alias("level"), F.col("title").alias("label"))), F.transform(heads, lambda h: F.struct(F.lit(2).alias("level"), h.alias("label"))))
     rows = chapters.select("doc_id", "idx", "chapter_id", F.posexplode(points).alias("k", "p"))
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy("idx", "k"))
-    return rows.select("doc_id", n.alias("play_order"), "chapter_id", "p.label", "p.level")
+    return rows.select("doc_id", "idx", n.alias("play_order"), "chapter_id", "p.label", "p.level")
+
+
+def play_order(chapters: DataFrame, html: str = "html") -> DataFrame:
+    """(doc_id, play_order, chapter_id, label, level): chapters and the second headings in them, counted per book."""
+    return _points(chapters, html).drop("idx")
 
 
 def chapter_types(chapters: DataFrame) -> DataFrame:
@@ -148,13 +162,16 @@ def chapter_types(chapters: DataFrame) -> DataFrame:
     return chapters.withColumn("part", X.chapter_part(F.coalesce("title", F.lit(""))))
 
 
-def ncx(books: DataFrame, chapters: DataFrame) -> DataFrame:
-    """(doc_id, ncx): the older table of contents, one point per chapter in reading order."""
-    n = F.col("idx").cast("string")
-    point = F.concat(F.lit('<navPoint id="n'), n, F.lit('" playOrder="'), n, F.lit('"><navLabel><text>'), X.escape_html(F.col("title")), F.lit('</text></navLabel><content src="Text/'), "chapter_id", F.lit('.xhtml"/></navPoint>'))
-    points = chapters.groupBy("doc_id").agg(F.array_join(_by_pos(point, "idx"), "").alias("points"))
-    head = F.concat(F.lit('<ncx version="2005-1"><head><meta name="dtb:uid" content="urn:uuid:'), "uid", F.lit('"/></head><docTitle><text>'), X.escape_html(F.coalesce("title", F.lit(""))), F.lit("</text></docTitle><navMap>"))
-    return books.join(points, "doc_id").select("doc_id", F.concat(head, "points", F.lit("</navMap></ncx>")).alias("ncx"))
+def ncx(books: DataFrame, chapters: DataFrame, html: str = "html") -> DataFrame:
+    """(doc_id, ncx): the older table of contents: a point per chapter in reading order, with points of its second headings in it; depth 2 where there are any."""
+    points = _points(chapters, html)
+    n = F.col("play_order").cast("string")
+    point = F.concat(F.lit('<navPoint id="n'), n, F.lit('" playOrder="'), n, F.lit('"><navLabel><text>'), X.escape_html(F.coalesce("label", F.lit(""))), F.lit('</text></navLabel><content src="Text/'), "chapter_id", F.lit('.xhtml"/>'))
+    held = F.concat(point, F.when(F.col("level") == 1, "").otherwise("</navPoint>"))
+    each = points.groupBy("doc_id", "idx").agg(F.concat(F.array_join(_by_pos(held, "play_order"), ""), F.lit("</navPoint>")).alias("part"), F.max("level").alias("depth"))
+    body = each.groupBy("doc_id").agg(F.array_join(_by_pos(F.col("part"), "idx"), "").alias("points"), F.max("depth").cast("string").alias("depth"))
+    head = F.concat(F.lit('<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1"><head><meta name="dtb:uid" content="urn:uuid:'), "uid", F.lit('"/><meta name="dtb:depth" content="'), "depth", F.lit('"/><meta name="dtb:totalPageCount" content="0"/><meta name="dtb:maxPageNumber" content="0"/></head><docTitle><text>'), X.escape_html(F.coalesce("title", F.lit(""))), F.lit("</text></docTitle><navMap>"))
+    return books.join(body, "doc_id").select("doc_id", F.concat(head, "points", F.lit("</navMap></ncx>")).alias("ncx"))
 
 
 def layout_css(css: Column, line_height: str, font_size: str, margin_block: str, margin_inline: str, chars_hint: int = 0) -> Column:
@@ -183,6 +200,10 @@ TABLES = '    <item id="nav" href="nav.xhtml" media-type="application/xhtml+xml"
 LANDMARKS = (("front", "frontmatter", "Front matter"), ("body", "bodymatter", "Start of content"), ("back", "backmatter", "Back matter"))
 
 
+#: The list of printed pages, which has to be there although converted books have none.
+PAGE_LIST = '  <nav epub:type="page-list" hidden=""><ol>\n  </ol></nav>\n'
+
+
 def landmark_items(chapters: DataFrame) -> DataFrame:
     """(doc_id, landmarks): the items of the landmarks list; parts that a book lacks have none."""
     item = lambda c, kind, name: F.coalesce(F.concat(F.lit(f'      <li><a epub:type="{kind}" href="Text/'), c, F.lit(f'.xhtml">{name}</a></li>\n')), F.lit(""))
@@ -193,24 +214,28 @@ def nav_page(chapters: DataFrame) -> DataFrame:
     """(doc_id, page): the navigation document with contents and landmarks."""
     head = '<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><head><title>nav</title></head><body>\n  <nav epub:type="toc"><ol>\n'
     both = nav(chapters).join(landmark_items(chapters), "doc_id")
-    return both.select("doc_id", F.concat(F.lit(head), "toc", F.lit('\n  </ol></nav>\n  <nav epub:type="landmarks" hidden=""><ol>\n'), "landmarks", F.lit("  </ol></nav>\n</body></html>")).alias("page"))
+    return both.select("doc_id", F.concat(F.lit(head), "toc", F.lit('\n  </ol></nav>\n  <nav epub:type="landmarks" hidden=""><ol>\n'), "landmarks", F.lit(f"  </ol></nav>\n{PAGE_LIST}</body></html>")).alias("page"))
 
 
 def opf(books: DataFrame, chapters: DataFrame, images: DataFrame | None = None) -> DataFrame:
-    """(doc_id, opf): metadata, manifest and spine; visual access modes only with images."""
+    """(doc_id, opf): metadata, manifest and spine; ``images`` (doc_id, name, media, cover) are listed, the cover as such; visual access modes only with images."""
     item = F.concat(F.lit('    <item id="'), "chapter_id", F.lit('" href="Text/'), "chapter_id", F.lit('.xhtml" media-type="application/xhtml+xml"/>'))
     ref = F.concat(F.lit('    <itemref idref="'), "chapter_id", F.lit('"/>'))
     parts = chapters.groupBy("doc_id").agg(F.array_join(_by_pos(item, "idx"), "\n").alias("manifest"), F.array_join(_by_pos(ref, "idx"), "\n").alias("spine"))
     df = books.join(parts, "doc_id")
     if images is not None:
-        df = df.join(images.groupBy("doc_id").agg(F.count("*").alias("n_images")), "doc_id", "left")
+        cover = F.when(F.col("cover"), ' properties="cover-image"').otherwise("")
+        own = F.concat(F.lit("img-"), X.safe_id(F.col("name")), F.lit("-"), F.lower(F.hex(F.crc32(F.col("name").cast("binary")))))  # names that differ in other signs stay apart
+        image = F.concat(F.lit('\n    <item id="'), F.when(F.col("cover"), "cover-image").otherwise(own), F.lit('" href="Images/'), X.escape_html(F.col("name")), F.lit('" media-type="'), "media", F.lit('"'), cover, F.lit("/>"))
+        df = df.join(images.groupBy("doc_id").agg(F.count("*").alias("n_images"), F.array_join(F.array_sort(F.collect_list(image)), "").alias("image_items")), "doc_id", "left")
     else:
-        df = df.withColumn("n_images", F.lit(0))
+        df = df.withColumns({"n_images": F.lit(0), "image_items": F.lit("")})
+    language = F.coalesce("language", F.lit("ja")) if "language" in books.columns else F.lit("ja")
     mode = F.when(F.coalesce("n_images", F.lit(0)) > 0, '\n    <meta property="schema:accessMode">visual</meta>').otherwise("")
     x = lambda c: X.escape_html(F.coalesce(F.col(c), F.lit("")))
     return df.select("doc_id", F.concat(
         F.lit('<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="uid">\n  <metadata xmlns:dc="http://purl.org/dc/elements/1.1/">\n    <dc:identifier id="uid">urn:uuid:'), "uid", F.lit("</dc:identifier>\n    <dc:title>"), x("title"), F.lit("</dc:title>\n    <dc:creator>"), x("author"),
-        F.lit('</dc:creator>\n    <dc:language>ja</dc:language>\n    <meta property="schema:accessMode">textual</meta>'), mode, F.lit("\n  </metadata>\n  <manifest>\n" + TABLES), "manifest", F.lit('\n  </manifest>\n  <spine toc="ncx">\n'), "spine", F.lit("\n  </spine>\n</package>"),
+        F.lit("</dc:creator>\n    <dc:language>"), X.escape_html(language), F.lit('</dc:language>\n    <meta property="schema:accessMode">textual</meta>'), mode, F.lit("\n  </metadata>\n  <manifest>\n" + TABLES), "manifest", F.coalesce("image_items", F.lit("")), F.lit('\n  </manifest>\n  <spine toc="ncx">\n'), "spine", F.lit("\n  </spine>\n</package>"),
     ).alias("opf"))
 
 
@@ -226,16 +251,27 @@ def edit_metadata(opf_text: Column, title: str | None = None, creator: str | Non
     return opf_text
 
 
-def entries(books: DataFrame, chapters: DataFrame) -> DataFrame:
-    """(doc_id, ord, path, stored, content): members of a package in their fixed order, the media type first and stored."""
+#: Images come after all chapters.
+IMAGES_FROM = 1 << 24
+
+
+def entries(books: DataFrame, chapters: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """(doc_id, ord, path, stored, content): members of a package in their fixed order, the media type first and stored.
+
+    With ``images`` (doc_id, name, media, cover, data), these follow by name, and contents are bytes.
+    """
     container = '<container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'
     member = lambda n, path, stored, content: F.struct(F.lit(n).alias("ord"), F.lit(path).alias("path"), F.lit(stored).alias("stored"), F.lit(content).alias("content"))
     fixed = books.select("doc_id", F.inline(F.array(member(0, "mimetype", True, "application/epub+zip"), member(1, "META-INF/container.xml", False, container))))
-    package = opf(books, chapters).select("doc_id", F.lit(2).alias("ord"), F.lit("OEBPS/content.opf").alias("path"), F.lit(False).alias("stored"), F.col("opf").alias("content"))
+    package = opf(books, chapters, images).select("doc_id", F.lit(2).alias("ord"), F.lit("OEBPS/content.opf").alias("path"), F.lit(False).alias("stored"), F.col("opf").alias("content"))
     one = lambda df, n, path, content: df.select("doc_id", F.lit(n).alias("ord"), F.lit(path).alias("path"), F.lit(False).alias("stored"), F.col(content).alias("content"))
     toc, older = one(nav_page(chapters), 3, "OEBPS/nav.xhtml", "page"), one(ncx(books, chapters), 4, "OEBPS/toc.ncx", "ncx")
     text = chapters.select("doc_id", (F.col("idx") + 4).alias("ord"), F.concat(F.lit("OEBPS/Text/"), "chapter_id", F.lit(".xhtml")).alias("path"), F.lit(False).alias("stored"), F.col("html").alias("content"))
-    return fixed.union(package).union(toc).union(older).union(text)
+    out = fixed.union(package).union(toc).union(older).union(text)
+    if images is None:
+        return out
+    after = F.row_number().over(Window.partitionBy("doc_id").orderBy("name")) + IMAGES_FROM
+    return out.withColumn("content", F.encode("content", "UTF-8")).union(images.select("doc_id", after.alias("ord"), F.concat(F.lit("OEBPS/Images/"), "name").alias("path"), F.lit(True).alias("stored"), "data"))
 
 
 def split_books(chapters: DataFrame) -> DataFrame:
@@ -279,9 +315,25 @@ def list_runs(blocks: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "run").agg(F.min("kind").alias("kind"), F.min("pos").alias("pos"), F.array_join(_by_pos(F.col("content")), "").alias("content"))
 
 
-def single_html(chapters: DataFrame) -> DataFrame:
-    """(doc_id, html): one page with a contents list and all chapter bodies, linked to their neighbours."""
-    n = neighbours(chapters)
+def with_inline_images(chapters: DataFrame, images: DataFrame) -> DataFrame:
+    """Chapters whose image sources are the images themselves, in base64; sources without an image stay.
+
+    A chapter is cut at its image tags; the pieces that are tags are joined to
+    ``images`` (doc_id, name, media, data) by file name and put back in order.
+    """
+    pieces = F.regexp_extract_all("html", F.lit("(?s)<img[^>]*>|[^<]+|<"), F.lit(0))
+    rows = chapters.select("doc_id", "idx", F.posexplode(pieces).alias("pos", "piece"))
+    name = F.when(F.startswith("piece", F.lit("<img")), F.substring_index(F.regexp_extract("piece", 'src="([^"]*)"', 1), "/", -1))
+    found = rows.withColumn("name", name).where("name <> ''").join(images.select("doc_id", "name", "media", "data"), ["doc_id", "name"])
+    tag = F.concat(F.regexp_extract("piece", '(?s)^(.*?src=")', 1), F.lit("data:"), "media", F.lit(";base64,"), F.base64("data"), F.regexp_extract("piece", '(?s)src="[^"]*(".*)$', 1))
+    by_place = found.groupBy("doc_id", "idx").agg(F.map_from_entries(F.collect_list(F.struct("pos", tag.alias("tag")))).alias("tags"))
+    html = F.array_join(F.transform(pieces, lambda p, k: F.coalesce(F.try_element_at("tags", k), p)), "")
+    return chapters.join(by_place, ["doc_id", "idx"], "left").withColumn("html", F.when(F.col("tags").isNull(), F.col("html")).otherwise(html)).drop("tags")
+
+
+def single_html(chapters: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """(doc_id, html): one page with a contents list and all chapter bodies, linked to their neighbours; with ``images`` in it."""
+    n = neighbours(with_inline_images(chapters, images) if images is not None else chapters)
     link = lambda c, sign: F.when(F.col(c).isNotNull(), F.concat(F.lit('<a href="#'), c, F.lit(f'">{sign}</a>'))).otherwise("")
     part = F.concat(F.lit('<section id="'), "chapter_id", F.lit('">'), X.body_of(F.col("html")), link("prev_id", "&lt;"), link("next_id", "&gt;"), F.lit("</section>"))
     toc = F.concat(F.lit('<li><a href="#'), "chapter_id", F.lit('">'), X.escape_html(F.col("title")), F.lit("</a></li>"))

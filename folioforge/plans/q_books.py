@@ -121,10 +121,20 @@ def j12_chapter_types(spark, sf, sql=BOOKS):
     return B.chapter_types(chapters(spark, sf, sql)).select("doc_id", "chapter_id", "idx", "part")
 
 
-@query(f"""{W}, n as (select doc_id, count(*) as points, string_agg(concat('<navPoint id="n', cast(idx as string), '" playOrder="', cast(idx as string), '"><navLabel><text>', {ESC.format('title')}, '</text></navLabel><content src="Text/', chapter_id, '.xhtml"/></navPoint>'), '' order by idx) as body from ch group by 1)
-  select doc_id, concat('<ncx version="2005-1"><head><meta name="dtb:uid" content="urn:uuid:u', doc_id, '"/></head><docTitle><text>Title ', source, '</text></docTitle><navMap>', body, '</navMap></ncx>') as ncx from n join (select doc_id, source from documents) using (doc_id)""")
+@query(f"""{W}, h as (select doc_id, idx, chapter_id, unnest(case when idx % 2 = 0 then [title, concat('h', idx, '&'), 'x'] else [title] end) as label, unnest(case when idx % 2 = 0 then [1, 2, 2] else [1] end) as level, unnest(case when idx % 2 = 0 then [0, 1, 2] else [0] end) as k from ch),
+  p as (select *, cast(row_number() over (partition by doc_id order by idx, k) as string) as n, k = max(k) over (partition by doc_id, idx) as last from h),
+  nb as (select doc_id, max(level) as depth, string_agg(concat('<navPoint id="n', n, '" playOrder="', n, '"><navLabel><text>', {ESC.format('label')}, '</text></navLabel><content src="Text/', chapter_id, '.xhtml"/>', case when level = 2 then '</navPoint>' else '' end, case when last then '</navPoint>' else '' end), '' order by idx, k) as body from p group by 1)
+  select doc_id, concat('<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1"><head><meta name="dtb:uid" content="urn:uuid:u', doc_id, '"/><meta name="dtb:depth" content="', depth, '"/><meta name="dtb:totalPageCount" content="0"/><meta name="dtb:maxPageNumber" content="0"/></head><docTitle><text>Title ', source, '</text></docTitle><navMap>', body, '</navMap></ncx>') as ncx from nb join (select doc_id, source from documents) using (doc_id)""")
 def k4_ncx(spark, sf, sql=BOOKS):
-    return B.ncx(books(spark, sf), chapters(spark, sf, sql))
+    """Every second chapter has two second headings."""
+    heads = F.when(F.col("idx") % 2 == 0, F.concat(F.lit("<h2>h"), F.col("idx").cast("string"), F.lit("&</h2><p/><h2 id='q'>x</h2>"))).otherwise("")
+    return B.ncx(books(spark, sf), chapters(spark, sf, sql).withColumn("html", heads))
+
+
+@query(f"{W} select distinct doc_id, 1 as page_lists, 3 as navs from ch")
+def k3_page_list(spark, sf, sql=BOOKS):
+    page = B.nav_page(chapters(spark, sf, sql))
+    return page.select("doc_id", F.regexp_count("page", F.lit('<nav epub:type="page-list" hidden="">')).alias("page_lists"), F.regexp_count("page", F.lit("</nav>")).alias("navs"))
 
 
 @query(f"""{W}, t as (select doc_id, idx, chapter_id, {strip_sql('title')} as t from ch), p as (select *, {PART} as part from t), lm as (select doc_id, arg_min(chapter_id, idx) filter (part = 'frontmatter') as front, coalesce(arg_min(chapter_id, idx) filter (part = 'bodymatter'), arg_min(chapter_id, idx)) as body, arg_min(chapter_id, idx) filter (part = 'backmatter') as back from p group by 1)
@@ -133,7 +143,9 @@ def k3_landmarks(spark, sf, sql=BOOKS):
     return B.landmark_items(chapters(spark, sf, sql))
 
 
-@query()
+@query(f"""{HTML_SQL}, n as (select *, lag(chapter_id) over (partition by doc_id order by idx) as p, lead(chapter_id) over (partition by doc_id order by idx) as x, {strip_sql("regexp_extract(html, '(?is)<body[^>]*>(.*?)</body>', 1)")} as body from hx)
+  select doc_id, concat('<html><body><ol>', string_agg(concat('<li><a href="#', chapter_id, '">', {ESC.format('title')}, '</a></li>'), '' order by idx), '</ol>', chr(10),
+    string_agg(concat('<section id="', chapter_id, '">', body, case when p is null then '' else concat('<a href="#', p, '">&lt;</a>') end, case when x is null then '' else concat('<a href="#', x, '">&gt;</a>') end, '</section>'), chr(10) order by idx), '</body></html>') as html from n group by 1""")
 def k5_k15_single_html(spark, sf, sql=BOOKS):
     return B.single_html(html_chapters(spark, sf, sql))
 
@@ -199,3 +211,15 @@ def j2_w6_footnotes(spark, sf):
 def w7_list_runs(spark, sf):
     blocks = derived(spark, sf, "select conv_id as doc_id, turn as pos, case turn % 4 when 0 then 'p' when 3 then 'ol' else 'ul' end as kind, role as content from conversations", "conversations")
     return B.list_runs(blocks)
+
+
+PICTURES = "select page_id as doc_id, 1 as idx, concat('<p>', url, '</p><img alt=\"a\" src=\"../Images/i', page_id % 3, '.png\"/> < <img src=\"gone.png\"/>') as html from pages"
+
+
+@query("select page_id as doc_id, concat('<p>', url, '</p><img alt=\"a\" src=\"', case when page_id % 3 < 2 then concat('data:image/png;base64,', to_base64(encode(concat('picture ', page_id % 3, ' of ', page_id)))) else concat('../Images/i', page_id % 3, '.png') end, '\"/> < <img src=\"gone.png\"/>') as html from pages")
+def k5_inline_images(spark, sf):
+    """Images are put into the pages that show them, in base64; a third of the sources have none."""
+    ids = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    data = F.encode(F.concat(F.lit("picture "), F.col("k").cast("string"), F.lit(" of "), F.col("doc_id").cast("string")), "UTF-8")
+    images = ids.select("doc_id", F.concat(F.lit("i"), F.col("k").cast("string"), F.lit(".png")).alias("name"), F.lit("image/png").alias("media"), data.alias("data"))
+    return B.with_inline_images(derived(spark, sf, PICTURES, "pages"), images).select("doc_id", "html")

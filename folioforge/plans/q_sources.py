@@ -122,3 +122,27 @@ def g43_p14_safe_keys(spark, sf):
 def s17_recent_history(spark, sf):
     last = table(spark, sf, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(100)
     return last.groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+#: Files of every kind: Markdown with an image beside it (every eighth lacks it), plain text, HTML, and one without a parser.
+LIBRARY = (
+    "select doc_id, concat('lib/f', doc_id, case doc_id % 4 when 0 then '.md' when 1 then '.TXT' when 2 then '.html' else '.bin' end) as path, "
+    "case doc_id % 4 when 0 then concat('# ', source, ' *x*', chr(10), '![p](pics/p', doc_id, '.png)', chr(10), 'a < b ', lang, chr(10), '# Last') when 1 then concat(source, chr(10), 'a & b', chr(10), '第2章 ', lang, chr(10), text) "
+    "else concat('<html><head><title>T ', source, '</title></head><body><p @x=1 a:b=2>pre<br><h1>', source, '</h1><p>&nbsp;x<o:p>y</o:p><h1>again</h1></body></html>') end as text from documents "
+    "union all select -1 - doc_id, concat('lib/pics/p', doc_id, '.png'), 'image' from documents where doc_id % 4 = 0 and doc_id % 8 <> 4"
+)
+
+
+@query("""with d as (select doc_id, source, lang, doc_id % 4 as k, doc_id % 8 = 4 as lost from documents)
+  select doc_id, unnest(case when k = 3 or lost then [cast(null as int)] when k = 2 then [1, 2, 3] else [1, 2] end) as idx,
+    unnest(case when k = 3 or lost then [null] when k = 0 then [concat(source, ' x'), 'Last'] when k = 1 then [source, concat('第2章 ', lang)] else [concat('T ', source), source, 'again'] end) as title,
+    case when k = 0 and not lost then 1 else 0 end as images, case when k = 3 or lost then 'ValueError' end as error from d""")
+def s2_k1_conversion_round_trip(spark, sf):
+    """A folder of files becomes packages, whose chapters and images are read back; files that fail keep their error."""
+    files = derived(spark, sf, LIBRARY, "documents").withColumn("content", F.encode("text", "UTF-8"))
+    packed = S.convert(files.select("doc_id", "path", "content"))
+    back = S.books_of(packed.where("error is null").select("doc_id", F.lit("x.epub").alias("path"), "content"))
+    n = back[2].groupBy("doc_id").agg(F.count("*").alias("images"))
+    read = back[1].join(n, "doc_id", "left").select("doc_id", "idx", "title", F.coalesce("images", F.lit(0)).cast("int").alias("images"), F.lit(None).cast("string").alias("error"))
+    failed = packed.where("error is not null").select("doc_id", F.lit(None).cast("int").alias("idx"), F.lit(None).cast("string").alias("title"), F.lit(0).alias("images"), F.substring_index("error", ":", 1).alias("error"))
+    return read.unionByName(failed)

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import pagemarkup as P
+from ..functions import readings as D
 from ..functions import text as X
 from .registry import derived, query, table
 
@@ -182,3 +184,39 @@ def a34_theme(spark, sf):
     for k in reversed(order[:-1]):
         out = F.when(F.col(k) == best, k).otherwise(out)
     return themed(spark, sf).select("doc_id", F.when(best == 0, "default").otherwise(out).alias("theme"))
+
+
+#: Pages as they come, some without a body, some with a stray sign, in five shapes.
+PAGES = (
+    "select page_id, case page_id % 5 when 0 then html when 1 then concat('<!DOCTYPE html PUBLIC \"a>b\"><html lang=\"en\"><body class=\"c\" style=\"color:red\"><img src=\"x\"/>', url, '<!-- <img src=\"y\"> --><img alt=\"k\" src=\"z\"></body></html>') "
+    "when 2 then concat('<?xml version=\"1.0\"?>', chr(10), '<html lang=\"\"><body style=\"writing-mode:horizontal-tb\"><img title=\"a > b\"></body></html>') when 3 then concat('a < b <p>', url, '</p>') else url end as html from pages"
+)
+_STYLE = P.VERTICAL_STYLE
+_PRO = "concat('<?xml version=''1.0'' encoding=''UTF-8''?>', chr(10), '<!DOCTYPE html>', chr(10))"
+#: Tags of the pages as they come have neither comments nor quoted signs, so patterns on the whole page do.
+_RAW_SQL = (
+    "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?i)<!doctype[^>]*>', '', 'g'), '^\\s+', ''), '<html>', '<html lang=\"ja\">', 'g'), '<html( lang=\"[a-z]+\")>', '<html\\1 xml:lang=\"ja\">', 'g'), "
+    f"'<body>', '<body style=\"{_STYLE}\">', 'g'), '(<img src=\"[^\"]*\")(/?>)', '\\1 alt=\"\"\\2', 'g')"
+)
+
+
+@query(f"""with p as ({PAGES}) select page_id, case page_id % 5 when 0 then case when regexp_matches(html, '<[A-Za-z]') and not regexp_matches(html, '<([^A-Za-z/!?]|$)') then {_PRO} || {_RAW_SQL} else html end
+  when 1 then {_PRO} || concat('<html lang="en" xml:lang="ja"><body class="c" style="color:red;{_STYLE}"><img src="x" alt=""/>', regexp_extract(html, '/>(.*)<!--', 1), '<!-- <img src="y"> --><img alt="k" src="z"></body></html>')
+  when 2 then {_PRO} || '<html lang="ja" xml:lang="ja"><body style="writing-mode:horizontal-tb"><img title="a > b" alt=""></body></html>' else html end as html from p""")
+def f17_page_markup(spark, sf):
+    return derived(spark, sf, PAGES, "pages").select("page_id", P.page_markup(F.col("html")).alias("html"))
+
+
+SPOKEN = "select doc_id, case when doc_id % 4 = 3 then text else concat(text, ' AIとSNS、Web上のGPTの2024年の12億円、3万円と7%、1ヶ月と11ヶ月、2日間と12日間の7大特典。AIR kindle_x KPI', doc_id, ' 門外不出の期間限定', source, 'と緊急開催') end as text from documents"
+
+
+def _spoken_sql(column: str = "text") -> str:
+    out = column
+    for p, r in (*D.NUMBERS, *[((("(?i)" if p in D.ANY_CASE else "") + f"\\b{p}\\b"), r) for p, r in D.ABBREVIATIONS], *D.IDIOMS, *D.BUSINESS):
+        out = f"regexp_replace({out}, '{p}', '{r.replace('$1', chr(92) + '1')}', 'g')"
+    return out
+
+
+@query(f"with s as ({SPOKEN}) select doc_id, {_spoken_sql()} as value from s")
+def g38_read_aloud(spark, sf):
+    return derived(spark, sf, SPOKEN, "documents").select("doc_id", D.read_aloud(F.col("text")).alias("value"))

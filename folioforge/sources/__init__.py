@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from . import docx, epub, html, markdown
+from .conversion import books_of as books_of
+from .conversion import split_packages as split_packages
 from .encoding import decode
 
 SUFFIXES = ("txt", "md", "html", "htm", "epub", "docx", "pdf")
@@ -75,41 +77,20 @@ def epub_chapters(df: DataFrame, content: str = "content") -> DataFrame:
     return _parse(df, content, lambda b: epub.chapters(bytes(b)), ["idx", "chapter_id", "title", "html"], CHAPTERS)
 
 
-def _file_chapters(file: tuple[str, bytes]) -> list[tuple]:
-    path, raw = file
-    suffix = path.rsplit(".", 1)[-1].lower() if "." in path else ""
-    if suffix == "md":
-        return markdown.chapters(decode(bytes(raw))[0])
-    if suffix in ("html", "htm"):
-        return html.chapters(decode(bytes(raw))[0])
-    if suffix == "epub":
-        return epub.chapters(bytes(raw))
-    if suffix == "docx":
-        body = "\n    ".join(content if kind == "table" else f"<{kind}>{content}</{kind}>" for _, kind, _, content in docx.blocks(bytes(raw)))
-        return [(1, "chapter001", path.rsplit("/", 1)[-1][: -len(suffix) - 1], body)]
-    raise ValueError(f"no parser for files that end in {suffix!r}")
-
-
 def file_chapters(files: DataFrame) -> DataFrame:
-    """Chapters of (doc_id, path, content) files, each by the parser of its suffix; plain text goes through the line operators."""
-    from ..operators import books as B
+    """Chapters of (doc_id, path, content) files as pages, each by the parser of its suffix, and a row for each file that fails."""
+    from .conversion import books_of
 
-    plain = F.lower("path").endswith(".txt")
-    text = files.where(plain).select("doc_id", decoded(F.col("content"))["text"].alias("text"))
-    lined = B.with_html(B.plain_chapters(B.lines(text)))
-    other = files.where(~plain).select("doc_id", F.struct("path", "content").alias("file"))
-    parsed = _parse(other, "file", lambda f: _file_chapters((f["path"], f["content"])), ["idx", "chapter_id", "title", "html"], CHAPTERS)
-    return parsed.unionByName(lined.select("doc_id", "idx", "chapter_id", "title", "html", F.lit(None).cast("string").alias("error")))
+    _, chapters, _, errors = books_of(files)
+    failed = errors.select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in (("idx", "int"), ("chapter_id", "string"), ("title", "string"), ("html", "string"))], "error")
+    return chapters.withColumn("error", F.lit(None).cast("string")).unionByName(failed)
 
 
 def convert(files: DataFrame) -> DataFrame:
-    """(doc_id, content): a package for each file that has chapters, titled by its first one."""
-    from ..operators import books as B
+    """(doc_id, content, error): see :func:`folioforge.sources.conversion.convert`."""
+    from . import conversion
 
-    chapters = file_chapters(files).where("error is null")
-    books = chapters.groupBy("doc_id").agg(F.min_by("title", "idx").alias("title")).select("doc_id", "title", F.lit("").alias("author"), fixed_uid(F.col("doc_id")).alias("uid"))
-    page = chapters.withColumn("html", B.chapter_html(F.col("title"), F.coalesce("html", F.lit(""))))
-    return pack_epub(B.entries(books, page))
+    return conversion.convert(files)
 
 
 def docx_blocks(df: DataFrame, content: str = "content") -> DataFrame:

@@ -22,7 +22,7 @@ def package(raw: bytes) -> tuple[dict[str, str], list[tuple[str, str, bytes]], l
     items = {i.get("id"): (posixpath.normpath(posixpath.join(base, i.get("href"))), i.get("media-type") or "") for i in tree.iterfind(".//o:item", NS)}
     names = set(z.namelist())
     order = [r.get("idref") for r in tree.iterfind(".//o:itemref", NS) if r.get("idref") in items] or [k for k, (_, m) in items.items() if "html" in m]
-    docs = [(k, items[k][0], z.read(items[k][0])) for k in order if items[k][0] in names]
+    docs = [(k, items[k][0], z.read(items[k][0])) for k in order if items[k][0] in names and items[k][1] in ("application/xhtml+xml", "")]
     images = [(k, p, z.read(p)) for k, (p, m) in items.items() if m.startswith("image/") and p in names]
     return meta, docs, images
 

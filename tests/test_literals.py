@@ -187,7 +187,7 @@ def test_files_go_to_the_parser_of_their_suffix_and_into_packages(spark):
     assert {r.doc_id for r in got if r.error} == {5}
     assert {(r.doc_id, r.title) for r in got if not r.error} >= {(1, "A"), (3, "C"), (4, "B"), (4, "A")}
     packed = S.convert(rows)
-    assert sorted(r.doc_id for r in packed.collect()) == [1, 2, 3, 4]
+    assert sorted((r.doc_id, r.error is None) for r in packed.collect()) == [(1, True), (2, True), (3, True), (4, True), (5, False)]
     assert {r.title for r in S.epub_chapters(packed.where("doc_id = 1")).collect()} == {"A"}
 
 
@@ -211,3 +211,25 @@ def test_stream_sinks(spark, tmp_path):
     log = str(tmp_path / "log")
     streaming.buffered_log(stream, log, str(tmp_path / "c2"), None).awaitTermination()
     assert streaming.read_log(spark, log, "id long").count() == 50
+
+
+def test_page_markup_reads_tags_only(spark):
+    from folioforge.functions import pagemarkup as P
+
+    of = lambda html: value(spark, P.page_markup(F.lit(html)))
+    page = '<!doctype html><HTML><html lang="en"><!-- <img> <body> --><img src="a>b"/><img alt=\'x\'><![CDATA[<img>]]></html>'
+    assert of(page) == P.PROLOGUE + '<HTML><html lang="en" xml:lang="ja"><!-- <img> <body> --><img src="a>b" alt=""/><img alt=\'x\'><![CDATA[<img>]]></html>'
+    assert of("<body style='color:red;'>") == P.PROLOGUE + f'<body style="color:red;;{P.VERTICAL_STYLE}">'
+    for same in ("", "plain", "a < b <p>", "<p", "<!-- only -->"):
+        assert of(same) == same
+    assert value(spark, P.page_markup(F.lit(None).cast("string"))) is None
+
+
+def test_readings_in_their_order(spark):
+    from folioforge.functions import readings as D
+
+    of = lambda text, **k: value(spark, D.read_aloud(F.lit(text), **k))
+    assert of("3万円と3円、1ヶ月と11ヶ月、12日間。") == "3まんえんと3えん、いっかげつと1いっかげつ、1ふつかかん。"
+    assert of("AIとXAI、youtubeのGPTs") == "えーあいとXAI、ゆーちゅーぶのじーぴーてぃーず"
+    assert of("AI 5円", numbers=False, abbreviations=False, custom=[("A(.)", "$1a")]) == "Ia 5円"
+    assert value(spark, D.read_aloud(F.lit(None).cast("string"))) is None
