@@ -39,6 +39,6 @@ def derived(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFram
     return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
 
 
-for _module in ("events", "costs", "tasks", "leads", "text", "books", "retrieval", "urls", "risk", "windows", "sources", "routing", "pages", "scans"):
+for _module in ("events", "costs", "tasks", "leads", "text", "books", "retrieval", "urls", "risk", "windows", "sources", "routing", "pages", "scans", "intent"):
     if importlib.util.find_spec(f"folioforge.plans.q_{_module}"):
         importlib.import_module(f"folioforge.plans.q_{_module}")
