@@ -7,6 +7,8 @@ All time limits are parameters; nothing reads the clock.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,22 +47,35 @@ def p95(values: str) -> Column:
     return F.coalesce(F.expr(f"percentile_disc(0.95) within group (order by {values})"), F.lit(0.0))
 
 
-def floor_index_percentiles(df: DataFrame, key: str, values: str, of: dict[str, float]) -> DataFrame:
-    """(key, names of ``of``): the value at index floor(n * p) of the sorted values, from counts of each value.
+#: Accuracy of the quantile sketch; its ranks are off by a part of 1/ACCURACY at most.
+ACCURACY = 10_000
+
+
+def floor_index_percentiles(df: DataFrame, key: str | list[str], values: str, of: dict[str, float]) -> DataFrame:
+    """(key, names of ``of``): the value at index floor(n * p) of the sorted values.
 
-    Counts are combined before their exchange, so a task sees distinct values, not rows.
+    A quantile sketch per key, combined before its exchange, bounds each rank
+    by a band of values; a second pass counts what lies below the band, and
+    the distinct values inside it.  So no task sorts the rows of a key.
     """
-    counts = df.where(F.col(values).isNotNull()).groupBy(key, values).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(key)
-    counts = counts.withColumns({"_upto": F.sum("_c").over(w.orderBy(values)), "_n": F.sum("_c").over(w)})
-    return counts.groupBy(key).agg(*[F.min(F.when(F.col("_upto") > F.floor(F.col("_n") * p), F.col(values))).alias(name) for name, p in of.items()])
+    keys = [key] if isinstance(key, str) else list(key)
+    rows = df.where(F.col(values).isNotNull()).select(*keys, F.col(values).alias("_v"))
+    margin = 4 / ACCURACY
+    bounds = [min(1.0, max(0.0, p + d)) for p in of.values() for d in (-margin, margin)]
+    bands = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_v", bounds, ACCURACY).alias("_q"))
+    band = [F.struct(F.lit(k).alias("p"), F.floor(F.col("_n") * p).alias("at"), F.get("_q", F.lit(2 * k)).alias("lo"), F.get("_q", F.lit(2 * k + 1)).alias("hi")) for k, p in enumerate(of.values())]
+    bands = bands.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.inline(F.array(*band)))
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    near = rows.join(bands, on & (F.col("_v") <= F.col("hi")))
+    counted = near.select(*keys, "p", "at", F.when(F.col("_v") >= F.col("lo"), F.col("_v")).alias("_v")).groupBy(*keys, "p", "at", "_v").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "p").orderBy(F.asc_nulls_first("_v")))
+    found = counted.withColumn("_upto", upto).where(F.col("_upto") > F.col("at"))
+    return found.groupBy(*keys).agg(*[F.min(F.when(F.col("p") == k, F.col("_v"))).alias(name) for k, name in enumerate(of)])
 
 
 def floor_rank_percentile(df: DataFrame, keys: list[str], values: str, p: float, name: str) -> DataFrame:
-    """The same without an array per group: a count, then the row of that rank."""
-    w = Window.partitionBy(*keys)
-    ranked = df.where(F.col(values).isNotNull()).select(*keys, values, F.row_number().over(w.orderBy(values)).alias("_r"), F.count("*").over(w).alias("_n"))
-    return ranked.where(F.col("_r") == F.floor(F.col("_n") * p) + 1).select(*keys, F.col(values).alias(name))
+    """The same for one percentile and several keys."""
+    return floor_index_percentiles(df, keys, values, {name: p})
 
 
 def summary(df: DataFrame) -> DataFrame:

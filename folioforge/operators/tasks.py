@@ -22,20 +22,36 @@ FIXES = (
 NO_FIX = "Review error details and add specific handling"
 
 
+#: Stretches of its order that the records of a key are cut into.
+STRETCHES = 64
+
+
 def running_averages(df: DataFrame, key: str, order: str, values: tuple[str, ...]) -> DataFrame:
     """(key, values): averages kept record by record, where a null leaves the average as it is but still counts.
 
     A value that came as the i-th record enters with weight 1/i, and each later
-    value, as the j-th record, multiplies it by (j - 1)/j.  So the result is a
-    sum over the records, with the product as a running sum of logarithms.
+    value, as the j-th record, multiplies it by (j - 1)/j.  The records of a
+    key are cut into stretches of ``order`` (a number or a time) by a quantile
+    sketch; a record's number is its place in the stretch plus the counts of
+    the stretches before, and the products of later stretches are put on at
+    the end.  So a task sorts a stretch, not a key.
     """
-    w = Window.partitionBy(key).orderBy(order)
-    rows = df.select(key, F.row_number().over(w).alias("_i"), *[F.col(v).cast("double").alias(v) for v in values], order)
+    rows = df.select(key, order, *[F.col(v).cast("double").alias(v) for v in values])
+    cuts = rows.groupBy(key).agg(F.percentile_approx(order, [k / STRETCHES for k in range(1, STRETCHES)], 1000).alias("_cuts")).withColumnRenamed(key, "_k")
+    rows = rows.join(cuts, F.col(key).eqNullSafe(F.col("_k"))).withColumn("_s", F.size(F.filter(F.coalesce("_cuts", F.array()), lambda c: c < F.col(order)))).drop("_cuts", "_k")
+    every = Window.partitionBy(key).orderBy("_s")
+    before = rows.groupBy(key, "_s").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(every) - F.col("_n"))
+    before = before.select(F.col(key).alias("_k"), F.col("_s").alias("_t"), "_before")
+    rows = rows.join(before, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_s") == F.col("_t"))).drop("_k", "_t")
+    w = Window.partitionBy(key, "_s").orderBy(order)
+    rows = rows.withColumn("_i", F.col("_before") + F.row_number().over(w))
     i = F.col("_i")
     fades = {f"_{v}": F.sum(F.when(F.col(v).isNotNull() & (i > 1), F.log((i - 1) / i)).otherwise(F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, 0)) for v in values}
-    rows = rows.withColumns(fades)
-    mean = lambda v: F.coalesce(F.exp(F.min(f"_{v}")) * F.sum(F.col(v) / i * F.exp(-F.col(f"_{v}"))), F.lit(0.0))  # noqa: E731  the last running sum is the least
-    return rows.groupBy(key).agg(*[mean(v).alias(v) for v in values])
+    parts = [x for v in values for x in (F.sum(F.col(v) / i * F.exp(-F.col(f"_{v}"))).alias(v), F.min(f"_{v}").alias(f"_{v}"))]  # the last running sum is the least
+    stretches = rows.withColumns(fades).groupBy(key, "_s").agg(*parts)
+    from_here = Window.partitionBy(key).orderBy(F.desc("_s"))
+    faded = stretches.withColumns({f"_all_{v}": F.sum(f"_{v}").over(from_here) for v in values})
+    return faded.groupBy(key).agg(*[F.coalesce(F.sum(F.col(v) * F.exp(f"_all_{v}")), F.lit(0.0)).alias(v) for v in values])
 
 
 def agent_stats(df: DataFrame, order: str = "id") -> DataFrame:

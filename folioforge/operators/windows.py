@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,20 +139,31 @@ def circuit_states(df: DataFrame, key: str, time: str, ok: str, failures: int =
 
 
 def greedy_segments(df: DataFrame, key: str, order: str, size: str, budget: float) -> DataFrame:
-    """Adds ``segment``: consecutive rows filled up to ``budget``; a larger row stands alone.
+    """(key, order, size, segment): consecutive rows filled up to ``budget``; a larger row stands alone.
 
-    The fill starts anew at each segment, so it is a fold over the key's rows, inside Catalyst.
+    The fill starts anew at each segment, so it is a fold: rows sorted by key
+    and order stream through a task that keeps one number.
     """
-    rows = F.array_sort(F.collect_list(F.struct(order, size)))
-    start = F.struct(F.lit(-1).alias("seg"), F.lit(0.0).alias("fill"), F.array().cast("array<int>").alias("out"))
+    rows = df.select(key, order, size, F.col(size).cast("double").alias("_size"))
+    rows = rows.repartition(key).sortWithinPartitions(key, order, size)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
-    def step(acc: Column, x: Column) -> Column:
-        new = (acc["seg"] < 0) | (acc["fill"] + x[size] > budget)
-        seg = F.when(new, acc["seg"] + 1).otherwise(acc["seg"])
-        return F.struct(seg.alias("seg"), F.when(new, x[size].cast("double")).otherwise(acc["fill"] + x[size]).alias("fill"), F.concat(acc["out"], F.array(seg)).alias("out"))
-
-    done = df.groupBy(key).agg(rows.alias("rows"), F.aggregate(rows, start, step, lambda a: a["out"]).alias("seg"))
-    return done.select(key, F.inline(F.arrays_zip("rows", "seg"))).select(key, f"rows.{order}", f"rows.{size}", F.col("seg").alias("segment"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, segment, fill = object(), 0, 0.0
+        for batch in batches:
+            out = []
+            for k, s in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
+                s = s or 0.0
+                if k != now:
+                    now, segment, fill = k, 0, s
+                elif fill + s > budget:
+                    segment, fill = segment + 1, s
+                else:
+                    fill += s
+                out.append(segment)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.int32())], [key, order, size, "segment"])
+
+    return rows.mapInArrow(run, f"{key} {kinds[key]}, {order} {kinds[order]}, {size} {kinds[size]}, segment int")
 
 
 def reading_lines(words: DataFrame, tolerance: float = 0.6, least: float = 4.0) -> DataFrame:

@@ -233,3 +233,34 @@ def test_readings_in_their_order(spark):
     assert of("AIとXAI、youtubeのGPTs") == "えーあいとXAI、ゆーちゅーぶのじーぴーてぃーず"
     assert of("AI 5円", numbers=False, abbreviations=False, custom=[("A(.)", "$1a")]) == "Ia 5円"
     assert value(spark, D.read_aloud(F.lit(None).cast("string"))) is None
+
+
+def test_percentiles_of_bands_are_exact(spark):
+    import random
+
+    from folioforge.operators import events as E
+
+    rnd = random.Random(2)
+    rows = [("a", rnd.gauss(0, 1)) for _ in range(30_000)] + [("b", float(rnd.randrange(3))) for _ in range(5000)] + [(None, 1.5), ("c", None), ("d", 7.0), ("d", 8.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    of = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p999": 0.999}
+    got = {r.k: tuple(r)[1:] for r in E.floor_index_percentiles(df, "k", "v", of).collect()}
+    for k in ("a", "b", None, "d"):
+        values = sorted(v for x, v in rows if x == k and v is not None)
+        assert got[k] == tuple(values[int(len(values) * p)] for p in of.values())
+    assert set(got) == {"a", "b", None, "d"}
+
+
+def test_running_averages_over_stretches(spark):
+    import random
+
+    from folioforge.operators import tasks as K
+
+    rnd = random.Random(3)
+    rows = [(rnd.choice("xy"), k, None if rnd.random() < 0.3 else rnd.random() * 100) for k in range(3000)] + [("z", 1, None), (None, 1, 5.0)]
+    got = {r.k: r.v for r in K.running_averages(spark.createDataFrame(rows, "k string, o long, v double").repartition(5), "k", "o", ("v",)).collect()}
+    for key in ("x", "y", "z", None):
+        average = 0.0
+        for i, v in enumerate((v for k, _, v in rows if k == key), 1):
+            average += 0.0 if v is None else (v - average) / i
+        assert got[key] == pytest.approx(average)
