@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import events as E
+from ..operators import ops as O
 from .registry import derived, query, table
 
 OPS = (
@@ -138,20 +139,19 @@ def k13_report_markdown(spark, sf):
 @query("select count(*) as total, count(*) filter (event_type = 'error') as open, count(*) filter (event_type = 'view') as half_open, count(*) filter (event_type not in ('error', 'view')) as closed from events")
 def a32_circuit_summary(spark, sf):
     kind = F.when(F.col("event_type") == "error", "open").when(F.col("event_type") == "view", "half_open").otherwise("closed")
-    of = lambda k: F.count_if(kind == k).alias(k)
-    return table(spark, sf, "events").agg(F.count("*").alias("total"), of("open"), of("half_open"), of("closed"))
+    return O.state_summary(table(spark, sf, "events").withColumn("state", kind), "state")
 
 
 @query("select case when event_type = 'error' then 'ng' else 'ok' end as status, count(*) as files, round(sum(value), 4) as kb from events group by 1")
 def a33_batch_tally(spark, sf):
-    status = F.when(F.col("event_type") == "error", "ng").otherwise("ok").alias("status")
-    return table(spark, sf, "events").groupBy(status).agg(F.count("*").alias("files"), F.round(F.sum("value"), 4).alias("kb"))
+    return O.batch_tally(table(spark, sf, "events"), F.col("event_type") == "error", "value").withColumn("kb", F.round("kb", 4))
 
 
 @query("""select event_type as stage, round(avg(s), 6) as avg_s, min(s) as min_s, round(sum(s) * 1000 / count(distinct user_id), 4) as ms_per_chapter from (select event_type, user_id, value / 1000 as s from events) group by 1""")
 def a19_conversion_benchmark(spark, sf):
     ev = table(spark, sf, "events").withColumn("s", F.col("value") / 1000)
-    return ev.groupBy(F.col("event_type").alias("stage")).agg(F.round(F.avg("s"), 6).alias("avg_s"), F.min("s").alias("min_s"), F.round(F.sum("s") * 1000 / F.countDistinct("user_id"), 4).alias("ms_per_chapter"))
+    out = O.stage_benchmark(ev.withColumnRenamed("event_type", "stage"), "stage", "s", "user_id")
+    return out.withColumns({"avg_s": F.round("avg_s", 6), "ms_per_chapter": F.round("ms_per_chapter", 4)})
 
 
 @query("select case when user_id % 7 = 0 then 'high' when user_id % 3 = 0 then 'medium' else 'low' end as risk, count(*) as n from events group by 1")
@@ -163,6 +163,5 @@ def a31_risk_counts(spark, sf):
 @query("""with s as (select user_id, max(case when event_type = 'error' then 2 when event_type = 'view' then 1 else 0 end) as r from events group by 1)
   select user_id, case r when 2 then 'high' when 1 then 'medium' else 'low' end as plan_risk from s""")
 def a31_plan_risk(spark, sf):
-    rank = F.when(F.col("event_type") == "error", 2).when(F.col("event_type") == "view", 1).otherwise(0)
-    worst = table(spark, sf, "events").groupBy("user_id").agg(F.max(rank).alias("r"))
-    return worst.select("user_id", F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.col("r") + 1).alias("plan_risk"))
+    risk = F.when(F.col("event_type") == "error", "high").when(F.col("event_type") == "view", "medium").otherwise("low")
+    return O.plan_risk(table(spark, sf, "events").withColumn("risk", risk), "user_id", "risk")

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import ops as O
 from ..operators import risk as R
+from ..operators.routing import by_priority, holds_words
 from .registry import derived, query, table
 
 
@@ -187,15 +189,18 @@ def g31_cascade(spark, sf):
     return both[0].unionByName(both[1]).select("vec_id", "risk", "confidence", "method")
 
 
-@query("with l as (select doc_id, toxic, row_number() over (order by doc_id desc) as k from labels) select count(*) as n, round(avg(toxic), 6) as block_rate from l where k <= 100")
+@query("""with l as (select doc_id, toxic, quality, row_number() over (order by doc_id desc) as k from labels)
+  select 'block' as kind, count(*) as n, round(avg(toxic), 6) as rate from l where k <= 100 union all select 'false_block', count(*), round(avg(1 - quality), 6) from l where k <= 200""")
 def a27_block_rate(spark, sf):
-    last = table(spark, sf, "labels").orderBy(F.desc("doc_id")).limit(100)
-    return last.agg(F.count("*").alias("n"), F.round(F.avg("toxic"), 6).alias("block_rate"))
+    """How many of the last hundred records were blocked, and of the last two hundred wrongly."""
+    rows = table(spark, sf, "labels").withColumn("wrong", 1 - F.col("quality"))
+    rates = [O.recent_rate(rows, flag, F.desc("doc_id"), n=n).withColumn("kind", F.lit(kind)) for kind, flag, n in (("block", "toxic", 100), ("false_block", "wrong", 200))]
+    return rates[0].unionByName(rates[1]).select("kind", "n", F.round("rate", 6).alias("rate"))
 
 
 @query("select doc_id, case when quality = 1 and toxic = 1 then 'high' when quality = 0 then 'medium' else 'low' end as label from labels")
 def g33_corrected_label(spark, sf):
-    return table(spark, sf, "labels").select("doc_id", F.when((F.col("quality") == 1) & (F.col("toxic") == 1), "high").when(F.col("quality") == 0, "medium").otherwise("low").alias("label"))
+    return table(spark, sf, "labels").select("doc_id", O.corrected_label(F.col("toxic") == 1, F.col("quality") == 0).alias("label"))
 
 
 @query("select c_custkey, [cast(c_acctbal > 0 as double), cast(c_custkey % 2 as double), cast(c_mktsegment = 'BUILDING' as double), round(least(1.0, length(c_name) / 40.0), 6)] as features from customer")
@@ -246,44 +251,55 @@ def g42_replace_with_counts(spark, sf):
 
 @query("select doc_id, array_to_string(list_sort([lang, source, 'k']), '|') as key from documents")
 def g46_cache_key(spark, sf):
-    return docs(spark, sf).select("doc_id", F.array_join(F.array_sort(F.array("lang", "source", F.lit("k"))), "|").alias("key"))
+    return docs(spark, sf).select("doc_id", O.cache_key(F.col("lang"), F.col("source"), F.lit("k")).alias("key"))
 
 
-@query("select doc_id, n_chars > 0 and sha256(text) = sha256(text || '') as reusable from documents")
+ARTIFACTS = "select doc_id, case when doc_id % 5 = 0 then concat(text, ' ') else text end as made_of, doc_id % 7 <> 0 as validated from documents where doc_id % 3 <> 0"
+
+
+@query(f"with a as (select doc_id, sha256(made_of) as h, validated from ({ARTIFACTS})) select d.doc_id, coalesce(validated and h = sha256(text), false) as reusable from documents d left join a using (doc_id)")
 def g45_artifact_reuse(spark, sf):
-    return docs(spark, sf).select("doc_id", ((F.col("n_chars") > 0) & (F.sha2("text", 256) == F.sha2(F.concat("text", F.lit("")), 256))).alias("reusable"))
+    """Stored artifacts of documents: some missing, some of a text that changed since, some never validated."""
+    stored = derived(spark, sf, ARTIFACTS, "documents").select("doc_id", F.sha2(F.col("made_of").cast("binary"), 256).alias("sha256"), "validated")
+    return O.reusable(docs(spark, sf), stored, "doc_id", "text")
 
 
 @query("select doc_id, cast(ceil(length(text) * 0.25) as bigint) as tokens, case when length(text) < 100 then 'small' when length(text) < 500 then 'medium' when length(text) < 2000 then 'large' else 'huge' end as size from documents")
 def g17_token_estimate(spark, sf):
-    n = F.length("text")
-    return docs(spark, sf).select("doc_id", F.ceil(n * 0.25).alias("tokens"), F.when(n < 100, "small").when(n < 500, "medium").when(n < 2000, "large").otherwise("huge").alias("size"))
+    return docs(spark, sf).select("doc_id", O.token_estimate(F.col("text")).alias("tokens"), O.size_class(F.col("text")).alias("size"))
 
 
 @query("select doc_id, list_filter([case when regexp_matches(lower(text), 'license') then 'legal' end, case when regexp_matches(text, '[0-9]{3}') then 'numbers' end, case when contains(text, '@') then 'contact' end], lambda x: x is not null) as labels from documents")
 def g55_multi_label(spark, sf):
-    t = F.col("text")
-    return docs(spark, sf).select("doc_id", F.array_compact(F.array(F.when(F.lower(t).rlike("license"), "legal"), F.when(t.rlike("[0-9]{3}"), "numbers"), F.when(F.contains(t, F.lit("@")), "contact"))).alias("labels"))
+    return docs(spark, sf).select("doc_id", O.labels(F.col("text"), [("legal", "(?i)license"), ("numbers", "[0-9]{3}"), ("contact", "@")]).alias("labels"))
 
 
-@query("select o_orderkey, hour(o_orderdate) = 0 and minute(o_orderdate) = 0 and dayofweek(o_orderdate) = 1 as due from orders")
+@query("select event_id, hour(ts) = user_id % 24 and minute(ts) = event_id % 60 and (user_id % 3 = 0 or dayofweek(ts) = event_id % 7) as due from events where user_id % 24 = hour(ts) union all select -1 - event_id, hour(ts) = hour(ts) and (user_id % 3 = 0 or dayofweek(ts) = event_id % 7) from events")
 def g23_schedule_due(spark, sf):
-    t = F.col("o_orderdate")
-    return table(spark, sf, "orders").select("o_orderkey", ((F.hour(t) == 0) & (F.minute(t) == 0) & (F.dayofweek(t) == 2)).alias("due"))
+    """Schedules of users at the times of events, most at other hours; then each at its own minute, two thirds on one weekday only."""
+    e = table(spark, sf, "events")
+    weekday = F.when(F.col("user_id") % 3 != 0, (F.col("event_id") % 7).cast("int"))
+    first = e.where(F.col("user_id") % 24 == F.hour("ts")).select("event_id", O.due(F.col("ts"), F.col("user_id") % 24, F.col("event_id") % 60, weekday).alias("due"))
+    return first.unionByName(e.select((-1 - F.col("event_id")).alias("event_id"), O.due(F.col("ts"), F.hour("ts"), F.minute("ts"), weekday).alias("due")))
 
 
 @query("select doc_id, case regexp_extract(text, '(?i)licensed under ([a-z]+)', 1) when 'CC' then 'open' when 'the' then 'named' else 'other' end as branch from documents")
 def g58_condition_branch(spark, sf):
-    value = F.regexp_extract("text", "(?i)licensed under ([a-z]+)", 1)
-    branches = F.create_map(F.lit("CC"), F.lit("open"), F.lit("the"), F.lit("named"))
-    return docs(spark, sf).select("doc_id", F.coalesce(F.try_element_at(branches, value), F.lit("other")).alias("branch"))
+    return docs(spark, sf).select("doc_id", O.branch(F.col("text"), "(?i)licensed under ([a-z]+)", {"CC": "open", "the": "named"}, "other").alias("branch"))
+
+
+TEMPLATES = [("ja", "BUILDING", "建物 {n} {name}"), ("en", "BUILDING", "building {n}"), ("en", "MACHINERY", "{name} has {n} of {n}"), ("ja", "MACHINERY", "機械"), ("en", "FURNITURE", "{other}")]
+_template = lambda where: "case " + " ".join(f"when {where} and k = '{k}' then '{t}'" for loc, k, t in TEMPLATES if loc == ("ja" if "ja" in where else "en")) + " end"
 
 
-@query("select c_custkey, replace(case c_mktsegment when 'BUILDING' then '建物 {n}' else c_mktsegment end, '{n}', cast(c_custkey as string)) as message from customer")
+@query(f"""with c as (select c_custkey, c_name, c_mktsegment as k, case c_custkey % 3 when 0 then 'ja' when 1 then 'en' else 'fr' end as l from customer)
+  select c_custkey, replace(replace(coalesce({_template("l = 'ja'")}, {_template("l <> ''")}, k), '{{n}}', cast(c_custkey as varchar)), '{{name}}', c_name) as message from c""")
 def g49_localized(spark, sf):
-    """A key without a template is its own message."""
-    texts = F.create_map(F.lit("BUILDING"), F.lit("建物 {n}"))
-    return table(spark, sf, "customer").select("c_custkey", F.replace(F.coalesce(F.try_element_at(texts, F.col("c_mktsegment")), "c_mktsegment"), F.lit("{n}"), F.col("c_custkey").cast("string")).alias("message"))
+    """Three locales over two sets of templates; a key without a template is its own message."""
+    texts = spark.createDataFrame(TEMPLATES, "locale string, key string, template string")
+    locale = F.element_at(F.array(F.lit("ja"), F.lit("en"), F.lit("fr")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    rows = table(spark, sf, "customer").withColumn("locale_of", locale)
+    return O.localized(rows, texts, "c_mktsegment", "locale_of", {"n": F.col("c_custkey").cast("string"), "name": F.col("c_name")}).select("c_custkey", "message")
 
 
 ERRORS = (("timeout", "時間切れ"), ("not found", "見つかりません"), ("permission", "権限"))
@@ -300,13 +316,12 @@ def f34_localized_error(spark, sf):
 
 @query("select o_orderkey from orders order by case o_orderpriority when '1-URGENT' then 0 when '2-HIGH' then 1 when '3-MEDIUM' then 2 else 3 end, o_orderkey limit 100")
 def t4_priority_order(spark, sf):
-    rank = F.when(F.col("o_orderpriority") == "1-URGENT", 0).when(F.col("o_orderpriority") == "2-HIGH", 1).when(F.col("o_orderpriority") == "3-MEDIUM", 2).otherwise(3)
-    return table(spark, sf, "orders").orderBy(rank, "o_orderkey").limit(100).select("o_orderkey")
+    name = F.when(F.col("o_orderpriority") == "1-URGENT", "critical").when(F.col("o_orderpriority") == "2-HIGH", "high").when(F.col("o_orderpriority") == "3-MEDIUM", "medium")
+    return by_priority(table(spark, sf, "orders").withColumn("priority", name), "priority", "o_orderkey").limit(100).select("o_orderkey")
 
 
 @query("select c_custkey, len(list_filter(['a', 'b'], lambda t: not list_contains(tags, t))) = 0 as has_all, list_has_any(tags, ['b', 'z']) as has_any from (select c_custkey, case c_custkey % 3 when 0 then ['a', 'b'] when 1 then ['b'] else ['c'] end as tags from customer)")
 def u4_set_tests(spark, sf):
     k = F.col("c_custkey") % 3
     tags = F.when(k == 0, F.array(F.lit("a"), F.lit("b"))).when(k == 1, F.array(F.lit("b"))).otherwise(F.array(F.lit("c")))
-    has_all = F.forall(F.array(F.lit("a"), F.lit("b")), lambda t: F.array_contains(tags, t))
-    return table(spark, sf, "customer").select("c_custkey", has_all.alias("has_all"), F.arrays_overlap(tags, F.array(F.lit("b"), F.lit("z"))).alias("has_any"))
+    return table(spark, sf, "customer").select("c_custkey", holds_words(tags, all_of=("a", "b")).alias("has_all"), holds_words(tags, any_of=("b", "z")).alias("has_any"))

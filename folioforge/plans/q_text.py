@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import pagemarkup as P
 from ..functions import readings as D
 from ..functions import text as X
+from ..operators.ops import first_best
 from .registry import derived, query, table
 
 JA = (
@@ -178,12 +179,8 @@ def f30_theme_scores(spark, sf):
 @query(f"{THEMED} select doc_id, case when greatest(business, tech, novel, poetry) = 0 then 'default' when business = greatest(business, tech, novel, poetry) then 'business' when tech = greatest(business, tech, novel, poetry) then 'tech' when novel = greatest(business, tech, novel, poetry) then 'novel' else 'poetry' end as theme from s")
 def a34_theme(spark, sf):
     """The first theme, in fixed order, that has the greatest score."""
-    order = ["business", "tech", "novel", "poetry"]
-    best = F.greatest(*order)
-    out = F.lit(order[-1])
-    for k in reversed(order[:-1]):
-        out = F.when(F.col(k) == best, k).otherwise(out)
-    return themed(spark, sf).select("doc_id", F.when(best == 0, "default").otherwise(out).alias("theme"))
+    names = ("business", "tech", "novel", "poetry")
+    return themed(spark, sf).select("doc_id", first_best({k: F.col(k) for k in names}, "default").alias("theme"))
 
 
 #: Pages as they come, some without a body, some with a stray sign, in five shapes.

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import ops as O
 from ..operators import urls as U
 from .registry import derived, query, table
 
@@ -110,12 +111,12 @@ def p8_trash(spark, sf):
 @query(f"with c as ({CONV}) select id, c_name from c join customer on user_id = c_custkey and c_nationkey = 3")
 def j10_owner(spark, sf):
     owner = table(spark, sf, "customer").where("c_nationkey = 3")
-    return derived(spark, sf, CONV, "orders").join(owner, F.col("user_id") == F.col("c_custkey")).select("id", "c_name")
+    return O.owned(derived(spark, sf, CONV, "orders"), owner, "user_id", "c_custkey").select("id", "c_name")
 
 
 @query(f"with c as ({CONV}) select status, count(*) as n, count(deleted_at) as deleted from c group by 1")
 def s20_conversion_store(spark, sf):
-    return derived(spark, sf, CONV, "orders").groupBy("status").agg(F.count("*").alias("n"), F.count("deleted_at").alias("deleted"))
+    return O.conversion_counts(derived(spark, sf, CONV, "orders"))
 
 
 @query("select c_custkey, case when c_custkey % 3 = 0 then upper(c_name) else c_name end as c_name from customer union all select c_custkey + 10000000, upper(c_name) from customer where c_custkey % 50 = 1")
@@ -151,7 +152,12 @@ def j13_baseline_files(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.arrays_overlap(F.split("source", " "), F.array(F.lit("src1"), F.lit("src3"))).alias("known"))
 
 
-@query("select o_orderkey, case o_orderstatus when 'F' then 'line' when 'O' then 'email' end as channel from orders")
+@query("""select o_orderkey, case o_orderstatus when 'F' then 'line' when 'O' then 'email' end as channel, case when o_orderstatus = 'F' and o_orderkey % 2 = 0 then 'small' when o_orderstatus = 'O' and o_orderkey % 2 = 1 then 'large' else 'medium' end as model,
+  case o_orderpriority when '1-URGENT' then 'review' when '2-HIGH' then 'build' else 'end' end as next from orders""")
 def j9_rule_lookup(spark, sf):
-    rules = spark.createDataFrame([("F", "line"), ("O", "email")], "o_orderstatus string, channel string")
-    return table(spark, sf, "orders").join(rules, "o_orderstatus", "left").select("o_orderkey", "channel")
+    """Rank to channel, complexity to model by two keys with a default, phase to branch."""
+    orders = table(spark, sf, "orders").withColumn("odd", F.col("o_orderkey") % 2)
+    out = O.rule_lookup(orders, spark.createDataFrame([("F", "line"), ("O", "email")], "o_orderstatus string, channel string"), ["o_orderstatus"], "channel")
+    out = O.rule_lookup(out, spark.createDataFrame([("F", 0, "small"), ("O", 1, "large")], "o_orderstatus string, odd long, model string"), ["o_orderstatus", "odd"], "model", F.lit("medium"))
+    out = O.rule_lookup(out, spark.createDataFrame([("1-URGENT", "review"), ("2-HIGH", "build")], "o_orderpriority string, next string"), ["o_orderpriority"], "next", F.lit("end"))
+    return out.select("o_orderkey", "channel", "model", "next")

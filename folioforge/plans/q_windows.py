@@ -3,6 +3,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import ops as O
 from ..operators import windows as W
 from .registry import ORACLE, derived, query, table
 
@@ -115,10 +116,9 @@ def w10_w11_pdf_paragraphs(spark, sf):
 
 @query("select p_partkey, p_size >= 20 and p_partkey % 60 >= 20 as kept from part")
 def p10_image_filter(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", ((F.col("p_size") >= 20) & (F.col("p_partkey") % 60 >= 20)).alias("kept"))
+    return table(spark, sf, "part").select("p_partkey", O.is_picture(F.col("p_size"), F.col("p_partkey") % 60).alias("kept"))
 
 
 @query("select p_partkey, case when p_size * 20000 > 650000 then 'error' when p_size * 20000 > 500000 then 'warn' else 'ok' end as flag from part")
 def p13_size_flags(spark, sf):
-    kb = F.col("p_size") * 20_000
-    return table(spark, sf, "part").select("p_partkey", F.when(kb > 650_000, "error").when(kb > 500_000, "warn").otherwise("ok").alias("flag"))
+    return table(spark, sf, "part").select("p_partkey", O.size_flag(F.col("p_size") * 20_000).alias("flag"))
