@@ -235,7 +235,7 @@ def opf(books: DataFrame, chapters: DataFrame, images: DataFrame | None = None)
     x = lambda c: X.escape_html(F.coalesce(F.col(c), F.lit("")))
     return df.select("doc_id", F.concat(
         F.lit('<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="uid">\n  <metadata xmlns:dc="http://purl.org/dc/elements/1.1/">\n    <dc:identifier id="uid">urn:uuid:'), "uid", F.lit("</dc:identifier>\n    <dc:title>"), x("title"), F.lit("</dc:title>\n    <dc:creator>"), x("author"),
-        F.lit("</dc:creator>\n    <dc:language>"), X.escape_html(language), F.lit('</dc:language>\n    <meta property="schema:accessMode">textual</meta>'), mode, F.lit("\n  </metadata>\n  <manifest>\n" + TABLES), "manifest", F.coalesce("image_items", F.lit("")), F.lit('\n  </manifest>\n  <spine toc="ncx">\n'), "spine", F.lit("\n  </spine>\n</package>"),
+        F.lit("</dc:creator>\n    <dc:language>"), X.escape_html(language), F.lit('</dc:language>\n    <meta property="schema:accessMode">textual</meta>\n    <meta name="primary-writing-mode" content="vertical-rl"/>'), mode, F.lit("\n  </metadata>\n  <manifest>\n" + TABLES), "manifest", F.coalesce("image_items", F.lit("")), F.lit('\n  </manifest>\n  <spine toc="ncx" page-progression-direction="rtl">\n'), "spine", F.lit("\n  </spine>\n</package>"),
     ).alias("opf"))
 
 
@@ -287,6 +287,51 @@ def check_package(members: DataFrame) -> DataFrame:
     return out.withColumn("ok", F.col("has_mimetype") & F.col("has_container") & (F.col("n_text") > 0) & (F.col("missing_alt") == 0))
 
 
+#: Members that every package has, and sizes beyond which it is warned of, in kilobytes.
+REQUIRED = ("mimetype", "META-INF/container.xml", "OEBPS/content.opf", "OEBPS/nav.xhtml", "OEBPS/toc.ncx")
+PACKAGE_KB, IMAGE_KB = 650_000, 5_000
+_IMAGE_FILE = r"(?i)^OEBPS/Images/|\.(jpe?g|png|gif|svg)$"
+
+
+def package_report(members: DataFrame) -> DataFrame:
+    """(doc_id, issues, warnings, chapters, images) of packages from their members (doc_id, ord, path, stored, content: text, bytes: length).
+
+    Issues: members missing, the media type compressed or not first, a page
+    direction that is not that of the writing mode.  Warnings: size, writing
+    mode, title, creator, cover, large images, images without alternative
+    text.  One aggregation over the members.
+    """
+    text, path = F.coalesce(F.col("content").cast("string"), F.lit("")), F.col("path")
+    chapter = F.startswith(path, F.lit("OEBPS/Text/")) & F.endswith(path, F.lit(".xhtml"))
+    image = path.rlike(_IMAGE_FILE)
+    flat = path == "OEBPS/content.opf"
+    horizontal = F.contains(text, F.lit("horizontal-tb"))
+    of_opf = lambda test: F.max(F.when(flat, test))
+    direction = F.when(horizontal, F.contains(text, F.lit('page-progression-direction="ltr"'))).otherwise(F.contains(text, F.lit('page-progression-direction="rtl"')))
+    mode = horizontal | F.contains(text, F.lit("vertical-rl"))
+    agg = members.groupBy("doc_id").agg(
+        *[F.max((path == p).cast("int")).alias(f"_r{k}") for k, p in enumerate(REQUIRED)],
+        F.min_by("path", "ord").alias("_first"), F.max(F.when(path == "mimetype", F.col("stored"))).alias("_stored"), of_opf(direction).alias("_direction"), of_opf(mode).alias("_mode"),
+        of_opf(text.rlike("<dc:title>[^<]+</dc:title>")).alias("_title"), of_opf(text.rlike("<dc:creator>[^<]*[^<\\s][^<]*</dc:creator>")).alias("_creator"), of_opf(F.contains(text, F.lit('properties="cover-image"'))).alias("_cover"),
+        (F.sum("bytes") / 1024).alias("_kb"), F.count_if(image & (F.floor(F.col("bytes") / 1024) > IMAGE_KB)).alias("_large"), F.count_if(chapter).alias("chapters"), F.count_if(image).alias("images"),
+        F.sum(F.when(chapter, F.regexp_count(text, F.lit("(?i)<img\\b(?![^>]*alt=)[^>]*>"))).otherwise(0)).alias("_alt"),
+    )
+    count = lambda c, label: F.when(F.col(c) > 0, F.concat(F.lit(label), F.col(c).cast("string")))
+    issues = [F.when(F.col(f"_r{k}") == 0, f"{p} missing") for k, p in enumerate(REQUIRED)]
+    issues += [F.when(F.col("_first") != "mimetype", "mimetype not first").when(~F.col("_stored"), "mimetype compressed"), F.when(~F.col("_direction"), "page direction")]
+    warnings = [F.when(F.col("_kb") > PACKAGE_KB, "package size"), *[F.when(~F.col(c), label) for c, label in (("_mode", "writing mode"), ("_title", "title"), ("_creator", "creator"), ("_cover", "cover"))], count("_large", "large images: "), count("_alt", "images without alt: ")]
+    return agg.select("doc_id", F.array_compact(F.array(*issues)).alias("issues"), F.array_compact(F.array(*warnings)).alias("warnings"), "chapters", "images")
+
+
+def reader_pages(chapters: DataFrame, themes: DataFrame, css: str) -> DataFrame:
+    """(doc_id, file, content): a page for the reader per chapter, and each book's theme (doc_id, theme: a struct) as JSON."""
+    head = '<!DOCTYPE html>\n<html lang="ja"><head><meta charset="UTF-8"/>\n<meta name="viewport" content="width=device-width,initial-scale=1"/>\n<title>'
+    page = F.concat(F.lit(head), X.escape_html(F.coalesce("title", F.lit(""))), F.lit(f"</title>\n<style>{css}</style>\n</head><body>"), X.body_of(F.col("html")), F.lit("</body></html>"))
+    file = F.concat(F.lit("chapter_"), F.lpad((F.col("idx") - 1).cast("string"), 3, "0"), F.lit(".html"))
+    pages = chapters.select("doc_id", file.alias("file"), page.alias("content"))
+    return pages.unionByName(themes.select("doc_id", F.lit("theme.json").alias("file"), F.to_json("theme").alias("content")))
+
+
 def book_info(chapters: DataFrame, large_kb: int = 500) -> DataFrame:
     """(doc_id, chapters, kb: whole kilobytes, large): sizes by book."""
     size = F.octet_length("html")

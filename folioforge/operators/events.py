@@ -155,6 +155,46 @@ def context_consumers(df: DataFrame, n: int = 5) -> DataFrame:
     return used.orderBy(F.desc("total"), "type").limit(n)
 
 
+def _ordered(df: DataFrame, line: Column, *order: Column) -> DataFrame:
+    """One row: the lines of a bounded table, in order, joined."""
+    return df.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)], line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
+
+
+def report_document(df: DataFrame, label: str, start: Column, end: Column, made_at: Column, slow_ms: float = 90.0) -> DataFrame:
+    """(report): the whole Markdown report over a period's events; a part without rows has no heading.
+
+    Every part is an aggregation to few rows (sources, the five most frequent
+    errors and tools, circuit states), so the joins are of single rows.
+    """
+    total = df.agg(F.count("*").alias("n"), rate(F.count_if(F.col("status") == "ok"), F.count("*")).alias("ok"), F.count_if(failed()).alias("bad"))
+    one = lambda x: F.format_string("%.1f", x * 100)
+    whole = lambda c: F.floor(F.col(c) + 0.5).cast("long").cast("string")
+    sources = source_metrics(df)
+    row = F.concat(F.lit("| "), "mcp_name", F.lit(" | "), F.col("calls").cast("string"), F.lit(" | "), one(F.col("failure_rate")), F.lit("% | "), whole("avg_duration_ms"), F.lit("ms | "), whole("p95_duration_ms"), F.lit("ms | "), F.col("circuit_open").cast("string"), F.lit(" |"))
+    errors, tools = top_counts(df.where(failed()), "error_type"), top_counts(df, "tool_name")
+    state = F.get_json_object("metadata", "$.circuit")
+    circuits = df.agg(*[F.count_if(state == s).cast("string").alias(s) for s in ("closed", "open", "half_open")], F.count_if(state == "open").alias("n_open"))
+    top = top_counts(df.where(failed()), "error_type", 1).agg(F.max("error_type").alias("error"), F.max("count").alias("errors"))
+    slow = sources.where(F.col("p95_duration_ms") > slow_ms).agg(F.array_sort(F.collect_list("mcp_name")).alias("slow"))
+    parts = [
+        _ordered(sources, row, -F.col("calls"), F.col("mcp_name")).withColumnRenamed("lines", "by_source"),
+        _ordered(errors, F.concat(F.lit("- **"), "error_type", F.lit("**: "), F.col("count").cast("string"), F.lit("件")), -F.col("count"), F.col("error_type")).withColumnRenamed("lines", "by_error"),
+        _ordered(tools, F.concat(F.lit("- "), "tool_name", F.lit(": "), F.col("count").cast("string"), F.lit("件")), -F.col("count"), F.col("tool_name")).withColumnRenamed("lines", "by_tool"),
+        circuits, top, slow,
+    ]
+    all_of = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts, total)  # single rows
+    advice = F.array_join(F.transform(recommendations(F.col("ok"), F.col("error"), F.col("errors"), F.col("n_open"), F.col("slow")), lambda x: F.concat(F.lit("- "), x)), "\n")
+    part = lambda head, body, gap="\n\n": F.when(body == "", "").otherwise(F.concat(F.lit(head + gap), body, F.lit("\n\n")))
+    stamp = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return all_of.select(F.concat(
+        F.lit(f"# Observability Report: {label}\n\n**期間:** "), stamp(start), F.lit(" 〜 "), stamp(end), F.lit("\n\n## サマリー\n\n| 項目 | 値 |\n|------|-----|\n| 総イベント数 | "), F.col("n").cast("string"),
+        F.lit(" |\n| 成功率 | "), one(F.col("ok")), F.lit("% |\n| 失敗数 | "), F.col("bad").cast("string"), F.lit(" |\n\n"),
+        part("## 内部MCP別メトリクス\n\n| MCP | 呼出数 | 失敗率 | 平均 | p95 | Circuit Open |\n|-----|--------|--------|------|-----|--------------|", F.col("by_source"), "\n"),
+        part("## 失敗理由トップ", F.col("by_error")), part("## 上位スキル", F.col("by_tool")),
+        F.lit("## Circuit Breaker状態\n\n- Closed: "), "closed", F.lit("\n- Open: "), "open", F.lit("\n- Half-Open: "), "half_open", F.lit("\n\n"), part("## 改善提案", advice), F.lit("---\n_Generated at "), stamp(made_at), F.lit("_"),
+    ).alias("report"))
+
+
 def report_markdown(df: DataFrame) -> DataFrame:
     """A Markdown line per source: one-decimal percentages and rounded milliseconds."""
     pct = F.format_string("%.1f", F.col("failure_rate") * 100)

@@ -71,7 +71,7 @@ def w4_k4_play_order(spark, sf, sql=BOOKS):
 
 OPF = f"""{W}, m as (select doc_id, string_agg(concat('    <item id="', chapter_id, '" href="Text/', chapter_id, '.xhtml" media-type="application/xhtml+xml"/>'), chr(10) order by idx) as manifest, string_agg(concat('    <itemref idref="', chapter_id, '"/>'), chr(10) order by idx) as spine from ch group by 1),
   o as (select d.doc_id, concat('<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="uid">', chr(10), '  <metadata xmlns:dc="http://purl.org/dc/elements/1.1/">', chr(10), '    <dc:identifier id="uid">urn:uuid:u', d.doc_id, '</dc:identifier>', chr(10), '    <dc:title>Title ', source, '</dc:title>', chr(10), '    <dc:creator>', lang, '</dc:creator>', chr(10), '    <dc:language>ja</dc:language>', chr(10),
-  '    <meta property="schema:accessMode">textual</meta>', chr(10), '  </metadata>', chr(10), '  <manifest>', chr(10), '    <item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>', chr(10), '    <item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/>', chr(10), manifest, chr(10), '  </manifest>', chr(10), '  <spine toc="ncx">', chr(10), spine, chr(10), '  </spine>', chr(10), '</package>') as opf from documents d join m on d.doc_id = m.doc_id)"""
+  '    <meta property="schema:accessMode">textual</meta>', chr(10), '    <meta name="primary-writing-mode" content="vertical-rl"/>', chr(10), '  </metadata>', chr(10), '  <manifest>', chr(10), '    <item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>', chr(10), '    <item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/>', chr(10), manifest, chr(10), '  </manifest>', chr(10), '  <spine toc="ncx" page-progression-direction="rtl">', chr(10), spine, chr(10), '  </spine>', chr(10), '</package>') as opf from documents d join m on d.doc_id = m.doc_id)"""
 
 
 @query(f"{OPF} select * from o")
@@ -223,3 +223,24 @@ def k5_inline_images(spark, sf):
     data = F.encode(F.concat(F.lit("picture "), F.col("k").cast("string"), F.lit(" of "), F.col("doc_id").cast("string")), "UTF-8")
     images = ids.select("doc_id", F.concat(F.lit("i"), F.col("k").cast("string"), F.lit(".png")).alias("name"), F.lit("image/png").alias("media"), data.alias("data"))
     return B.with_inline_images(derived(spark, sf, PICTURES, "pages"), images).select("doc_id", "html")
+
+
+#: Packages with a member missing, compressed or out of place, and with metadata, images and alternative texts wanting, by document.
+DAMAGED = """select doc_id, ord, path, stored and doc_id % 7 <> 1 as stored, case when path like '%content.opf' and doc_id % 3 = 0 then replace(replace(content, 'rtl', 'ltr'), '<dc:creator>', '<dc:other>') when path like '%.xhtml' and doc_id % 4 = 0 then concat(content, '<img src="x"><IMG alt=""/>') else content end as content, cast(length(content) as bigint) as bytes from members
+  where not (doc_id % 5 = 0 and path = 'OEBPS/toc.ncx') and not (doc_id % 11 = 0 and path = 'mimetype') union all select doc_id, 900, 'OEBPS/Images/big.png', false, '', cast(5200000 + doc_id as bigint) from members where path = 'META-INF/container.xml' and doc_id % 6 = 0"""
+
+
+@query(f"""{W}, n as (select doc_id, count(*) as n from ch group by 1) select doc_id, list_concat(case when doc_id % 11 = 0 then ['mimetype missing'] else [] end, case when doc_id % 5 = 0 then ['OEBPS/toc.ncx missing'] else [] end, case when doc_id % 11 = 0 then ['mimetype not first'] when doc_id % 7 = 1 then ['mimetype compressed'] else [] end, case when doc_id % 3 = 0 then ['page direction'] else [] end) as issues,
+  list_concat(case when doc_id % 3 = 0 then ['creator'] else [] end, ['cover'], case when doc_id % 6 = 0 then ['large images: 1'] else [] end, case when doc_id % 4 = 0 then [concat('images without alt: ', n)] else [] end) as warnings, n as chapters, case when doc_id % 6 = 0 then 1 else 0 end as images from n""")
+def a29_package_report(spark, sf, sql=BOOKS):
+    """The whole check list over packages, many of which are damaged."""
+    members = B.entries(books(spark, sf), html_chapters(spark, sf, sql))
+    damaged = spark.sql(DAMAGED.replace("from members", "from {members}"), members=members)
+    return B.package_report(damaged).select("doc_id", "issues", "warnings", "chapters", F.col("images").cast("int").alias("images"))
+
+
+@query(f"""{HTML_SQL}, n as (select doc_id, concat('chapter_', lpad(cast(idx - 1 as varchar), 3, '0'), '.html') as file, concat('<!DOCTYPE html>', chr(10), '<html lang="ja"><head><meta charset="UTF-8"/>', chr(10), '<meta name="viewport" content="width=device-width,initial-scale=1"/>', chr(10), '<title>', {ESC.format('title')}, '</title>', chr(10), '<style>p{{}}</style>', chr(10), '</head><body>', {strip_sql("regexp_extract(html, '(?is)<body[^>]*>(.*?)</body>', 1)")}, '</body></html>') as content from hx)
+  select * from n union all select doc_id, 'theme.json', concat('{{"name":"', case when doc_id % 2 = 0 then 'novel' else 'default' end, '"}}') from documents""")
+def k15_reader_pages(spark, sf, sql=BOOKS):
+    themes = table(spark, sf, "documents").select("doc_id", F.struct(F.when(F.col("doc_id") % 2 == 0, "novel").otherwise("default").alias("name")).alias("theme"))
+    return B.reader_pages(html_chapters(spark, sf, sql), themes, "p{}")

@@ -165,3 +165,24 @@ def a31_risk_counts(spark, sf):
 def a31_plan_risk(spark, sf):
     risk = F.when(F.col("event_type") == "error", "high").when(F.col("event_type") == "view", "medium").otherwise("low")
     return O.plan_risk(table(spark, sf, "events").withColumn("risk", risk), "user_id", "risk")
+
+
+_PCT = "printf('%.1f', {} * 100)"
+_MS = "cast(cast(floor({} + 0.5) as bigint) as varchar)"
+
+
+@query(f"""{WITH}, x as (select * from ops where {IN_RANGE}), t as (select count(*) as n, count(*) filter (status = 'ok') / count(*) as ok, count(*) filter (status = 'fail') as bad from x),
+  m as (select mcp_name, count(*) as calls, count(*) filter (status = 'fail') / count(*) as r, avg(duration_ms) as a, coalesce(quantile_disc(duration_ms, 0.95), 0) as p, count(*) filter (json_extract_string(metadata, '$.circuit') = 'open') as o from x group by 1),
+  ml as (select string_agg(concat('| ', mcp_name, ' | ', calls, ' | ', {_PCT.format('r')}, '% | ', {_MS.format('a')}, 'ms | ', {_MS.format('p')}, 'ms | ', o, ' |'), chr(10) order by calls desc, mcp_name) as l, list(mcp_name order by mcp_name) filter (p > 90) as slow from m),
+  e as (select error_type as k, count(*) as c from x where status = 'fail' and error_type is not null group by 1 order by 2 desc, 1 limit 5), el as (select string_agg(concat('- **', k, '**: ', c, '件'), chr(10) order by c desc, k) as l, arg_min(k, -c * 1000 + cast(substring(k, 2) as int)) as top, max(c) as topc from e),
+  s as (select tool_name as k, count(*) as c from x group by 1 order by 2 desc, 1 limit 5), sl as (select string_agg(concat('- ', k, ': ', c, '件'), chr(10) order by c desc, k) as l from s),
+  c as (select count(*) filter (json_extract_string(metadata, '$.circuit') = 'closed') as cl, count(*) filter (json_extract_string(metadata, '$.circuit') = 'open') as op from x),
+  r as (select list_concat(list_filter([case when ok < 0.95 then 'success_rate' end, case when topc > 10 then concat('top_error:', top) end, case when op > 0 then concat('circuit_open:', op) end], lambda v: v is not null), list_transform(coalesce(slow, []), lambda v: concat('slow:', v)))[1:3] as recs from t, ml, el, c)
+  select concat('# Observability Report: range', chr(10), chr(10), '**期間:** 2024-01-05T00:00:00.000Z 〜 2024-01-20T00:00:00.000Z', chr(10), chr(10), '## サマリー', chr(10), chr(10), '| 項目 | 値 |', chr(10), '|------|-----|', chr(10), '| 総イベント数 | ', n, ' |', chr(10), '| 成功率 | ', {_PCT.format('ok')}, '% |', chr(10), '| 失敗数 | ', bad, ' |', chr(10), chr(10),
+    '## 内部MCP別メトリクス', chr(10), chr(10), '| MCP | 呼出数 | 失敗率 | 平均 | p95 | Circuit Open |', chr(10), '|-----|--------|--------|------|-----|--------------|', chr(10), ml.l, chr(10), chr(10),
+    case when el.l is null then '' else concat('## 失敗理由トップ', chr(10), chr(10), el.l, chr(10), chr(10)) end, '## 上位スキル', chr(10), chr(10), sl.l, chr(10), chr(10), '## Circuit Breaker状態', chr(10), chr(10), '- Closed: ', cl, chr(10), '- Open: ', op, chr(10), '- Half-Open: 0', chr(10), chr(10),
+    case when len(recs) = 0 then '' else concat('## 改善提案', chr(10), chr(10), array_to_string(list_transform(recs, lambda v: concat('- ', v)), chr(10)), chr(10), chr(10)) end, '---', chr(10), '_Generated at 2024-01-20T00:00:00.000Z_') as report from t, ml, el, sl, c, r""")
+def k13_report_document(spark, sf):
+    """The whole report of a period."""
+    start, end = (F.lit(t).cast("timestamp") for t in RANGE)
+    return E.report_document(E.in_range(ops(spark, sf), *RANGE), "range", start, end, end)
