@@ -24,6 +24,8 @@ from .common import free_name, map_arrow, parallelism, strings, written
 LOWEST, HIGHEST = -(2**63), 2**63 - 1
 PROBES = 64
 ROW_BYTES = 16
+#: About what a row of the key table takes; only this table is exchanged, so parts are counted by it.
+KEY_BYTES = 48
 #: A boundary may leave its quantile by this part of a shard to keep a group whole.
 GROUP_TOLERANCE = 0.02
 
@@ -164,34 +166,27 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     keys = written(key_table(docs, id_col, text_col), "shard-keys")
     spark = docs.sparkSession
     cut = splitters(keys, shards, tolerance)
-    total = keys.agg(F.count("*"), F.sum("size")).first()
-    fine = shards * max(1, -(-max(parallelism(spark), (total[1] or 0) // bytes_per_part) // shards))
+    fine = shards * max(1, -(-max(parallelism(spark), keys.count() * KEY_BYTES // bytes_per_part) // shards))
     edge = _fine_edges(keys, cut, fine // shards, shards)
     key = np.array([k for k, _, _ in edge], np.int64)
     tie = np.array([t for _, t, _ in edge], np.int64)
     shard_of = np.array([0, *(s for _, _, s in edge)], np.int64)
+    rows = np.array([found[1] for found in _below(keys, [(k, t) for k, t, _ in edge])], np.int64)
+    before = np.cumsum(rows) - rows
+    first = before - before[np.searchsorted(shard_of, shard_of)]  # less what precedes the shard's first part
 
-    part, id_type = free_name(docs, "part"), docs.schema[id_col].dataType.simpleString()
+    part, offset, id_type = free_name(docs, "part"), free_name(docs, "offset"), docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = interval(key, tie, batch.column(1).to_numpy(), batch.column(4).to_numpy())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at), pa.array(shard_of[at])], [*batch.schema.names, part, "shard"])
-
-    dealt = map_arrow(keys, run, f"`{id_col}` {id_type}, key long, size long, text_crc32 long, tie long, `{part}` long, shard long")
-    count = [0] * (len(edge) + 1)
-    for j, found in enumerate(_below(keys, [(k, t) for k, t, _ in edge])):
-        count[j] = found[1]
-    first, seen = [], {}
-    for j, n in enumerate(count):
-        s = int(shard_of[j])
-        first.append(seen.get(s, 0))
-        seen[s] = first[-1] + n
-    offsets = F.array(*[F.lit(x).cast("long") for x in first])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at), pa.array(shard_of[at]), pa.array(first[at])], [*batch.schema.names, part, "shard", offset])
+
+    dealt = map_arrow(keys, run, f"`{id_col}` {id_type}, key long, size long, text_crc32 long, tie long, `{part}` long, shard long, `{offset}` long")
     within = Window.partitionBy(part).orderBy("key", "tie", "text_crc32", "size")
     return (
         dealt.repartitionById(len(edge) + 1, F.col(part).cast("int"))
-        .withColumn("slot", (F.row_number().over(within) - 1).cast("long") + F.element_at(offsets, F.col(part).cast("int") + 1))
+        .withColumn("slot", (F.row_number().over(within) - 1).cast("long") + F.col(offset))
         .select(id_col, "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
     )
 

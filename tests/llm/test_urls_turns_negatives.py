@@ -218,3 +218,21 @@ def test_negatives_of_large_ids_and_scores(spark):
     df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
     got = sorted(map(tuple, hardneg.mine_hard_negatives(df, F.col("vec_id") % 3 == 0).collect()))
     assert got and got == mined(rows, lambda i: i % 3 == 0)
+
+
+# Sharding: the plan does not grow with the number of parts
+
+
+def test_plan_of_sharding_does_not_hold_its_parts(spark):
+    from folioforge.llm import sharding
+
+    docs = spark.range(3000).selectExpr("id as doc_id", "repeat(cast(id as string), 20) as text")
+    plans = []
+    for size in (1 << 30, 1 << 11):
+        out = sharding.shard_documents(docs, 7, bytes_per_part=size)
+        plans.append(len(out._jdf.queryExecution().optimizedPlan().toString()))
+        slots = {}
+        for r in out.collect():
+            slots.setdefault(r.shard, []).append(r.slot)
+        assert sorted(slots) == list(range(7)) and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert abs(plans[0] - plans[1]) < 200
