@@ -104,10 +104,11 @@ _KIND = "case " + " ".join("when " + " or ".join(f"contains(lower(summary), '{w}
   select page_id, kind, case when title <> '' then title else lower(regexp_extract(url, '^[a-zA-Z]+://(?:[^@/?#]*@)?([^/?#:]*)', 1)) end as title, substring(summary, 1, 200) as description,
     list_transform(regexp_extract_all(summary, '(?m)^(#+[ \\t]+[^\\n]+)$', 1), lambda h: trim(regexp_replace(h, '^#+[ \\t]+', '')))[1:20] as sections,
     case when kind = 'product' then coalesce(nullif(title, ''), nullif(string_split(path, '/')[-1], '')) end as product_name, case when kind = 'product' then nullif(regexp_extract(summary, '(\\$[0-9,]+\\.?[0-9]*)', 1), '') end as price,
-    case when kind = 'api' then regexp_extract_all(summary, '(?i)((?:GET|POST|PUT|DELETE|PATCH)\\s+/[A-Za-z0-9_\\-/{{}}]+)', 1)[1:10] end as endpoints from a""")
+    case when kind = 'api' then array_to_string(regexp_extract_all(summary, '(?i)((?:GET|POST|PUT|DELETE|PATCH)\\s+/[A-Za-z0-9_\\-/{{}}]+)', 1)[1:10], '|') end as endpoints from a""")
 def g36_page_analysis(spark, sf):
     pages = derived(spark, sf, ANALYSED, "pages").withColumn("kind", R.content_type(F.col("summary")))
-    return pages.select("page_id", "kind", *[c.alias(n) for n, c in I.page_analysis(F.col("url"), F.col("title"), F.col("summary"), F.col("kind")).items()])
+    out = pages.select("page_id", "kind", *[c.alias(n) for n, c in I.page_analysis(F.col("url"), F.col("title"), F.col("summary"), F.col("kind")).items()])
+    return out.withColumn("endpoints", F.array_join("endpoints", "|"))
 
 
 _ERRORS = (

@@ -94,10 +94,11 @@ def g43_nested_keys(spark, sf):
     return rows.select("event_id", safejson.safe_json("text").alias("value"), safejson.has_dangerous_keys("text").alias("dangerous"))
 
 
-@query("select event_id, map_from_entries(list_filter([struct_pack(k := 'type', v := event_type), struct_pack(k := 'user', v := cast(user_id as varchar))], lambda e: e.k <> 'user' or event_id % 2 = 0)) as config from events")
+@query("select event_id, case when event_id % 2 = 0 then [concat('type=', event_type), concat('user=', user_id)] else [concat('type=', event_type)] end as config from events")
 def p14_known_keys(spark, sf):
     raw = F.create_map(F.lit("type"), F.col("event_type"), F.when(F.col("event_id") % 2 == 0, "user").otherwise("colour"), F.col("user_id").cast("string"))
-    return table(spark, sf, "events").select("event_id", safejson.known_keys(raw, ("type", "user")).alias("config"))
+    kept = F.map_entries(safejson.known_keys(raw, ("type", "user")))
+    return table(spark, sf, "events").select("event_id", F.array_sort(F.transform(kept, lambda e: F.concat(e["key"], F.lit("="), e["value"]))).alias("config"))
 
 
 #: Statistics of customers as agents: nested maps, lists of maps, comments and quotes; every eleventh file is broken.

@@ -75,7 +75,7 @@ def w20_circuit_replay(spark, sf):
 @query("""with recursive c as (select conv_id, turn, length(text) as mora, row_number() over (partition by conv_id order by turn) as k from conversations),
   s as (select conv_id, turn, mora, k, 0 as segment, mora + 0.0 as fill from c where k = 1
     union all select c.conv_id, c.turn, c.mora, c.k, case when fill + c.mora > 180 then segment + 1 else segment end, case when fill + c.mora > 180 then c.mora + 0.0 else fill + c.mora end from s join c on c.conv_id = s.conv_id and c.k = s.k + 1)
-  select conv_id, turn, mora, segment from s""")
+  select conv_id, turn, cast(mora as int) as mora, segment from s""")
 def w23_greedy_segments(spark, sf):
     return W.greedy_segments(table(spark, sf, "conversations").withColumn("mora", F.length("text")), "conv_id", "turn", "mora", 180.0)
 
