@@ -130,15 +130,15 @@ def w22_advance_sequence(spark, sf):
     return base.select("lead_id", F.transform(L.advance(steps), lambda s: s["status"]).alias("statuses"))
 
 
-MESSAGES = [("HOT", "email", "For {company}", "Dear {name} of {company}, {industry} " + "x" * 1990), ("HOT", "line", "no", "Hi {name} " + "y" * 490), ("COLD", "sms", "", "{name}, {region}? {unknown} " + "z" * 140)]
+LETTERS = [("HOT", "email", "For {company}", "Dear {name} of {company}, {industry} " + "x" * 1990), ("HOT", "line", "no", "Hi {name} " + "y" * 490), ("COLD", "sms", "", "{name}, {region}? {unknown} " + "z" * 140)]
 RANKED = "select lead_id, name, company, industry, region, case lead_id % 3 when 0 then 'HOT' when 1 then 'COLD' else 'WARM' end as rank, case lead_id % 4 when 0 then 'email' when 1 then 'sms' when 2 then 'line' else 'fax' end as channel from leads"
 _fill = lambda t: f"replace(replace(replace(replace('{t}', '{{name}}', coalesce(name, '')), '{{company}}', coalesce(company, '')), '{{industry}}', coalesce(industry, '')), '{{region}}', coalesce(region, ''))"
 _cut = lambda t, n: f"case when length({_fill(t)}) > {n} then concat(substring({_fill(t)}, 1, {n - 3}), '...') else {_fill(t)} end"
 
 
-@query(f"""with leads as ({LEADS}), r as ({RANKED}) select lead_id, case when rank = 'HOT' and channel = 'email' then {_fill(MESSAGES[0][2])} end as subject,
-  case {" ".join(f"when rank = '{k}' and channel = '{c}' then {_cut(b, CHANNEL_LIMITS[c])}" for k, c, _, b in MESSAGES)} end as body from r""")
+@query(f"""with leads as ({LEADS}), r as ({RANKED}) select lead_id, case when rank = 'HOT' and channel = 'email' then {_fill(LETTERS[0][2])} end as subject,
+  case {" ".join(f"when rank = '{k}' and channel = '{c}' then {_cut(b, CHANNEL_LIMITS[c])}" for k, c, _, b in LETTERS)} end as body from r""")
 def g48_composed_messages(spark, sf):
     """Messages by rank and channel, at the length of the channel; only e-mail has a subject."""
     ranked = spark.sql(RANKED.replace("from leads", "from {leads}"), leads=leads(spark, sf))
-    return composed_messages(ranked, spark.createDataFrame(MESSAGES, "rank string, channel string, subject string, body string")).select("lead_id", "subject", "body")
+    return composed_messages(ranked, spark.createDataFrame(LETTERS, "rank string, channel string, subject string, body string")).select("lead_id", "subject", "body")
