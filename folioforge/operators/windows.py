@@ -204,16 +204,6 @@ def reading_lines(words: DataFrame, tolerance: float = 0.6, least: float = 4.0)
     return boxes.mapInPandas(fold, "doc_id long, page int, line int, text string, top double, bottom double")
 
 
-def paragraphs_by_gap(lines: DataFrame, gap: float = 1.5) -> DataFrame:
-    """Lines joined to paragraphs: a new one begins where the gap to the line above exceeds ``gap`` times the median gap."""
-    w = Window.partitionBy("doc_id", "page").orderBy("line")
-    g = lines.withColumn("gap", F.col("top") - F.lag("bottom").over(w))
-    median = g.groupBy("doc_id", "page").agg(F.median("gap").alias("median"))
-    g = g.join(median, ["doc_id", "page"]).withColumn("new", F.coalesce((F.col("gap") > F.col("median") * gap).cast("int"), F.lit(0)))
-    g = g.withColumn("paragraph", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return g.groupBy("doc_id", "page", "paragraph").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "").alias("text"))
-
-
 def columns_by_gap(words: DataFrame, part: float = 0.1) -> DataFrame:
     """Adds ``column``: words right of a gap between neighbouring x positions wider than ``part`` of the page."""
     xs = words.select("doc_id", "page", "page_w", F.round("x0").alias("x")).distinct()

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..operators import pages as P
+from .q_windows import WORDS_SQL
+from .q_windows import words as straight_words
 from .registry import query, table
 
 #: Tops of the five rows of eight words a page has, the first in the head margin; words jitter by up to 8 around them.
@@ -22,7 +24,9 @@ def words(spark, sf):
     return spark.sql(_WORDS + "{e}", e=exploded)
 
 
-PARAGRAPHS = f"""with recursive n as (select doc_id, string_split_regex(text, '[ \n]+') as ws from documents), e as (select doc_id, unnest(ws) as w, unnest(generate_series(0, len(ws) - 1)) as k from n), words as ({_WORDS} e),
+#: Words of documents one by one, then page composition over the CTE ``words``.
+_EACH = "with recursive n as (select doc_id, string_split_regex(text, '[ \n]+') as ws from documents), e as (select doc_id, unnest(ws) as w, unnest(generate_series(0, len(ws) - 1)) as k from n)"
+_COMPOSED = """,
   band as (select *, round_even(x0, 0) as x from words where top > page_h * 0.07 and top < page_h * 0.93),
   h as (select doc_id, page, median(bottom - top) as height from band group by 1, 2),
   g as (select *, x - lag(x) over (partition by doc_id, page order by x) > page_w * 0.1 as cut from band),
@@ -36,6 +40,7 @@ PARAGRAPHS = f"""with recursive n as (select doc_id, string_split_regex(text, '[
   b as (select *, top - lag(bottom) over (partition by doc_id, page, col order by line) > 1.5 * height as new from t where text <> ''),
   p as (select *, count(*) filter (new) over (partition by doc_id, page, col order by line) as paragraph from b),
   paragraphs as (select doc_id, page, col as "column", cast(paragraph as int) as paragraph, string_agg(text, '' order by line) as text from p group by 1, 2, 3, 4)"""
+PARAGRAPHS = f"{_EACH}, words as ({_WORDS} e){_COMPOSED}"
 
 
 @query(f"{PARAGRAPHS} select * from paragraphs")
@@ -52,3 +57,12 @@ def s14_w9_w12_page_paragraphs(spark, sf):
 def s14_page_chapters(spark, sf):
     got = P.page_chapters(P.page_paragraphs(words(spark, sf)), table(spark, sf, "documents"))
     return got.select("doc_id", "idx", "title", F.regexp_extract("html", "(?s)</h1>\n    (.*)\n  </section>", 1).alias("body"), "error")
+
+
+_STRAIGHT = WORDS_SQL[WORDS_SQL.index("words as (") :].replace(", 110.0 as page_h", ", 110.0 as page_h, floor((k % 40) / 8) * 14.0 + doc_id % 3 + case when k % 40 >= 24 then 30 else 0 end + 10.0 as bottom").replace("110.0", "1000.0")
+
+
+@query(f"{_EACH}, {_STRAIGHT}{_COMPOSED} select * from paragraphs")
+def w10_w11_pdf_paragraphs(spark, sf):
+    """Straight lines on high pages: a new paragraph where lines stand further apart than one and a half words are high."""
+    return P.page_paragraphs(straight_words(spark, sf).withColumn("page_h", F.lit(1000.0)))

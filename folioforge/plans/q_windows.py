@@ -109,11 +109,6 @@ def a30_line_tolerance(spark, sf):
     return h.select("doc_id", "page", F.greatest(F.col("height") * 0.6, F.lit(4.0)).alias("tolerance"))
 
 
-@query()
-def w10_w11_pdf_paragraphs(spark, sf):
-    return W.paragraphs_by_gap(W.reading_lines(words(spark, sf)))
-
-
 @query("select p_partkey, p_size >= 20 and p_partkey % 60 >= 20 as kept from part")
 def p10_image_filter(spark, sf):
     return table(spark, sf, "part").select("p_partkey", O.is_picture(F.col("p_size"), F.col("p_partkey") % 60).alias("kept"))
