@@ -38,8 +38,10 @@ SEGMENT = 1 << 20
 HOT_CONTEXTS = 2048
 #: Bytes a shard's sort holds in memory of each of its arrays and of its queue; what is larger is on disk.
 SORT_MEMORY = 128 << 20
-#: Contexts seen twice that a task remembers, to combine equal ones before the exchange.
+#: Contexts seen twice that a task remembers, to combine equal ones before the exchange; beyond it a task forgets them and starts anew.
 REMEMBERED = 100_000
+#: Places of the table in which a task notes the last context that fell into each (8 bytes a place): it knows again what recurs within about 80 MB of text.
+NOTED = 1 << 21
 _LOW = U64(127)
 
 
@@ -144,11 +146,26 @@ def _changed(*columns: np.ndarray) -> np.ndarray:
 
 
 class _Combiner:
-    """Contexts of one task: of those equal byte for byte, all but the earliest so far are repeats at once."""
+    """Contexts of one task: of those equal byte for byte, all but the earliest so far are repeats at once.
 
-    def __init__(self):
+    A context is remembered, with its bytes and its earliest place, from its
+    second sighting on, be that in one call or in calls far apart: a table of
+    ``noted`` places holds the last context that fell into each.  What it has
+    lost by then, and what is forgotten when ``remembered`` contexts are
+    reached, is dealt on once more and told apart after the exchange.
+    """
+
+    def __init__(self, noted: int = NOTED, remembered: int = REMEMBERED):
+        self.noted, self.remembered = np.zeros(noted, U64), remembered
         self.index, self.raw, self.place = HashIndex(), [], []
 
+    def _seen_before(self, key: np.ndarray) -> np.ndarray:
+        """Whether each context was noted in an earlier call; all of this call are noted."""
+        at = (key % U64(len(self.noted))).astype(np.int64)
+        out = (self.noted[at] == key) & (key != 0)
+        self.noted[at] = key
+        return out
+
     def split(self, texts: list[bytes], text, doc, tie, p, n, h, c) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the rows to be dealt on, and of the repeats."""
         key = splitmix(h) ^ c
@@ -180,9 +197,12 @@ class _Combiner:
                     fresh[k] = False
                 else:
                     self.place[j] = place
+        heads = np.union1d(heads, np.flatnonzero(self._seen_before(key) & fresh & ~several))
         heads = heads[known[heads] < 0]
         _, one = np.unique(key[heads], return_index=True)
-        heads = heads[one][: max(0, REMEMBERED - len(self.raw))]
+        heads = heads[one][: self.remembered]
+        if len(self.raw) + len(heads) > self.remembered:
+            self.index, self.raw, self.place = HashIndex(), [], []
         if len(heads):
             self.index.add(key[heads], np.arange(len(self.raw), len(self.raw) + len(heads)))
             for k in heads.tolist():
@@ -305,8 +325,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, rows = Shard(LENGTH, memory), []
 
-        def anchors(t: pa.Table) -> pa.RecordBatch:
-            """Adds what has to be sorted to the shard, from all records of some anchors; returns the repeats told by equal bytes."""
+        def settle(t: pa.Table) -> tuple[pa.Table, pa.RecordBatch]:
+            """Sorted records without those told by equal bytes, and these as repeats."""
             raw = t.column("raw").combine_chunks()
             h, c, doc, tie, p, n = (t.column(k).to_numpy() for k in range(6))
             bare = raw.is_null().to_numpy(zero_copy_only=False)
@@ -316,11 +336,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             head = real[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(real) else real
             equal = pa.compute.equal(raw.take(pa.array(real)), raw.take(pa.array(head))).to_numpy(zero_copy_only=False)
             again = np.append(np.flatnonzero(bare), real[equal & ~new])
-            fresh = real[new | ~equal]
-            edge = np.append(np.flatnonzero(_changed(h[fresh])), len(fresh))
+            return t.take(pa.array(real[new | ~equal])), _batch(REPEAT, np.zeros(1, np.int64), doc[again], tie[again], p[again], n[again], np.zeros(1, np.int64))
+
+        def anchors(t: pa.Table) -> None:
+            """Adds what has to be sorted to the shard, from all settled records of some anchors."""
+            h, _, doc, tie, p, n = (t.column(k).to_numpy() for k in range(6))
+            edge = np.append(np.flatnonzero(_changed(h)), len(h))
             several = np.flatnonzero(np.diff(edge) > 1)
-            at = fresh[ragged(edge[several], np.diff(edge)[several])]
-            raws, places, chosen, a = raw.take(pa.array(at)).to_pylist(), t.column("place").to_numpy()[at].tolist(), [], 0
+            at = ragged(edge[several], np.diff(edge)[several])
+            raws, places, chosen, a = t.column("raw").take(pa.array(at)).to_pylist(), t.column("place").to_numpy()[at].tolist(), [], 0
             for size in np.diff(edge)[several].tolist():
                 chosen += [a + k for k in _sharing(raws[a : a + size], places[a : a + size])]
                 a += size
@@ -328,21 +352,24 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 mine = at[chosen]
                 shard.add([raws[k] for k in chosen], n[mine])
                 rows.append((doc[mine], tie[mine], p[mine]))
-            return _batch(REPEAT, np.zeros(1, np.int64), doc[again], tie[again], p[again], n[again], np.zeros(1, np.int64))
 
+        # the settled records of the anchor at hand: one of each text, however often it comes
         rest: pa.Table | None = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
             t = pa.concat_tables([rest, t]) if rest is not None else t
-            h = t.column("h").to_numpy()
-            if not len(h):
+            if not t.num_rows:
+                continue
+            rest, told = settle(t)
+            yield told
+            if not rest.num_rows:
                 continue
-            k = int(np.flatnonzero(_changed(h))[-1])
+            k = int(np.flatnonzero(_changed(rest.column("h").to_numpy()))[-1])
             if k:
-                yield anchors(t.slice(0, k))
-            rest = t.slice(k)
+                anchors(rest.slice(0, k))
+                rest = rest.slice(k)
         if rest is not None:
-            yield anchors(rest)
+            anchors(rest)
         if not rows:
             return
         doc, tie, p = (np.concatenate(x) for x in zip(*rows))

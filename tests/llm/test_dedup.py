@@ -128,6 +128,52 @@ def test_substrings_of_hot_anchors(spark, monkeypatch):
     assert substring_results(spark.createDataFrame(rows, DOC).repartition(3)) == brute_substrings(rows)
 
 
+def contexts_of(text):
+    """One text as a call of the combiner: its arguments but the document."""
+    texts = [text.encode()]
+    (pieces,) = suffixdedup._pieces(texts)
+    ((which, p, n, _, h, c),) = suffixdedup.contexts(texts, pieces)
+    return texts, which, p, n, h, c
+
+
+def combined(combiner, texts):
+    """(document, from, to) of the contexts dealt on, and of the repeats, of one text a call."""
+    fresh, again = [], []
+    for doc, text in texts:
+        raw, which, p, n, h, c = contexts_of(text)
+        ids = np.full(len(p), doc)
+        for out, rows in zip((fresh, again), combiner.split(raw, which, ids, ids * 0, p, n, h, c)):
+            out += [(doc, int(p[k]), int(p[k] + n[k] + 99)) for k in rows]
+    return fresh, again
+
+
+@pytest.mark.parametrize("noted, remembered", [(1 << 16, 1000), (64, 1000), (1 << 16, 3)])
+def test_a_passage_once_a_call_is_combined(noted, remembered):
+    rng = random.Random(41)
+    passage = " ".join(words(rng, 60))
+    texts = [(k, " ".join(words(rng, 300)) + passage + " ".join(words(rng, 300))) for k in rng.sample(range(100), 40)]
+    fresh, again = combined(suffixdedup._Combiner(noted, remembered), texts)
+    text = dict(texts)
+    dealt = {}
+    for doc, a, b in fresh:
+        dealt.setdefault(text[doc][a:b], []).append((doc, a))
+    # every repeat has an earlier equal context that is dealt on, and no context is lost
+    assert all(min(dealt[text[doc][a:b]]) < (doc, a) for doc, a, b in again)
+    assert sorted(fresh + again) == sorted((doc, int(a), int(a + m + 99)) for doc, t in texts for _, _, ps, ns, _, _ in [contexts_of(t)] for a, m in zip(ps, ns))
+    inside = [r for r in fresh + again if text[r[0]][r[1] : r[2]] in passage]
+    told = [r for r in again if text[r[0]][r[1] : r[2]] in passage]
+    if noted > 64 and remembered > 3:
+        # all but the two sightings that it takes to remember a context, and new least places
+        assert len(told) > 0.7 * len(inside) > 100
+
+
+def test_substrings_of_a_passage_in_every_document(spark):
+    rng = random.Random(42)
+    passage = " ".join(words(rng, 50))
+    rows = [(k, " ".join(words(rng, 20)) + passage[k % 7 :] + " ".join(words(rng, 20))) for k in range(600)]
+    assert substring_results(spark.createDataFrame(rows, DOC).repartition(8), memory=1 << 10) == brute_substrings(rows)
+
+
 def test_substrings_of_repeated_rows_and_null_ids(spark):
     rng = random.Random(10)
     a, b, c = (" ".join(words(rng, 70)) for _ in range(3))
