@@ -78,6 +78,12 @@ def page_title(html: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1), "^[\\s　]+|[\\s　]+$", "")
 
 
+def page_author(html: Column) -> Column:
+    """The author that a page's meta elements name, whichever attribute comes first; empty where none does."""
+    named = F.filter(F.regexp_extract_all(html, F.lit("(?is)<meta\\b[^>]*>"), F.lit(0)), lambda m: m.rlike("(?is)\\sname\\s*=\\s*[\"']?author[\"'\\s/>]"))
+    return F.coalesce(F.regexp_extract(F.get(named, 0), "(?is)\\scontent\\s*=\\s*[\"']([^\"'>]*)", 1), F.lit(""))
+
+
 def page_text(html: Column) -> Column:
     """Text without scripts, styles, navigation, header and footer, blanks collapsed."""
     out = html

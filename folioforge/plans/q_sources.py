@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from .. import sources as S
 from ..functions import markup as M
+from ..functions import text as X
 from ..operators import books as B
 from .q_books import BOOKS, W, books, html_chapters
 from .q_text import HTML, strip_sql
@@ -32,6 +33,83 @@ def s10_html_chapters(spark, sf):
     return S.html_chapters(table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), "html"))
 
 
+@query("""with p as (select page_id, replace(replace(html, '<article>', ''), '</article>', '') as html from pages), h as (select page_id, replace(replace(replace(trim(regexp_extract(html, '<title>([^<]*)<', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') as title, regexp_extract(html, '<div class="ad">([^<]*)<', 1) as ad, regexp_extract(html, '(?s)(<h1>.*)<footer', 1) as body from p)
+  select page_id as doc_id, 1 as idx, title, ad as text from h union all select page_id, 2, replace(replace(replace(trim(regexp_extract(body, '<h1>([^<]*)<', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), regexp_replace(body, '<[^>]+>', '', 'g') from h""")
+def s10_page_chapters(spark, sf):
+    """Pages whose headings stand in the body itself: the chapters begun by them, as whole texts without navigation and footer."""
+    page = F.replace(F.replace("html", F.lit("<article>"), F.lit("")), F.lit("</article>"), F.lit(""))
+    got = S.html_chapters(table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), page.alias("html")))
+    return got.select("doc_id", "idx", "title", F.regexp_replace(F.replace("html", F.lit("\n")), "<[^>]+>", "").alias("text"))
+
+
+_NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+_P = lambda style, runs: f"'<w:p><w:pPr><w:pStyle w:val=\"{style}\"/></w:pPr>', {runs}, '</w:p>'"
+_R = lambda text, mark="": f"'<w:r>{mark}<w:t>', {text}, '</w:t></w:r>'"
+_ESCAPED = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+#: Word documents of whole texts: styles by name and by id, a list, a bold text with a footnote, a table, properties and a picture.
+WORD = {
+    "word/document.xml": f"""concat('<w:document {_NS}><w:body>', {_P("a1", _R("source"))}, {_P("ListBullet", _R("lang"))}, {_P("ListBullet", _R("'x'"))}, {_P("Normal", _R(_ESCAPED, "<w:rPr><w:b/></w:rPr>"))},
+      '<w:p><w:r><w:footnoteReference w:id="2"/></w:r></w:p><w:tbl><w:tr><w:tc>', {_P("", _R("lang"))}, '</w:tc></w:tr></w:tbl><w:p/>', {_P("タイトル", _R("'End'"))}, '</w:body></w:document>')""",
+    "word/styles.xml": f"""'<w:styles {_NS}><w:style w:styleId="a1"><w:name w:val="heading 1"/></w:style></w:styles>'""",
+    "word/footnotes.xml": f"""concat('<w:footnotes {_NS}><w:footnote w:id="0">', {_P("", _R("'separator'"))}, '</w:footnote><w:footnote w:id="2">', {_P("", _R("concat(source, ' note')"))}, '</w:footnote></w:footnotes>')""",
+    "docProps/core.xml": """concat('<c xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>', case when doc_id % 2 = 0 then concat('Book ', source) else '' end, '</dc:title><dc:creator>', lang, '</dc:creator></c>')""",
+    "word/_rels/document.xml.rels": """'<r><x Type="http://x/image" Target="media/p.jpeg"/><x Type="http://x/image" Target="http://x/y.png" TargetMode="External"/></r>'""",
+    "[Content_Types].xml": """'<t><d Extension="jpeg" ContentType="image/jpeg"/></t>'""",
+    "word/media/p.jpeg": "'picture'",
+}
+
+
+def word_files(spark, sf):
+    """(doc_id, path, content) of a Word document for each document."""
+    member = F.explode(F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(path).alias("path"), F.lit(False).alias("stored"), F.expr(sql).alias("content")) for k, (path, sql) in enumerate(WORD.items())]))
+    packed = S.pack_epub(table(spark, sf, "documents").where("text is not null").select("doc_id", member.alias("m")).select("doc_id", "m.*"))
+    return packed.select("doc_id", F.concat(F.lit("w/d"), F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"), "content")
+
+
+@query(f"""with b as (select doc_id, unnest(['h1', 'ul', 'ul', 'p', 'p', 'table', 'h1']) as kind, unnest([1, 0, 0, 0, 0, 0, 1]) as level,
+    unnest([source, lang, 'x', concat('<strong>', replace(replace({_ESCAPED}, '"', '&quot;'), chr(39), '&#x27;'), '</strong>'), '<a epub:type="noteref" role="doc-noteref" href="#fn-2"><sup>1</sup></a>', concat('<table><tr><td>', lang, '</td></tr></table>'), 'End']) as content, unnest(range(0, 7)) as place
+    from documents where text is not null),
+  kept as (select * from b where trim(content, chr(10) || ' ') not in ('', '<strong></strong>'))
+  select doc_id, cast(row_number() over (partition by doc_id order by place) - 1 as int) as pos, kind, level, content from kept""")
+def s13_docx_blocks(spark, sf):
+    return S.docx_blocks(word_files(spark, sf)).select("doc_id", "pos", "kind", "level", "content")
+
+
+@query("""select doc_id, unnest([1, 2]) as idx, unnest([source, 'End']) as title, case when doc_id % 2 = 0 then concat('Book ', source) else concat('d', doc_id) end as book, lang as author, unnest([concat(source, ' note'), '']) as note, 'docx_img001.jpg' as image from documents where text is not null""")
+def s13_docx_books(spark, sf):
+    """Word documents as books: title, author, chapters with their notes, and the picture."""
+    books, chapters, images, _ = S.books_of(word_files(spark, sf))
+    note = F.regexp_extract("html", '<aside epub:type="footnote" role="doc-footnote" id="fn-2"><p>([^<]*)</p>', 1)
+    read = chapters.join(books.select("doc_id", F.col("title").alias("book"), "author"), "doc_id").join(images.where("cover and media = 'image/jpeg'").select("doc_id", F.col("name").alias("image")), "doc_id")
+    return read.select("doc_id", "idx", "title", "book", "author", note.alias("note"), "image")
+
+
+@query("select doc_id, '2' as note_id, concat(source, ' note') as note from documents where text is not null")
+def s13_docx_footnotes(spark, sf):
+    return S.docx_footnotes(word_files(spark, sf)).select("doc_id", "note_id", "note")
+
+
+_SENTENCES = "regexp_extract_all(v, '[^。．]*[。．]|[^。．]+')"
+
+
+@query(f"""with d as (select doc_id, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '. ', '。') as v from documents)
+  select doc_id, case when length(v) > 150 and len({_SENTENCES}) > 1 then array_to_string(list_transform(list_filter({_SENTENCES}, lambda s: regexp_matches(s, '[^ \t\r\n]')), lambda s: concat('<p>', s, '</p>')), '') else concat('<p>', v, '</p>') end as value from d""")
+def f15_long_paragraphs(spark, sf):
+    """Whole texts as one paragraph each, with full stops of Japanese type."""
+    v = F.regexp_replace(X.escape_html(F.col("text"), quotes=False), "\\. ", "。")
+    return table(spark, sf, "documents").select("doc_id", M.long_paragraphs(F.concat(F.lit("<p>"), v, F.lit("</p>"))).alias("value"))
+
+
+@query("""with d as (select doc_id, lang, cast(doc_id as varchar) as n from documents)
+  select doc_id, concat('<p>', t, ' <a href="/12">', lang, ' 12</a> <b>', t, '</b> ', '<span class="tcy">1</span><span class="tcy">AB</span> <span class="tcy">', lang, '</span>語</p>') as value
+  from (select *, case when length(n) <= 3 then concat('<span class="tcy">', n, '</span>') else n end as t from d)""")
+def w24_link_guard(spark, sf):
+    """Tokens are set upright but in links, however deep the tags."""
+    n, lang = F.col("doc_id").cast("string"), F.col("lang")
+    html = F.concat(F.lit("<p>"), n, F.lit(' <a href="/12">'), lang, F.lit(" 12</a> <b>"), n, F.lit("</b> 1AB "), lang, F.lit("語</p>"))
+    return table(spark, sf, "documents").select("doc_id", M.upright(html).alias("value"))
+
+
 @query("select doc_id, concat(repeat('日本語のかな', 20), source) as text, 'utf-8-sig' as encoding from documents")
 def s4_s5_decoded(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", S.decoded(F.encode(F.concat(F.repeat(F.lit("日本語のかな"), F.lit(20)), F.col("source")), "UTF-8")).alias("d"))

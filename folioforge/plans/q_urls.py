@@ -72,6 +72,15 @@ def s10_page_title(spark, sf):
     return table(spark, sf, "pages").select("page_id", U.page_title(F.col("html")).alias("title"))
 
 
+@query("select page_id, case page_id % 3 when 2 then '' else regexp_extract(html, 'lang=.([a-z]+)', 1) end as author from pages")
+def s10_page_author(spark, sf):
+    """Every third page names no author; the others name their language as one, with the attributes in either order."""
+    lang = F.regexp_extract("html", "lang=.([a-z]+)", 1)
+    meta = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("<meta name='author' content='"), lang, F.lit("'>"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit('<META content="'), lang, F.lit('" name=author>'))).otherwise(F.lit('<meta name="authority" content="x">'))
+    page = F.replace("html", F.lit("</head>"), F.concat(meta, F.lit("</head>")))
+    return table(spark, sf, "pages").select("page_id", U.page_author(page).alias("author"))
+
+
 @query(f"select page_id, {_text} as text from pages")
 def s10_page_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", U.page_text(F.col("html")).alias("text"))

@@ -67,7 +67,15 @@ def j11_overlaps(spark, sf):
     return W.overlaps(t, "user_id", "s", "e", "event_id")
 
 
-@query()
+@query("""with recursive e as (select user_id, event_type <> 'error' as fine, epoch_us(ts) as t, row_number() over (partition by user_id order by ts, event_id) as k from events),
+  r as (select user_id, cast(0 as bigint) as k, 'closed' as state, 0 as bad, 0 as good, cast(0 as bigint) as since, cast(0 as bigint) as rejected, cast(0 as bigint) as opened from e where k = 1
+    union all select user_id, k, case when waits then 'open' when opens then 'open' when state <> 'closed' and (not fine or good + 1 < 2) then 'half_open' else 'closed' end,
+        case when waits then bad when opens or fine then 0 else bad + 1 end, case when waits then good when fine and state <> 'closed' then good + 1 else good end, case when opens then t else since end,
+        rejected + case when waits then 1 else 0 end, opened + case when opens then 1 else 0 end
+      from (select *, not waits and not fine and (state <> 'closed' or bad + 1 >= 2) as opens
+        from (select r.user_id, e.k, fine, t, bad, since, rejected, opened, state = 'open' and t - since < 86400000000 as waits, case when state = 'open' and t - since >= 86400000000 then 'half_open' else state end as state, case when state = 'open' and t - since >= 86400000000 then 0 else good end as good
+          from r join e on e.user_id = r.user_id and e.k = r.k + 1)))
+  select user_id, max(k) as calls, max(rejected) as rejected, max(opened) as opened, arg_max(state, k) as state from r group by 1""")
 def w20_circuit_replay(spark, sf):
     return W.circuit_states(ev(spark, sf).withColumn("ok", F.col("event_type") != "error"), "user_id", "ts", "ok", 2, 86_400.0, 2, ("event_id",))
 

@@ -98,6 +98,11 @@ def docx_blocks(df: DataFrame, content: str = "content") -> DataFrame:
     return _parse(df, content, lambda b: docx.blocks(bytes(b)), ["pos", "kind", "level", "content"], BLOCKS)
 
 
+def docx_footnotes(df: DataFrame, content: str = "content") -> DataFrame:
+    """(doc_id, note_id, note, error): footnotes of Word documents."""
+    return _parse(df, content, lambda b: list(docx.footnotes(bytes(b)).items()), ["note_id", "note"], "doc_id long, note_id string, note string, error string")
+
+
 def pack_epub(entries: DataFrame) -> DataFrame:
     """(doc_id, content): packages zipped from (doc_id, ord, path, stored, content); one book is one group."""
 

@@ -71,12 +71,9 @@ def _from_epub(path: str, raw: bytes) -> Book:
 
 
 def _from_docx(path: str, raw: bytes) -> Book:
-    chapters: list[tuple[str, list[str]]] = [("", [])]
-    for _, kind, _, content in docx.blocks(raw):
-        if kind == "h1":
-            chapters.append((unescape(re.sub("<[^>]+>", "", content)), []))
-        chapters[-1][1].append(content if kind == "table" else f"<ul><li>{content}</li></ul>" if kind == "ul" else f"<ol><li>{content}</li></ol>" if kind == "ol" else f"<{kind}>{content}</{kind}>")
-    return Book(chapters=[(t, "\n    ".join(b)) for t, b in chapters if b])
+    title, author = docx.properties(raw)
+    packed = [(name, media, data, k == 0) for k, (name, media, data) in enumerate(docx.images(raw))]
+    return Book(title, author, chapters=docx.chapters(raw), images=packed)
 
 
 _PARSERS = {"md": _from_markdown, "html": _from_html, "htm": _from_html, "epub": _from_epub, "docx": _from_docx}

@@ -29,7 +29,14 @@ def an_epub():
 def a_docx():
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     p = lambda style, text: f'<w:p><w:pPr><w:pStyle w:val="{style}"/></w:pPr><w:r><w:t>{text}</w:t></w:r></w:p>'
-    return epub.write([("word/document.xml", False, f"<w:document {w}><w:body>{p('Normal', 'pre')}{p('Heading1', 'H &amp; I')}{p('ListBullet', 'i')}</w:body></w:document>")])
+    ref = '<w:p><w:r><w:t>see</w:t><w:footnoteReference w:id="5"/></w:r></w:p>'
+    return epub.write([
+        ("word/document.xml", False, f"<w:document {w}><w:body>{p('Normal', 'pre')}{p('Heading1', 'H &amp; I')}{p('ListBullet', 'i')}{p('ListBullet', 'j')}{ref}</w:body></w:document>"),
+        ("word/footnotes.xml", False, f'<w:footnotes {w}><w:footnote w:id="5">{p("", "the note")}</w:footnote></w:footnotes>'),
+        ("docProps/core.xml", False, '<c xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:creator>Word &amp; Co</dc:creator></c>'),
+        ("word/_rels/document.xml.rels", False, '<r><x Type="http://x/image" Target="media/k.png"/></r>'), ("word/media/k.png", False, b"drawn"),
+        ("[Content_Types].xml", False, '<t><d Extension="png" ContentType="image/png"/></t>'),
+    ])
 
 
 FILES = [
@@ -68,6 +75,8 @@ def test_packages_are_whole_and_well_formed(spark):
                 src = img.get("src")
                 assert src.startswith("http") or "OEBPS/" + src.removeprefix("../") in inside
     assert members(rows[1].content)["OEBPS/Images/p.png"] == b"png bytes" and members(rows[3].content)["OEBPS/Images/q.JPG"] == b"jpg bytes"
+    nine = members(rows[9].content)
+    assert nine["OEBPS/Images/docx_img001.png"] == b"drawn" and any(b'id="fn-5"><p>the note</p>' in c and b'href="#fn-5"><sup>1</sup>' in c and b"<li>i</li><li>j</li>" in c for n, c in nine.items() if "Text/" in n)
     four = members(rows[4].content)
     assert four["OEBPS/Images/c.png"] == b"cover" and b'properties="cover-image"' in four["OEBPS/content.opf"]
     meta, docs, images = epub.package(bytes(rows[4].content))
@@ -78,7 +87,7 @@ def test_packages_are_whole_and_well_formed(spark):
 def test_titles_and_chapters(spark):
     books, chapters, _, _ = conversion.books_of(frame(spark))
     titles = {r.doc_id: (r.title, r.author, r.language) for r in books.collect()}
-    assert titles == {1: ("A x", "", "ja"), 2: ("題 & 名", "", "ja"), 3: ("C", "Me", "ja"), 4: ("T & U", "Who", "fr"), 9: ("i", "", "ja"), 10: ("j", "", "ja"), 11: ("k", "", "ja"), 12: ("l", "", "ja")}
+    assert titles == {1: ("A x", "", "ja"), 2: ("題 & 名", "", "ja"), 3: ("C", "Me", "ja"), 4: ("T & U", "Who", "fr"), 9: ("i", "Word & Co", "ja"), 10: ("j", "", "ja"), 11: ("k", "", "ja"), 12: ("l", "", "ja")}
     got = {}
     for r in chapters.orderBy("doc_id", "idx").collect():
         got.setdefault(r.doc_id, []).append(r.title)

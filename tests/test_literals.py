@@ -98,6 +98,33 @@ def test_docx_blocks_and_footnotes():
     assert docx.footnotes(raw) == {"2": "note"}
 
 
+def test_docx_styles_notes_properties_and_images():
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    p = lambda style, runs: f'<w:p><w:pPr><w:pStyle w:val="{style}"/></w:pPr>{runs}</w:p>'
+    r = lambda text: f"<w:r><w:t>{text}</w:t></w:r>"
+    ref = lambda k: f'<w:r><w:footnoteReference w:id="{k}"/></w:r>'
+    body = p("7", r("Start &amp; go")) + p("8", r("x")) + p("8", r("y") + ref(3)) + p("番号付きリスト", r("n")) + p("", r("z") + ref(2) + ref(3) + ref(99)) + p("見出し 2", r("part")) + p("タイトル", r("End"))
+    parts = [
+        ("word/document.xml", False, f"<w:document {w}><w:body>{body}</w:body></w:document>"),
+        ("word/styles.xml", False, f'<w:styles {w}><w:style w:styleId="7"><w:name w:val="heading 1"/></w:style><w:style w:styleId="8"><w:name w:val="List Bullet 2"/></w:style><w:style w:styleId="9"/></w:styles>'),
+        ("word/footnotes.xml", False, f'<w:footnotes {w}><w:footnote w:id="2">{p("", r("two"))}</w:footnote><w:footnote w:id="3">{p("", r("a &lt; b"))}</w:footnote><w:footnote w:id="4">{p("", r(" "))}</w:footnote></w:footnotes>'),
+        ("docProps/core.xml", False, '<c xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title> T </dc:title><dc:creator>Who</dc:creator></c>'),
+        ("word/_rels/document.xml.rels", False, '<r><x Type="http://x/image" Target="media/a.png"/><x Type="http://x/image" Target="/word/media/b.bin"/><x Type="http://x/image" Target="media/lost.png"/><x Type="http://x/styles" Target="styles.xml"/></r>'),
+        ("[Content_Types].xml", False, '<t><d Extension="png" ContentType="image/png"/><o PartName="/word/media/b.bin" ContentType="image/x-emf"/></t>'),
+        ("word/media/a.png", False, b"a"), ("word/media/b.bin", False, b"b"),
+    ]
+    raw = epub.write(parts)
+    link = lambda k, n: f'<a epub:type="noteref" role="doc-noteref" href="#fn-{k}"><sup>{n}</sup></a>'
+    assert [b[1:] for b in docx.blocks(raw)] == [("h1", 1, "Start &amp; go"), ("ul", 0, "x"), ("ul", 0, f"y{link(3, 1)}"), ("ol", 0, "n"), ("p", 0, f"z{link(2, 2)}{link(3, 3)}"), ("h2", 2, "part"), ("h1", 1, "End")]
+    assert docx.properties(raw) == ("T", "Who") and docx.properties(epub.write(parts[:1])) == ("", "")
+    assert docx.images(raw) == [("docx_img001.png", "image/png", b"a"), ("docx_img002.emf", "image/x-emf", b"b")] and docx.images(epub.write(parts[:1])) == []
+    (first, text), last = docx.chapters(raw)
+    assert (first, last) == ("Start & go", ("End", "<h1>End</h1>"))
+    assert f"<ul><li>x</li><li>y{link(3, 1)}</li></ul>" in text and "<ol><li>n</li></ol>" in text
+    assert text.index('id="fn-3"><p>a &lt; b</p>') < text.index('id="fn-2"><p>two</p>') and text.count("<aside") == 2
+    assert link(3, 1) not in docx.blocks(epub.write(parts[:1]))[2][3]
+
+
 def test_a_bad_file_is_a_row(spark):
     rows = spark.createDataFrame([(1, make_epub()), (2, b"no zip")], "doc_id long, content binary")
     got = S.epub_chapters(rows).orderBy("doc_id", "idx").collect()
