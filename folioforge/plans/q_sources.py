@@ -33,10 +33,10 @@ def s10_html_chapters(spark, sf):
     return S.html_chapters(table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), "html"))
 
 
-@query("""with p as (select page_id, replace(replace(html, '<article>', ''), '</article>', '') as html from pages), h as (select page_id, replace(replace(replace(trim(regexp_extract(html, '<title>([^<]*)<', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') as title, regexp_extract(html, '<div class="ad">([^<]*)<', 1) as ad, regexp_extract(html, '(?s)(<h1>.*)<footer', 1) as body from p)
-  select page_id as doc_id, 1 as idx, title, ad as text from h union all select page_id, 2, replace(replace(replace(trim(regexp_extract(body, '<h1>([^<]*)<', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), regexp_replace(body, '<[^>]+>', '', 'g') from h""")
+@query("""with p as (select page_id, replace(replace(replace(replace(html, '<article>', ''), '</article>', ''), '&quot;', chr(34)), '&#x27;', chr(39)) as html from pages), h as (select page_id, replace(replace(replace(trim(regexp_extract(html, '<title>([^<]*)<', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') as title, regexp_extract(html, '<div class="ad">([^<]*)<', 1) as ad, regexp_extract(html, '(?s)(<h1>.*)<footer', 1) as body from p)
+  select page_id as doc_id, 1 as idx, title, replace(ad, chr(10), '') as text from h union all select page_id, 2, replace(replace(replace(trim(regexp_extract(body, '<h1>([^<]*)<', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), replace(regexp_replace(body, '<[^>]+>', '', 'g'), chr(10), '') from h""")
 def s10_page_chapters(spark, sf):
-    """Pages whose headings stand in the body itself: the chapters begun by them, as whole texts without navigation and footer."""
+    """Pages whose headings stand in the body itself: the chapters begun by them, as whole texts without navigation, footer and line breaks."""
     page = F.replace(F.replace("html", F.lit("<article>"), F.lit("")), F.lit("</article>"), F.lit(""))
     got = S.html_chapters(table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), page.alias("html")))
     return got.select("doc_id", "idx", "title", F.regexp_replace(F.replace("html", F.lit("\n")), "<[^>]+>", "").alias("text"))
