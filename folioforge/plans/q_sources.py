@@ -38,7 +38,7 @@ def s10_html_chapters(spark, sf):
 def s10_page_chapters(spark, sf):
     """Pages whose headings stand in the body itself: the chapters begun by them, as whole texts without navigation, footer and line breaks."""
     page = F.replace(F.replace("html", F.lit("<article>"), F.lit("")), F.lit("</article>"), F.lit(""))
-    got = S.html_chapters(table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), page.alias("html")))
+    got = S.html_chapters(table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), page.alias("html")), as_written=True)
     return got.select("doc_id", "idx", "title", F.regexp_replace(F.replace("html", F.lit("\n")), "<[^>]+>", "").alias("text"))
 
 

@@ -67,9 +67,9 @@ def markdown_chapters(df: DataFrame, text: str = "text", split_level: int = 1) -
     return _parse(df, text, lambda t: markdown.chapters(t or "", split_level), ["idx", "chapter_id", "title", "html"], CHAPTERS)
 
 
-def html_chapters(df: DataFrame, text: str = "html") -> DataFrame:
-    """Chapters of HTML: element children of the body, begun by its h1 and h2 children."""
-    return _parse(df, text, lambda t: html.chapters(t or ""), ["idx", "chapter_id", "title", "html"], CHAPTERS)
+def html_chapters(df: DataFrame, text: str = "html", as_written: bool = False) -> DataFrame:
+    """Chapters of HTML: element children of the body, begun by its h1 and h2 children; ``as_written`` keeps open references."""
+    return _parse(df, text, lambda t: html.chapters(t or "", as_written), ["idx", "chapter_id", "title", "html"], CHAPTERS)
 
 
 def epub_chapters(df: DataFrame, content: str = "content") -> DataFrame:
