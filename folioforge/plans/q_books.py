@@ -22,7 +22,7 @@ ESC = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&g
 
 
 def chapters(spark, sf, sql=BOOKS):
-    return B.plain_chapters(B.lines(derived(spark, sf, sql, "documents")))
+    return B.text_chapters(derived(spark, sf, sql, "documents"))
 
 
 def html_chapters(spark, sf, sql=BOOKS):

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -44,17 +45,31 @@ def nfc(text: pd.Series) -> pd.Series:
 
 
 def _parse(df: DataFrame, content: str, parse: Callable, columns: list[str], schema: str) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for key, value in zip(frame["doc_id"], frame[content]):
+    from ..shared import bounded
+
+    bounded(df.sparkSession)
+    names = ["doc_id", *columns, "error"]
+    kinds = [{"long": pa.int64(), "int": pa.int32()}.get(f.split()[1], pa.string()) for f in schema.split(", ")]
+    batch_of = lambda out: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, size = [], 0
+            for key, cell in zip(batch.column(0).to_pylist(), batch.column(1)):
+                value = cell.as_py()  # one by one: a batch of texts is not held twice
                 try:
-                    out += [(key, *row, None) for row in parse(value)]
+                    rows = [(key, *row, None) for row in parse(value)]
                 except Exception as e:  # noqa: BLE001  whatever a bad file raises is its row's error
-                    out.append((key, *[None] * len(columns), f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["doc_id", *columns, "error"])
+                    rows = [(key, *[None] * len(columns), f"{type(e).__name__}: {e}")]
+                out += rows
+                size += sum(len(x) for row in rows for x in row if isinstance(x, str))
+                if size > PACKED_BYTES:
+                    yield batch_of(out)
+                    out, size = [], 0
+            if out:
+                yield batch_of(out)
 
-    return df.select("doc_id", content).mapInPandas(run, schema)
+    return df.select("doc_id", content).mapInArrow(run, schema)
 
 
 def markdown_blocks(df: DataFrame, text: str = "text") -> DataFrame:
@@ -103,15 +118,40 @@ def docx_footnotes(df: DataFrame, content: str = "content") -> DataFrame:
     return _parse(df, content, lambda b: list(docx.footnotes(bytes(b)).items()), ["note_id", "note"], "doc_id long, note_id string, note string, error string")
 
 
-def pack_epub(entries: DataFrame) -> DataFrame:
-    """(doc_id, content): packages zipped from (doc_id, ord, path, stored, content); one book is one group."""
+#: Bytes of results that a task hands on at once.
+PACKED_BYTES = 4 << 20
 
-    def zipped(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ord")
-        raw = epub.write(zip(frame["path"], frame["stored"], frame["content"]))
-        return pd.DataFrame([(frame["doc_id"].iat[0], raw)], columns=["doc_id", "content"])
 
-    return entries.groupBy("doc_id").applyInPandas(zipped, "doc_id long, content binary")
+def pack_epub(entries: DataFrame) -> DataFrame:
+    """(doc_id, content): packages zipped from (doc_id, ord, path, stored, content); a task streams through its books, one after the other."""
+    from ..shared import bounded
+
+    bounded(entries.sparkSession)
+    text = entries.schema["content"].dataType.typeName() == "string"
+    rows = entries.select("doc_id", "ord", "path", "stored", "content").repartition("doc_id").sortWithinPartitions("doc_id", "ord")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size, key, members = [], 0, None, []
+        for batch in batches:
+            for doc, _, path, stored, content in zip(*(c.to_pylist() for c in batch.columns)):
+                if members and doc != key:
+                    out.append((key, epub.write(members)))
+                    size, members = size + len(out[-1][1]), []
+                    if size > PACKED_BYTES:
+                        yield _packed(out)
+                        out, size = [], 0
+                key = doc
+                members.append((path, stored, content if text or content is None else bytes(content)))
+        if members:
+            out.append((key, epub.write(members)))
+        if out:
+            yield _packed(out)
+
+    return rows.mapInArrow(run, "doc_id long, content binary")
+
+
+def _packed(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([raw for _, raw in out], pa.binary())], ["doc_id", "content"])
 
 
 def fixed_uid(key: Column) -> Column:

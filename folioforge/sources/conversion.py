@@ -126,7 +126,7 @@ def _plain(files: DataFrame) -> DataFrame:
     """The same rows for plain text, which goes through the line operators."""
     from . import decoded
 
-    chapters = B.with_body(B.plain_chapters(B.lines(files.select("doc_id", decoded(F.col("content"))["text"].alias("text")))))
+    chapters = B.with_body(B.text_chapters(files.select("doc_id", decoded(F.col("content"))["text"].alias("text"))))
     one = F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1)
     title = chapters.where("idx = 1").select("doc_id", "title")
     first = files.join(title, "doc_id", "left").select("doc_id", F.lit("book").alias("kind"), F.lit(0).alias("pos"), F.coalesce(F.nullif(X.strip(F.element_at(F.split(decoded(F.col("content"))["text"], "\r\n|\r|\n"), 1)), F.lit("")), one).alias("title"), F.lit("").alias("author"), F.lit("ja").alias("language"))

@@ -1,7 +1,14 @@
 """Whole results on odd inputs, and plans whose work stays in proportion to the input."""
 
+from folioforge.operators import books as B
 from folioforge.plans import registry
 
+SF = "/root/testdata/sf0.001"
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
 
 def test_page_chapters_keep_cut_references(spark, tmp_path):
     cut = ["One &am", "Two &amp", "Three &", "Four &lt; &amp;"]
@@ -10,3 +17,25 @@ def test_page_chapters_keep_cut_references(spark, tmp_path):
     got = {(r.doc_id, r.idx): (r.title, r.text) for r in registry.QUERIES["s10_page_chapters"](spark, str(tmp_path)).collect()}
     titles = ["One &am", "Two &amp", "Three &", "Four < &"]
     assert got == {(k, 1): (t, "ad") for k, t in enumerate(titles)} | {(k, 2): (t, f"{c}text &amp;&gt; R&D") for k, (t, c) in enumerate(zip(titles, cut))}
+
+
+def test_chapters_cut_in_their_row_equal_those_of_lines(spark):
+    texts = ["T", "", "T\n", " T \n\n", "T\n第1章 x", "T\n第1章 x\n", "T\r\npre\r第1章 x\r\n\r\na\n第2章\nChapter\n3\nb", "T\n\n一 x\ny", "T\n一\nx\n二、z\n　 あとがき \nw\n ", "第1章\n序章\n終章", "T\nChapter　12\n \n\u2028\na <b> & \"c\"\n\t\nd\ne", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    lined = B.plain_chapters(B.lines(docs))
+    assert rows(B.text_chapters(docs)) == rows(lined)
+    paras = {}
+    for r in sorted(B.paragraphs(lined).collect(), key=lambda r: r.para):
+        paras.setdefault((r.doc_id, r.idx), []).append(r.html)
+    assert {(r.doc_id, r.idx): r.body for r in B.with_body(B.text_chapters(docs)).collect()} == {(r.doc_id, r.idx): "\n    ".join(paras.get((r.doc_id, r.idx), [])) for r in lined.collect()}
+
+
+def test_books_are_made_without_shuffles_of_lines(spark):
+    most = {"s7_chapter_html": 0, "k15_reader_pages": 0, "k5_k15_single_html": 1, "k1_entries": 2, "a29_check_package": 7, "a29_package_report": 5}
+    assert {k: n for k in most if (n := exchanges(registry.QUERIES[k](spark, SF))) > most[k]} == {}
+
+
+def test_bad_files_come_in_bounded_batches(spark):
+    registry.QUERIES["s11_unreadable_packages"](spark, SF)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000
