@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import bounded
+
 VALUES = "doc_id long, path string, value string, error string"
 _KEY = re.compile(r"""("(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|[^\s'"#\-\[\]{},][^:#]*?|-[^\s:][^:#]*?)\s*:(?:\s+(.*))?$""")
 _COMMENT = re.compile(r"""((?:[^'"#]|"(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|(?<!\s)#|['"])*?)(?:(?:^|\s+)#.*)?$""")
@@ -45,18 +48,24 @@ def _tokens(indent: int, body: str) -> tuple[list[tuple[int, str | None]], str]:
     return out, body
 
 
+@lru_cache(1 << 14)
+def _line(raw: str) -> tuple[list[tuple[int, str | None]], str, str] | None:
+    """(tokens, what follows them, first sign) of a line; None for one that holds nothing. Files of one kind share most of their lines."""
+    line = (_COMMENT.match(raw)[1] if "#" in raw else raw).rstrip()
+    body = line.lstrip(" ")
+    return (*_tokens(len(line) - len(body), body), body[0]) if body and body != "---" else None
+
+
 def values(text: str) -> Iterator[tuple[str, str | None]]:
     """(path, value) of the scalars of a file, in order; a path is keys and places joined by dots."""
     stack: list[tuple[int, str | int | None]] = []
     open_depth = None  # that of the last key or item, while nothing has followed it
     path = lambda: ".".join(str(name) for _, name in stack)
     for number, raw in enumerate(text.replace("\r\n", "\n").split("\n"), 1):
-        line = _COMMENT.match(raw)[1].rstrip()
-        body = line.lstrip(" ")
-        if not body or body == "---":
+        if (read := _line(raw)) is None:
             continue
-        tokens, rest = _tokens(len(line) - len(body), body)
-        if not tokens or body[0] in "&*!|>%@`\t":
+        tokens, rest, first = read
+        if not tokens or first in "&*!|>%@`\t":
             raise ValueError(f"line {number} is beyond plain block YAML")
         for depth, name in tokens:
             if open_depth is not None and depth <= open_depth:
@@ -91,15 +100,22 @@ def yaml_values(files: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            keys, paths, found, errors = [], [], [], []
             for key, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
-                    out += [(key, *pair, None) for pair in values(content or "")]
+                    read, error = list(values(content or "")), None
                 except ValueError as e:
-                    out = [r for r in out if r[0] != key] + [(key, None, None, str(e))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64() if k == 0 else pa.string()) for k in range(4)], ["doc_id", "path", "value", "error"])
+                    read, error = [(None, None)], str(e)
+                keys += [key] * len(read)
+                paths += [p for p, _ in read]
+                found += [v for _, v in read]
+                errors += [error] * len(read)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array(c, pa.string()) for c in (paths, found, errors))], ["doc_id", "path", "value", "error"])
 
-    return files.select("doc_id", text).mapInArrow(run, VALUES)
+    spark = files.sparkSession
+    bounded(spark)
+    # a small table of many small files may be one split: its files are dealt out to as many tasks as a shuffle has
+    return files.select("doc_id", text).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").mapInArrow(run, VALUES)
 
 
 def scan_stats(spark: SparkSession, folder: str) -> DataFrame:
@@ -122,5 +138,5 @@ def agent_stats(files: DataFrame) -> DataFrame:
     of = lambda p: F.max(F.when(F.col("path") == p, F.col("value")))
     task = F.regexp_extract("path", r"^recent_tasks\.([0-9]+)", 1)
     named = [F.coalesce(of(p).try_cast("double"), F.lit(0.0)).alias(p.rsplit(".", 1)[-1]) for p in NUMBERS]
-    got = rows.groupBy("doc_id").agg(of("agent_name").alias("_name"), *named, F.countDistinct(F.when(task != "", task)).alias("recent_tasks"), F.max("error").alias("error"))
+    got = rows.groupBy("doc_id").agg(of("agent_name").alias("_name"), *named, F.size(F.collect_set(F.when(task != "", task))).alias("recent_tasks"), F.max("error").alias("error"))
     return files.join(got, "doc_id", "left").where("error is null").select("doc_id", F.coalesce("_name", "agent").alias("agent"), *[F.coalesce(F.col(p.rsplit(".", 1)[-1]), F.lit(0.0)).alias(p.rsplit(".", 1)[-1]) for p in NUMBERS], F.coalesce("recent_tasks", F.lit(0)).alias("recent_tasks"))

@@ -1,7 +1,11 @@
 """Whole results on odd inputs, and plans whose work stays in proportion to the input."""
 
+import io
+import zipfile
+
 from folioforge.operators import books as B
 from folioforge.plans import registry
+from folioforge.sources import conversion, yamlstats
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +43,24 @@ def test_books_are_made_without_shuffles_of_lines(spark):
 def test_bad_files_come_in_bounded_batches(spark):
     registry.QUERIES["s11_unreadable_packages"](spark, SF)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000
+
+
+def test_files_of_one_split_are_dealt_to_tasks(spark):
+    files = spark.range(40).coalesce(1).selectExpr("id as doc_id", "concat('a', id) as agent", "'total_tasks: 1  # all\\nrecent_tasks:\\n- id: \"#1\"\\n- id: 2' as text")
+    assert yamlstats.yaml_values(files).rdd.getNumPartitions() > 1
+    assert {(r.total_tasks, r.recent_tasks) for r in yamlstats.agent_stats(files).collect()} == {(1.0, 2)}
+
+
+def test_words_are_counted_and_cut_in_one_exchange(spark):
+    assert exchanges(registry.QUERIES["a21_j5_keywords"](spark, SF)) <= 1
+    assert exchanges(registry.QUERIES["w9_columns"](spark, SF)) <= 1
+
+
+def test_files_are_opened_once_and_handed_on_together(spark, monkeypatch):
+    raw = io.BytesIO()
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body><w:p><w:r><w:t>x</w:t></w:r></w:p></w:body></w:document>")
+    opened, plain = [], zipfile.ZipFile
+    monkeypatch.setattr(zipfile, "ZipFile", type("Counted", (plain,), {"__init__": lambda self, *a, **b: (opened.append(1), plain.__init__(self, *a, **b))[1]}))
+    assert conversion._from_docx("a.docx", raw.getvalue()).chapters == [("", "<p>x</p>")] and len(opened) == 1
