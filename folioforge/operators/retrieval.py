@@ -118,7 +118,8 @@ def route(category: Column, action: Column, best: Column, threshold: float = 0.3
 
 def keywords(df: DataFrame, key: str, text: str, most: int = 10) -> DataFrame:
     """The most frequent words of each text, stop words left out; ties by word."""
-    words = df.select(key, F.explode(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " ")).alias("word")).where((F.length("word") > 2) & ~F.col("word").isin(*STOP_WORDS))
+    # whole texts are dealt out by key, so that the words, of which there are many more, are counted and ranked where they are
+    words = df.select(key, text).repartition(key).select(key, F.explode(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " ")).alias("word")).where((F.length("word") > 2) & ~F.col("word").isin(*STOP_WORDS))
     counted = words.groupBy(key, "word").agg(F.count("*").alias("n"))
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col("word")))), 1, most)
     return counted.groupBy(key).agg(F.transform(best, lambda x: x["word"]).alias("keywords"))
