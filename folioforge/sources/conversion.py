@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import books as B
-from ..shared import new_folder
+from ..shared import BATCH_BYTES, bounded, new_folder
 from . import docx, epub, html, markdown
 from .encoding import decode
 
@@ -71,9 +71,10 @@ def _from_epub(path: str, raw: bytes) -> Book:
 
 
 def _from_docx(path: str, raw: bytes) -> Book:
-    title, author = docx.properties(raw)
-    packed = [(name, media, data, k == 0) for k, (name, media, data) in enumerate(docx.images(raw))]
-    return Book(title, author, chapters=docx.chapters(raw), images=packed)
+    z = docx.opened(raw)
+    title, author = docx.properties(z)
+    packed = [(name, media, data, k == 0) for k, (name, media, data) in enumerate(docx.images(z))]
+    return Book(title, author, chapters=docx.chapters(z), images=packed)
 
 
 _PARSERS = {"md": _from_markdown, "html": _from_html, "htm": _from_html, "epub": _from_epub, "docx": _from_docx}
@@ -109,16 +110,27 @@ def _book_rows(key: int, path: str, raw: bytes) -> list[tuple]:
 def parsed(files: DataFrame) -> DataFrame:
     """Rows of books, chapters, images and named images of (doc_id, path, content) files but plain text; a file that fails is one row with its error."""
 
+    kinds = {"pos": pa.int32(), "doc_id": pa.int64(), "cover": pa.bool_(), "data": pa.binary()}
+    batch_of = lambda out: pa.RecordBatch.from_arrays([pa.array(c, kinds.get(f, pa.string())) for f, c in zip(_FIELDS, zip(*out))], _FIELDS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"pos": pa.int32(), "doc_id": pa.int64(), "cover": pa.bool_(), "data": pa.binary()}
         for batch in batches:
-            for key, path, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "path", "content"))):
+            out, size = [], 0
+            keys, paths = (batch.column(c).to_pylist() for c in ("doc_id", "path"))
+            for key, path, cell in zip(keys, paths, batch.column("content")):
                 try:
-                    rows = _book_rows(key, path or "", raw or b"")
+                    rows = _book_rows(key, path or "", cell.as_py() or b"")
                 except Exception as e:  # noqa: BLE001  whatever a bad file raises is its row's error
                     rows = [(key, "error", 0, *[None] * (len(_FIELDS) - 4), f"{type(e).__name__}: {e}")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, kinds.get(f, pa.string())) for f, c in zip(_FIELDS, zip(*rows))], _FIELDS)  # a batch a file
-
+                out += rows
+                size += sum(len(x) for row in rows for x in row if isinstance(x, str | bytes))
+                if size > BATCH_BYTES // 4:
+                    yield batch_of(out)
+                    out, size = [], 0
+            if out:
+                yield batch_of(out)
+
+    bounded(files.sparkSession)
     return files.select("doc_id", "path", "content").mapInArrow(run, ROWS)
 
 
