@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -68,26 +69,71 @@ THREATS = (
 )
 
 
-def _any(text: Column, patterns) -> Column:
-    return reduce(lambda a, b: a | b, [text.rlike(p) for p in patterns])
+#: Strings of which a text that fits an intent's pattern holds one of each group, for patterns that are not words in groups.
+NEEDED = {
+    "SKILL_INVOCATION": (("スキル",), ("使って", "使用して", "利用して", "で")), "EXISTING_FILE_REFERENCE": (("編集", "修正", "変更", "更新"),), "FILE_READ": (("読んで", "確認して", "見て", "表示して"),),
+    "CODE_BUGFIX": (("バグ", "エラー", "問題", "不具合"), ("修正", "直して", "fix")), "SKILL_EXECUTE": (("/",),), "QUESTION": (("?",),),
+}
+_NAMED = {p: n for n, p, _ in INTENTS}
+_WORDS = r"\(([^()\[\]\\.*+?^|]+(?:\|[^()\[\]\\.*+?^|]+)*)\)"
+_FILE_SIGNS = "[a-zA-Z0-9_\\-./]"
+#: Fixed value: the endings of the file pattern, to tell texts without any.
+_FILE_END = "(?i)\\.(?:ts|js|md|txt|yml|yaml|css|scss|html)"
+
+
+def _needed(pattern: str) -> tuple[tuple[str, ...], ...]:
+    if m := re.fullmatch(f"{_WORDS}(?:\\.\\*{_WORDS})?", pattern):
+        return tuple(tuple(g.split("|")) for g in m.groups() if g)
+    return NEEDED.get(_NAMED.get(pattern, ""), ())
+
+
+def _linear(pattern: str) -> str:
+    """A pattern that fits the same texts in a time in proportion to them: from the first of the first words of a line, or from the start of a name, only."""
+    words = lambda a, b: f"^(?>.*?(?:{a})).*(?:{b})"
+    if m := re.fullmatch(f"{_WORDS}\\.\\*{_WORDS}", pattern):
+        return "(?m)" + words(*m.groups())
+    if m := re.fullmatch(f"\\({_WORDS}\\.\\*{_WORDS}\\|{_WORDS}\\.\\*{_WORDS}\\)", pattern):
+        return f"(?m)(?:{words(m[1], m[2])}|{words(m[3], m[4])})"
+    return pattern.replace(f"({_FILE_SIGNS}+", f"((?<!{_FILE_SIGNS}){_FILE_SIGNS}+").replace("([a-z\\-]+)スキル", "((?<![a-z\\-])[a-z\\-]+)スキル")
+
+
+def fits(text: Column, pattern: str) -> Column:
+    """Whether a text fits a pattern of INTENTS; texts without its words are told by these alone."""
+    one_of = lambda words: reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+    return reduce(lambda a, b: a & b, [*map(one_of, _needed(pattern)), text.rlike(_linear(pattern))])
+
+
+def _said(text: Column, patterns) -> Column:
+    """Whether a text fits one of the patterns of DEVIATION or REUSE; words are looked for before patterns are."""
+    low = F.lower(text)
+
+    def one(p: str) -> Column:
+        source, plain = (low, p[4:]) if p.startswith("(?i)") else (text, p)
+        held = reduce(lambda a, b: a & b, [F.contains(source, F.lit(w)) for w in plain.split(".*")])
+        return held if plain == p and ".*" not in p else held & text.rlike(p)
+
+    return reduce(lambda a, b: a | b, [one(p) for p in patterns])
 
 
 def skill_of(text: Column) -> Column:
     """The skill that a request names, by its name or after a slash; null without one."""
-    return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in SKILL])
+    named = F.when(F.contains(text, F.lit("スキル")) | F.contains(F.lower(text), F.lit("skill")), F.regexp_extract(text, SKILL[0], 1))
+    return F.coalesce(F.nullif(named, F.lit("")), F.nullif(F.regexp_extract(text, SKILL[1], 1), F.lit("")))
 
 
 def file_paths(text: Column) -> Column:
     """The paths in a request, each once."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(ENTITIES[1][1]), F.lit(1)))
+    pattern = ENTITIES[1][1].replace(f"({_FILE_SIGNS}+", f"((?<!{_FILE_SIGNS}){_FILE_SIGNS}+")
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
+    return F.when(~text.rlike(_FILE_END), F.array().cast("array<string>")).otherwise(found)
 
 
 def context_flags(text: Column, continued: Column, known: Column, baseline: Column) -> dict[str, Column]:
     """What :func:`folioforge.operators.risk.confidence` asks of a request; ``known`` and ``baseline`` are arrays of paths."""
     there = F.array_intersect(file_paths(text), known)
     return {
-        "continued": continued, "reuse": _any(text, REUSE), "skill": skill_of(text).isNotNull(), "files": F.size(there) > 0,
-        "deviation": _any(text, DEVIATION), "baseline": F.size(F.array_intersect(there, baseline)) > 0,
+        "continued": continued, "reuse": _said(text, REUSE), "skill": skill_of(text).isNotNull(), "files": F.size(there) > 0,
+        "deviation": _said(text, DEVIATION), "baseline": F.size(F.array_intersect(there, baseline)) > 0,
     }
 
 

@@ -52,9 +52,9 @@ def content_type(text: Column) -> Column:
     return out
 
 
-def classify(text: Column, rules: list[tuple[str, str, int]]) -> Column:
-    """Matches of (name, pattern, confidence) rules as an array of structs, best first, then by rule order."""
-    found = F.array_compact(F.array(*[F.when(text.rlike(p), F.struct(F.lit(-c).alias("rank"), F.lit(k).alias("ord"), F.lit(n).alias("name"), F.lit(c).alias("confidence"))) for k, (n, p, c) in enumerate(rules)]))
+def classify(text: Column, rules: list[tuple[str, str, int]], fits=Column.rlike) -> Column:
+    """Matches of (name, pattern, confidence) rules as an array of structs, best first, then by rule order; ``fits`` tests a text by a pattern."""
+    found = F.array_compact(F.array(*[F.when(fits(text, p), F.struct(F.lit(-c).alias("rank"), F.lit(k).alias("ord"), F.lit(n).alias("name"), F.lit(c).alias("confidence"))) for k, (n, p, c) in enumerate(rules)]))
     return F.transform(F.array_sort(found), lambda m: F.struct(m["name"].alias("name"), m["confidence"].alias("confidence")))
 
 

@@ -34,7 +34,7 @@ def flags():
 
 
 def _classified(spark, sf):
-    return requests(spark, sf).withColumn("ms", R.classify(F.col("text"), list(I.INTENTS)))
+    return requests(spark, sf).withColumn("ms", R.classify(F.col("text"), list(I.INTENTS), I.fits))
 
 
 @query(f"{_SCORED} select doc_id, ms[1].name as best, list_transform(ms, lambda m: m.name) as intents, score from c")

@@ -4,6 +4,7 @@ import io
 import zipfile
 
 from folioforge.operators import books as B
+from folioforge.operators import intent as I
 from folioforge.plans import registry
 from folioforge.sources import conversion, yamlstats
 
@@ -64,3 +65,17 @@ def test_files_are_opened_once_and_handed_on_together(spark, monkeypatch):
     opened, plain = [], zipfile.ZipFile
     monkeypatch.setattr(zipfile, "ZipFile", type("Counted", (plain,), {"__init__": lambda self, *a, **b: (opened.append(1), plain.__init__(self, *a, **b))[1]}))
     assert conversion._from_docx("a.docx", raw.getvalue()).chapters == [("", "<p>x</p>")] and len(opened) == 1
+
+
+def test_intents_fit_alike_in_linear_time(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["前回と同じ x 手順", "手順 同じ\n方法", "同じ\r手順", "pdf-makerスキルを使って", "x スキルで", "a/b.ts.mdを修正", "そのファイル更新", "fix the バグ", "バグ\nfix", "run x run test", "run\ntest run", "見て a.scssを見て", "why?", "/do", "x /do", "find find file", "ok", None, "Better sKill a.TSX b.md c.mdx", "same a workflow 提案", "SAME\nworkflow"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    pairs = [(I.fits(t, p), t.rlike(p)) for _, p, _ in I.INTENTS] + [(I._said(t, ps), F.exists(F.array(*map(F.lit, ps)), lambda p: F.regexp_like(t, p))) for ps in (I.DEVIATION, I.REUSE)]
+    pairs += [(I.skill_of(t), F.coalesce(*[F.nullif(F.regexp_extract(t, p, 1), F.lit("")) for p in I.SKILL])), (I.file_paths(t), F.array_distinct(F.regexp_extract_all(t, F.lit(I.ENTITIES[1][1]), F.lit(1))))]
+    rows = df.select("t", *[(a.eqNullSafe(b)).alias(f"c{k}") for k, (a, b) in enumerate(pairs)]).collect()
+    assert [(r.t, c) for r in rows for c in r.asDict() if c != "t" and not r[c]] == []
+    long = spark.createDataFrame([("実行" * 50_000 + "x" + "find " * 50_000 + "ファ テス エージ" + "a" * 50_000,)], "t string").select(*[I.fits(t, p).alias(n) for n, p, _ in I.INTENTS])
+    assert long.first().TEST_RUN is False
