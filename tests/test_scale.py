@@ -79,3 +79,14 @@ def test_intents_fit_alike_in_linear_time(spark):
     assert [(r.t, c) for r in rows for c in r.asDict() if c != "t" and not r[c]] == []
     long = spark.createDataFrame([("実行" * 50_000 + "x" + "find " * 50_000 + "ファ テス エージ" + "a" * 50_000,)], "t string").select(*[I.fits(t, p).alias(n) for n, p, _ in I.INTENTS])
     assert long.first().TEST_RUN is False
+
+
+def test_pages_are_composed_after_one_sort(spark):
+    df = registry.QUERIES["s14_w9_w12_page_paragraphs"](spark, SF)
+    assert exchanges(df) == 1 and "Window" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_whole_texts_reach_python_in_bounded_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 30))
+    registry.QUERIES["f15_long_paragraphs"](spark, SF)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 16 << 20
