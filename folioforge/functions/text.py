@@ -239,10 +239,10 @@ def mora_estimate(c: Column) -> Column:
     return F.ceil(small * 0.5 + (kana - small) + count("\u4e00-\u9fff") * 2 + count("A-Za-z0-9") * 0.5)
 
 
-def head_summary(c: Column, n: int = 200) -> tuple[Column, Column]:
-    """The first ``n`` characters, and their part of the whole to two places."""
+def head_summary(c: Column, n: int = 200, empty: float = 0.0) -> tuple[Column, Column]:
+    """The first ``n`` characters, and their part of the whole to two places; ``empty`` is the part of an empty text, a null text has none."""
     head = F.substring(c, 1, n)
-    return head, F.when(F.length(c) > 0, F.round(F.length(head) / F.length(c), 2)).otherwise(0.0)
+    return head, F.when(F.length(c) == 0, empty).otherwise(F.round(F.length(head) / F.length(c), 2))
 
 
 def theme_score(title: Column, author: Column, text: Column, words: list[str], with_author: bool = False) -> Column:

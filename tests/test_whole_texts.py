@@ -1,5 +1,7 @@
 """Queries over whole texts see what stands far into a text."""
 
+import duckdb
+
 from folioforge.plans import registry
 
 
@@ -31,3 +33,14 @@ def test_books_and_pages_hold_all_of_a_text(spark, tmp_path):
     assert {x for r in run("s7_w1_w2_chapters") for x in r.body_lines} >= set(text.split("\n"))
     assert any("line 199 of a long text" in r.html for r in run("w8_paragraphs"))
     assert {r.page for r in run("a30_line_tolerance")} == set(range(30))
+
+
+def test_heads_of_missing_and_empty_texts_equal_their_sql(spark, tmp_path):
+    texts = [None, "", " ", "a", "\u0000e\u0301" * 70, "x" * 199, "x" * 200, "漢" * 201, "x" * 320, "x" * 8000, "漢" * 40000]
+    sf = documents(spark, tmp_path, list(enumerate(texts)))
+    duck = duckdb.connect()
+    duck.sql(f"create view documents as select * from '{sf}/documents.parquet/*.parquet'")
+    want = {r[0]: repr(r[1:]) for r in duck.sql(registry.ORACLE["g44_head_summary"]).fetchall()}
+    got = {r.doc_id: repr((r.head, r.ratio)) for r in registry.QUERIES["g44_head_summary"](spark, sf).collect()}
+    assert len(got) == len(texts) and got == want
+    assert got[0] == "(None, None)" and got[1] == "('', nan)"
